@@ -7,10 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, sharding
+from . import bpe, decontaminate, sharding
 from .common import table
 
 
+#: The vocabulary that the queries encode with, of the box's public tokenizers.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary() -> tuple[str, str]:
+    """The rank file's path and the pattern that splits texts."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), *vocabulary(), decoded=True)
+    return bpe.digest(found)
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -21,6 +37,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
 }
