@@ -25,7 +25,7 @@ PIECES, PAIRS = 1 << 18, 1 << 18
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 48
 #: White space as the tokenizer library's patterns know it (fixed values of Unicode).
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def splitter(pattern: str) -> regex.Pattern:

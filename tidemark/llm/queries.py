@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, sharding
+from . import bpe, decontaminate, sharding, simhash
 from .common import table
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: The vocabulary that the queries encode with, of the box's public tokenizers.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,6 +41,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash": op4_simhash,
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
