@@ -275,5 +275,7 @@ def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row per row: base spans of each kind, their hash, and all spans."""
     base = F.filter("entities", lambda x: x["base"])
     line = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("entities", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    kinds = F.transform(base, lambda x: x["kind"])
+    counts = [F.size(F.array_remove(kinds, k)).cast("long") for k in KINDS]
+    counts = [(F.size(kinds) - n).alias(f"n_{k}") for n, k in zip(counts, KINDS, strict=True)]
     return found.select(F.col(doc_id), *counts, F.sha2(line(base).cast("binary"), 256).alias("base_sha256"), line(F.col("entities")).alias("spans"))
