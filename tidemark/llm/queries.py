@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, pii, quality, sharding, simhash, substrings, toxicity
+from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -56,6 +56,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.media_columns(table(spark, sf_dir, "documents")))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_sharding": op7_sharding,
+    "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
 }
 
