@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity
-from .common import table
+from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity, training_order
+from .common import run_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,6 +67,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, n = training_order.places(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return training_order.write_order(training_order.tokenise(docs, *vocabulary()), run_dir(spark, "shards"), placed=n)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": op7_sharding,
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
+    "op10_training_order": op10_training_order,
 }
 
 ORACLES: dict[str, str] = {}
