@@ -1,25 +1,64 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: stages that each read what the one before kept.
+
+Toxic documents go; of near-duplicates the one with the smallest doc_id stays; documents with a benchmark passage go; personal
+data is replaced by its kind; what is left is encoded. Null, empty and very long texts pass through all stages; repeated rows
+of one doc_id are one document; rows without a doc_id can't be told apart and stay; an empty table gives no rows; other
+columns than those of documents are not carried.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import common, decontaminate
+from tidemark.llm import bpe, common, decontaminate, pii, simhash, toxicity
+from tidemark.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 stay."""
+    docs = docs.select(*COLUMNS)
+    net = toxicity.fit(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).where("score < 0.5").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by fingerprints the document with the smallest doc_id stays."""
+    docs = docs.select(*COLUMNS)
+    named = docs.where(F.col("doc_id").isNotNull())
+    first = simhash.near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage stay."""
-    found = decontaminate.find_contamination(docs, common.table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(docs.select(*COLUMNS), common.table(spark, sf_dir, "benchmark"))
     return found.where("size(hits) = 0").select(*COLUMNS)
 
 
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, with [KIND] for each span; n_chars follows the text."""
+    docs = docs.select(*COLUMNS)
+    found = pii.entities(docs, pii.fit(docs), redacted=True)
+    return found.withColumn("n_chars", F.when(F.size("entities") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of every document, by count and hash, and the hash of what they decode to."""
+    return bpe.digest(bpe.encode(docs.select("doc_id", "text"), *vocabulary(), decoded=True))
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
     ("decontaminate", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("bpe", encode),
 ]
 
 #: Learned and iterative stages: SQL cannot say them; tests hold the stages against brute force.
@@ -27,7 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents of a folder, each written to shared storage and read again."""
+    """All stages on the documents of a folder, each but the last written to shared storage and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
