@@ -229,7 +229,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", dec
             more = [pa.array(ids, pa.binary())] + ([pa.array([vocabulary.decode(x) for x in ids], pa.binary())] if decoded else [])
             yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in kept], *more], names=[f.name for f in kept] + added)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_texts(docs, run, schema)
 
 
 def digest(encoded: DataFrame, doc_id: str = "doc_id") -> DataFrame:

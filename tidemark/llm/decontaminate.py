@@ -201,7 +201,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
                 ]
                 yield pa.RecordBatch.from_arrays([*[x.cast(arrow.field(j).type) for j, x in enumerate(kept)], *more], schema=arrow)
 
-        out = out.mapInArrow(search, schema)
+        out = common.map_texts(out, search, schema)
         if i + 1 < len(blocks):
             out = common.materialise(out, "decontaminate")
     return out

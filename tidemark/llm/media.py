@@ -262,7 +262,8 @@ def store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "te
             n += len(content)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(meta, pa.string()), pa.array([encode_png(pad(c)) for c in content], pa.binary())], names=["name", "meta", "content"])
 
-    write_archives(docs.select(F.col(doc_id).cast("string").alias("id"), text).mapInArrow(run, "name string, meta string, content binary"), path, **options)
+    rows = docs.select(F.col(doc_id).cast("string").alias("id"), text)
+    write_archives(common.map_texts(rows, run, "name string, meta string, content binary"), path, **options)
 
 
 def describe(members: DataFrame) -> DataFrame:
@@ -279,7 +280,7 @@ def describe(members: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["archive", "offset", "id", "n_bytes", "payload", "media_bytes", "media_sha256", "feature"])
 
-    return members.mapInArrow(run, "archive string, offset bigint, id string, n_bytes bigint, payload binary, media_bytes bigint, media_sha256 string, feature string")
+    return common.map_texts(members, run, "archive string, offset bigint, id string, n_bytes bigint, payload binary, media_bytes bigint, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -258,7 +258,7 @@ def entities(docs: DataFrame, field: Field, *, text: str = "text", name: str = "
                 out[text] = pa.array([redact(t, x) if x else t for t, x in zip(texts, found, strict=True)], batch[text].type)
             yield pa.RecordBatch.from_arrays([*out.values(), spans], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return common.map_texts(docs, run, schema)
 
 
 def redact(text: str, spans: list[tuple]) -> str:

@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             found = np.array([fingerprint(t, shingle) for t in batch[text].to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch[doc_id], pa.array(found.view(np.int64))], names=[doc_id, "fp"])
 
-    return docs.select(doc_id, text).mapInArrow(run, schema)
+    return common.map_texts(docs.select(doc_id, text), run, schema)
 
 
 def block_masks(blocks: int) -> list[int]:

@@ -77,7 +77,7 @@ def find_seeds(docs: DataFrame, doc_id: str, text: str, length: int, k: int) ->
                     [pa.array(col[0].view(np.int64)), pa.array(col[1].view(np.int64)), batch[doc_id].take(of), pa.array(col[2].astype(np.int32)), pa.array(col[3].astype(np.int32))], names=schema.names
                 )
 
-    return docs.select(doc_id, text).where(F.col(doc_id).isNotNull()).mapInArrow(run, schema)
+    return common.map_texts(docs.select(doc_id, text).where(F.col(doc_id).isNotNull()), run, schema)
 
 
 def _holds(words: np.ndarray, first: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -119,22 +119,23 @@ def extensions(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str, leng
                         [pa.array(np.repeat(s, m)), pa.array(window.view(np.int64)), batch["doc"].take(pa.array(np.full(len(start), d))), pa.array(start.astype(np.int32))], names=schema.names
                     )
 
-    return joined.mapInArrow(run, schema)
+    return common.map_texts(joined, run, schema)
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = SEED) -> DataFrame:
     """(doc, first, words, hash): the runs of words whose windows a smaller document has too."""
     found = common.materialise(find_seeds(docs, doc_id, text, length, k), "seeds")
-    shared = found.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("seed", "low")
+    # what is joined back is written first: a join of two fresh shuffles can split a seed that very many documents have
+    shared = common.materialise(found.groupBy("seed").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("seed"), "shared")
     met = common.materialise(found.join(shared, "seed"), "shared-seeds")
-    regions = met.groupBy("seed", "region").agg(F.min("doc").alias("leader"))
-    many = regions.groupBy("seed").agg(F.count("*").alias("regions")).where("regions > 1").select("seed", F.lit(True).alias("differ"))
-    led = regions.join(many, "seed", "left")
-    ranked = common.materialise(met.join(led, ["seed", "region"]), "regions")
+    regions = common.materialise(met.groupBy("seed", "region").agg(F.min("doc").alias("leader")), "regions")
+    many = common.materialise(regions.groupBy("seed").agg(F.count("*").alias("regions")).where("regions > 1").select("seed", F.lit(True).alias("differ")), "many")
+    led = common.materialise(regions.join(many, "seed", "left"), "leaders")
+    ranked = common.materialise(met.join(led, ["seed", "region"]), "ranked")
     span = lambda words, hashed: ("doc", "first", words.cast("int").alias("words"), F.col(hashed).alias("hash"))
     whole = ranked.where("doc > leader").select(*span(F.col("n") + length - 1, "region"))
     windows = common.materialise(extensions(docs, ranked.where("differ and doc = leader"), doc_id, text, length), "windows")
-    least = windows.groupBy("seed", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+    least = common.materialise(windows.groupBy("seed", "window").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("seed", "window", "low"), "least")
     part = windows.join(least, ["seed", "window"]).where("doc > low").select(*span(F.lit(length), "window"))
     return whole.unionByName(part)
 
@@ -178,7 +179,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
                 [batch["doc"], pa.array(np.diff(bounds)), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary()).cast(pa.string())], names=schema.names
             )
 
-    return joined.mapInArrow(run, schema)
+    return common.map_texts(joined, run, schema)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

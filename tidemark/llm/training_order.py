@@ -158,7 +158,7 @@ def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", id
         if out is not None:
             yield finish()
 
-    index = common.materialise(dealt.mapInArrow(run, schema), "order")
+    index = common.materialise(common.map_texts(dealt, run, schema), "order")
     whole = index.agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")).first()
     if n and tuple(whole) != (n, n, 0, n - 1):
         raise RuntimeError(f"slots are not 0 to {n - 1}: {whole}")
@@ -183,4 +183,4 @@ def tokenise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text") -
             ids = [encoder.encode_to_numpy(t).astype("<u4").tobytes() if t else b"" for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in kept], pa.array(ids, pa.binary())], names=[*[f.name for f in kept], "ids"])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
+    return common.map_texts(docs, run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
