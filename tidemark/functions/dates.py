@@ -29,7 +29,7 @@ def friday_number(friday: Column) -> Column:
 def batch_number(d: Column) -> Column:
     """YYYY-NNN of the date's batch."""
     friday = last_friday(d)
-    return F.format_string("%04d-%03d", F.year(friday), friday_number(friday))
+    return F.when(d.isNotNull(), F.format_string("%04d-%03d", F.year(friday), friday_number(friday)))
 
 
 def batch_date(number: Column) -> Column:

@@ -81,5 +81,6 @@ def launch_stage(has_site: Column, sells: Column, launch_words: Column, retailer
 
 def summary(results: DataFrame, key: str) -> DataFrame:
     """Distinct retailers, marketplaces, social sites and press of each filing, sorted, and their counts."""
-    sets = {c: F.array_sort(F.collect_set(F.when(F.col("domain_class") == c, F.col("domain")))) for c in ("retailer", "marketplace", "social", "press")}
-    return results.groupBy(key).agg(*[s.alias(f"{c}s") for c, s in sets.items()]).withColumns({f"n_{c}s": F.size(f"{c}s") for c in sets})
+    names = {"retailer": "retailers", "marketplace": "marketplaces", "social": "socials", "press": "press"}
+    sets = [F.array_sort(F.collect_set(F.when(F.col("domain_class") == c, F.col("domain")))).alias(n) for c, n in names.items()]
+    return results.groupBy(key).agg(*sets).withColumns({f"n_{n}": F.size(n) for n in names.values()})

@@ -161,7 +161,7 @@ def op_r16_maturity(t):
     rows = t("pages").select((F.col("page_id") % 40).alias("filing"), d.alias("domain"), kind.alias("domain_class"), F.contains("html", F.lit("tion")).alias("phrase"))
     phrases = rows.groupBy("filing").agg(F.count_if("phrase").cast("int").alias("phrases"))
     found = E.summary(rows, "filing").join(phrases, "filing")
-    r, p, n = F.col("n_retailers"), F.col("n_presss"), F.col("phrases")
+    r, p, n = F.col("n_retailers"), F.col("n_press"), F.col("phrases")
     return found.select("filing", r.alias("retailers"), p.alias("press"), n.alias("phrases"), E.maturity(r, p, n, F.lit(False)).alias("established"), E.launch_stage(F.lit(True), F.lit(False), n > 3, r).alias("stage"))
 
 

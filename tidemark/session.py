@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC makes timestamps equal to what other engines read from the same Parquet; AQE sizes and splits shuffles at run time.
 SETTINGS = {
@@ -17,3 +20,20 @@ def session(master: str | None = None, name: str = "tidemark", **more: str) -> S
     """The running session, or a new one; a cluster's own master and sizes are left alone unless given."""
     builder = SparkSession.builder.appName(name).config(map={**SETTINGS, **more})
     return (builder.master(master) if master else builder).getOrCreate()
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = tempfile.mkdtemp(prefix="tidemark-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def cut(df: DataFrame, what: str) -> DataFrame:
+    """Write once to shared storage and read again: what follows uses the rows several times without computing them again, and
+    a lost executor loses none of them."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
