@@ -66,6 +66,7 @@ def features(texts: pa.Array) -> np.ndarray:
     words = common.word_hashes(data, start, end)
     again = np.zeros(len(words), bool)  # the same word as the one before
     again[1:] = words[1:] == words[:-1]
+    again[bounds[:-1][n > 0]] = False
     different, top = _distinct(words, bounds)
     l_start, l_end, l_bounds = common.find_words(data, at, _LINE)
     lines = np.diff(l_bounds)
