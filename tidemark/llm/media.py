@@ -55,9 +55,9 @@ class Range(InputPartition):
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
+        self.range_bytes = int(options.get("rangebytes", RANGE_BYTES))
         self.tries = int(options.get("tries", TRIES))
-        self.keep = options.get("onError", "fail") == "keep"
+        self.keep = options.get("onerror", "fail") == "keep"
 
     def partitions(self) -> list[Range]:
         fs, top = open_fs(self.path)
@@ -126,7 +126,7 @@ class ArchiveWriter(DataSourceArrowWriter):
 
     def __init__(self, options: dict):
         self.path = options["path"]
-        self.archive_bytes = int(options.get("archiveBytes", ARCHIVE_BYTES))
+        self.archive_bytes = int(options.get("archivebytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, top = open_fs(self.path)
@@ -170,7 +170,7 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class ArchiveSource(DataSource):
-    """format("archives"): options path, rangeBytes, tries, onError (fail or keep), archiveBytes."""
+    """format("archives"): options path, rangeBytes, tries, onError (fail or keep), archiveBytes; Spark hands them over in lower case."""
 
     @classmethod
     def name(cls) -> str:
