@@ -9,34 +9,44 @@ from ..functions import text as X
 from .relational import best_match, blocked_lookup
 
 
-def name_score(a: Column, b: Column) -> Column:
-    """0 to 98 for two names, by the first rung that holds: same company name, same key, same tokens, one within the other, shared share."""
-    na, nb = X.company_name(a), X.company_name(b)
-    ta, tb = X.tokens(na), X.tokens(nb)
+def name_parts(c: Column | str) -> Column:
+    """What a name is compared by: name without legal forms, key without spaces, tokens. Worked out once for a name, not once for a pair."""
+    name = X.company_name(c)
+    return F.struct(name.alias("name"), F.replace(name, F.lit(" "), F.lit("")).alias("key"), X.tokens(name).alias("tokens"))
+
+
+def ladder(a: Column, b: Column) -> Column:
+    """0 to 98 for the parts of two names, by the first rung that holds: same name, same key, same tokens, one within the other, shared share."""
+    ta, tb = a["tokens"], b["tokens"]
     j = X.jaccard(ta, tb)
     part = F.floor(j * 60).cast("int")
-    within = X.subset(ta, tb) | X.subset(tb, ta)
-    same = X.subset(ta, tb, False) & X.subset(tb, ta, False)
+    there = a["name"] != ""
     return (
-        F.when((na == nb) & (na != ""), 98)
-        .when((F.replace(na, F.lit(" "), F.lit("")) == F.replace(nb, F.lit(" "), F.lit(""))) & (na != ""), 92)
+        F.when((a["name"] == b["name"]) & there, 98)
+        .when((a["key"] == b["key"]) & there, 92)
         .when((F.size(ta) == 0) | (F.size(tb) == 0), 0)
-        .when(same, 88)
-        .when(within, F.when(j >= 0.6, 78).otherwise(part))
+        .when(j == 1, 88)
+        .when(X.subset(ta, tb, False) | X.subset(tb, ta, False), F.when(j >= 0.6, 78).otherwise(part))
         .when(j >= 0.7, 78)
         .when(j >= 0.5, 55)
         .otherwise(part)
     )
 
 
+def name_score(a: Column, b: Column) -> Column:
+    """The ladder for two names."""
+    return ladder(name_parts(a), name_parts(b))
+
+
 def match_applicants(filings: DataFrame, companies: DataFrame, applicant: str = "applicant_name", k: int = 25) -> DataFrame:
     """The best company of each distinct applicant: (applicant, company columns, score, runner_up, ambiguous, confidence).
 
     Each applicant is matched once, whatever its number of filings. companies has company_name and company_number.
     """
-    names = filings.select(F.col(applicant)).where(X.normalise(applicant) != "").distinct()
-    pairs = blocked_lookup(names, companies, applicant, X.company_name(applicant), X.company_name("company_name"), ["company_number"], k)
-    scored = pairs.withColumn("score", name_score(F.col(applicant), F.col("company_name")))
+    names = filings.select(F.col(applicant)).where(X.normalise(applicant) != "").distinct().withColumn("_a", name_parts(applicant))
+    register = companies.withColumn("_b", name_parts("company_name"))
+    pairs = blocked_lookup(names, register, applicant, F.col("_a.name"), F.col("_b.name"), ["company_number"], k)
+    scored = pairs.withColumn("score", ladder(F.col("_a"), F.col("_b"))).drop("_a", "_b")
     return best_match(scored, applicant, "score", "company_number")
 
 

@@ -40,9 +40,9 @@ u AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS runner_up FROM t
 v AS (SELECT p_partkey, other, score::int AS score, runner_up::int AS runner_up, (runner_up IS NOT NULL AND score - runner_up < 5 AND score < 98) AS ambiguous FROM u WHERE r = 1)
 SELECT p_partkey, other, score, runner_up, ambiguous, (score - CASE WHEN ambiguous THEN 15 ELSE 0 END)::int AS confidence FROM v WHERE score - CASE WHEN ambiguous THEN 15 ELSE 0 END >= 5""")
 def op_j04_best_match(t):
-    names = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey"))
-    pairs = names.join(names.select("p_brand", F.col("p_name").alias("b"), F.col("p_partkey").alias("other")), "p_brand").where("p_partkey <> other")  # at most 64 names a brand
-    scored = pairs.withColumn("score", M.name_score(F.col("p_name"), F.col("b")))
+    names = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey")).withColumn("a", M.name_parts("p_name"))
+    pairs = names.join(names.select("p_brand", F.col("a").alias("b"), F.col("p_partkey").alias("other")), "p_brand").where("p_partkey <> other")  # at most 64 names a brand
+    scored = pairs.withColumn("score", M.ladder(F.col("a"), F.col("b")))
     return rel.best_match(scored, "p_partkey", "score", "other", least=5).select("p_partkey", "other", "score", "runner_up", "ambiguous", "confidence")
 
 
