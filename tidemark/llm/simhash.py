@@ -29,7 +29,7 @@ SHINGLE, SEED, RADIUS = 4, 42, 4
 BLOCKS = 3
 #: Fingerprints that a tree is fitted on, about: those with the smallest hashes.
 SAMPLE = 50_000
-#: Fingerprints that a shard is meant to hold; trees grow deeper with the input. A shard above is dealt over several tasks.
+#: Fingerprints that a shard is meant to hold; trees grow deeper with the input. A shard far above is dealt over several tasks.
 SHARD_ROWS = 10_000
 #: Comparisons made at once.
 BRUTE = 1 << 20
@@ -213,7 +213,8 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, sampl
 
     dealt = "shard int, fp long"
     homes = nodes.select("fp").mapInArrow(lambda x: deal(x, True), dealt)
-    sizes = {r["shard"]: -(-r["count"] // shard_rows) for r in homes.groupBy("shard").count().where(F.col("count") > shard_rows).collect()}
+    bound = 4 * max(shard_rows, n // min(t.leaves for t in trees))  # four times what a shard holds on average: few are above
+    sizes = {r["shard"]: -(-r["count"] // bound) for r in homes.groupBy("shard").count().where(F.col("count") > bound).collect()}
     parts = F.lit(1)
     if sizes:  # a shard above the bound: its rows are dealt over parts, and its askers ask in each
         known = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])

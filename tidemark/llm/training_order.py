@@ -54,9 +54,9 @@ def places(sequences: DataFrame) -> tuple[DataFrame, int]:
     counts = dict(rows.groupBy(F.shiftright("_at", 33).alias("p")).count().toArrow().to_pandas().itertuples(index=False))
     order = sorted(counts)
     before = dict(zip(order, np.concatenate([[0], np.cumsum([counts[p] for p in order])[:-1]]).tolist(), strict=True)) if order else {}
-    known = F.array(*[F.lit(before.get(p, 0)).cast("long") for p in range(max(order, default=0) + 1)])
-    place = known[F.shiftright("_at", 33).cast("int")] + F.col("_at").bitwiseAND((1 << 33) - 1)
-    return rows.withColumn("place", place).drop("_at"), sum(counts.values())
+    offsets = sequences.sparkSession.createDataFrame([(p, b) for p, b in before.items()], "_p long, _before long")  # a row a partition
+    placed = rows.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p")
+    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_before"), sum(counts.values())
 
 
 class ShardFile:
