@@ -111,9 +111,9 @@ def test_images_and_element_counts(spark, tmp_path):
 
 
 def test_leads_prospects_feedback(spark, tmp_path):
-    (tmp_path / "l.csv").write_text("\ufeffbrand_name,packaging_relevance,launchtrace_score\nOat,,80\n", encoding="utf-8")
+    (tmp_path / "l.csv").write_text("\ufeffbrand_name,packaging_relevance,score\nOat,,80\n", encoding="utf-8")
     lead = S.read_leads(spark, str(tmp_path / "l.csv"), ("packaging_relevance", "label_relevance")).first()
-    assert (lead["brand_name"], lead["packaging_relevance"], lead["label_relevance"], lead["launchtrace_score"]) == ("Oat", "NONE", "UNKNOWN", 80)
+    assert (lead["brand_name"], lead["packaging_relevance"], lead["label_relevance"], lead["score"]) == ("Oat", "NONE", "UNKNOWN", 80)
     (tmp_path / "p.csv").write_text("\ufeffprospect_id,company_name\np1,Oat\n", encoding="utf-8")
     assert S.read_prospects(spark, str(tmp_path / "p.csv")).first()["research_notes"] is None
     (tmp_path / "f.csv").write_text("trademark_number,state,note\n1,useful,x\n2,,y\n3,odd,z\n")
@@ -129,8 +129,8 @@ def test_first_available(spark):
 
 
 def test_extract_round_trip(spark, tmp_path):
-    df = spark.createDataFrame([("Oat", 80, ["a", "b"], "pre_launch", None), ('Q"x', 90, [], "odd", "s")], "brand_name string, launchtrace_score int, score_reasons array<string>, launch_stage string, website string")
-    E.write_extract(df, str(tmp_path / "x"), F.desc("launchtrace_score"))
+    df = spark.createDataFrame([("Oat", 80, ["a", "b"], "pre_launch", None), ('Q"x', 90, [], "odd", "s")], "brand_name string, score int, score_reasons array<string>, launch_stage string, website string")
+    E.write_extract(df, str(tmp_path / "x"), F.desc("score"))
     name = next((tmp_path / "x").glob("part-*"))
     assert name.read_bytes()[:3] == b"\xef\xbb\xbf"
     back = S.read_leads(spark, str(tmp_path / "x"), ())

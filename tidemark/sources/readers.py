@@ -211,7 +211,7 @@ def read_leads(spark: SparkSession, path: str, intents: tuple[str, ...]) -> Data
     """A delivered CSV, older ones with fewer columns too: an intent column that is absent is UNKNOWN, not NONE."""
     raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     raw = raw.toDF(*[c.lstrip("\ufeff").strip() for c in raw.columns])
-    return raw.withColumns({i: F.coalesce(F.col(i), F.lit("NONE")) if i in raw.columns else F.lit("UNKNOWN") for i in intents} | {"launchtrace_score": F.col("launchtrace_score").try_cast("int")})
+    return raw.withColumns({i: F.coalesce(F.col(i), F.lit("NONE")) if i in raw.columns else F.lit("UNKNOWN") for i in intents} | {"score": F.col("score").try_cast("int")})
 
 
 def stored_opportunities(stored: DataFrame, batch_id: str | None = None, limit: int = 500) -> DataFrame:

@@ -11,7 +11,7 @@ from ..operators.relational import insert_missing, upserted
 CSV_COLUMNS = (
     "brand_name", "trademark_number", "filing_date", "publication_date", "product_category", "goods_summary", "company_name", "company_number", "company_incorporation_date", "company_region",
     "website", "website_status", "contact_page", "launch_stage", "brand_maturity", "retail_presence", "packaging_relevance", "label_relevance", "carton_relevance", "contract_manufacturing_relevance",
-    "copacking_relevance", "distribution_relevance", "brokerage_relevance", "fulfilment_relevance", "marketing_relevance", "launchtrace_score", "score_band", "score_reasons", "other_marks", "other_brand_names", "source_url", "evidence_urls",
+    "copacking_relevance", "distribution_relevance", "brokerage_relevance", "fulfilment_relevance", "marketing_relevance", "score", "score_band", "score_reasons", "other_marks", "other_brand_names", "source_url", "evidence_urls",
 )
 LABELS = {
     "launch_stage": {"pre_launch": "Pre-launch", "early_launch": "Early launch", "scaling": "Scaling", "established": "Established", "unknown": "Unknown"},
