@@ -128,3 +128,79 @@ def limiter(df: DataFrame, key: str, at: str, most: int, seconds: int, event: st
 
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {event} {df.schema[event].dataType.simpleString()}, allowed boolean"
     return df.select(key, at, event).repartition(key).sortWithinPartitions(key, at, event).mapInPandas(run, schema)
+
+
+def sample_rules(band: Column, goods: Column, website: Column, incorporated: Column) -> list[tuple[str, Column]]:
+    """Why a lead is not shown as a sample, in order."""
+    return [("low_band", ~F.coalesce(band.isin("HIGH", "MEDIUM"), F.lit(False))), ("no_goods", F.trim(F.coalesce(goods, F.lit(""))) == ""), ("no_company", incorporated.isNull()), ("conflicting_website", F.coalesce(website == "CONFLICTING", F.lit(False)))]
+
+
+def preview_rules(newest: Column, filed: Column, relevance: Column, least: Column, band: Column, category: Column, wanted: Column, contacted: Column, max_days: int = 400) -> list[tuple[str, Column]]:
+    """Why a lead is not in a prospect's preview, in order. `newest` is the latest filing date over all leads."""
+    return [
+        ("already_contacted", F.coalesce(contacted, F.lit(False))),
+        ("low_band", ~F.coalesce(band.isin("HIGH", "MEDIUM"), F.lit(False))),
+        ("no_date", filed.isNull()),
+        ("too_old", F.datediff(newest, filed) > max_days),
+        ("not_relevant", ~F.coalesce(rank_of(relevance) >= rank_of(least), F.lit(False))),
+        ("other_category", (F.size(wanted) > 0) & ~F.coalesce(F.array_contains(wanted, category), F.lit(False))),
+    ]
+
+
+def due_action(status: Column, last_contact: Column, follow_ups: Column, today: Column, days: int = 7) -> Column:
+    """What is to be done with a prospect now; null if nothing."""
+    waited = F.datediff(today, last_contact) >= days
+    return (
+        F.when(status == "REPLIED", "answer")
+        .when((status == "CONTACTED") & waited & (follow_ups < 2), "follow_up")
+        .when((status == "CONTACTED") & waited, "close")
+        .when((status == "SAMPLE_SENT") & waited, "ask_for_feedback")
+        .when(status == "RESEARCHED", "contact")
+        .when(status == "NEW", "research")
+    )
+
+
+#: The order in which due actions are shown (fixed values).
+ACTIONS = ("answer", "ask_for_feedback", "follow_up", "contact", "research", "close")
+
+
+def due_list(df: DataFrame, action: str, priority: str, name: str) -> DataFrame:
+    """Rows with an action, by action, priority and name."""
+    return df.where(F.col(action).isNotNull()).orderBy(F.array_position(F.array(*map(F.lit, ACTIONS)), F.col(action)), priority, name)
+
+
+def rescored(before: DataFrame, after: DataFrame, key: str, band: str) -> DataFrame:
+    """How many rows went from each band to each other; rows on one side only have a null."""
+    a, b = before.select(key, F.col(band).alias("was")), after.select(key, F.col(band).alias("is"))
+    return a.join(b, key, "full").groupBy("was", "is").agg(F.count("*").alias("n"))
+
+
+def recurring_revenue(customers: DataFrame, prices: DataFrame) -> DataFrame:
+    """Active customers and their monthly pence; a plan without a price counts 0. The price table is of fixed size."""
+    rows = customers.where("status = 'ACTIVE'").join(F.broadcast(prices), "plan", "left")
+    return rows.agg(F.count("*").alias("paying"), F.coalesce(F.sum(F.coalesce("pence", F.lit(0))), F.lit(0)).cast("long").alias("monthly_pence"))
+
+
+def operations(runs: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """One row: runs of each status, the latest run, deliveries of each status."""
+    r = runs.agg(F.count("*").alias("runs"), F.count_if(F.col("status") == "COMPLETED").alias("completed"), F.count_if(F.col("status") == "BLOCKED").alias("blocked"), F.max_by("run_id", "started_at").alias("latest"))
+    d = deliveries.agg(F.count_if(F.col("status") == "SENT").alias("sent"), F.count_if(F.col("status") == "FAILED").alias("failed"))
+    return r.crossJoin(F.broadcast(d))  # one row by one row
+
+
+def attributed_events(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """The customer of each event: by the provider's id, else by address."""
+    by_id = customers.select(F.col("provider_id"), F.col("customer_id").alias("_a")).where("provider_id is not null").dropDuplicates(["provider_id"])
+    by_mail = customers.select(F.lower("email").alias("_m"), F.col("customer_id").alias("_b")).where("email is not null").dropDuplicates(["_m"])
+    rows = events.join(by_id, "provider_id", "left").join(by_mail, F.lower("email") == F.col("_m"), "left")
+    return rows.withColumn("customer_id", F.coalesce("_a", "_b")).drop("_a", "_b", "_m")
+
+
+def unrated(delivered: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
+    """Delivered rows that nobody has rated."""
+    return delivered.join(feedback.select(key).distinct(), key, "left_anti")
+
+
+def false_positives(feedback: DataFrame, states: tuple[str, ...] = ("BAD_FIT", "TOO_LATE", "WRONG_COMPANY")) -> DataFrame:
+    """How many of the ratings say that a lead should not have been shown."""
+    return feedback.agg(F.count("*").alias("ratings"), F.count_if(F.col("state").isin(*states)).alias("should_not_have_been_shown"))
