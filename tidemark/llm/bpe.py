@@ -24,6 +24,8 @@ from . import common
 PIECES, PAIRS = 1 << 18, 1 << 18
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 48
+#: Characters of a text from which its pieces are not listed at once.
+LONG = 1 << 22
 #: White space as the tokenizer library's patterns know it (fixed values of Unicode).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -125,7 +127,12 @@ class Vocabulary:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        if len(text) <= LONG:
+            return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
+        out = bytearray()
+        for m in self.split.finditer(text):  # no list of all pieces
+            out += self.pieces[m[0]]
+        return bytes(out)
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step takes at once; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -51,6 +52,20 @@ def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def texts_by_hash(rows: DataFrame, most_bytes: int) -> pa.Table:
+    """Rows (h, t, ...) for the driver in the order of h, as many as hold most_bytes of text together.
+
+    The caller bounds their number; texts of more than a fiftieth of the bytes are left out. Only hashes and sizes are looked at
+    before it is known which texts come.
+    """
+    sized = rows.withColumn("_n", F.coalesce(F.octet_length("t"), F.lit(0))).where(F.col("_n") <= most_bytes // 50)
+    narrow = sized.select("h", "_n").toArrow().sort_by("h")
+    fit = np.flatnonzero(np.cumsum(narrow["_n"].to_numpy()) <= most_bytes)
+    last = narrow["h"][int(fit[-1])].as_py() if len(fit) else None
+    found = sized.where(F.col("h") <= last) if last is not None else sized.limit(0)
+    return found.drop("_n").toArrow().sort_by("h")
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text."""
     for batch in batches:

@@ -25,6 +25,8 @@ from . import common
 KINDS = ("email", "ip", "card", "phone")
 #: Texts that the weights are learned from, about (the share of rows by a hash of the id that gives so many).
 SAMPLE = 8000
+#: Bytes of their texts at most.
+SAMPLE_BYTES = 16 << 20
 #: A label's probability from which a token is a span; rounds of message passing; how far apart chain neighbours may be.
 SURE, ROUNDS, NEAR = 0.9, 12, 40
 STEPS, RATE, PENALTY = 300, 0.1, 1e-3
@@ -229,8 +231,8 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
     """Learn from about `sample` rows, a share by the hash of the id. Rows that are few or empty give weights near zero."""
     share = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, docs.count())))
-    rows = docs.where(share).where(F.col(text).rlike("[0-9@]")).select(text, F.xxhash64(doc_id).alias("h"))
-    return train(rows.toArrow().sort_by("h")[text].to_pylist())
+    rows = docs.where(share).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t"))
+    return train(common.texts_by_hash(rows, SAMPLE_BYTES)["t"].to_pylist())
 
 
 ENTITY = "array<struct<kind:string,start:int,end:int,base:boolean>>"
