@@ -115,11 +115,10 @@ def band_of(value: Column, bands: list[tuple[str, float, float]]) -> Column:
     return F.coalesce(*[F.when(value.between(low, high), F.lit(name)) for name, low, high in bands], F.lit(bands[-1][0]))
 
 
-def budgeted(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """Add whether a row is among the first n of all. Only the n first rows are gathered; the rest is joined to them."""
-    keys = [c for c in df.columns]
-    first = df.orderBy(*order).limit(n).withColumn("in_budget", F.lit(True))
-    return df.join(F.broadcast(first), keys, "left").withColumn("in_budget", F.coalesce("in_budget", F.lit(False)))
+def budgeted(df: DataFrame, n: int, key: str, *order: Column | str) -> DataFrame:
+    """Add whether a row is among the first n of all; the key tells rows apart. Only the n first keys are gathered, and joined back."""
+    first = df.orderBy(*order, key).limit(n).select(key).withColumn("in_budget", F.lit(True))
+    return df.join(F.broadcast(first), key, "left").withColumn("in_budget", F.coalesce("in_budget", F.lit(False)))
 
 
 def duplicates(df: DataFrame, order: str, keys: dict[str, Column]) -> DataFrame:

@@ -129,7 +129,7 @@ def op_w01_keep_first(t):
 SELECT event_id, user_id, r <= 100 AS in_budget FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'purchase')""")
 def op_w05_budget(t):
     rows = t("events").where("event_type = 'purchase'").select("event_id", "user_id", "value")
-    return rel.budgeted(rows, 100, F.desc("value"), "event_id").select("event_id", "user_id", "in_budget")
+    return rel.budgeted(rows, 100, "event_id", F.desc("value")).select("event_id", "user_id", "in_budget")
 
 
 @probe()
