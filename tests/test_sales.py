@@ -44,3 +44,18 @@ def test_attribution_and_ratings(spark):
     rated = spark.createDataFrame([("k1", "BAD_FIT"), ("k1", "USEFUL")], "k string, state string")
     assert [r["k"] for r in sales.unrated(spark.createDataFrame([("k1",), ("k2",)], "k string"), rated, "k").collect()] == ["k2"]
     assert tuple(sales.false_positives(rated).first()) == (2, 1)
+
+
+def test_prospect_fit_lines_terms_and_failures(spark):
+    from tidemark.operators import goods, reports
+
+    c = F.col
+    rows = [("packaging", "short run packs for emerging brand food makers in the uk"), ("other", "enterprise only"), ("design", "tobacco packs"), (None, None)]
+    df = spark.createDataFrame(rows, "category string, words string")
+    assert [r[0] for r in df.select(sales.prospect_fit(c("category"), F.coalesce("words", F.lit("")))).collect()] == [78, 0, 0, 0]
+    line = spark.range(1).select(sales.supplier_line(F.lit("packaging"), F.lit("HIGH"), F.lit("dairy")), sales.supplier_line(F.lit("x"), F.lit("LOW"), F.lit("y"))).first()
+    assert tuple(line) == ("A dairy brand that is likely to need packaging", None)
+    assert tuple(spark.range(1).select(sales.margin(F.lit(200), F.lit(50)), sales.margin(F.lit(0), F.lit(5))).first()) == (75.0, None)
+    assert spark.range(1).select(goods.product_terms(F.lit("dairy"), F.lit("Milk & Cheeses"))).first()[0] == ["milk", "cheese", "yoghurt", "butter", "cheeses"]
+    got = reports.stage_failures(spark.createDataFrame([("a", True), ("a", False), ("b", True)], "s string, bad boolean"), c("s"), c("bad")).collect()
+    assert {r["stage"]: r["fatal"] for r in got} == {"a": False, "b": True}

@@ -75,3 +75,10 @@ def packaged_probability(classes: Column, group_hits: Column, has_goods: Column,
 
 def relevance(probability: Column) -> Column:
     return F.when(probability >= 0.7, "HIGH").when(probability >= 0.4, "MEDIUM").otherwise("LOW")
+
+
+def product_terms(group: Column, label: Column) -> Column:
+    """A group's keywords and its label's words of more than three characters, each once, in order."""
+    words = F.create_map(*[x for g, ws in R.GROUPS.items() for x in (F.lit(g), F.array(*map(F.lit, ws)))])
+    own = F.coalesce(F.try_element_at(words, group), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.concat(own, F.split(X.normalise(label), " ")), lambda w: F.length(w) > 3))

@@ -50,3 +50,9 @@ def qa_report(df: DataFrame, score: Column, band: Column, reason: Column) -> Dat
     why = df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason is not null").orderBy(F.desc("n"), "reason").limit(12)
     why = why.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason", "n"))).alias("w")).select(F.transform("w", lambda x: F.struct(x["reason"].alias("reason"), x["n"].alias("n"))).alias("reasons"))
     return head.crossJoin(F.broadcast(why)).select(F.to_json(F.struct("*")).alias("report"))  # one row by one row
+
+
+def stage_failures(df: DataFrame, stage: Column, failed: Column, most: float = 0.5) -> DataFrame:
+    """(stage, n, failed, fatal): a stage in which more than `most` of the rows failed stops a run."""
+    counts = df.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
+    return counts.withColumn("fatal", F.col("failed") / F.col("n") > most)

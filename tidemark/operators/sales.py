@@ -204,3 +204,30 @@ def unrated(delivered: DataFrame, feedback: DataFrame, key: str) -> DataFrame:
 def false_positives(feedback: DataFrame, states: tuple[str, ...] = ("BAD_FIT", "TOO_LATE", "WRONG_COMPANY")) -> DataFrame:
     """How many of the ratings say that a lead should not have been shown."""
     return feedback.agg(F.count("*").alias("ratings"), F.count_if(F.col("state").isin(*states)).alias("should_not_have_been_shown"))
+
+
+#: What speaks for a prospect: (mark in its text, points), the first mark of each kind counts; and marks that rule one out.
+PROSPECT_CATEGORY = {"packaging": 30, "ingredients": 28, "design": 22, "logistics": 18}
+PROSPECT_SIGNALS = ((("start-up", "emerging brand", "small batch"), 20), (("food", "drink"), 12), (("low minimum", "short run"), 10), (("uk", "england", "scotland"), 6), (("large accounts only", "enterprise"), -15))
+RULED_OUT = ("recruitment", "gambling", "tobacco")
+
+
+def prospect_fit(category: Column, words: Column) -> Column:
+    """Points for the category and for the first mark of each kind of signal, 0 to 100; a mark that rules out gives 0."""
+    from ..functions.text import first_of
+
+    total = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PROSPECT_CATEGORY.items() for x in kv]), category), F.lit(0))
+    for marks, points in PROSPECT_SIGNALS:
+        total = total + F.when(first_of(marks, words).isNotNull(), points).otherwise(0)
+    return F.when(first_of(RULED_OUT, words).isNotNull(), 0).when(total < 0, 0).when(total > 100, 100).otherwise(total)
+
+
+def supplier_line(supplier: Column, band: Column, category: Column) -> Column:
+    """One line on why a lead suits a supplier."""
+    need = F.when(band == "HIGH", "is likely to need").when(band == "MEDIUM", "may need")
+    return F.when(need.isNotNull(), F.concat(F.lit("A "), F.coalesce(category, F.lit("food")), F.lit(" brand that "), need, F.lit(" "), supplier))
+
+
+def margin(revenue: Column, cost: Column) -> Column:
+    """Per cent of the revenue, one place; null without revenue."""
+    return F.bround(F.try_divide((revenue - cost) * 100.0, revenue), 1)
