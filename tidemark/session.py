@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +40,19 @@ def cut(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for an application, unless they find it already: it lies in the working
+    folder or on PYTHONPATH."""
+    root, app = str(Path(__file__).resolve().parent.parent), spark.sparkContext.applicationId
+    if app in _SHIPPED or os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    with tempfile.TemporaryDirectory() as folder:
+        stage = Path(folder) / "stage"
+        shutil.copytree(Path(__file__).resolve().parent, stage / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark-package", "zip", stage))
+    _SHIPPED.add(app)
