@@ -69,7 +69,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, n = training_order.places(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return training_order.write_order(training_order.tokenise(docs, *vocabulary()), run_dir(spark, "shards"), placed=n)
+    sequences = training_order.tokenise(docs, *vocabulary(), ids_type="<u2")  # ids under 50,257: half the bytes to shuffle
+    return training_order.write_order(sequences, run_dir(spark, "shards"), placed=n, ids_type="<u2")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -115,11 +115,11 @@ class ShardReader:
         return np.frombuffer(self.file.read_at(n * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
 
 
-def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", ids: str = "ids", key: int = KEY, end_token: int = 50256, dtype: str = "<u2", record: int = RECORD, shard_rows: int = SHARD_ROWS, placed: int | None = None) -> DataFrame:
-    """Write all sequences (ids: little-endian unsigned 32-bit integers) in training order, and give where each is.
+def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", ids: str = "ids", key: int = KEY, end_token: int = 50256, dtype: str = "<u2", record: int = RECORD, shard_rows: int = SHARD_ROWS, placed: int | None = None, ids_type: str = "<u4") -> DataFrame:
+    """Write all sequences (ids: binary, integers of ids_type) in training order, and give where each is.
 
-    Returns id_col, place, slot, shard, first_token, n_tokens and ids_sha256 of the ids read back from the shard, a row
-    for each row. `placed` is the number of rows where these bring their places (numbered before they were tokenised);
+    Returns id_col, place, slot, shard, first_token, n_tokens and ids_sha256 of the ids read back from the shard (as 32-bit
+    integers), a row for each row. `placed` is the number of rows where these bring their places (numbered before they were tokenised);
     else they are written once and numbered.
     Null and empty sequences take a slot and hold no token but the end; repeated rows take slots of their own; an empty table
     writes no shard. An id of more than dtype holds, or a slot that is missing, stops the job.
@@ -151,7 +151,7 @@ def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", id
                     if out is not None:
                         yield finish()
                     out, first, rows = ShardFile(folder, shard, record, dtype, end_token), slot, []
-                got = np.frombuffer(content or b"", "<u4")
+                got = np.frombuffer(content or b"", ids_type)
                 if len(got) and got.max() > np.iinfo(np.dtype(dtype)).max:
                     raise ValueError(f"{dtype} doesn't hold the id {got.max()}")
                 rows.append((out.add(got), len(got), narrow.slice(i, 1)))
@@ -165,8 +165,8 @@ def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", id
     return index
 
 
-def tokenise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text") -> DataFrame:
-    """Add ids by the public tokenizer library with a rank file (this operator orders ids; it is not an encoder)."""
+def tokenise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", ids_type: str = "<u4") -> DataFrame:
+    """Add ids of ids_type by the public tokenizer library with a rank file (this operator orders ids; it is not an encoder)."""
     from .bpe import rank_lines
 
     lines = docs.sparkSession.sparkContext.broadcast(rank_lines(ranks))
@@ -180,7 +180,7 @@ def tokenise(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text") -
         pairs = (x.split() for x in lines.value.splitlines() if x)
         encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={base64.b64decode(a): int(b) for a, b in pairs}, special_tokens={})
         for batch in common.steps(batches, text):
-            ids = [encoder.encode_to_numpy(t).astype("<u4").tobytes() if t else b"" for t in batch[text].to_pylist()]
+            ids = [encoder.encode_to_numpy(t).astype(ids_type).tobytes() if t else b"" for t in batch[text].to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in kept], pa.array(ids, pa.binary())], names=[*[f.name for f in kept], "ids"])
 
     return common.map_texts(docs, run, T.StructType([*kept, T.StructField("ids", T.BinaryType())]))
