@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, common, decontaminate, pii, simhash, toxicity
+from tidemark.llm import bpe, common, decontaminate, near_copies, pii, toxicity
 from tidemark.llm.queries import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,10 +28,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by fingerprints the document with the smallest doc_id stays."""
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles the document with the smallest doc_id stays."""
     docs = docs.select(*COLUMNS)
     named = docs.where(F.col("doc_id").isNotNull())
-    first = simhash.near_duplicates(named.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    first = near_copies.near_copies(named.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     return named.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
