@@ -56,10 +56,10 @@ def texts_by_hash(rows: DataFrame, most_bytes: int) -> pa.Table:
     """Rows (h, t, ...) for the driver in the order of h, as many as hold most_bytes of text together.
 
     The caller bounds their number; texts of more than a fiftieth of the bytes are left out. Only hashes and sizes are looked at
-    before it is known which texts come.
+    before it is known which texts come. Rows of one hash come together or not at all, so that ties never exceed the bytes.
     """
     sized = rows.withColumn("_n", F.coalesce(F.octet_length("t"), F.lit(0))).where(F.col("_n") <= most_bytes // 50)
-    narrow = sized.select("h", "_n").toArrow().sort_by("h")
+    narrow = sized.groupBy("h").agg(F.sum("_n").alias("_n")).toArrow().sort_by("h")
     fit = np.flatnonzero(np.cumsum(narrow["_n"].to_numpy()) <= most_bytes)
     last = narrow["h"][int(fit[-1])].as_py() if len(fit) else None
     found = sized.where(F.col("h") <= last) if last is not None else sized.limit(0)

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-#: Texts that the weights are learned from, about (the share of rows by a hash of the id that gives so many).
+#: Texts that the weights are learned from, about (the share of rows by a hash of id and text that gives so many).
 SAMPLE = 8000
 #: Bytes of their texts at most.
 SAMPLE_BYTES = 16 << 20
@@ -229,9 +229,10 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int
 
 
 def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """Learn from about `sample` rows, a share by the hash of the id. Rows that are few or empty give weights near zero."""
-    share = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, docs.count())))
-    rows = docs.where(share).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(doc_id).alias("h"), F.col(text).alias("t"))
+    """Learn from about `sample` rows, a share by the hash of id and text, each once; rows without an id are not read. Rows that
+    are few or empty give weights near zero."""
+    share = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, docs.count())))
+    rows = docs.where(F.col(doc_id).isNotNull() & share).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t")).dropDuplicates(["h"])
     return train(common.texts_by_hash(rows, SAMPLE_BYTES)["t"].to_pylist())
 
 
