@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -26,18 +27,26 @@ def session(master: str | None = None, name: str = "tidemark", **more: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a local master gets a new local folder;
+    a cluster has none that all its machines see, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def run_dir(spark: SparkSession, what: str) -> str:
+    """A new folder name under the shared folder; no two calls get the same."""
+    return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, what: str) -> DataFrame:
     """Write once to shared storage and read again: what follows uses the rows several times without computing them again, and
     a lost executor loses none of them."""
-    path = f"{shared_dir(df.sparkSession)}/tidemark-{what}-{uuid.uuid4().hex}"
+    path = run_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -51,8 +60,9 @@ def ship(spark: SparkSession) -> None:
     root, app = str(Path(__file__).resolve().parent.parent), spark.sparkContext.applicationId
     if app in _SHIPPED or os.getcwd() == root or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
-    with tempfile.TemporaryDirectory() as folder:
-        stage = Path(folder) / "stage"
-        shutil.copytree(Path(__file__).resolve().parent, stage / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/tidemark-package", "zip", stage))
+    folder = tempfile.mkdtemp()  # the driver's own: Spark serves the file from there while the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    stage = Path(folder) / "stage"
+    shutil.copytree(Path(__file__).resolve().parent, stage / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/tidemark-package", "zip", stage))
     _SHIPPED.add(app)
