@@ -215,17 +215,38 @@ def test_decontaminate_empty_tables_and_repeats(spark):
 
 
 def test_wu_manber_skips_positions():
+    import pyarrow as pa
+
     rng = random.Random(3)
-    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
-    table_ = decontaminate.build([(1, " ".join(f"w{rng.randrange(5000)}" for _ in range(30)))])[0]
-    assert (table_.shift == table_.length - table_.block + 1).mean() > 0.9
-    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    item = " ".join(f"w{rng.randrange(5000)}" for _ in range(30))
+    block, search = decontaminate.build(pa.array([item])), decontaminate.Search()
+    search.add(block)
+    assert (search.shifts[10] == 8).mean() > 0.9
+    data = np.frombuffer(" ".join([*words, item]).encode(), np.uint8)
     start, end, bounds = common.find_words(data, np.array([0, len(data)]), common.ALNUM_WORD)
-    looked = []
-    real = table_.shift
-    table_.shift = type("S", (), {"__getitem__": lambda _, i: looked.append(len(i)) or real[i]})()
-    table_.search(common.word_hashes(data, start, end), bounds, lambda a, b: b"")
-    assert looked  # the table is asked once for all blocks, then lanes jump
+    where, _ = search.starts(10, common.word_hashes(data, start, end), bounds)
+    assert search.looked < 0.15 * len(start)  # a jump of up to eight words from each
+    assert set(range(20_000, 20_021)) <= set(where.tolist())
+
+
+def test_decontaminate_repeated_items_and_large_ones(spark):
+    long = " ".join(f"v{i}" for i in range(400))
+    items = [(1, "one two three four five six seven eight nine ten")] * 200 + [(2, "one two three four five six seven eight nine ten")] * 200 + [(i, f"tiny{i}") for i in range(50)] + [(99, long)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = ["zero one two three four five six seven eight nine ten", "a tiny7 b", long + " more", None]
+    found = decontaminate.find_contamination(table(spark, rows), bench, block_bytes=500)
+    assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digest(found).collect()} == contamination_by_hand(rows, items)
+
+
+def test_patterns_are_mapped_from_their_file(tmp_path):
+    import pyarrow as pa
+
+    block = decontaminate.build(pa.array(["a b c", "one two three four five six seven eight nine ten eleven", None]))
+    again = decontaminate.mapped(str(tmp_path / "x"), decontaminate.save(block, str(tmp_path / "x")))
+    assert isinstance(again.words, np.memmap)
+    assert [(p.length, p.keys.tolist(), p.owner.tolist()) for p in again.patterns] == [(p.length, p.keys.tolist(), p.owner.tolist()) for p in block.patterns]
+    assert again.spell(3, 5) == b"one two"
 
 
 def test_word_finding_equals_regular_expressions():

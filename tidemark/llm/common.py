@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import cut, run_dir  # noqa: F401  run_dir: for the operators
 
 #: Bytes of text that one numpy step takes at once; a longer text is a step of its own.
 STEP_BYTES = 2 << 20
@@ -22,26 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
+def materialise(df: DataFrame, what: str) -> DataFrame:
+    """Write once as Parquet on shared storage and read it again: cuts the lineage and survives lost executors."""
+    return cut(df, what)
 
-def run_dir(spark: SparkSession, what: str) -> str:
-    """A new folder name under the shared folder; no two calls get the same."""
-    return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
 
+def numbered(df: DataFrame, name: str = "place") -> tuple[DataFrame, int]:
+    """Add a row's place, 0, 1, 2 ... without a gap, and give the count.
 
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write once as Parquet on shared storage and read it again: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = run_dir(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Rows are numbered by their file and where they stand in it, so that a place is the same however files are split between
+    tasks. What isn't a whole scan of Parquet is written first. What is joined back holds 16 bytes a file.
+    """
+    try:
+        rows = df.withColumns({"_file": F.xxhash64("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+        counts = rows.groupBy("_file").agg(F.count("*").alias("n"), F.max("_at").alias("last"), F.count_distinct("_metadata.file_path").alias("files")).orderBy("_file").toArrow()
+    except AnalysisException:
+        return numbered(materialise(df, "numbered"), name)
+    n, last = counts["n"].to_numpy(), counts["last"].to_numpy()
+    if not np.array_equal(n, last + 1):  # rows were left out after the scan
+        return numbered(materialise(df, "numbered"), name)
+    if (counts["files"].to_numpy() > 1).any():
+        raise RuntimeError("two files' names have one hash")
+    before = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
+    offsets = df.sparkSession.createDataFrame(pa.table({"_file": counts["_file"], "_before": before.astype(np.int64)}))
+    return rows.join(F.broadcast(offsets), "_file").withColumn(name, F.col("_before") + F.col("_at")).drop("_file", "_at", "_before"), int(n.sum())
 
 
 def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -52,18 +58,66 @@ def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def texts_by_hash(rows: DataFrame, most_bytes: int) -> pa.Table:
-    """Rows (h, t, ...) for the driver in the order of h, as many as hold most_bytes of text together.
+def hash_share(key: Column, n: int, wanted: int) -> Column:
+    """Whether a row is in a share by its key's hash that holds about `wanted` of n rows."""
+    return F.pmod(key, F.lit(1 << 30)) < int((1 << 30) * min(1.0, wanted / max(1, n)))
+
+
+def texts_by_hash(rows: DataFrame, most: int, most_bytes: int) -> pa.Table:
+    """Rows (h, t, ...) for the driver in the order of h, one of each h: at most `most`, and most_bytes of text together.
 
-    The caller bounds their number; texts of more than a fiftieth of the bytes are left out. Only hashes and sizes are looked at
-    before it is known which texts come. Rows of one hash come together or not at all, so that ties never exceed the bytes.
+    Only hashes and sizes are looked at before it is known which texts come. A text that the bytes left can't hold is passed
+    over and the next one is looked at. Of several texts of one h the one with the smallest hash of its own is meant, so that
+    rows of one h never exceed the bounds.
     """
-    sized = rows.withColumn("_n", F.coalesce(F.octet_length("t"), F.lit(0))).where(F.col("_n") <= most_bytes // 50)
-    narrow = sized.groupBy("h").agg(F.sum("_n").alias("_n")).toArrow().sort_by("h")
-    fit = np.flatnonzero(np.cumsum(narrow["_n"].to_numpy()) <= most_bytes)
-    last = narrow["h"][int(fit[-1])].as_py() if len(fit) else None
-    found = sized.where(F.col("h") <= last) if last is not None else sized.limit(0)
-    return found.drop("_n").toArrow().sort_by("h")
+    sized = rows.withColumns({"_t": F.xxhash64("t"), "_n": F.coalesce(F.octet_length("t"), F.lit(0))})
+    narrow = sized.groupBy("h").agg(F.min(F.struct("_t", "_n")).alias("x")).orderBy("h").limit(most).select("h", "x._t", "x._n").toArrow()
+    left, fit = most_bytes, []
+    for i, n in enumerate(narrow["_n"].to_pylist()):
+        if n <= left:
+            fit.append(i)
+            left -= n
+    picked = rows.sparkSession.createDataFrame(narrow.take(pa.array(fit, pa.int64())).select(["h", "_t"]))  # `most` rows of 16 bytes
+    others = [c for c in rows.columns if c != "h"]
+    found = sized.join(F.broadcast(picked), ["h", "_t"]).groupBy("h").agg(F.first(F.struct(*others)).alias("x"))
+    return found.select("h", "x.*").toArrow().sort_by("h")
+
+
+#: Labelled rows that a classifier is fitted on at most, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 6000, 24 << 20
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list, np.ndarray]:
+    """Texts and labels of at most `most` labelled ids for which `keep` holds, by hashes of their ids, `most_bytes` of text together.
+
+    The labels are cut to the sample before texts are read. Ids and labels that are null are not used; an id with several
+    labels has the smallest, one with several texts one of them.
+    """
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & keep).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y"))
+    mine = F.xxhash64("_id")
+    chosen = known.where(hash_share(mine, known.count(), 2 * most)).groupBy("_id").agg(F.min("_y").alias("_y"))
+    chosen = chosen.orderBy(F.pmod(mine, F.lit(1 << 30)), "_id").limit(most)
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(chosen), "_id").select(mine.alias("h"), "t", "_y")
+    got = texts_by_hash(rows, most, most_bytes)
+    return got["t"].to_pylist(), got["_y"].to_numpy()
+
+
+def score_texts(docs: DataFrame, model, *, text: str = "text", name: str = "score") -> DataFrame:
+    """Add model.scores of every whole text, a batch at a time; a column of the name is replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = [f for f in docs.schema.fields if f.name != name]
+    schema = T.StructType([*kept, T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches, text):
+            yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in kept], pa.array(shared.value.scores(batch[text]), pa.float64())], names=schema.names)
+
+    return map_texts(docs, run, schema)
+
+
+def remainder(doc_id: Column, of: int) -> Column:
+    """crc32 of the id as text, modulo `of`: which fold a row is in."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(of))
 
 
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:

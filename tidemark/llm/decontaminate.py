@@ -3,17 +3,24 @@
 The benchmark's windows are the patterns. For each pattern length a shift table over blocks of a few words says how far a
 position can be moved on without missing an occurrence; where it says zero, the bucket of the block's hash and of the
 pattern's first words gives the few patterns that may stand there, and direct comparison of the words confirms one.
-Documents are never shuffled: each task searches its own rows, many stretches of text in lock-step, against tables
-that are broadcast. Those tables are bounded: a benchmark of more than `block_bytes` is dealt into blocks and the
-documents are passed over once for each block.
+Documents are never shuffled and are passed over once: each task searches its own rows, many stretches of text in lock-step.
+The patterns lie in files of arrays that Spark hands to the executors and that tasks map into memory; the driver makes one
+from `block_bytes` of benchmark text at a time, so neither it nor a task holds more than that, however large the benchmark is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import atexit
+import os
+import shutil
+import tempfile
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,96 +29,158 @@ from . import common
 
 #: Words of a window, and of a block of the shift table.
 WINDOW, BLOCK = 10, 3
-#: Bytes of benchmark text that one broadcast table is made of at most.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that one file of patterns is made of at most; the driver holds about 28 times as much while it makes one.
+BLOCK_BYTES = 8 << 20
 #: Window starts that one lane of the lock-step search takes.
 LANE = 256
-_BASE = 0xD6E8FEB86659FD93
+#: Odd factors of a block's words.
+_ODD = common.mix(np.arange(1, 1 + BLOCK, dtype=np.uint64)) | np.uint64(1)
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+def block_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words at each position."""
+    total = words[at] * _ODD[0]
+    for j in range(1, n):
+        total += words[at + j] * _ODD[j]
+    return common.mix(total)
+
+
+def bucket(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The suffix's hash above, the prefix's below: a bucket's patterns stand together, those of one prefix too."""
+    return suffix & np.uint64(0xFFFFFFFF00000000) | prefix >> np.uint64(32)
+
+
+@dataclass
 class Patterns:
-    """All patterns of one length, ready to be searched for."""
-
-    def __init__(self, length: int, windows: dict[tuple[bytes, ...], set]):
-        self.length, self.block = length, min(BLOCK, length)
-        found = list(windows)
-        data = np.frombuffer(b"".join(w for words in found for w in words), np.uint8)
-        ends = np.cumsum([len(w) for words in found for w in words])
-        starts = ends - [len(w) for words in found for w in words]
-        words = common.word_hashes(data, starts, ends).reshape(-1, length)
-        flat = words.ravel()
-        first = np.arange(len(found)) * length
-        prefix = common.run_hashes(flat, first, first + self.block, _BASE)
-        suffix = common.run_hashes(flat, first + length - self.block, first + length, _BASE)
-        order = np.argsort(key := self.bucket(suffix, prefix), kind="stable")
-        self.keys, self.words = key[order], words[order]
-        self.text = [b" ".join(found[i]) for i in order]
-        self.items = [frozenset(windows[found[i]]) for i in order]
-        self.shift = np.full(1 << 16, length - self.block + 1, np.uint8)
-        for j in range(length - self.block + 1):
-            at = common.run_hashes(flat, first + j, first + j + self.block, _BASE) >> np.uint64(48)
-            np.minimum.at(self.shift, at, np.uint8(length - self.block - j))
-
-    @staticmethod
-    def bucket(suffix: np.ndarray, prefix: np.ndarray) -> np.ndarray:
-        """The suffix's hash above, the prefix's below: a bucket's patterns stand together, those of one prefix too."""
-        return suffix & np.uint64(0xFFFFFFFF00000000) | prefix >> np.uint64(32)
-
-    def search(self, words: np.ndarray, bounds: np.ndarray, spell) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of occurrences and which pattern each is. bounds: the first word of each text; spell: bytes of a run of words."""
-        last = bounds[1:] - self.length
-        lanes = np.maximum(0, (last - bounds[:-1]) // LANE + 1)
-        if not lanes.sum():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        of = np.repeat(np.arange(len(lanes)), lanes)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-        at = bounds[of] + nth * LANE
-        stop = np.minimum(last[of], at + LANE - 1)
-        from_ = np.arange(max(0, len(words) - self.block + 1))
-        blocks = common.run_hashes(words, from_, from_ + self.block, _BASE)
-        tail = self.length - self.block
-        jump = self.shift[blocks >> np.uint64(48)]
-        zero = []
-        while len(at):
-            move = jump[at + tail]
-            zero.append(at[move == 0])
-            at = at + np.maximum(move, 1)
-            live = at <= stop
-            at, stop = at[live], stop[live]
-        start = np.concatenate(zero)
-        key = self.bucket(blocks[start + tail], blocks[start])
-        low = np.searchsorted(self.keys, key, "left")
-        high = np.searchsorted(self.keys, key, "right")
+    """Patterns of one length by bucket: which words they are, and the items that have them (items[i] : items[i + 1] of `owner`)."""
+
+    length: int
+    keys: np.ndarray
+    first: np.ndarray
+    items: np.ndarray
+    owner: np.ndarray
+
+
+@dataclass
+class Block:
+    """The patterns of a part of the benchmark, with the words that they are made of."""
+
+    words: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    text: np.ndarray
+    patterns: list[Patterns]
+
+    def spell(self, a: int, b: int) -> bytes:
+        return b" ".join([self.text[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)])
+
+    def find(self, p: Patterns, words: np.ndarray, start: np.ndarray, key: np.ndarray, spell: Callable) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the starts are occurrences and of which pattern. spell: the bytes of a run of the text's words."""
+        low, high = np.searchsorted(p.keys, key, "left"), np.searchsorted(p.keys, key, "right")
         found_at, found = [], []
         while len(start):
             live = low < high
             start, low, high = start[live], low[live], high[live]
-            same = (words[start[:, None] + np.arange(self.length)] == self.words[low]).all(1) if len(start) else np.zeros(0, bool)
-            for s, p in zip(start[same].tolist(), low[same].tolist(), strict=True):
-                if spell(s, s + self.length) == self.text[p]:
+            same = (words[start[:, None] + np.arange(p.length)] == self.words[p.first[low][:, None] + np.arange(p.length)]).all(1)
+            for s, i in zip(start[same].tolist(), low[same].tolist(), strict=True):
+                f = int(p.first[i])
+                if spell(s, s + p.length) == self.spell(f, f + p.length):
                     found_at.append(s)
-                    found.append(p)
+                    found.append(i)
             low = low + 1
         return np.array(found_at, np.int64), np.array(found, np.int64)
 
 
-def build(items: list[tuple], window: int = WINDOW) -> list[Patterns]:
-    """The patterns of (item_id, text) rows, one table for each length."""
-    by_length: dict[int, dict[tuple[bytes, ...], set]] = {}
-    for item, text in items:
-        data = common.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        start, end, _ = common.find_words(data, np.array([0, len(data)]), common.ALNUM_WORD)
-        raw = data.tobytes()
-        words = [raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-        n = min(window, len(words))
-        for i in range(len(words) - n + 1) if n else ():
-            by_length.setdefault(n, {}).setdefault(tuple(words[i : i + n]), set()).add(item)
-    return [Patterns(n, windows) for n, windows in sorted(by_length.items())]
+def build(texts: pa.Array, window: int = WINDOW) -> Block:
+    """The patterns of item texts; an item is known by its place in them."""
+    data, at = common.text_bytes(texts)
+    data = common.LOWER[data]
+    start, end, bounds = common.find_words(data, at, common.ALNUM_WORD)
+    words = common.word_hashes(data, start, end)
+    block = Block(words, start.astype(np.int64), end.astype(np.int64), data, [])
+    n = np.diff(bounds)
+    for length in np.unique(np.minimum(n[n > 0], window)).tolist():
+        mine = np.flatnonzero(np.minimum(n, window) == length)
+        many = n[mine] - length + 1
+        owner = np.repeat(mine, many)
+        first = np.repeat(bounds[mine] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        width = min(BLOCK, length)
+        key = bucket(block_hash(words, first + length - width, width), block_hash(words, first, width))
+        whole = common.run_hashes(words, first, first + length, 0xD6E8FEB86659FD93)
+        order = np.lexsort((whole, key))
+        key, whole, first, owner = key[order], whole[order], first[order], owner[order]
+        new = np.ones(len(first), bool)
+        new[1:] = (whole[1:] != whole[:-1]) | (key[1:] != key[:-1])
+        leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+        for i in np.flatnonzero(~new).tolist():  # equal hashes: equal words, or a pattern of its own
+            if block.spell(first[i], first[i] + length) != block.spell(first[leader[i]], first[leader[i]] + length):
+                new[i] = True
+        heads = np.flatnonzero(new)
+        block.patterns.append(Patterns(length, key[heads], first[heads].astype(np.int64), np.append(heads, len(first)).astype(np.int64), owner.astype(np.int64)))
+    return block
+
 
+def save(block: Block, path: str) -> dict:
+    """Write a block's arrays one after the other; gives where each is."""
+    places, at = {}, 0
+    arrays = {k: getattr(block, k) for k in ("words", "start", "end", "text")}
+    arrays |= {f"{p.length}.{k}": getattr(p, k) for p in block.patterns for k in ("keys", "first", "items", "owner")}
+    with open(path, "wb") as f:
+        for name, x in sorted(arrays.items()):
+            places[name] = (x.dtype.str, at, len(x))
+            at += f.write(x.tobytes())
+            at += f.write(bytes(-at % 8))
+    return places
 
-def _scan(batch: pa.RecordBatch, text: str, tables: list[Patterns]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
-    """Per text: its words, the stretches of hit words, the items found."""
+
+def mapped(path: str, places: dict) -> Block:
+    """A saved block, its arrays mapped into memory."""
+    raw = np.memmap(path, np.uint8, "r")
+    got = {k: raw[at : at + n * np.dtype(d).itemsize].view(d) for k, (d, at, n) in places.items()}
+    lengths = sorted({int(k.split(".")[0]) for k in got if "." in k})
+    return Block(got["words"], got["start"], got["end"], got["text"], [Patterns(n, *(got[f"{n}.{k}"] for k in ("keys", "first", "items", "owner"))) for n in lengths])
+
+
+@dataclass
+class Search:
+    """The shift table of each pattern length over all blocks, and how many positions were looked at."""
+
+    shifts: dict[int, np.ndarray] = field(default_factory=dict)
+    looked: int = 0
+
+    def add(self, block: Block) -> None:
+        for p in block.patterns:
+            width = min(BLOCK, p.length)
+            shift = self.shifts.setdefault(p.length, np.full(1 << 16, p.length - width + 1, np.uint8))
+            for j in range(p.length - width + 1):
+                np.minimum.at(shift, block_hash(block.words, p.first + j, width) >> np.uint64(48), np.uint8(p.length - width - j))
+
+    def starts(self, length: int, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts where the shift is zero, and their bucket. bounds: the first word of each text. Only blocks where a lane stands are hashed."""
+        shift, width = self.shifts[length], min(BLOCK, length)
+        last, tail = bounds[1:] - length, length - width
+        lanes = np.maximum(0, (last - bounds[:-1]) // LANE + 1)
+        of = np.repeat(np.arange(len(lanes)), lanes)
+        at = bounds[of] + (np.arange(len(of)) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        stop = np.minimum(last[of], at + LANE - 1)
+        zero, suffixes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        while len(at):
+            self.looked += len(at)
+            suffix = block_hash(words, at + tail, width)
+            move = shift[suffix >> np.uint64(48)].astype(np.int64)
+            hit = move == 0
+            zero.append(at[hit])
+            suffixes.append(suffix[hit])
+            at = at + np.maximum(move, 1)
+            live = at <= stop
+            at, stop = at[live], stop[live]
+        start = np.concatenate(zero)
+        return start, bucket(np.concatenate(suffixes), block_hash(words, start, width))
+
+
+def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[Block, list]]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+    """Per text: its words, the stretches of hit words, the items found. blocks: each with the ids of its items."""
     data, at = common.text_bytes(batch[text])
     data = common.LOWER[data]
     start, end, bounds = common.find_words(data, at, common.ALNUM_WORD)
@@ -123,12 +192,17 @@ def _scan(batch: pa.RecordBatch, text: str, tables: list[Patterns]) -> tuple[np.
 
     delta = np.zeros(len(words) + 1, np.int32)
     items: list[set] = [set() for _ in range(batch.num_rows)]
-    for table in tables:
-        where, which = table.search(words, bounds, spell)
-        np.add.at(delta, where, 1)
-        np.add.at(delta, where + table.length, -1)
-        for d, p in set(zip((np.searchsorted(bounds, where, "right") - 1).tolist(), which.tolist(), strict=True)):
-            items[d] |= table.items[p]
+    for length in search.shifts:
+        where, key = search.starts(length, words, bounds)
+        for block, ids in blocks:
+            p = next((p for p in block.patterns if p.length == length), None)
+            if p is None or not len(where):
+                continue
+            hit, which = block.find(p, words, where, key, spell)
+            np.add.at(delta, hit, 1)
+            np.add.at(delta, hit + length, -1)
+            for d, i in set(zip((np.searchsorted(bounds, hit, "right") - 1).tolist(), which.tolist(), strict=True)):
+                items[d].update(ids[j] for j in p.owner[p.items[i] : p.items[i + 1]].tolist())
     hit = np.cumsum(delta[:-1]) > 0
     hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
     if hit.any():
@@ -141,30 +215,23 @@ def _scan(batch: pa.RecordBatch, text: str, tables: list[Patterns]) -> tuple[np.
     return np.diff(bounds), hits, items
 
 
-def _merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of two lists of stretches."""
-    out: list[tuple[int, int]] = []
-    for s, e in sorted([*a, *b]):
-        if out and s <= out[-1][1]:
-            out[-1] = (out[-1][0], max(e, out[-1][1]))
-        else:
-            out.append((s, e))
-    return out
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[DataFrame]:
-    """The benchmark in parts of at most about block_bytes each; one part where it fits."""
-    rows = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text")).where(F.length("text") > 0)
-    size = F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)).alias("size")
-    total = rows.agg(size).first()["size"]
-    n = 1 if total <= block_bytes else 2 * -(-total // block_bytes)
-    while n > 1:
-        part = F.pmod(F.xxhash64("item", "text"), F.lit(n))
-        most = rows.groupBy(part.alias("part")).agg(size).agg(F.max("size")).first()[0]
-        if most <= max(block_bytes, rows.agg(F.max(F.octet_length("text"))).first()[0] + 64):
-            return [rows.where(part == i) for i in range(n)]
-        n *= 2
-    return [rows]
+def _parts(rows: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+    """The benchmark's distinct rows (item, text) in parts of at most about block_bytes each, or of one row; one part where all fit.
+
+    The rows come to the driver a partition at a time, and partitions by hash hold a part at most, about.
+    """
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    if total > block_bytes:
+        rows = rows.repartition(2 * -(-total // block_bytes), F.xxhash64("item", "text"))
+    part, held = [], 0
+    for item, text in rows.toLocalIterator():
+        own = len(text.encode()) + 64
+        if part and held + own > block_bytes:
+            yield part
+            part, held = [], 0
+        part.append((item, text))
+        held += own
+    yield part
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -173,38 +240,42 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     Adds to `docs` n_words (long), hits (stretches of hit words, end exclusive) and item_ids (of the items whose windows
     occur). A text or item that is null or has no words gives no hit; an item of fewer words than the window is one
     pattern; repeated rows are marked alike; items of one id count once, and items without an id hit but are not
-    listed; an empty benchmark hits nothing. A column of `docs` named as an added one is replaced.
+    listed; an empty benchmark hits nothing, an empty table gives no rows; a very long text is a step of its own, whole.
+    A column of `docs` named as an added one is replaced.
     """
     spark = docs.sparkSession
-    item_type = benchmark.schema[item_id].dataType
-    added = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("item_ids", T.ArrayType(item_type))]
-    out = docs.select([c for c in docs.columns if c not in {f.name for f in added}])
-    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
-    for i, part in enumerate(blocks):
-        tables = spark.sparkContext.broadcast(build([tuple(r) for r in part.collect()], window))
-        schema = T.StructType([f for f in out.schema.fields if f.name not in {x.name for x in added}] + added)
-
-        def search(batches: Iterator[pa.RecordBatch], tables=tables, schema=schema, again=bool(i)) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_schema
-
-            arrow = to_arrow_schema(schema)
-            for batch in common.steps(batches, text):
-                n, hits, items = _scan(batch, text, tables.value)
-                if again:
-                    hits = [_merged([(x["start"], x["end"]) for x in old], new) for old, new in zip(batch["hits"].to_pylist(), hits, strict=True)]
-                    items = [set(old) | new for old, new in zip(batch["item_ids"].to_pylist(), items, strict=True)]
-                kept = [batch[f.name] for f in schema.fields[:-3]]
-                more = [
-                    pa.array(n, arrow.field("n_words").type),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in hits], arrow.field("hits").type),
-                    pa.array([sorted(x - {None}) for x in items], arrow.field("item_ids").type),
-                ]
-                yield pa.RecordBatch.from_arrays([*[x.cast(arrow.field(j).type) for j, x in enumerate(kept)], *more], schema=arrow)
-
-        out = common.map_texts(out, search, schema)
-        if i + 1 < len(blocks):
-            out = common.materialise(out, "decontaminate")
-    return out
+    added = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("item_ids", T.ArrayType(benchmark.schema[item_id].dataType))]
+    schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in added}] + added)
+    rows = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
+    search, files = Search(), []
+    folder = tempfile.mkdtemp()  # the driver's own: Spark serves the files from there while the application runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    for part in _parts(rows, block_bytes):
+        block, path = build(pa.array([t for _, t in part], pa.string()), window), os.path.join(folder, f"patterns-{uuid.uuid4().hex}")
+        if not block.patterns:
+            continue
+        search.add(block)
+        files.append((os.path.basename(path), save(block, path), [i for i, _ in part]))
+        spark.sparkContext.addFile(path)
+        del block
+    shared = spark.sparkContext.broadcast((search.shifts, files))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        shifts, files = shared.value
+        arrow, blocks = to_arrow_schema(schema), [(mapped(SparkFiles.get(name), places), ids) for name, places, ids in files]
+        for batch in common.steps(batches, text):
+            n, hits, items = _scan(batch, text, Search(shifts), blocks)
+            kept = [batch[f.name].cast(arrow.field(f.name).type) for f in schema.fields[:-3]]
+            more = [
+                pa.array(n, arrow.field("n_words").type),
+                pa.array([[{"start": a, "end": b} for a, b in x] for x in hits], arrow.field("hits").type),
+                pa.array([sorted(x - {None}) for x in items], arrow.field("item_ids").type),
+            ]
+            yield pa.RecordBatch.from_arrays([*kept, *more], schema=arrow)
+
+    return common.map_texts(docs.select([f.name for f in schema.fields[:-3]]), run, schema)
 
 
 def digest(found: DataFrame, doc_id: str = "doc_id") -> DataFrame:

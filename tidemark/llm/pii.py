@@ -1,9 +1,9 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns give the base spans. The random field labels every token that has a digit or an @: node potentials come from the token's
-shape and its neighbourhood, chain edges join neighbouring tokens, and skip edges join distant tokens of one text that
-repeat or resemble each other (the same characters, the same digits, an address and its local part). Loopy message
-passing makes the labels of such tokens agree, so that a mention which no pattern takes is found through one that a
+Patterns give the base spans. The random field labels every token that has a digit or an @ and every word that equals an
+address's local part: node potentials come from the token's shape and its neighbourhood, chain edges join neighbouring tokens,
+and skip edges join distant tokens of one text that repeat or resemble each other (the same characters, the same first or last
+digits, an address and its local part). Loopy message passing makes the labels of such tokens agree, so that a mention which no pattern takes is found through one that a
 pattern took. Base spans are observed labels and always stay. The weights are learned from base spans by
 pseudo-likelihood on a bounded sample of texts.
 """
@@ -30,6 +30,10 @@ SAMPLE_BYTES = 16 << 20
 #: A label's probability from which a token is a span; rounds of message passing; how far apart chain neighbours may be.
 SURE, ROUNDS, NEAR = 0.9, 12, 40
 STEPS, RATE, PENALTY = 300, 0.1, 1e-3
+#: The share of tokens whose shape is hidden in a training step, so that the edges learn to tell labels without it.
+HIDDEN = 0.5
+#: The weight from which it is learned that tokens joined by a skip edge agree.
+AGREE = 9.0
 
 # The patterns (fixed values). Runs of digits are taken whole, which matches the same and never looks at one twice.
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -39,7 +43,11 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _ANY = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"[^\s\"'<>|,;:!?=*#$&\[\]{}]*[0-9@][^\s\"'<>|,;:!?=*#$&\[\]{}]*")
+_NUMBER = re.compile(r"\(?[0-9][0-9().-]*(?:\x20[0-9().-]+)+(?<=[0-9])(?![0-9A-Za-z@])")
+_WORD = re.compile(r"[^\s\"'<>|,;:!?=*#$&\[\]{}]+")
 _EDGES = ".%-_/\\"
+#: Letters and digits from which a token can repeat an address's local part, one less for the part itself.
+LEAST_NAME = 5
 
 
 def _digits(s: str) -> str:
@@ -110,6 +118,48 @@ class Graph:
     skip: np.ndarray
 
 
+def _plain(token: str) -> str:
+    return "".join(c for c in token.lower() if c.isalnum())
+
+
+def _tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, str]]:
+    """(start, token) in order: each base span; around them what has a digit or an @, groups of digits as one number, and words
+    that equal an address's local part of several parts (jane.doe)."""
+    found = [(a, b) for a, b, _ in base]
+    for m in _TOKEN.finditer(text):
+        token = m[0].strip(_EDGES)
+        if token:
+            found.append((a := m.start() + m[0].index(token), a + len(token)))
+    found += [m.span() for m in _NUMBER.finditer(text) if 9 <= len(_digits(m[0])) <= 19]
+    names = {name for a, b, k in base if k == 0 and len(name := text[a:b].split("@")[0].strip(_EDGES)) >= LEAST_NAME and not (name.isalpha() or _ANY.search(name))}
+    if names:
+        lower = {n.lower() for n in names}
+        words = ((m.start() + m[0].index(w), w) for m in _WORD.finditer(text) if (w := m[0].strip(_EDGES)) and w.lower() in lower)
+        found += [(a, a + len(w)) for a, w in words]
+    taken, out, last = {(a, b) for a, b, _ in base}, [], 0
+    bounds, i = [(a, b) for a, b, _ in base], 0
+    for a, b in sorted(set(found), key=lambda x: (x[0], -x[1])):
+        while i < len(bounds) and bounds[i][1] <= a:
+            i += 1
+        if (a, b) in taken or a >= last and not (i < len(bounds) and bounds[i][0] < b):
+            out.append((a, text[a:b]))
+            last = max(last, b)
+    return out
+
+
+def _keys(token: str) -> set[str]:
+    """What a token shares with those that repeat or resemble it."""
+    plain, digits, local = _plain(token), _digits(token), token.split("@")[0]
+    keys = {plain} if len(plain) >= LEAST_NAME else set()
+    if len(digits) >= 9:
+        keys |= {f"..{digits[-9:]}"}
+    if len(digits) >= 14:  # a slip in one half leaves the other
+        keys |= {f"{digits[:7]}.."}
+    if len(local) < len(token) and len(_plain(local)) >= LEAST_NAME - 1:
+        keys |= {_plain(local)}
+    return keys
+
+
 def graph(texts: list[str | None]) -> tuple[Graph, list[list[tuple[int, int, int]]]]:
     """The texts' tokens as one graph without edges between texts, and the base spans of each."""
     of, starts, ends, observed, rows, chain, skip, bases = [], [], [], [], [], [], [], []
@@ -120,11 +170,7 @@ def graph(texts: list[str | None]) -> tuple[Graph, list[list[tuple[int, int, int
             continue
         seen: dict[str, int] = {}
         b, last = 0, -NEAR - 1
-        for m in _TOKEN.finditer(text):
-            token = m[0].strip(_EDGES)
-            if not token:
-                continue
-            start = m.start() + m[0].index(token)
+        for start, token in _tokens(text, base):
             end, at = start + len(token), len(of)
             while b < len(base) and base[b][1] <= start and base[b][2] >= 0:
                 b += 1
@@ -137,12 +183,7 @@ def graph(texts: list[str | None]) -> tuple[Graph, list[list[tuple[int, int, int
             if start - last <= NEAR:
                 chain.append((at - 1, at))
             last = end
-            plain = "".join(c for c in token.lower() if c.isalnum())
-            digits = _digits(token)
-            keys = {plain} if len(plain) >= 5 else set()
-            keys |= {digits[-9:]} if len(digits) >= 9 else set()
-            keys |= {"".join(c for c in token.lower().split("@")[0] if c.isalnum())} if token.find("@") >= 4 else set()
-            for key in keys:
+            for key in _keys(token):
                 if key in seen and seen[key] != at:
                     skip.append((seen[key], at))
                 seen[key] = at
@@ -187,27 +228,36 @@ class Field:
 
 
 def train(texts: list[str | None]) -> Field:
-    """Learn from base spans as labels: each token's label given its features and its neighbours' labels."""
+    """Learn from base spans as labels: each token's label given its features and its neighbours' labels.
+
+    A token that no pattern took but that repeats or resembles one that a pattern took has no known label; it is left out.
+    """
     g, _ = graph(texts)
     k = len(KINDS) + 1
     y = np.maximum(g.observed, 0)
     one = np.eye(k)[y]
     node, chain = np.zeros((FEATURES, k)), np.zeros((k, k))
-    skip = np.eye(k) * 2.0  # repeated tokens agree; learned from there
+    skip = np.eye(k) * AGREE  # repeated tokens agree; learned from there
     if not len(y):
         return Field(node, chain, skip)
+    known = np.ones((len(y), 1))
+    for a, b in ((g.skip[:, 0], g.skip[:, 1]), (g.skip[:, 1], g.skip[:, 0])):
+        known[a[(g.observed[a] < 0) & (g.observed[b] >= 0)]] = 0
     params = [node, chain, skip]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    rng = np.random.default_rng(2)
     for step in range(1, STEPS + 1):
-        z = g.features @ node
+        x = g.features * (rng.random((len(y), 1)) >= HIDDEN)
+        x[:, 0] = 1
+        z = x @ node
         for e, w in ((g.chain, chain), (g.skip, skip)):
             np.add.at(z, e[:, 1], w[y[e[:, 0]]])
             np.add.at(z, e[:, 0], w.T[y[e[:, 1]]])
         p = np.exp(z - z.max(1, keepdims=True))
-        err = p / p.sum(1, keepdims=True) - one
-        grads = [g.features.T @ err / len(y) + PENALTY * node]
+        err = (p / p.sum(1, keepdims=True) - one) * known
+        grads = [x.T @ err / len(y) + PENALTY * node]
         for e, w in ((g.chain, chain), (g.skip, skip)):
-            prior = 0 if w is chain else np.eye(k) * 2.0
+            prior = 0 if w is chain else np.eye(k) * AGREE
             grads.append((one[e[:, 0]].T @ err[e[:, 1]] + (one[e[:, 1]].T @ err[e[:, 0]]).T) / len(y) + PENALTY * (w - prior))
         for q, d, (m, v) in zip(params, grads, moments, strict=True):
             m += 0.1 * (d - m)
@@ -228,12 +278,14 @@ def find(texts: list[str | None], field: Field) -> list[list[tuple[int, int, int
     return [sorted(x, key=lambda s: (s[0], s[2], s[1])) for x in found]
 
 
-def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Field:
-    """Learn from about `sample` rows, a share by the hash of id and text, each once; rows without an id are not read. Rows that
-    are few or empty give weights near zero."""
-    share = F.pmod(F.xxhash64(doc_id, text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, docs.count())))
-    rows = docs.where(F.col(doc_id).isNotNull() & share).where(F.col(text).rlike("[0-9@]")).select(F.xxhash64(doc_id, text).alias("h"), F.col(text).alias("t")).dropDuplicates(["h"])
-    return train(common.texts_by_hash(rows, SAMPLE_BYTES)["t"].to_pylist())
+def fit(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Field:
+    """Learn from about `sample` rows and `sample_bytes` of their texts at most: a share by the hash of id and text, each once.
+
+    Rows without an id are not read. Rows that are few or empty, and an empty table, give weights near zero.
+    """
+    key = F.xxhash64(doc_id, text)
+    rows = docs.where(F.col(doc_id).isNotNull() & common.hash_share(key, docs.count(), sample)).where(F.col(text).rlike("[0-9@]")).select(key.alias("h"), F.col(text).alias("t"))
+    return train(common.texts_by_hash(rows, sample, sample_bytes)["t"].to_pylist())
 
 
 ENTITY = "array<struct<kind:string,start:int,end:int,base:boolean>>"
@@ -243,7 +295,8 @@ def entities(docs: DataFrame, field: Field, *, text: str = "text", name: str = "
     """Add the spans of every whole text, in code points, end exclusive; with `redacted` replace each by its kind in [].
 
     Null and empty texts have none (null stays null when redacted); repeated rows have the same; a column of the name
-    is replaced; other columns stay. Of overlapping spans the redaction covers all and names the first.
+    is replaced; other columns stay; an empty table gives no rows; a very long text is a step of its own, whole. Of overlapping
+    spans the redaction covers all and names the first.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
     kept = [f for f in docs.schema.fields if f.name != name]

@@ -16,10 +16,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, toxicity
+from . import common
 
-#: Labelled rows that are learned from at most; pairs drawn for each; bins of a feature; steps, step size and penalty.
-SAMPLE, PAIRS, BINS = 6000, 20, 12
+#: Pairs drawn for each labelled row; bins of a feature; steps, step size and penalty.
+PAIRS, BINS = 20, 12
 STEPS, RATE, PENALTY = 400, 0.5, 1e-4
 #: The score of a text at the threshold.
 CUT = 0.7
@@ -141,11 +141,19 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Ranking
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2, most: int = SAMPLE) -> Ranking:
-    """Learn from at most `most` labelled rows outside the held-out fold. No labelled rows: every text scores CUT."""
-    return train(*toxicity.sample(docs, labels, label, toxicity.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text, most=most))
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2, most: int = common.SAMPLE, most_bytes: int = common.SAMPLE_BYTES) -> Ranking:
+    """Learn from at most `most` labelled rows outside the held-out fold and `most_bytes` of their texts: the bound of the sample.
+
+    No labelled rows or an empty table: every text scores CUT; rows of one label only put all texts on that side. Null ids and
+    labels are not used; an id with several labels has the smallest, one with several texts one of them; other columns are not read.
+    """
+    return train(*common.labelled(docs, labels, label, common.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text, most=most, most_bytes=most_bytes))
 
 
 def score(docs: DataFrame, model: Ranking, *, text: str = "text", name: str = "score") -> DataFrame:
-    """Add the score of every whole text. Null and empty texts are scored as texts without words; repeated rows alike."""
-    return toxicity.score(docs, model, text=text, name=name)
+    """Add the score of every whole text.
+
+    Null and empty texts are scored as texts without words; very long ones are a step of their own, whole; repeated rows
+    score alike; a tie with the threshold scores CUT; a column of the name is replaced, others stay; an empty table gives no rows.
+    """
+    return common.score_texts(docs, model, text=text, name=name)

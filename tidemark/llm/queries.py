@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity, training_order
-from .common import run_dir, table
+from .common import remainder, run_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    held_out = toxicity.remainder(F.col("doc_id"), 4) == 2
+    held_out = remainder(F.col("doc_id"), 4) == 2
     return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
 
 
@@ -63,7 +63,7 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    held_out = toxicity.remainder(F.col("doc_id"), 5) == 0
+    held_out = remainder(F.col("doc_id"), 5) == 0
     return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
