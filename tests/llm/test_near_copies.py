@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import near_copies, simhash
 
 from .test_search_and_dedup import LOWER, SPACED
 
@@ -53,10 +53,11 @@ def test_near_copies(spark, monkeypatch):
     rows = planted()
     want = groups_by_hand(rows)
     df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
-    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == want
+    near = lambda x: simhash.near_duplicates(x, shingle=5, similar=True)
+    assert {r["doc_id"]: r["component_id"] for r in near(df).collect()} == want
     monkeypatch.setattr(near_copies, "PAIRS", 0)
-    assert {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(df).collect()} == want
-    assert near_copies.near_copies(df.limit(0)).count() == 0
+    assert {r["doc_id"]: r["component_id"] for r in near(df).collect()} == want
+    assert near(df.limit(0)).count() == 0
 
 
 def test_stage_drops_copies_that_differ_in_many_bits(spark):

@@ -163,7 +163,7 @@ def test_archives_in_byte_ranges_and_damaged_members(spark, tmp_path):
     path = str(tmp_path / "a")
     members = spark.range(200).select(F.format_string("m%03d", "id").alias("name"), F.col("id").cast("string").alias("meta"), F.repeat(F.col("id").cast("string"), 200).cast("binary").alias("content")).repartition(3)
     media.write_archives(members, path, archiveBytes="20000")
-    (tmp_path / "a" / "part-left-over.zip").write_bytes(b"a failed try")  # not in the manifest
+    (tmp_path / "a" / f"part-{'0' * 32}-00000.zip").write_bytes(b"a failed try")  # not in a manifest
     for size in ("700", "1000000"):
         got = media.read_archives(spark, path, rangeBytes=size).collect()
         assert sorted((r["name"], r["meta"], bytes(r["content"])) for r in got) == sorted((r["name"], r["meta"], bytes(r["content"])) for r in members.collect())
@@ -178,6 +178,42 @@ def test_archives_in_byte_ranges_and_damaged_members(spark, tmp_path):
         media.read_archives(spark, path).collect()
 
 
+def test_archives_are_appended_and_overwritten(spark, tmp_path):
+    path = str(tmp_path / "a")
+    rows = lambda a, b: spark.range(a, b).select(F.format_string("m%03d", "id").alias("name"), F.lit("x").alias("meta"), F.lit(b"12").alias("content")).repartition(2)
+    names = lambda: sorted(r["name"] for r in media.read_archives(spark, path).collect())
+    media.write_archives(rows(0, 10), path)
+    media.write_archives(rows(10, 15), path)
+    assert names() == [f"m{i:03d}" for i in range(15)]
+    media.write_archives(rows(20, 22), path, mode="overwrite")
+    assert names() == ["m020", "m021"]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a" / "others.zip", "w") as z:
+        z.writestr("foreign", b"abc")
+    assert names() == ["foreign", "m020", "m021"]
+
+
+def test_images_are_png_that_another_decoder_reads():
+    import struct
+
+    payload = bytes(range(192)) * 3
+    image = media.encode_png(payload)
+    parts, at = {}, 8
+    while at < len(image):
+        n = struct.unpack(">I", image[at : at + 4])[0]
+        parts[image[at + 4 : at + 8]] = image[at + 8 : at + 8 + n]
+        at += 12 + n
+    lines = zlib.decompress(parts[b"IDAT"])
+    assert struct.unpack(">IIBB", parts[b"IHDR"][:10]) == (64, 3, 8, 2)
+    assert b"".join(lines[i * 193 + 1 : (i + 1) * 193] for i in range(3)) == payload
+    flat = np.frombuffer(payload, np.uint8).reshape(-1, 3).astype(float)
+    got = dict(x.split("=") for x in media.feature(media.decode_png(image)).split(";"))
+    assert got["h"] == "3"
+    assert [float(x) for x in got["mean"].split(",")] == [round(v, 2) for v in flat.mean(0)]
+    assert [float(x) for x in got["std"].split(",")] == pytest.approx(flat.std(0), abs=0.006)
+
+
 def test_a_member_is_tried_again_by_itself(tmp_path):
     class Flaky:
         def __init__(self, fs):

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from tidemark.llm import common, pii, queries, toxicity
+from tidemark.llm import common, pii, queries, simhash, toxicity
 
 from .test_models import spans_by_hand
+from .test_near_copies import groups_by_hand
 from .test_search_and_dedup import classes_by_hand, contamination_by_hand, fingerprints_by_hand
 
 SF = "/root/testdata/sf0.01"
@@ -41,10 +42,18 @@ def test_toxic_documents_go(spark, stages):
     assert len(gone & clean) <= 0.02 * len(clean)
 
 
-def test_one_document_of_each_group_stays(stages):
+def test_fingerprints_link_what_brute_force_links(spark, stages):
     before = stages[1].sort_index()
+    rows = spark.createDataFrame(list(before.text.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
     classes = classes_by_hand(fingerprints_by_hand(before.text), 4)
-    assert set(stages[2].index) == {before.index[i] for i in set(classes)}
+    assert got == {before.index[i]: before.index[c] for i, c in enumerate(classes)}
+
+
+def test_one_document_of_each_group_stays(stages):
+    """Groups by the stage's own measure, a Jaccard similarity of 0.8 of five-word shingles, over all pairs."""
+    before = stages[1].sort_index()
+    assert set(stages[2].index) == set(groups_by_hand(dict(before.text.items())).values())
     assert (stages[2].text == before.text[stages[2].index]).all()
 
 
@@ -83,6 +92,8 @@ def test_edge_rows(spark, tmp_path):
     spark.createDataFrame([(1, "ONE two three four five six seven eight nine ten")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 1, 5, 6]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([*rows[:2], (1, "another text of five words", "en", "s", 1), (None, "x y", "fr", "t", 3), (None, "x  y", "en", "s", 3)], schema), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"].split()[0]) for r in kept) == [(0, "x"), (1, "a"), (1, "another")]
     empty = tmp_path / "empty"
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{t}.parquet")).limit(0).write.parquet(str(empty / f"{t}.parquet"))

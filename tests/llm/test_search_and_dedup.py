@@ -67,6 +67,14 @@ def test_substrings_in_chunks_and_other_lengths(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in got} == repeats_by_hand(rows, 12)
 
 
+def test_spans_of_repeated_rows_are_not_multiplied(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    count = lambda n: substrings.repeats(spark.createDataFrame([(1, long)] + [(2, long + " z")] * n, "doc_id long, text string")).distinct().count()
+    assert count(2) == count(20)
+    got = substrings.remove_repeats(spark.createDataFrame([(1, long)] + [(2, long + " z")] * 20, "doc_id long, text string"))
+    assert sorted((r["n_words"], r["kept"].count(" ") + 1) for r in got.collect()) == [(80, 80)] + [(81, 1)] * 20
+
+
 def test_substrings_null_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(None, long), (5, long), (5, long + " z"), (7, long), (7, "short")], "doc_id long, text string")
@@ -119,11 +127,11 @@ def clustered(n, seed):
     return out
 
 
-@pytest.mark.parametrize(("seed", "shard_rows"), [(1, 10), (2, 60), (3, 10_000)])
-def test_links_connect_what_brute_force_connects(spark, seed, shard_rows, monkeypatch):
+@pytest.mark.parametrize(("seed", "shard_rows", "blocks"), [(1, 10, (3, 1)), (2, 60, (5, 2)), (3, 10_000, None), (4, 5, (6, 2)), (5, 40, (6, 2))])
+def test_links_connect_what_brute_force_connects(spark, seed, shard_rows, blocks, monkeypatch):
     monkeypatch.setattr(simhash, "BRUTE", 64)
     fps = sorted({f - (1 << 64) if f >> 63 else f for f in clustered(300, seed)})
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), shard_rows=shard_rows)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), shard_rows=shard_rows, blocks=blocks)
     roots = {r["node"]: r["root"] for r in components(edges).collect()}
     want = classes_by_hand([f % (1 << 64) for f in fps], 4)
     by_root = {}
@@ -151,6 +159,18 @@ def test_tree_prunes_by_triangle_bounds():
     assert sum(map(len, asked.values())) < 0.6 * 50 * tree.leaves
 
 
+def test_without_reach_a_fingerprint_asks_in_one_shard_of_a_tree():
+    rng = np.random.default_rng(1)
+    values = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    found = simhash.block_masks(6, 2)
+    assert len(found) == 15
+    for pattern in range(15):  # whatever four bits differ, some choice of two blocks has none of them
+        near = values ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 4000).astype(np.uint64)) ^ (np.uint64(1) << np.uint64(4 * pattern)) ^ (np.uint64(1) << np.uint64(63 - pattern))
+        assert np.any([(values ^ near) & np.uint64(m) == 0 for m in found], axis=0).all()
+    rows, _ = simhash.Tree(values, found[3], 5).overlapping(values, 0)
+    assert sorted(rows.tolist()) == list(range(4000))
+
+
 def test_simhash_null_ids_ties_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (9, "a b c d e"), (3, "A B  C d e"), (9, "a b c d e"), (4, None), (2, "")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).collect())

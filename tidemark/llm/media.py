@@ -1,8 +1,8 @@
 """Media columns: a data source over directories of archives.
 
 `archives` is a Spark data source. Its writer packs members into ZIP archives of bounded size, uncompressed as a whole
-so that each member can be read by itself; a manifest names the archives of the tasks that were committed. Its reader
-plans partitions by byte ranges of the archives: a partition reads the members whose header lies in its range. Members
+so that each member can be read by itself; each commit adds a manifest of its archives, and archives that the writer
+began but that no manifest names are not read. Its reader plans partitions by byte ranges of the archives: a partition reads the members whose header lies in its range. Members
 are read one by one from their offset and are tried again by themselves; they reach Spark as Arrow batches of bounded
 size. The members here are PNG images: a payload's bytes are 8-bit samples, three a pixel, 64 pixels a row.
 """
@@ -13,6 +13,7 @@ import hashlib
 import io
 import json
 import posixpath
+import re
 import struct
 import time
 import uuid
@@ -33,7 +34,8 @@ from . import common
 
 FORMAT = "archives"
 SCHEMA = "archive string, offset bigint, name string, meta string, content binary, error string"
-MANIFEST = "_MANIFEST.json"
+#: Names of manifests and of archives that the writer makes.
+MANIFEST, WRITTEN = "_MANIFEST-{}.json", re.compile(r"part-[0-9a-f]{32}-\d{5}\.zip")
 #: Bytes of an archive, of a partition's range and of a batch, about; tries of a member.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, TRIES = 32 << 20, 16 << 20, 4 << 20, 3
 #: Bytes of a row of pixels, to a positive multiple of which a payload is filled up with spaces.
@@ -45,6 +47,21 @@ def open_fs(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path)
 
 
+def _missing(fs: pyarrow.fs.FileSystem, path: str) -> bool:
+    return fs.get_file_info(path).type == pyarrow.fs.FileType.NotFound
+
+
+def manifests(fs: pyarrow.fs.FileSystem, top: str) -> dict[str, dict]:
+    """The manifests that hold: {name: {files, replaces}} of all but those that another one replaces."""
+    found = {}
+    for x in fs.get_file_info(pyarrow.fs.FileSelector(top, allow_not_found=True)):
+        if re.fullmatch(MANIFEST.format(".*"), x.base_name):
+            with fs.open_input_stream(x.path) as f:
+                found[x.base_name] = json.loads(f.read())
+    gone = {n for m in found.values() for n in m["replaces"]}
+    return {n: m for n, m in found.items() if n not in gone}
+
+
 @dataclass
 class Range(InputPartition):
     path: str
@@ -61,12 +78,8 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self) -> list[Range]:
         fs, top = open_fs(self.path)
-        manifest = posixpath.join(top, MANIFEST)
-        if fs.get_file_info(manifest).type != pyarrow.fs.FileType.NotFound:
-            with fs.open_input_stream(manifest) as f:
-                files = [(posixpath.join(top, n), s) for n, s in json.loads(f.read())]
-        else:
-            files = [(x.path, x.size) for x in fs.get_file_info(pyarrow.fs.FileSelector(top)) if x.path.endswith(".zip")]
+        files = [(posixpath.join(top, n), s) for m in manifests(fs, top).values() for n, s in m["files"]]
+        files += [(x.path, x.size) for x in fs.get_file_info(pyarrow.fs.FileSelector(top)) if x.path.endswith(".zip") and not WRITTEN.fullmatch(x.base_name)]
         return [Range(p, a, min(a + self.range_bytes, size)) for p, size in sorted(files) for a in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
@@ -122,10 +135,10 @@ class Written(WriterCommitMessage):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    """Writes rows (name, meta, content)."""
+    """Writes rows (name, meta, content), beside what is there or, to overwrite, in its place."""
 
-    def __init__(self, options: dict):
-        self.path = options["path"]
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.overwrite = options["path"], overwrite
         self.archive_bytes = int(options.get("archivebytes", ARCHIVE_BYTES))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
@@ -158,15 +171,23 @@ class ArchiveWriter(DataSourceArrowWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        """Put one manifest in place; only then is what it replaces removed. Files that others made are left alone."""
         fs, top = open_fs(self.path)
         fs.create_dir(top)
-        with fs.open_output_stream(posixpath.join(top, MANIFEST)) as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        old = manifests(fs, top) if self.overwrite else {}
+        own = uuid.uuid4().hex
+        with fs.open_output_stream(posixpath.join(top, f"_{own}")) as f:
+            f.write(json.dumps({"files": sorted(x for m in messages if m for x in m.files), "replaces": sorted(old)}).encode())
+        fs.move(posixpath.join(top, f"_{own}"), posixpath.join(top, MANIFEST.format(own)))
+        for name in [n for m in old.values() for n, _ in m["files"]]:
+            if not _missing(fs, posixpath.join(top, name)):
+                fs.delete_file(posixpath.join(top, name))
 
     def abort(self, messages: list[Written | None]) -> None:
         fs, top = open_fs(self.path)
         for name, _ in (x for m in messages if m for x in m.files):
-            fs.delete_file(posixpath.join(top, name))
+            if not _missing(fs, posixpath.join(top, name)):
+                fs.delete_file(posixpath.join(top, name))
 
 
 class ArchiveSource(DataSource):
@@ -183,7 +204,7 @@ class ArchiveSource(DataSource):
         return ArchiveReader(dict(self.options))
 
     def writer(self, schema: T.StructType, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(dict(self.options))
+        return ArchiveWriter(dict(self.options), overwrite)
 
 
 def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -191,10 +212,10 @@ def read_archives(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return spark.read.format(FORMAT).options(**options).load(path)
 
 
-def write_archives(members: DataFrame, path: str, **options: str) -> None:
-    """Write rows (name, meta, content) as archives under a new folder."""
+def write_archives(members: DataFrame, path: str, *, mode: str = "append", **options: str) -> None:
+    """Write rows (name, meta, content) as archives under a folder, beside what it holds (append) or in its place (overwrite)."""
     members.sparkSession.dataSource.register(ArchiveSource)
-    members.select("name", "meta", "content").write.format(FORMAT).mode("append").options(**options).save(path)
+    members.select("name", "meta", "content").write.format(FORMAT).mode(mode).options(**options).save(path)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -284,7 +305,11 @@ def describe(members: DataFrame) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store the texts under the shared folder and read them back with features; an empty table gives no rows."""
+    """Store the texts under the shared folder and read them back with features.
+
+    Null texts are empty ones; repeated rows are stored each; a very long text is one member, whole; an empty table gives no
+    rows; other columns, whatever their names, are not read.
+    """
     path = common.run_dir(docs.sparkSession, "media")
     store(docs, path, doc_id=doc_id, text=text)
     return describe(read_archives(docs.sparkSession, path)).withColumn("id", F.col("id").cast(docs.schema[doc_id].dataType))

@@ -1,9 +1,11 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Texts link when the sets of their shingles of five words have a Jaccard similarity of 0.8 at least. Candidates come from
-prefixes: in any order common to all shingles, linked sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles that
-are frequent in a sample last, so that few sets meet in one; what the sample misses costs time, never links. How many of the prefix two sets
-share bounds their overlap, and what passes the bound is compared as whole sets. A large group of near copies is first
+"""SimHash near-duplicates whose links are those of an exact Jaccard similarity: simhash.near_duplicates with `similar`.
+
+Texts link when the sets of their shingles have a Jaccard similarity of 0.8 at least. The vantage-point trees find the pairs whose
+fingerprints lie within the radius, and each is confirmed on its whole sets. But at 0.8 fingerprints of 64 bits lie 10 bits
+apart on average and up to 18, where no triangle bound prunes; so pairs that are then still apart are looked for by prefixes:
+in any order common to all shingles, linked sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles that are
+frequent in a sample last, so that few sets meet in one; what the sample misses costs time, never links. How many of the prefix
+two sets share bounds their overlap, and what passes the bound is compared as whole sets. A large group of near copies is first
 linked to one member of each block; only pairs that are then still apart are looked at. Equal sets are one node throughout.
 """
 
@@ -18,66 +20,68 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, simhash
 from .components import components
 
-#: Words of a shingle.
-SHINGLE = 5
+#: Words of a shingle, and the least similarity as a fraction.
+SHINGLE, LEAST = 5, (4, 5)
 #: Texts that frequent shingles are looked for in, about; how many must have one; how many are kept.
 SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
 #: Rounds that link to one member of a block while the pairs left are more than so many a posting.
 STARS, PAIRS = 4, 4
 
 
-def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct 64-bit hashes of each text's shingles; one of all words if they are fewer; none without words."""
     data, at = common.text_bytes(texts)
     data = common.LOWER[data]
     start, end, first = common.find_words(data, at, common.SPACED_WORD)
     words = common.word_hashes(data, start, end)
     n = np.diff(first)
-    shingles = np.where(n > 0, np.maximum(1, n - SHINGLE + 1), 0)
+    shingles = np.where(n > 0, np.maximum(1, n - shingle + 1), 0)
     cuts = np.concatenate([[0], np.cumsum(shingles)])
     of = np.repeat(np.arange(len(n)), shingles)
     a = np.arange(len(of)) - cuts[of] + first[of]
-    hashed = common.run_hashes(words, a, np.minimum(a + SHINGLE, first[of + 1]), 0xD1B54A32D192ED03) if len(of) else np.zeros(0, np.uint64)
+    hashed = common.run_hashes(words, a, np.minimum(a + shingle, first[of + 1]), 0xD1B54A32D192ED03) if len(of) else np.zeros(0, np.uint64)
     return [np.unique(hashed[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def frequent(docs: DataFrame, text: str) -> np.ndarray:
+def frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
     """Shingles that several texts of a sample have, sorted."""
-    share = F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, SAMPLE / max(1, docs.count())))
+    share = common.hash_share(F.xxhash64(text), docs.count(), SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.steps(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch[text])).view(np.int64))], names=["h"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch[text], shingle)).view(np.int64))], names=["h"])
 
     counts = common.map_texts(docs.where(share).select(text), run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
     return np.sort(counts.orderBy(F.desc("count"), "h").limit(MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
-def nodes(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, node, n, prefix) of every row: the hash of its set (0 without words), the set's size, and the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text))
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+def nodes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """(doc_id, fp, node, n, prefix) of every row: its fingerprint, the hash of its set (0 without words), the set's size, and the prefix."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, shingle))
+    longs = [T.StructField(c, T.LongType()) for c in ("fp", "node", "n")]
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value
         for batch in common.steps(batches, text):
-            sets = shingle_sets(batch[text])
+            sets = shingle_sets(batch[text], shingle)
+            fp = np.array([simhash.fingerprint(t, shingle) for t in batch[text].to_pylist()], np.uint64).view(np.int64)
             found = []
             for x in sets:
                 late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x if len(hot) else np.zeros(len(x), bool)
-                found.append(np.concatenate([x[~late], x[late]])[: len(x) - -(-4 * len(x) // 5) + 1])
+                found.append(np.concatenate([x[~late], x[late]])[: len(x) - -(-LEAST[0] * len(x) // LEAST[1]) + 1])
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch[doc_id], pa.array(node), pa.array([len(x) for x in sets], pa.int64()), prefix], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch[doc_id], pa.array(fp), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), prefix], names=schema.names)
 
     return common.map_texts(docs.select(doc_id, text), run, schema)
 
 
-def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of nodes whose whole sets have a Jaccard similarity of 0.8 at least; texts: (node, text)."""
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -85,29 +89,44 @@ def similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for batch in batches:
             for part in common.steps(iter([batch]), "x"):
                 good = []
-                for x, y in zip(shingle_sets(part["x"]), shingle_sets(part["y"]), strict=True):
+                for x, y in zip(shingle_sets(part["x"], shingle), shingle_sets(part["y"], shingle), strict=True):
                     shared = len(np.intersect1d(x, y, assume_unique=True))
-                    good.append(5 * shared >= 4 * (len(x) + len(y) - shared))
+                    good.append(LEAST[1] * shared >= LEAST[0] * (len(x) + len(y) - shared))
                 yield pa.RecordBatch.from_arrays([part["a"].filter(pa.array(good)), part["b"].filter(pa.array(good))], names=["a", "b"])
 
     return common.map_texts(both, run, "a long, b long")
 
 
-def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, component_id) of every row: the smallest doc_id that links of similar texts reach.
+def by_fingerprints(found: DataFrame, radius: int, tree: dict) -> DataFrame:
+    """Pairs (a, b) of nodes that link by fingerprints: of equal ones with the smallest node of them, of near ones those."""
+    own = found.select("node", "fp").distinct()
+    heads = common.materialise(own.groupBy("fp").agg(F.min("node").alias("head")), "near-heads")
+    edges = simhash.links(heads.select("fp"), radius=radius, **tree)
+    for c in ("a", "b"):
+        edges = edges.join(heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_")), c)
+    pairs = own.join(heads, "fp").select(F.col("node").alias("a"), F.col("head").alias("b")).unionByName(edges.select(F.col("a_").alias("a"), F.col("b_").alias("b")))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    Null, empty and blank texts are one group; repeated rows are repeated; ids are not null; an empty table gives no rows.
-    """
-    found = common.materialise(nodes(docs, doc_id, text), "near-nodes")
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = simhash.RADIUS, **tree) -> DataFrame:
+    """What simhash.near_duplicates gives with `similar`; ids are not null."""
+    found = common.materialise(nodes(docs, doc_id, text, shingle), "near-nodes")
     least = common.materialise(found.groupBy("node").agg(F.min(doc_id).alias("first")), "near-first")
+    source = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text"))
+
+    def good(pair: DataFrame) -> DataFrame:
+        asked = pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()
+        texts = source.join(asked.join(least, "node"), "first").groupBy("node").agg(F.min("text").alias("text"))
+        return common.materialise(confirmed(pair, texts, shingle), "near-links")
+
+    links = good(common.materialise(by_fingerprints(found, radius, tree), "near-pairs"))
+    roots = components(links)
     one = found.join(least.withColumnRenamed("first", doc_id), ["node", doc_id], "left_semi").select("node", "n", F.explode("prefix").alias("h"))
     blocks = one.groupBy("h").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("h")
-    posts = common.materialise(one.join(blocks, "h"), "near-posts")
-    source = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text"))
-    total, links, before = posts.count(), None, 0
-    label = posts.select("node").distinct().withColumn("c", F.col("node"))
+    posts = common.materialise(one.join(blocks, "h").distinct(), "near-posts")
+    total, before = posts.count(), 0
     for step in range(STARS + 1):
-        label = common.materialise(label, "near-labels")
+        label = common.materialise(posts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c")), "near-labels")
         rows = posts.join(label, "node")
         heads = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("c", F.lit(step)).alias("_"), "node", "n", "c")).alias("head"), F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("m")).where("_a <> _b")
         heads = common.materialise(heads.select("h", "m", "head.node", "head.n", "head.c"), "near-heads")
@@ -115,21 +134,16 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
         if not todo:
             break
         last = step == STARS or todo <= PAIRS * total or (step > 1 and links.count() == before)
-        before = links.count() if links is not None else 0
+        before = links.count()
         other = rows.join(heads.select("h"), "h") if last else heads
-        both = rows.alias("r").join(other.alias("o"), "h").where("r.c <> o.c and 5 * least(r.n, o.n) >= 4 * greatest(r.n, o.n)" + (" and r.node < o.node" if last else ""))
+        near = f"r.c <> o.c and {LEAST[1]} * least(r.n, o.n) >= {LEAST[0]} * greatest(r.n, o.n)"
+        both = rows.alias("r").join(other.alias("o"), "h").where(near + (" and r.node < o.node" if last else ""))
         pair = both.select(F.least("r.node", "o.node").alias("a"), F.greatest("r.node", "o.node").alias("b"), F.expr("greatest(r.n, o.n)").alias("most"), F.expr("r.n + o.n").alias("sum"))
         # shared shingles lie in both prefixes or behind the shorter one's end
-        bound = "9 * (count(1) + (4 * most + 4) div 5 - 1) >= 4 * sum"
-        pair = common.materialise(pair.groupBy("a", "b", "most", "sum").agg(F.expr(bound).alias("may")).where("may").select("a", "b"), "near-pairs")
-        asked = pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()
-        texts = source.join(asked.join(least, "node"), "first").groupBy("node").agg(F.min("text").alias("text"))
-        good = common.materialise(similar(pair, texts), "near-links")
-        links = good if links is None else links.unionByName(good)
+        bound = f"{sum(LEAST)} * (count(1) + ({LEAST[0]} * most + {LEAST[1] - 1}) div {LEAST[1]} - 1) >= {LEAST[0]} * sum"
+        links = links.unionByName(good(common.materialise(pair.groupBy("a", "b", "most", "sum").agg(F.expr(bound).alias("may")).where("may").select("a", "b"), "near-pairs")))
         roots = components(links)
-        label = posts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
         if last:
             break
-    of = least.join(label.select("node", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-    smallest = of.groupBy("c").agg(F.min("first").alias("component_id"))
-    return found.select(doc_id, "node").join(of.select("node", "c").join(smallest, "c").select("node", "component_id"), "node").select(doc_id, "component_id")
+    label = simhash.smallest(least, "node", roots)
+    return found.select(doc_id, "fp", "node").join(label, "node").select(doc_id, simhash.hex_digits("fp").alias("fingerprint"), "component_id")

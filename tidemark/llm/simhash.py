@@ -1,22 +1,27 @@
 """SimHash near-duplicates with vantage-point trees.
 
 Fingerprints of 64 bits link when they differ in at most `radius` of them. Their bits are cut into blocks; a linked
-pair differs in at most radius // blocks bits of one block (pigeonhole). The Hamming distance on one block is a
-distance too, never above that on all bits, so triangle bounds on it are safe, and at its small radius they prune well.
-For each block a vantage-point tree of a bounded sample deals fingerprints into shards by their distance to vantage
-points. Every fingerprint lives in one shard and asks in each shard whose border its ball overlaps. In a shard the same
-division goes on until few enough are left to compare, on all bits. Links come out as a spanning forest of each shard,
-never as all pairs of a group, and equal fingerprints are one node throughout.
+pair differs in at most radius * together // blocks bits of some choice of `together` blocks (pigeonhole): its reach. The
+Hamming distance on these bits is a distance too, never above that on all bits, so triangle bounds on it are safe, and at its
+small radius they prune well. For each choice a vantage-point tree of a bounded sample deals fingerprints into shards by their
+distance to vantage points. Every fingerprint lives in one shard and asks in each shard whose border its ball overlaps. In a
+shard the same division goes on until few enough are left to compare, on all bits. Links come out as a spanning forest of
+each shard, never as all pairs of a group, and equal fingerprints are one node throughout.
+
+A ball of reach 1 crosses more borders the deeper the trees are: about 4 shards of 24, but hundreds of a million. So beyond
+SPARSE fingerprints the choices are longer, two blocks of six, whose reach is 0: each fingerprint is in one shard of each of
+15 trees however deep they are, and shards that the bounded trees leave too large are cut by a hash of the bits chosen.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,8 +30,8 @@ from .components import components
 
 #: Words of a shingle, the hash's seed, and the bits in which linked fingerprints may differ.
 SHINGLE, SEED, RADIUS = 4, 42, 4
-#: Blocks of bits: a tree each.
-BLOCKS = 3
+#: (blocks, together): few fingerprints have a tree for each third of the bits, more than SPARSE one for each pair of sixths.
+FEW, MANY, SPARSE = (3, 1), (6, 2), 1 << 19
 #: Fingerprints that a tree is fitted on, about: those with the smallest hashes.
 SAMPLE = 50_000
 #: Fingerprints that a shard is meant to hold; trees grow deeper with the input. A shard far above is dealt over several tasks.
@@ -66,10 +71,10 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return common.map_texts(docs.select(doc_id, text), run, schema)
 
 
-def block_masks(blocks: int) -> list[int]:
-    """Masks that deal the 64 bits into blocks of nearly equal size."""
+def block_masks(blocks: int, together: int = 1) -> list[int]:
+    """Masks of each choice of `together` of the blocks of nearly equal size that the 64 bits are dealt into."""
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    return [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)]
+    return [sum(x) for x in combinations([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)], together)]
 
 
 def distance(a: np.ndarray, b, mask: int) -> np.ndarray:
@@ -148,9 +153,8 @@ class Forest:
 def link_shard(homes: np.ndarray, guests: np.ndarray, mask: int, reach: int, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between a shard's fingerprints and those that ask in it, as pairs of fingerprints.
 
-    Divides both by vantage points, on the block while that divides and on all bits after; an asker goes to each side
-    its ball overlaps. Prunes what is linked already: where all of a part lie within half the radius of its vantage
-    point, they are one group.
+    Divides both by vantage points, on the mask's bits while that divides and on all bits after; an asker goes to each side
+    its ball overlaps.
     """
     every = np.unique(np.concatenate([homes, guests]))
     forest = Forest(len(every))
@@ -192,56 +196,77 @@ def link_shard(homes: np.ndarray, guests: np.ndarray, mask: int, reach: int, rad
     return every[child], every[root[child]]
 
 
-def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: int = BLOCKS, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: tuple[int, int] | None = None, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp` that connect whatever links within the radius connect."""
     spark = nodes.sparkSession
     edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     n = nodes.count()
-    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))
-    picked = nodes.where(share).select("fp").toArrow()["fp"].to_numpy()
+    of, together = blocks or (FEW if n <= SPARSE else MANY)
+    masks, reach = block_masks(of, together), radius * together // of
+    picked = nodes.where(common.hash_share(F.xxhash64("fp"), n, sample)).select("fp").toArrow()["fp"].to_numpy()
     leaf = max(4, len(picked) * shard_rows // max(1, n))
-    trees = [Tree(np.sort(picked).view(np.uint64), m, leaf) for m in block_masks(blocks)]
-    reach = radius // blocks
+    trees = [Tree(np.sort(picked).view(np.uint64), m, leaf) for m in masks]
+    least = min(t.leaves for t in trees)
+    cells = 1 if reach else max(1, n // (least * shard_rows))  # without reach, what links has one hash of the mask's bits
     shared = spark.sparkContext.broadcast(trees)
 
-    def deal(batches: Iterator[pa.RecordBatch], home: bool) -> Iterator[pa.RecordBatch]:
+    def deal(batches: Iterator[pa.RecordBatch], ball: int) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             for b, tree in enumerate(shared.value):
-                rows, leaves = tree.overlapping(fp, 0 if home else reach)
-                yield pa.RecordBatch.from_arrays([pa.array((leaves * blocks + b).astype(np.int32)), pa.array(fp[rows].view(np.int64))], names=["shard", "fp"])
-
-    dealt = "shard int, fp long"
-    homes = nodes.select("fp").mapInArrow(lambda x: deal(x, True), dealt)
-    bound = 4 * max(shard_rows, n // min(t.leaves for t in trees))  # four times what a shard holds on average: few are above
-    sizes = {r["shard"]: -(-r["count"] // bound) for r in homes.groupBy("shard").count().where(F.col("count") > bound).collect()}
-    parts = F.lit(1)
-    if sizes:  # a shard above the bound: its rows are dealt over parts, and its askers ask in each
-        known = F.create_map(*[F.lit(v) for kv in sizes.items() for v in kv])
-        parts = F.coalesce(F.try_element_at(known, F.col("shard")), F.lit(1))
-    homes = homes.select("shard", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("part"), "fp", F.lit(True).alias("home"))
-    guests = nodes.select("fp").mapInArrow(lambda x: deal(x, False), dealt).select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "fp", F.lit(False).alias("home"))
-    masks = block_masks(blocks)
+                rows, leaves = tree.overlapping(fp, ball)
+                cell = common.mix(fp[rows] & np.uint64(tree.mask)) % np.uint64(cells)
+                shard = (leaves * len(masks) + b) * cells + cell.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[rows].view(np.int64))], names=["shard", "fp"])
+
+    dealt = "shard long, fp long"
+    homes = nodes.select("fp").mapInArrow(lambda x: deal(x, 0), dealt)
+    guests = nodes.select("fp").mapInArrow(lambda x: deal(x, reach), dealt)
+    bound = 4 * max(shard_rows, n // (least * cells))  # four times what a shard holds on average: few are above
+    counts = homes.groupBy("shard").count().where(F.col("count") > bound)
+    large = common.materialise(counts.select("shard", F.ceil(F.col("count") / bound).cast("int").alias("parts")), "large-shards")
+    # the rows of a shard above the bound are dealt over parts, and its askers ask in each
+    homes = homes.join(large, "shard", "left").select("shard", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"), "fp", F.lit(True).alias("home"))
+    asked = guests.join(large, "shard", "left" if reach else "inner")  # without reach a whole shard's askers are its own rows
+    asked = asked.select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "fp", F.lit(False).alias("home"))
 
     def join(key: tuple, rows: pa.Table) -> pa.Table:
         home = rows["home"].to_numpy()
         fp = rows["fp"].to_numpy().view(np.uint64)
-        a, b = link_shard(fp[home], fp[~home], masks[key[0].as_py() % blocks], reach, radius)
+        a, b = link_shard(fp[home], fp[home] if home.all() else fp[~home], masks[key[0].as_py() // cells % len(masks)], reach, radius)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return homes.unionByName(guests).groupBy("shard", "part").applyInArrow(join, edge)
+    return homes.unionByName(asked).groupBy("shard", "part").applyInArrow(join, edge)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, **tree) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, similar: bool = False, **tree) -> DataFrame:
     """One row per row of `docs`: doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id reachable.
 
-    Null, empty and blank texts have fingerprint zero and link like others; repeated rows are repeated; rows without a
-    doc_id join a component but never name it; an empty table gives no rows; other columns are not read.
+    With `similar` texts link when their sets of shingles have a Jaccard similarity of near_copies.LEAST at least: links of
+    fingerprints are confirmed by it, and similar pairs whose fingerprints lie further apart are found by near_copies.
+
+    Null, empty and blank texts have fingerprint zero and link like others; very long ones are read whole; repeated rows are
+    repeated; rows without a doc_id join a component but never name it; an empty table gives no rows; other columns are not read.
     """
+    if similar:
+        from .near_copies import near_copies
+
+        return near_copies(docs, doc_id=doc_id, text=text, shingle=shingle, radius=radius, **tree)
     found = common.materialise(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
     nodes = common.materialise(found.groupBy("fp").agg(F.min(doc_id).alias("first")), "nodes")
-    roots = components(links(nodes, radius=radius, **tree))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return found.join(label, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = smallest(nodes, "fp", components(links(nodes, radius=radius, **tree)))
+    return found.join(label, "fp").select(doc_id, hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def hex_digits(fp: str) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+def smallest(nodes: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest `first` of each node's component, from the nodes' (node, first) and components' roots.
+
+    What is joined on the root, of which one may have a third of the nodes, is written before: then the join can be split.
+    """
+    named = common.materialise(nodes.join(roots.withColumnRenamed("node", node), node, "left").select(node, "first", F.coalesce("root", node).alias("root")), "named")
+    least = common.materialise(named.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    return named.join(least, "root").select(node, "component_id")

@@ -8,7 +8,8 @@ sides, to each window around it, and the extensions are matched by their own has
 made: each step is a grouped minimum, summed up before the shuffle, and a join back. What is covered by matches are
 the maximal repeats of at least `length` words.
 
-Seed, region and window hashes are independent, so a match needs two equal 64-bit hashes of the words.
+Seed, region and window hashes are independent, so a match needs two equal 64-bit hashes of the words: among 10^13 windows
+the chance of any false one is about 10^-13. Spans of a document are a set, so repeated rows add none.
 """
 
 from __future__ import annotations
@@ -97,7 +98,7 @@ def _wide(lists: pa.ListArray, field: str) -> tuple[np.ndarray, np.ndarray]:
 
 def extensions(docs: DataFrame, leaders: DataFrame, doc_id: str, text: str, length: int) -> DataFrame:
     """(seed, window, doc, first): each window of the leaders' regions (doc, seed, region, first, n)."""
-    wanted = leaders.groupBy("doc").agg(F.collect_list(F.struct("seed", "region", "first", "n")).alias("runs"))
+    wanted = leaders.groupBy("doc").agg(F.collect_set(F.struct("seed", "region", "first", "n")).alias("runs"))
     joined = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(wanted, "doc")
     schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("window", T.LongType()), joined.schema["doc"], T.StructField("first", T.IntegerType())])
 
@@ -146,10 +147,11 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     Returns doc_id, n_words, removed (stretches of word numbers, end exclusive) and kept (the other words, joined by one
     space), a row for each row. Windows are judged on the input. Null, empty and short texts lose nothing; rows of one
     doc_id never remove each other's words; rows without a doc_id lose nothing and count for nobody; an empty table
-    gives no rows; other columns are not read. length - k must not be negative.
+    gives no rows; very long texts are read in stretches that hold every window; other columns are not read.
+    length - k must not be negative.
     """
     spans = repeats(docs, doc_id=doc_id, text=text, length=length, k=k)
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("first", "words", "hash")).alias("spans"))
+    spans = spans.groupBy("doc").agg(F.collect_set(F.struct("first", "words", "hash")).alias("spans"))
     joined = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).join(spans, "doc", "left")
     stretch = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), T.StructField("n_words", T.LongType()), T.StructField("removed", T.ArrayType(stretch)), T.StructField("kept", T.StringType())])
