@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, media, queries, sharding, training_order
+from tidemark.llm import bpe, common, media, queries, sharding, training_order
 
 SF = "/root/testdata/sf0.01"
 CASES = [None, "", " ", "\n\n  x", "it's 12 don't", "日本語 ñandú \U0001f600", "a" * 3000, "word " * 30_000, "x\x85\xa0 \x1c　y", "it's 12 don't"]
@@ -132,6 +132,47 @@ def test_sharding_edge_rows_and_buckets(spark):
     assert sharding.assign(df.limit(0)).count() == 0
 
 
+def test_sharding_slots_do_not_depend_on_splits(spark):
+    rows = [(7, "same")] * 500 + [(i, f"t{i}") for i in range(300)] + [(None, "n")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted(map(tuple, sharding.number(sharding.place(df.repartition(n), sharding.default_tree(5)), bucket_rows=50, run_rows=64).collect()), key=str) for n in (1, 7)]
+    assert got[0] == got[1]
+    assert len(got[0]) == len(rows)
+
+
+def test_sharding_draws_by_hand(spark):
+    import math
+    import struct
+
+    import xxhash
+
+    tree = sharding.grow(sharding.default_tree(40, [1.0 + i % 3 for i in range(40)]))
+
+    def walk(k):
+        node, seed = tree, xxhash.xxh64_intdigest(struct.pack("<q", k), 42)
+        while node.children:
+            draws = [-math.log(((xxhash.xxh64_intdigest(x.name.encode(), seed) >> 11) + 0.5) / 2**53) / x.weight for x in node.children]
+            node = node.children[draws.index(min(draws))]
+        return node.shard
+
+    got = sharding.with_shard(spark.range(3000), F.col("id"), tree, "shard").collect()
+    assert [r["shard"] for r in got] == [walk(r["id"]) for r in got]
+
+
+def test_places_do_not_depend_on_splits(spark, tmp_path):
+    spark.range(5000).repartition(3).write.parquet(str(tmp_path / "r"))
+    got = []
+    for size in ("4096", "128MB"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        placed, n = common.numbered(spark.read.parquet(str(tmp_path / "r")))
+        got.append(sorted(map(tuple, placed.collect())))
+        assert (n, sorted(x[1] for x in got[-1])) == (5000, list(range(5000)))
+    assert got[0] == got[1]
+    some, n = common.numbered(spark.read.parquet(str(tmp_path / "r")).where("id % 2 = 0"))
+    assert (n, sorted(r["place"] for r in some.collect())) == (2500, list(range(2500)))
+    assert common.numbered(spark.range(0))[1] == 0
+
+
 def test_sharding_runs_no_python(spark):
     plan = sharding.place(spark.read.parquet(f"{SF}/documents.parquet"), sharding.default_tree(40))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
@@ -238,6 +279,15 @@ def test_a_member_is_tried_again_by_itself(tmp_path):
         assert flaky.opened == 3
 
 
+def test_a_task_writes_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training_order, "MOST_TASKS", 2)
+    df = spark.createDataFrame([(i, np.full(i, i, "<u4").tobytes()) for i in range(23)], "doc_id long, ids binary")
+    index = training_order.write_order(df, str(tmp_path / "s"), shard_rows=4, record=8)
+    assert {r["shard"] for r in index.collect()} == set(range(6))
+    for r in index.collect():
+        assert training_order.ShardReader(str(tmp_path / "s"), r["shard"]).tokens(r["first_token"], r["n_tokens"]).tolist() == [r["doc_id"]] * r["doc_id"]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000])
 def test_feistel_is_a_permutation(spark, n):
     got = [r[0] for r in spark.range(n).select(training_order.permuted(F.col("id"), n)).collect()]
@@ -248,7 +298,7 @@ def test_feistel_is_a_permutation(spark, n):
 
 
 def test_training_order(spark, tmp_path, coder):
-    docs, n = training_order.places(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
+    docs, n = common.numbered(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"))
     folder = str(tmp_path / "s")
     index = training_order.write_order(training_order.tokenise(docs, *queries.vocabulary()), folder, placed=n, shard_rows=128, record=64)
     rows = sorted(index.collect(), key=lambda r: r["slot"])
@@ -283,5 +333,10 @@ def test_training_order_edge_rows(spark, tmp_path):
     assert sorted(r["slot"] for r in got) == [0, 1, 2, 3, 4]
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 0, 1, 2]
     assert training_order.write_order(df.limit(0), str(tmp_path / "e")).count() == 0
+    folder = tmp_path / "again"
+    for _ in range(2):  # a second try leaves files of other names; the manifest says which count
+        index = training_order.write_order(df, str(folder), shard_rows=2).collect()
+    assert len(list(folder.glob("shard-*.bin"))) == 6
+    assert {r["file"] for r in index} == {training_order.ShardReader(str(folder), k).about["file"] for k in range(3)}
     with pytest.raises(Exception, match="doesn't hold"):
         training_order.write_order(spark.createDataFrame([(1, b"\0\0\1\0")], "doc_id long, ids binary"), str(tmp_path / "b"))

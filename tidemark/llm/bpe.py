@@ -222,7 +222,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, *, text: str = "text", dec
     """Add ids (binary: little-endian unsigned 32-bit token ids) to every row; with `decoded` also the bytes they decode to.
 
     ranks is the path of a rank file that the driver can read. Null and empty texts have no ids; repeated rows are
-    encoded alike; no special tokens. A column of `docs` named as an added one is replaced.
+    encoded alike; no special tokens. A very long text's pieces are never listed at once; an empty table gives no rows. A
+    column of `docs` named as an added one is replaced.
     """
     lines = docs.sparkSession.sparkContext.broadcast(rank_lines(ranks))
     added = ["ids", "decoded"][: 1 + decoded]

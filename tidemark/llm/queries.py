@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity, training_order
-from .common import remainder, run_dir, table
+from .common import numbered, remainder, run_dir, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +68,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, n = training_order.places(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, n = numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sequences = training_order.tokenise(docs, *vocabulary(), ids_type="<u2")  # ids under 50,257: half the bytes to shuffle
     return training_order.write_order(sequences, run_dir(spark, "shards"), placed=n, ids_type="<u2")
 

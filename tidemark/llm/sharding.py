@@ -12,14 +12,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
 
 #: Shards of a rack and racks of a region in `default_tree`.
 RACK, REGION = 4, 2
-#: Rows that one numbering task takes, about.
-BUCKET_ROWS = 1 << 18
+#: Rows that one numbering task takes, about; equal rows that one task writes at most.
+BUCKET_ROWS, RUN_ROWS = 1 << 18, 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,28 +91,36 @@ def place(docs: DataFrame, tree: Node, *, key: str = "doc_id", text: str = "text
     return with_shard(with_shard(rows, F.col(key), tree, "shard"), F.col(key), grow(tree), "grown_shard")
 
 
-def number(placed: DataFrame, *, key: str = "doc_id", shard: str = "shard", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Add slot: 0, 1, 2 ... within each shard without a gap.
+def number(placed: DataFrame, *, key: str = "doc_id", shard: str = "shard", bucket_rows: int = BUCKET_ROWS, run_rows: int = RUN_ROWS) -> DataFrame:
+    """Add slot: 0, 1, 2 ... within each shard without a gap; which row has which depends on the rows alone, not on how they are split.
 
-    A shard's rows are dealt into hash buckets, each bucket is numbered by itself, and the counts of the buckets before
-    it are added, so that no task holds a whole shard. `placed` must give the same rows when it is read twice.
+    Equal rows are counted first, so that a row repeated without end is one. A shard's rows are dealt into hash buckets, the
+    counts of each bucket are summed up by themselves, and those of the buckets before it are added, so that no task holds a
+    whole shard. Then each count becomes its rows again; counts above run_rows are spread in runs over the tasks.
     """
-    from pyspark.sql import Window
-
-    n = max(1, -(-placed.count() // bucket_rows))
-    rows = placed.withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32", F.spark_partition_id()), F.lit(n)))
-    counts = rows.groupBy(shard, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(shard, "_bucket").orderBy(key, "text_crc32")) - 1
-    return rows.withColumn("_row", within).join(offsets, [shard, "_bucket"]).withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_bucket", "_row", "_before")
+    rows = placed.groupBy(*placed.columns).agg(F.count("*").alias("_n"))
+    buckets = max(1, -(-placed.count() // bucket_rows))
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key, "text_crc32"), F.lit(buckets)))
+    counts = rows.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_all"))
+    before = W.partitionBy(shard).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(shard, "_bucket", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_before"))
+    order = [key, "text_crc32", *[c for c in placed.columns if c not in (key, shard, "text_crc32")]]
+    within = F.sum("_n").over(W.partitionBy(shard, "_bucket").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
+    firsts = rows.withColumn("_first", within).join(offsets, [shard, "_bucket"]).withColumn("_first", F.col("_before") + F.col("_first"))
+    spread = lambda x, n: x.withColumn("slot", F.explode(F.sequence(F.col("_first"), F.col("_first") + n - 1)))
+    few = spread(firsts.where(F.col("_n") <= run_rows), F.col("_n"))
+    runs = firsts.where(F.col("_n") > run_rows).withColumn("_run", F.explode(F.sequence(F.lit(0), F.expr(f"(_n - 1) div {run_rows}"))))
+    runs = runs.repartition(key, "_run").withColumn("_first", F.col("_first") + F.col("_run") * run_rows)
+    many = spread(runs, F.least(F.lit(run_rows), F.col("_n") - F.col("_run") * run_rows))
+    return few.select(*placed.columns, "slot").unionByName(many.select(*placed.columns, "slot"))
 
 
 def assign(docs: DataFrame, shards: int = 40, *, tree: Node | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Place every row in a shard and a slot.
 
     Returns key, size, text_crc32, shard, grown_shard (with one shard more) and slot. Repeated rows and rows without a
-    key share a shard and take slots of their own; an empty table gives no rows; other columns are not read.
+    key share a shard and take slots of their own; of a very long text only its length and checksum are carried; an empty
+    table gives no rows; other columns, whatever their names, are not read.
     """
     placed = common.materialise(place(docs, tree or default_tree(shards), key=key, text=text), "sharding")
     return number(placed, key=key)

@@ -2,21 +2,22 @@
 
 Every token sequence has a place in the input, 0 to n - 1 without a gap. A keyed Feistel network permutes the smallest power of two that
 holds n, and walking its cycles until a value under n comes up permutes the places themselves: that is the sequence's
-global slot, so the order is random, repeatable from the key, and known without sorting. Ranges of slots are shards. A shard's
-task joins its sequences in slot order, each with an end token behind, and writes them as records of a fixed
-number of tokens, so that record r of a shard begins at byte r * stride and a reader can go on from any record.
+global slot, so the order is random, repeatable from the key, and known without sorting. Ranges of slots are shards, and a task
+writes a range of them. It joins a shard's sequences in slot order, each with an end token behind, and writes them as records of
+a fixed number of tokens, so that record r of a shard begins at byte r * stride and a reader can go on from any record. Every try
+of a task writes files of its own names; the manifest, written last from the tries that Spark took, says which a shard's is.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import posixpath
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as ds
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ from . import common
 #: for less than half of the rows; an unfinished walk stops the job).
 SHARD_ROWS, RECORD, ROUNDS, WALK = 8192, 1024, 6, 128
 KEY = 20240229
+#: Tasks that write shards at most: beyond as many shards a task writes several. The folder of the manifest.
+MOST_TASKS, MANIFEST = 1 << 15, "manifest"
 
 
 def permuted(place: Column, n: int, key: int = KEY) -> Column:
@@ -48,26 +51,14 @@ def permuted(place: Column, n: int, key: int = KEY) -> Column:
     return F.when(found < n, found).otherwise(F.raise_error(F.lit("a cycle was not walked to its end")).cast("long"))
 
 
-def places(sequences: DataFrame) -> tuple[DataFrame, int]:
-    """Add place, 0, 1, 2 ... in partition order, and the count. The rows must come in the same partitions each time."""
-    rows = sequences.withColumn("_at", F.monotonically_increasing_id())
-    counts = dict(rows.groupBy(F.shiftright("_at", 33).alias("p")).count().toArrow().to_pandas().itertuples(index=False))
-    order = sorted(counts)
-    before = dict(zip(order, np.concatenate([[0], np.cumsum([counts[p] for p in order])[:-1]]).tolist(), strict=True)) if order else {}
-    offsets = sequences.sparkSession.createDataFrame([(p, b) for p, b in before.items()], "_p long, _before long")  # a row a partition
-    placed = rows.withColumn("_p", F.shiftright("_at", 33)).join(F.broadcast(offsets), "_p")
-    return placed.withColumn("place", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_p", "_before"), sum(counts.values())
-
-
 class ShardFile:
-    """Writes one shard beside its name and moves it there when it is whole."""
+    """Writes one shard under a name that no other try uses."""
 
     def __init__(self, folder: str, shard: int, record: int, dtype: str, pad: int):
-        self.fs, top = pyarrow.fs.FileSystem.from_uri(folder)
-        self.fs.create_dir(top)
-        self.name, self.shard, self.record, self.dtype, self.pad = posixpath.join(top, f"shard-{shard:06d}"), shard, record, np.dtype(dtype), pad
-        self.part = f"{self.name}.{uuid.uuid4().hex}"
-        self.out, self.tokens, self.sequences = self.fs.open_output_stream(self.part), 0, 0
+        self.fs, self.top = pyarrow.fs.FileSystem.from_uri(folder)
+        self.fs.create_dir(self.top)
+        self.file, self.shard, self.record, self.dtype, self.pad = f"shard-{shard:08d}.{uuid.uuid4().hex}.bin", shard, record, np.dtype(dtype), pad
+        self.out, self.tokens, self.sequences = self.fs.open_output_stream(posixpath.join(self.top, self.file)), 0, 0
 
     def add(self, ids: np.ndarray) -> int:
         """Append one sequence and its end token; gives its first token's position in the shard."""
@@ -77,27 +68,27 @@ class ShardFile:
         self.sequences += 1
         return at
 
-    def close(self, first_slot: int) -> None:
-        """Fill the last record, then put data and description in place."""
-        fill = -self.tokens % self.record
-        self.out.write(np.full(fill, self.pad, self.dtype).tobytes())
+    def close(self) -> pyarrow.NativeFile:
+        """Fill the last record, and open what was written."""
+        self.out.write(np.full(-self.tokens % self.record, self.pad, self.dtype).tobytes())
         self.out.close()
-        self.fs.move(self.part, f"{self.name}.bin")
-        about = {"first_slot": first_slot, "sequences": self.sequences, "tokens": self.tokens, "records": (self.tokens + fill) // self.record, "record_tokens": self.record, "dtype": self.dtype.str, "end_token": self.pad}
-        with self.fs.open_output_stream(f"{self.part}.json") as f:
-            f.write(json.dumps(about).encode())
-        self.fs.move(f"{self.part}.json", f"{self.name}.json")
+        return self.fs.open_input_file(posixpath.join(self.top, self.file))
+
+
+def _tokens(file: pyarrow.NativeFile, first: int, n: int, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(file.read_at(n * dtype.itemsize, first * dtype.itemsize), dtype)
 
 
 class ShardReader:
     """Reads a shard's records in turn; `record` is the state to go on from."""
 
     def __init__(self, folder: str, shard: int, record: int = 0):
-        self.fs, top = pyarrow.fs.FileSystem.from_uri(folder)
-        name = posixpath.join(top, f"shard-{shard:06d}")
-        with self.fs.open_input_stream(f"{name}.json") as f:
-            self.about = json.loads(f.read())
-        self.file, self.record = self.fs.open_input_file(f"{name}.bin"), record
+        fs, top = pyarrow.fs.FileSystem.from_uri(folder)
+        found = ds.dataset(posixpath.join(top, MANIFEST), filesystem=fs, format="parquet").to_table(filter=ds.field("shard") == shard).to_pylist()
+        if not found:
+            raise FileNotFoundError(f"{folder} has no shard {shard}")
+        self.about = found[0]
+        self.file, self.record = fs.open_input_file(posixpath.join(top, self.about["file"])), record
         self.dtype = np.dtype(self.about["dtype"])
 
     def __iter__(self) -> ShardReader:
@@ -106,51 +97,50 @@ class ShardReader:
     def __next__(self) -> np.ndarray:
         if self.record >= self.about["records"]:
             raise StopIteration
-        stride = self.about["record_tokens"] * self.dtype.itemsize
         self.record += 1
-        return np.frombuffer(self.file.read_at(stride, (self.record - 1) * stride), self.dtype)
+        size = self.about["record_tokens"]
+        return _tokens(self.file, (self.record - 1) * size, size, self.dtype)
 
     def tokens(self, first: int, n: int) -> np.ndarray:
         """n tokens from a position of the shard."""
-        return np.frombuffer(self.file.read_at(n * self.dtype.itemsize, first * self.dtype.itemsize), self.dtype)
+        return _tokens(self.file, first, n, self.dtype)
 
 
 def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", ids: str = "ids", key: int = KEY, end_token: int = 50256, dtype: str = "<u2", record: int = RECORD, shard_rows: int = SHARD_ROWS, placed: int | None = None, ids_type: str = "<u4") -> DataFrame:
     """Write all sequences (ids: binary, integers of ids_type) in training order, and give where each is.
 
-    Returns id_col, place, slot, shard, first_token, n_tokens and ids_sha256 of the ids read back from the shard (as 32-bit
-    integers), a row for each row. `placed` is the number of rows where these bring their places (numbered before they were tokenised);
-    else they are written once and numbered.
-    Null and empty sequences take a slot and hold no token but the end; repeated rows take slots of their own; an empty table
-    writes no shard. An id of more than dtype holds, or a slot that is missing, stops the job.
+    Returns id_col, place, slot, shard, first_token, n_tokens, ids_sha256 of the ids read back from the shard (as 32-bit integers)
+    and the shard's file, a row for each row. `placed` is the number of rows where these bring their places (numbered by
+    common.numbered before they were tokenised); else they are written once and numbered.
+    Null and empty sequences take a slot and hold no token but the end; repeated rows take slots of their own; a very long
+    sequence is one sequence, whole; an empty table writes no shard; other columns, whatever their names, are not read.
+    An id of more than dtype holds, or a slot that is missing, stops the job.
     """
     kept = sequences.select(F.col(id_col).alias("id"), F.col(ids).alias("ids"), *["place"] * (placed is not None))
-    rows, n = (kept, placed) if placed is not None else places(common.materialise(kept, "sequences"))
+    rows, n = (kept, placed) if placed is not None else common.numbered(common.materialise(kept, "sequences"))
     shards = max(1, -(-n // shard_rows))
+    each = -(-shards // MOST_TASKS)  # shards of a task
     dealt = rows.withColumn("slot", permuted(F.col("place"), n, key)).withColumn("shard", (F.floor(F.col("slot") / shard_rows)).cast("int"))
-    dealt = dealt.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    schema = T.StructType([T.StructField(id_col, sequences.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("place", "slot")], T.StructField("shard", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("first_token", "n_tokens")], T.StructField("ids_sha256", T.StringType())])
+    dealt = dealt.repartitionById(-(-shards // each), F.floor(F.col("shard") / each).cast("int")).sortWithinPartitions("slot")
+    schema = T.StructType([T.StructField(id_col, sequences.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("place", "slot")], T.StructField("shard", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("first_token", "n_tokens")], T.StructField("ids_sha256", T.StringType()), T.StructField("file", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, first, rows = None, 0, []
+        out, rows = None, []
 
         def finish() -> pa.RecordBatch:
-            out.close(first)
-            back = ShardReader(folder, out.shard)
-            spans = [(at, m) for at, m, _ in rows]
-            hashes = [hashlib.sha256(back.tokens(at, m).astype("<u4").tobytes()).hexdigest() for at, m in spans]
-            table = pa.Table.from_batches([b for *_, b in rows]) if rows else None
-            return pa.RecordBatch.from_arrays(
-                [table["id"].combine_chunks(), table["place"].combine_chunks(), table["slot"].combine_chunks(), table["shard"].combine_chunks(), pa.array([a for a, _ in spans], pa.int64()), pa.array([m for _, m in spans], pa.int64()), pa.array(hashes)], names=schema.names
-            )
+            with out.close() as back:
+                hashes = [hashlib.sha256(_tokens(back, at, m, out.dtype).astype("<u4").tobytes()).hexdigest() for at, m, _ in rows]
+            table = pa.Table.from_batches([b for *_, b in rows])
+            spans = [pa.array([x[i] for x in rows], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*[table[c].combine_chunks() for c in ("id", "place", "slot", "shard")], *spans, pa.array(hashes), pa.array([out.file] * len(rows))], names=schema.names)
 
         for batch in common.steps(batches, "ids"):
             narrow = batch.select(["id", "place", "slot", "shard"])
-            for i, (shard, slot, content) in enumerate(zip(batch["shard"].to_pylist(), batch["slot"].to_pylist(), batch["ids"].to_pylist(), strict=True)):
+            for i, (shard, content) in enumerate(zip(batch["shard"].to_pylist(), batch["ids"].to_pylist(), strict=True)):
                 if out is None or out.shard != shard:
                     if out is not None:
                         yield finish()
-                    out, first, rows = ShardFile(folder, shard, record, dtype, end_token), slot, []
+                    out, rows = ShardFile(folder, shard, record, dtype, end_token), []
                 got = np.frombuffer(content or b"", ids_type)
                 if len(got) and got.max() > np.iinfo(np.dtype(dtype)).max:
                     raise ValueError(f"{dtype} doesn't hold the id {got.max()}")
@@ -162,6 +152,9 @@ def write_order(sequences: DataFrame, folder: str, *, id_col: str = "doc_id", id
     whole = index.agg(F.count("*").alias("n"), F.count_distinct("slot").alias("slots"), F.min("slot").alias("low"), F.max("slot").alias("high")).first()
     if n and tuple(whole) != (n, n, 0, n - 1):
         raise RuntimeError(f"slots are not 0 to {n - 1}: {whole}")
+    tokens = F.max(F.col("first_token") + F.col("n_tokens") + 1)
+    about = index.groupBy("shard", "file").agg(F.min("slot").alias("first_slot"), F.count("*").alias("sequences"), tokens.alias("tokens"), F.ceil(tokens / record).alias("records"))
+    about.withColumns({"record_tokens": F.lit(record), "dtype": F.lit(np.dtype(dtype).str), "end_token": F.lit(end_token)}).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{MANIFEST}")
     return index
 
 
