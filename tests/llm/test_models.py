@@ -84,6 +84,49 @@ def test_network_learns_words_and_stems():
     assert ((net.scores(pa.array(texts[300:])) >= 0.5) == y[300:]).mean() > 0.95
 
 
+def test_gradients_equal_differences_of_the_loss():
+    rng = np.random.default_rng(4)
+    real = lambda *shape: rng.normal(0, 0.5, shape)  # noqa: E731  double precision for the differences
+    table = real(30, toxicity.DIM)
+    table[0] = 0
+    net = toxicity.Network(np.zeros(0, np.uint64), table, [real(w, toxicity.DIM, toxicity.FILTERS) for w in toxicity.WIDTHS], [real(toxicity.FILTERS) for _ in toxicity.WIDTHS], real(toxicity.FILTERS * len(toxicity.WIDTHS)), 0.1)
+    rows, bounds, y, weight = rng.integers(0, 30, (40, 3)), np.array([0, 7, 8, 8, 25, 40]), np.array([1.0, 0, 1, 0, 1]), np.array([1.0, 2, 1, 0.5, 1])
+
+    def loss():
+        z = net.pooled(rows, bounds)[0].astype(float) @ net.out + net.out_bias
+        return float((weight * (np.logaddexp(0, z) - y * z)).mean())
+
+    grads, by_bias = toxicity.gradients(net, rows, bounds, y, weight)
+    for p, g in zip((net.table, *net.filters, *net.bias, net.out), grads, strict=True):
+        for at in [tuple(int(rng.integers(n)) for n in p.shape) for _ in range(12)]:
+            if p is net.table and at[0] == 0:
+                continue  # the zero row stays
+            was = p[at]
+            p[at] = was + 1e-3
+            up = loss()
+            p[at] = was - 1e-3
+            down = loss()
+            p[at] = was
+            assert g[at] == pytest.approx((up - down) / 2e-3, abs=2e-3)
+    net.out_bias += 1e-3
+    up = loss()
+    net.out_bias -= 2e-3
+    assert by_bias == pytest.approx((up - loss()) / 2e-3, abs=2e-3)
+
+
+def test_ranking_lowers_the_pair_loss_and_cuts_at_a_quantile():
+    rng = random.Random(6)
+    good = [" ".join(rng.choice(["plain", "words", "of", "prose", "here"]) for _ in range(rng.randint(20, 60))) + "." for _ in range(80)]
+    bad = [" ".join(rng.choice(["$$$", "BUY", "##", "NOW!!", "x"]) for _ in range(rng.randint(20, 60))) for _ in range(40)] + good[:4]
+    y = np.array([1] * 80 + [0] * 44)
+    model = quality.train(good + bad, y)
+    z = model.strengths(quality.features(pa.array(good + bad)))
+    loss = lambda s: np.logaddexp(0, -(s[:80, None] - s[None, 80:])).mean()  # noqa: E731  over all pairs of a good and a bad text
+    assert loss(z) < 0.2 < loss(np.zeros(len(z)))
+    wrong = lambda cut: ((z >= cut) != (y == 1)).sum()
+    assert wrong(model.threshold) == min(wrong(c) for c in [*z, *(z + 1e-9)])
+
+
 def test_languages_are_told_from_the_text():
     words, bounds = toxicity.read_words(pa.array(["the cat is on the mat and", "der Hund und die Katze", "le chat est dans la", "el perro y los gatos", "zzz"]))
     assert [toxicity.LANGUAGES[i] for i in toxicity.languages(words, bounds)] == ["en", "de", "fr", "es", ""]
@@ -148,6 +191,43 @@ def test_skip_edges_carry_a_label_to_a_repeated_token():
     assert [x for x in pii.find([both], off)[0] if not x[3]] == []
 
 
+def planted_mentions(seed, n):
+    """Texts with a mention that a pattern takes and a later one that none does, and where and what the later one is."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    fill = lambda k: " ".join(word() if rng.random() < 0.97 else str(rng.randrange(10 ** rng.randint(1, 12))) for _ in range(k))
+    out, want = [], []
+    for i in range(n):
+        if i % 4 < 2:  # a handle without its domain
+            again = word() + rng.choice("._-") + word() if i % 4 else word() + word() + str(rng.randrange(10, 99))
+            first, kind = f"{again}@{word()}.example.org", "email"
+        elif i % 4 == 2:  # a card number with a slip of one digit
+            d = "".join(str(rng.randrange(10)) for _ in range(15))
+            c = next(d + str(x) for x in range(10) if pii.luhn(d + str(x)))
+            at = rng.randrange(16)
+            again, kind = c[:at] + str((int(c[at]) + rng.randint(1, 9)) % 10) + c[at + 1 :], "card"
+            first = " ".join(c[x : x + 4] for x in range(0, 16, 4)) if rng.random() < 0.5 else c
+        else:  # a phone number without +
+            d = "".join(str(rng.randrange(10)) for _ in range(9))
+            first, again, kind = "+44 20 " + d[:4] + " " + d[4:], rng.choice(["0", ""]) + "20" + d, "phone"
+        t = f"{fill(rng.randint(5, 60))} {first} {fill(rng.randint(30, 200))} "
+        want.append((len(t), len(t) + len(again), kind))
+        out.append(f"{t}{again} {fill(rng.randint(0, 40))}")
+    return out, want
+
+
+def test_added_spans_on_planted_mentions(spark):
+    """Precision and recall of what the field adds, with weights learned from the table."""
+    field = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    texts, want = planted_mentions(3, 400)
+    added = [[(a, b, pii.KINDS[k]) for a, b, k, base in x if not base] for x in pii.find(texts, field)]
+    right = sum(any(a <= w[0] and b >= w[1] and k == w[2] for a, b, k in x) for x, w in zip(added, want, strict=True))
+    total = sum(map(len, added))
+    print(f"added spans: recall {right / len(want):.3f}, precision {right / max(1, total):.3f}")
+    assert right >= 0.9 * len(want)
+    assert right >= 0.9 * total
+
+
 def test_marginals_equal_enumeration_on_a_tree():
     g, _ = pii.graph(["a1 b22 c333"])
     rng = np.random.default_rng(0)
