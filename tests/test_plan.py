@@ -76,7 +76,23 @@ def test_empty_batch(spark, companies):
 
 
 def test_web_evidence_gives_a_website(spark, companies):
-    evidence = spark.createDataFrame([("Crumb", 1, "Crumb bakery", "https://www.crumb.com/", "Crumb Foods launch bread, add to basket")], "query string, rank int, title string, url string, snippet string")
-    rows = early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB)], FILING), companies, evidence).scored.collect()
-    assert rows[0]["website"] == "crumb.com"
-    assert {"own_website", "launch_words", "shop"} <= {x["key"] for x in rows[0]["reasons"]}
+    rows = [("Crumb", 1, "Crumb bakery", "https://www.crumb.com/", "Crumb Foods bread, launching soon, add to basket"), ("Crumb", 2, "Crumb news", "https://www.elsewhere.com/", "a crumb of comfort"), ("Crumb", 3, "Bread", "https://www.tesco.com/", "other bread")]
+    evidence = spark.createDataFrame(rows, "query string, rank int, title string, url string, snippet string")
+    row = early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB)], FILING), companies, evidence).scored.first()
+    assert (row["website"], row["site"], row["verdict"]) == ("crumb.com", "https://www.crumb.com", "VERIFIED")
+    assert (row["site_maturity"], row["stage_of_launch"], row["brand_maturity"], row["retail_presence"]) == ("early_stage", "early_launch", "emerging", "direct_only")
+    keys = {x["key"] for x in row["reasons"]}
+    assert {"early_stage_website", "no_major_retail_listings", "active_launch_signals", "company_incorporated_within_12m", "small_company_accounts", "food_sic_code_match"} <= keys
+    assert row["cap"] is None
+
+
+def test_evidence_about_others_counts_for_nothing(spark, companies):
+    rows = [("Crumb", i, "Crumb", f"https://shop{i}.com/", "sold nationwide, a household name") for i in range(1, 4)] + [("Crumb", 4, "Crumb", "https://www.tesco.com/", "crumb")]
+    evidence = spark.createDataFrame(rows, "query string, rank int, title string, url string, snippet string")
+    row = early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB)], FILING), companies, evidence).scored.first()
+    assert (row["known"], row["verdict"], row["brand_maturity"], row["cap"] in (None, "no_web")) == (False, "UNVERIFIED", "unknown", True)
+
+
+def test_category_where_goods_tell_none(spark, companies):
+    rows = early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB, goods=None), filing("f2", mark="Moor Creamery", applicant="Nobody Knows Ltd", goods=None), filing("f3", mark="Plain", applicant="Nobody Else Ltd", goods=None)], FILING), companies).scored.collect()
+    assert {r["filing_id"]: (r["category"], r["category_label"]) for r in rows} == {"f1": ("bakery", "Bakery"), "f2": ("dairy", "Dairy"), "f3": (None, None)}

@@ -60,6 +60,12 @@ def age_phrase(age: Column) -> Column:
     return F.when(age.isNull(), F.lit(None)).when(months <= 0, "under a month").when(months == 1, "1 month").when(months < 24, F.concat(months.cast("string"), F.lit(" months"))).otherwise(F.concat(F.floor(age).cast("string"), F.lit(" years")))
 
 
+def filing_phrase(age: Column) -> Column:
+    """How long before its filing a company was incorporated."""
+    months = F.bround(age * 12, 0).cast("int")
+    return F.when(age.isNull(), F.lit(None)).when(months <= 0, "in the same month as its").when(months == 1, "a month before its").otherwise(F.concat(months.cast("string"), F.lit(" months before its")))
+
+
 def calendar_months(since: Column, at: Column) -> Column:
     return (F.year(at) * 12 + F.month(at)) - (F.year(since) * 12 + F.month(since))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -41,24 +40,55 @@ def items(df: DataFrame, key: str, goods: str) -> DataFrame:
     return rows.withColumn("_b", best).select(key, "pos", "item", "kind", F.col("_b.grp").alias("grp"), F.col("_b.matched").alias("matched"))
 
 
+def dominant(rows: DataFrame, key: str, group: str = "grp") -> DataFrame:
+    """(key, dominant, dominant_items, several, groups): the group with the most rows, the first by name of equal ones, whether it is
+    really several (equal counts, or less than 0.4 of the rows), and all groups in this order. Null groups do not count."""
+    counts = rows.where(F.col(group).isNotNull()).groupBy(key, group).agg(F.count("*").alias("n"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col(group).alias("g"))))
+    each = counts.groupBy(key).agg(order.alias("o"), F.sum("n").alias("all"))
+    first, second = F.get("o", F.lit(0)), F.get("o", F.lit(1))
+    several = F.coalesce(first["m"] == second["m"], F.lit(False)) | (-first["m"] / F.col("all") < 0.4)
+    return each.select(key, first["g"].alias("dominant"), (-first["m"]).alias("dominant_items"), several.alias("several"), F.transform("o", lambda x: x["g"]).alias("groups"))
+
+
 def profile(rows: DataFrame, key: str) -> DataFrame:
-    """Counts of each kind and shares; the dominant group with the most food items, the first by name of equal ones, and
-    whether it is really several: equal counts, or less than 0.4 of the food items."""
+    """Counts of each kind and shares, and the dominant group of the food items."""
     kinds = rows.groupBy(key).agg(F.count("*").alias("n_items"), *[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("food", "trade", "hospitality", "non_food", "unknown")])
-    by_group = rows.where("grp is not null").groupBy(key, "grp").agg(F.count("*").alias("n"))
-    order = W.partitionBy(key).orderBy(F.desc("n"), "grp")
-    top = by_group.withColumns({"_r": F.row_number().over(order), "_next": F.lead("n").over(order), "_all": F.sum("n").over(W.partitionBy(key))}).where("_r = 1")
-    several = F.coalesce(F.col("_next") == F.col("n"), F.lit(False)) | (F.col("n") / F.col("_all") < 0.4)
-    top = top.select(key, F.col("grp").alias("dominant"), F.col("n").alias("dominant_items"), several.alias("several"))
     rate = {"food_share": share(F.col("n_food"), F.col("n_food") + F.col("n_hospitality") + F.col("n_non_food")), "non_food_share": share(F.col("n_non_food"), F.col("n_food") + F.col("n_non_food"))}
-    return kinds.join(top, key, "left").withColumns(rate)
+    return kinds.join(dominant(rows, key), key, "left").withColumns(rate)
+
+
+def label_of(group: Column, labels: dict[str, str] = R.GROUP_LABELS) -> Column:
+    """A group's label, null if it has none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in labels.items() for x in kv]), group)
+
+
+def group_of(label: Column, labels: dict[str, str] = R.GROUP_LABELS) -> Column:
+    """The group of a label, whatever its case and the space around it."""
+    return label_of(F.lower(F.trim(label)), {v.lower(): k for k, v in labels.items()})
+
+
+def category_label(groups: Column, several: Column) -> Column:
+    """The dominant group's label; where there are really several, the first three of them."""
+    named = F.transform(F.slice(groups, 1, 3), lambda g: F.lower(F.coalesce(label_of(g), g)))
+    first = F.get(groups, F.lit(0))
+    return F.when(several, F.concat(F.lit("Several packaged-food categories: "), F.array_join(named, ", "))).otherwise(label_of(first))
+
+
+def inferred_category(sic: Column, brand: Column) -> Column:
+    """Where goods tell none: the group of the first activity code that has one, else the first group that a word of the brand hints at."""
+    of = F.create_map(*[F.lit(x) for kv in R.SIC_GROUP.items() for x in kv])
+    by_code = F.filter(F.transform(F.coalesce(sic, F.array().cast("array<string>")), lambda c: F.try_element_at(of, F.trim(c))), lambda g: g.isNotNull())
+    words = F.split(X.normalise(brand), " ")
+    hints = [F.when(F.arrays_overlap(words, F.array(*map(F.lit, ws))), F.lit(g)) for g, ws in R.BRAND_HINTS.items()]
+    return F.coalesce(F.get(by_code, F.lit(0)), *hints)
 
 
 def out_of_scope(goods: Column, classes: Column) -> Column:
     """Whether words of other trades outweigh those of food: share at least a half with two hits or a decisive word, or a decisive word in class 5."""
     distinct = lambda groups: sum((F.contains(goods, F.lit(w)).cast("int") for w in dict.fromkeys(w for words in groups.values() for w in words)), F.lit(0))
     out, food = distinct(R.OUT_OF_SCOPE), distinct(R.GROUPS)
-    decisive = F.contains(goods, F.lit(R.OUT_OF_SCOPE["pet"][0])) | F.contains(goods, F.lit(R.OUT_OF_SCOPE["vitamin"][0]))
+    decisive = F.coalesce(*[F.when(F.contains(goods, F.lit(w)), True) for w in R.DECISIVE], F.lit(False))
     part = share(out, out + food)
     return (decisive & F.array_contains(classes, 5)) | (decisive & (part >= 0.5)) | ((out >= 2) & (part >= 0.5))
 
@@ -73,6 +103,10 @@ def packaged_probability(classes: Column, group_hits: Column, has_goods: Column,
     return F.bround(F.when(total < 0, 0.0).when(total > 1, 1.0).otherwise(total), 2)
 
 
+def distribution_relevance(probability: Column) -> Column:
+    return F.when(probability >= 0.6, "HIGH").otherwise("MEDIUM")
+
+
 def relevance(probability: Column) -> Column:
     return F.when(probability >= 0.7, "HIGH").when(probability >= 0.4, "MEDIUM").otherwise("LOW")
 

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 Rule = tuple[str, Column]
+#: Rules of a table that may be compared with every row.
+FEW_RULES = 10_000
 
 
 def first_reason(rules: list[Rule]) -> Column:
@@ -43,11 +45,12 @@ def top_k(df: DataFrame, keys: list[str], k: int, *order: Column | str) -> DataF
     return df.withColumn("_rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_rank") <= k).drop("_rank")
 
 
-def group_size(df: DataFrame, keys: list[Column | str], name: str) -> DataFrame:
-    """Add how many rows share the keys: summed up before the shuffle and joined, so that a large group is split."""
-    named = [k if isinstance(k, str) else k._jc.toString() for k in keys]
-    counts = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return df.join(counts, named, "left")
+def group_size(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Add how many rows share the keys, null being a key like another: summed up before the shuffle and joined, so that a large
+    group is split."""
+    counts = df.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.count("*").alias(name))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return df.join(counts, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def best_match(candidates: DataFrame, key: str, score: str, *tie: Column | str, gap: int = 5, penalty: int = 15, exact: int = 98, least: int = 55) -> DataFrame:
@@ -63,20 +66,28 @@ def best_match(candidates: DataFrame, key: str, score: str, *tie: Column | str,
 
 
 def blocked_lookup(left: DataFrame, right: DataFrame, left_id: str, left_key: Column, right_key: Column, right_order: list[str], k: int = 25, prefix: int = 4) -> DataFrame:
-    """Up to k rows of `right` for each row of `left`: those of an equal key, or, for rows without any, those whose key begins
-    with the left key's first token. The prefix search joins on the first `prefix` characters too, so that it is an equi-join.
+    """Up to k rows of `right` for each row of `left`: the first of an equal key, or, for rows without any, the first by key of those
+    whose key begins with the left key's first token (of `prefix` characters at least).
+
+    The order is the right side's own, so that side is cut to k rows a key, and to k rows a wanted beginning, before either join:
+    no group's pairs are made.
     """
-    a, b = left.withColumn("_key", left_key), right.withColumn("_rkey", right_key)
-    equal = a.join(b, F.col("_key") == F.col("_rkey")).withColumn("method", F.lit("exact"))
-    rest = a.join(equal.select(left_id).distinct(), left_id, "left_anti").withColumn("_token", F.split("_key", " ")[0]).where(F.length("_token") >= prefix)
-    cut = lambda c: F.substring(c, 1, prefix)
-    begins = rest.join(b, (cut(F.col("_token")) == cut(F.col("_rkey"))) & F.startswith("_rkey", "_token")).withColumn("method", F.lit("prefix")).drop("_token")
-    found = equal.unionByName(begins)
-    return top_k(found, [left_id], k, F.col("_rkey"), *right_order).drop("_key", "_rkey")
+    a, b = left.withColumn("_key", left_key), right.withColumn("_rkey", right_key).where("_rkey is not null")
+    first = top_k(b, ["_rkey"], k, *right_order)
+    exact = a.join(first, F.col("_key") == F.col("_rkey")).withColumn("method", F.lit("exact"))
+    rest = a.join(b.select("_rkey").distinct(), F.col("_key") == F.col("_rkey"), "left_anti").withColumn("_token", F.split("_key", " ")[0]).where(F.length("_token") >= prefix)
+    word = F.split("_rkey", " ")[0]
+    begins = F.transform(F.sequence(F.lit(prefix), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+    wanted = rest.select(F.col("_token").alias("_begin")).distinct()
+    named = first.where(F.length(word) >= prefix).withColumn("_begin", F.explode(begins)).join(wanted, "_begin", "left_semi")
+    found = rest.join(top_k(named, ["_begin"], k, "_rkey", *right_order), F.col("_token") == F.col("_begin")).withColumn("method", F.lit("prefix"))
+    return exact.unionByName(found.drop("_token", "_begin")).drop("_key", "_rkey")
 
 
 def first_of_rules(df: DataFrame, rules: DataFrame, condition: Column, keys: list[str], *order: Column | str) -> DataFrame:
-    """For each key the first rule that a row meets; the rules' table is of fixed size and broadcast."""
+    """For each key the first rule that a row meets. The condition can be any, so the rules must be few: at most FEW_RULES."""
+    if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
+        raise ValueError(f"more than {FEW_RULES} rules; join them on a key")
     return keep_first(df.join(F.broadcast(rules), condition), keys, *order)
 
 
@@ -116,9 +127,10 @@ def band_of(value: Column, bands: list[tuple[str, float, float]]) -> Column:
 
 
 def budgeted(df: DataFrame, n: int, key: str, *order: Column | str) -> DataFrame:
-    """Add whether a row is among the first n of all; the key tells rows apart. Only the n first keys are gathered, and joined back."""
+    """Add whether a row is among the first n of all; the key tells rows apart. Only the n first keys are gathered, and joined back (by broadcast
+    where Spark finds them small)."""
     first = df.orderBy(*order, key).limit(n).select(key).withColumn("in_budget", F.lit(True))
-    return df.join(F.broadcast(first), key, "left").withColumn("in_budget", F.coalesce("in_budget", F.lit(False)))
+    return df.join(first, key, "left").withColumn("in_budget", F.coalesce("in_budget", F.lit(False)))
 
 
 def duplicates(df: DataFrame, order: str, keys: dict[str, Column]) -> DataFrame:

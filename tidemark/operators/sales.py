@@ -41,13 +41,16 @@ def fit_band(fit: Column) -> Column:
     return F.when(fit >= 55, "A").when(fit >= 38, "B").when(fit >= 15, "C").otherwise("D")
 
 
-def preferred(items: DataFrame, preferences: DataFrame, band: str, category: str, region: str) -> DataFrame:
+def preferred(items: DataFrame, preferences: DataFrame, band: str, category: str, region: str, spread: int = 64) -> DataFrame:
     """Items by recipients whose least band, categories and regions allow them; an empty set allows all.
 
-    Joined on category (each preference exploded to its categories, `*` for all), never as all pairs.
+    Joined on category, each preference exploded to its categories. Recipients who take all categories are joined under `spread`
+    keys among which the items are dealt, so that no key has all items.
     """
-    wants = preferences.withColumn("_c", F.explode(F.when(F.size("categories") > 0, F.col("categories")).otherwise(F.array(F.lit("*")))))
-    offers = items.withColumn("_c", F.explode(F.array(F.col(category), F.lit("*"))))
+    all_ = F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.concat(F.lit("*"), i.cast("string")))
+    wants = preferences.withColumn("_c", F.explode(F.when(F.size("categories") > 0, F.col("categories")).otherwise(all_)))
+    dealt = F.concat(F.lit("*"), F.pmod(F.xxhash64(*items.columns), F.lit(spread)).cast("string"))
+    offers = items.withColumn("_c", F.explode(F.array(F.col(category), dealt)))
     ok = (rank_of(F.col(band)) >= rank_of(F.col("least_band"))) & ((F.size("regions") == 0) | F.array_contains("regions", F.col(region)))
     return offers.join(wants, "_c").where(ok).drop("_c")
 
@@ -79,37 +82,41 @@ def break_even(fixed: Column, price: Column, variable: Column) -> Column:
     return F.when(price > variable, F.greatest(F.lit(1), ceil_div(fixed, price - variable)))
 
 
-def diversified(df: DataFrame, group: str, company: str, category: str, order: list[str], k: int, candidates: int = 2000) -> DataFrame:
+def diversified(df: DataFrame, group: str, company: str, category: str, order: list[str], k: int) -> DataFrame:
     """For each group a greedy choice of k rows in order: first new companies with new categories, then new companies.
 
-    The choice depends on what was chosen before, so it is a fold over a group. Only a company's first row of each category can
-    be chosen, so a group is cut to those by a window before it is gathered; `candidates` bounds what a fold may hold, beyond
-    which the job stops rather than choose from a part.
+    The choice depends on what was chosen before, so it is a fold over a group; windows cut a group of any size to what the fold
+    can choose, which leaves at most 2 k k + 2 k rows. In the first pass fewer than k categories and companies are taken
+    before the last choice, so of a company only its first k categories count, of a category only its first k of these, and of
+    all the first 2 k k; in the second pass only each company's first row, of the first 2 k companies.
     """
     from .relational import top_k
 
-    rows = top_k(df, [group, company, category], 1, *[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order])
+    by = [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in order]
+    rows = top_k(df, [group, company, category], 1, *by)
+    fresh = top_k(top_k(top_k(rows, [group, company], k, *by), [group, category], k, *by), [group], 2 * k * k, *by)
+    rest = top_k(top_k(rows, [group, company], 1, *by), [group], 2 * k, *by)
+    both = fresh.withColumn("_pass", F.lit(1)).unionByName(rest.withColumn("_pass", F.lit(2)))
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > candidates:
-            raise ValueError(f"a group has {len(pdf)} candidates; {candidates} are allowed")
-        pdf = pdf.sort_values([c.strip("-") for c in order], ascending=[not c.startswith("-") for c in order], kind="stable") if order else pdf
+        names, ascending = ["_pass", *[c.strip("-") for c in order]], [True, *[not c.startswith("-") for c in order]]
+        pdf = pdf.sort_values(names, ascending=ascending, kind="stable").reset_index(drop=True)
         taken, companies, categories = [], set(), set()
-        for fresh in (True, False):
-            for i, c, g in zip(pdf.index, pdf[company], pdf[category], strict=True):
-                if len(taken) < k and i not in taken and c not in companies and (not fresh or g not in categories):
-                    taken.append(i)
-                    companies.add(c)
-                    categories.add(g)
-        return pdf.loc[taken].assign(choice=range(1, len(taken) + 1))
+        for i, (n, c, g) in enumerate(zip(pdf["_pass"], pdf[company], pdf[category], strict=True)):
+            if len(taken) < k and c not in companies and (n == 2 or g not in categories):
+                taken.append(i)
+                companies.add(c)
+                categories.add(g)
+        return pdf.loc[taken].drop(columns="_pass").assign(choice=range(1, len(taken) + 1))
 
-    return rows.groupBy(group).applyInPandas(choose, T.StructType([*rows.schema.fields, T.StructField("choice", T.LongType())]))
+    return both.groupBy(group).applyInPandas(choose, T.StructType([*rows.schema.fields, T.StructField("choice", T.LongType())]))
 
 
 def limiter(df: DataFrame, key: str, at: str, most: int, seconds: int, event: str) -> DataFrame:
     """(key, event, allowed): at most so many hits of a key in any span of seconds; refused hits don't count.
 
-    Depends on the decisions before it, so it is a fold over a key's hits in time order, fed in batches.
+    Depends on the decisions before it, so it is a fold over a key's hits in time order, fed in batches: the hits of one key are
+    read by one task, which holds `most` of them at a time.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,8 +183,8 @@ def rescored(before: DataFrame, after: DataFrame, key: str, band: str) -> DataFr
 
 
 def recurring_revenue(customers: DataFrame, prices: DataFrame) -> DataFrame:
-    """Active customers and their monthly pence; a plan without a price counts 0. The price table is of fixed size."""
-    rows = customers.where("status = 'ACTIVE'").join(F.broadcast(prices), "plan", "left")
+    """Active customers and their monthly pence; a plan without a price counts 0."""
+    rows = customers.where("status = 'ACTIVE'").join(prices, "plan", "left")
     return rows.agg(F.count("*").alias("paying"), F.coalesce(F.sum(F.coalesce("pence", F.lit(0))), F.lit(0)).cast("long").alias("monthly_pence"))
 
 

@@ -18,6 +18,7 @@ from ..operators import goods as G
 from ..operators import matching as M
 from ..operators import relational as rel
 from ..operators import scoring as S
+from ..operators import verification as P
 from ..session import cut
 
 KEY = ["batch_id", "filing_id"]
@@ -62,6 +63,25 @@ def product_rules() -> list[rel.Rule]:
     ]
 
 
+def with_evidence(rows: DataFrame, evidence: DataFrame | None) -> DataFrame:
+    """Add what the web says: only results that are about a filing count. known: whether there are any; searched: whether there were results."""
+    none = {"n_retailers": F.lit(0), "n_marketplaces": F.lit(0), "n_press": F.lit(0), "sells": F.lit(False), "searched": F.lit(False), "known": F.lit(False)}
+    empty = F.array().cast("array<string>")
+    texts = {"encyclopaedia": F.lit(None).cast("string"), "words": F.lit(None).cast("string"), "website": F.lit(None).cast("string"), "site": F.lit(None).cast("string")}
+    if evidence is None:
+        return rows.withColumns(none | texts | {"launches": empty, "boasts": empty, "verdict": F.lit("NOT_ATTEMPTED")})
+    live = rows.where("reason is null")
+    found = E.classified(E.evidence_for(live, evidence, "row", "mark_text", "company_name"))
+    context = P.contexts(live, "row", F.col("mark_text"), F.coalesce("company_name", "applicant_name"), F.col("company_number"), [F.col("region"), F.col("applicant_region")], G.product_terms(F.col("category"), F.col("category_label")))
+    pages = cut(P.pages(found, context, "row"), "pages")
+    verdicts = cut(P.verdicts(P.candidates(pages, "row"), "row"), "verdicts")
+    about = P.footprint(P.attributed(pages, verdicts, "row"), "row").withColumn("known", F.lit(True))
+    searched = pages.select("row").distinct().withColumn("searched", F.lit(True))
+    out = rows.join(about, "row", "left").join(verdicts.select("row", "verdict", "website", "site"), "row", "left").join(searched, "row", "left")
+    out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
+    return out.withColumns({"launches": F.coalesce("launches", empty), "boasts": F.coalesce("boasts", empty), "verdict": F.coalesce("verdict", F.lit("UNVERIFIED"))})
+
+
 def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None) -> Result:
     """All stages. `evidence` are search results (query, rank, title, url, snippet); without them web evidence is not looked for.
 
@@ -86,18 +106,11 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
     rows = rel.decide(rows, "company", [("dissolved_when_filed", F.col("dissolution_date") <= F.col("filing_date")), ("too_established", F.col("age") > R.OLDEST)])
     rows = cut(rows, "matched")
 
+    own = F.col("category")
+    rows = rows.withColumn("category", F.coalesce(own, G.inferred_category(F.col("sic_codes"), F.col("mark_text"))))
+    rows = rows.withColumn("category_label", F.coalesce(G.category_label(F.col("groups"), F.col("several")), G.label_of(F.col("category"))))
+    rows = cut(with_evidence(rows, evidence), "evidenced")
     looked = evidence is not None
-    if looked:
-        found = E.classified(E.evidence_for(rows.where("reason is null"), evidence, "row", "mark_text", "company_name"))
-        found = found.join(rows.select("row", "mark_text", "company_name"), "row")
-        found = cut(found.withColumn("signals", E.signals(F.col("mark_text"), F.col("company_name"), F.col("domain"), F.col("title"), F.col("snippet"))), "evidence")
-        verdict = E.verdicts(E.domain_weights(found.where("domain_class = 'own'"), "row"), "row").select("row", "verdict", "website")
-        words = F.lower(F.concat_ws(" ", "title", "snippet"))
-        said = found.groupBy("row").agg(F.coalesce(F.bool_or(F.contains(words, F.lit("launch"))), F.lit(False)).alias("launches"), F.coalesce(F.bool_or(F.contains(words, F.lit("add to basket"))), F.lit(False)).alias("sells"))
-        rows = rows.join(E.summary(found, "row"), "row", "left").join(verdict, "row", "left").join(said, "row", "left")
-    else:
-        rows = rows.withColumns({"n_retailers": F.lit(0), "n_press": F.lit(0), "verdict": F.lit("NOT_ATTEMPTED"), "website": F.lit(None).cast("string"), "launches": F.lit(False), "sells": F.lit(False)})
-    rows = rows.fillna({"n_retailers": 0, "n_press": 0, "verdict": "UNVERIFIED", "launches": False, "sells": False})
 
     number = F.col("filing_id")
     rows = rows.withColumn("dedupe_key", X.dedupe_key(number, F.col("mark_text"), F.col("applicant_name")))
@@ -106,19 +119,26 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
     tagged = rows.where("reason is null").withColumn("place", place)
     duplicates = tagged.where("place > 1").select(*KEY, "dedupe_key")
     kept = tagged.where("place = 1").drop("place")
-    a = F.col("age")
-    conditions = {
-        **S.age_conditions(a), "first_filing": F.col("first_seen") | (F.col("applicant") == ""), "single_mark": F.col("marks") == 1, "clear_category": F.col("dominant").isNotNull() & ~F.col("several"),
-        "main_food": V.any_in(F.col("nice_classes"), R.MAIN_FOOD), "company_match": F.col("company_number").isNotNull(), "small_accounts": F.lower("accounts_category").contains("micro"),
-        "own_website": F.col("website").isNotNull(), "launch_words": F.col("launches"), "shop": F.col("sells"), "many_marks": F.col("marks") >= R.PORTFOLIO_NOTE, "broad_classes": F.size("nice_classes") >= 5,
-        "services": F.col("n_hospitality") > 0, "retailers": F.col("n_retailers") >= 2,
+    a, sic, classes, known, site = F.col("age"), F.col("sic_codes"), F.col("nice_classes"), F.col("known"), F.col("website")
+    kept = kept.withColumns({"site_maturity": P.website_maturity(known, site), "retail_presence": F.when(F.lit(looked), P.retail_presence(F.col("searched"), known, site)).otherwise("unknown")})
+    maturity, established = P.brand_maturity(known, site)
+    kept = kept.withColumns({"brand_maturity": maturity, "established": established, "stage_of_launch": P.launch_stage(F.lit(looked), known, site, F.col("site_maturity"), F.col("retail_presence"), a)})
+    conditions = S.launch_conditions(
+        age=a, first=F.col("first_seen") | (F.col("applicant") == ""), marks=F.col("marks"), classes=classes, category=F.col("category"), sic=sic, confidence=F.col("confidence"), matched=F.col("company_number").isNotNull(),
+        accounts=F.col("accounts_category"), known=known, site_maturity=F.col("site_maturity"), retailers=F.col("n_retailers"), launches=F.col("launches"), presence=F.col("retail_presence"), marketplaces=F.col("n_marketplaces"),
+        mark=F.col("mark_text"), kind=F.col("mark_type"), has_goods=F.coalesce(F.col("goods_text_available"), F.lit(False)), major=F.lit(False), person=F.col("applicant_type") == "PERSON", uk=F.lit(True),
+    )
+    facts = {
+        "age_phrase": D.filing_phrase(a), "age": F.bround(a, 1), "category": F.col("category_label"), "marks": F.col("marks"), "n_classes": F.size(classes), "confidence": F.col("confidence"), "website": site,
+        "launch": F.array_join(F.slice("launches", 1, 3), ", "), "sic": V.with_prefix(sic, [p for k in ("manufacturing", "trade", "non_product") for p in R.SIC[k]]),
     }
-    facts = {"age_phrase": D.age_phrase(a), "category": F.col("dominant"), "marks": F.col("marks"), "n_classes": F.size("nice_classes"), "retailers": F.col("n_retailers")}
-    kept = kept.withColumn("reasons", S.fired(conditions, facts, R.positive_scale(looked)))
-    score, cap = S.capped(S.total(F.col("reasons")), [("no_company", F.col("company_number").isNull(), R.CAPS["no_company"]), ("no_goods", F.col("goods") == "", R.CAPS["no_goods"]), ("no_web", F.lit(not looked), R.CAPS["no_web"])])
-    product = F.coalesce(F.col("n_food"), F.lit(0)) * 2 + F.when(V.any_in(F.col("nice_classes"), R.MAIN_FOOD), 3).otherwise(0)
-    service = F.coalesce(F.col("n_hospitality"), F.lit(0)) * 3 + F.coalesce(F.col("n_trade"), F.lit(0))
-    kept = kept.withColumns({"score": score, "cap": cap, "mode": S.mode(product, service), "established": E.maturity(F.col("n_retailers"), F.col("n_press"), F.lit(0), F.lit(False)), "stage_of_launch": E.launch_stage(F.col("website").isNotNull(), F.col("sells"), F.col("launches"), F.col("n_retailers"))})
+    kept = kept.withColumn("reasons", S.fired(conditions, facts, R.positive_scale(looked, R.LAUNCH_INDICATORS), R.LAUNCH_INDICATORS))
+    score, cap = S.capped(S.total(F.col("reasons")), [("no_company", F.col("company_number").isNull() | (F.col("confidence") < 70), R.CAPS["no_company"]), ("no_category", F.col("category").isNull(), R.CAPS["no_goods"]), ("no_web", ~known, R.CAPS["no_web"])])
+    n = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
+    product, service = S.mode_points(sic=sic, goods=F.col("goods"), classes=classes, food=n("food"), trade=n("trade"), hospitality=n("hospitality"), items=n("items"), food_share=F.coalesce("food_share", F.lit(0.0)), web=F.when(known, F.col("words")))
+    kept = kept.withColumns({"score": score, "cap": cap, "product_points": product, "service_points": service})
+    mode = S.commercial_mode(F.col("product_points"), F.col("service_points"), sic=sic, food=n("food"), hospitality=n("hospitality"), non_food=n("non_food"), non_food_share=F.coalesce("non_food_share", F.lit(0.0)))
+    kept = kept.withColumn("mode", mode)
     kept = kept.withColumns({"band": S.band(F.col("score")), "intent": S.intent(F.col("category"), F.col("stage_of_launch")), "company_key": C.company_key(F.col("company_number"), F.replace("applicant", F.lit(" "), F.lit("")), F.col("row"))})
     kept = cut(kept, "scored")
     scored = kept.withColumn("suppressed_for", S.final_reason(F.col("band"), F.col("mode"), F.col("established")))

@@ -18,17 +18,21 @@ LADDER = """CASE WHEN a = b THEN 98 WHEN replace(a, ' ', '') = replace(b, ' ', '
   WHEN j >= 0.7 THEN 78 WHEN j >= 0.5 THEN 55 ELSE floor(j * 60)::int END"""
 
 
-@probe("""
-WITH s AS (SELECT s_suppkey, s_nationkey, 'nation' || s_nationkey AS k FROM supplier), c AS (SELECT c_custkey, 'nation' || c_nationkey AS k FROM customer WHERE c_nationkey % 5 <> 0),
+#: Customers of nations 20 and up have a longer first word, so that suppliers of these find no equal key and look by its beginning.
+RIGHT_KEY = "CASE WHEN c_nationkey >= 20 THEN 'nation' || c_nationkey || 'th group' ELSE 'nation' || c_nationkey END"
+
+
+@probe(f"""
+WITH s AS (SELECT s_suppkey, 'nation' || s_nationkey AS k FROM supplier), c AS (SELECT c_custkey, {RIGHT_KEY} AS k FROM customer),
 e AS (SELECT s_suppkey, c_custkey, c.k, 'exact' AS method FROM s JOIN c ON s.k = c.k),
 p AS (SELECT s_suppkey, c_custkey, c.k, 'prefix' AS method FROM s JOIN c ON starts_with(c.k, s.k) WHERE s_suppkey NOT IN (SELECT s_suppkey FROM e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY k, c_custkey) AS r FROM (SELECT * FROM e UNION ALL SELECT * FROM p))
 SELECT s_suppkey, c_custkey, method FROM r WHERE r <= 25""")
 def op_j01_blocked_lookup(t):
-    left = t("supplier").select("s_suppkey", "s_nationkey")
-    right = t("customer").where("c_nationkey % 5 <> 0").select("c_custkey", "c_nationkey")
-    key = lambda c: F.concat(F.lit("nation"), F.col(c).cast("string"))
-    return rel.blocked_lookup(left, right, "s_suppkey", key("s_nationkey"), key("c_nationkey"), ["c_custkey"]).select("s_suppkey", "c_custkey", "method")
+    left = t("supplier").select("s_suppkey", F.concat(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("left_name"))
+    nation = F.concat(F.lit("nation"), F.col("c_nationkey").cast("string"))
+    right = t("customer").select("c_custkey", F.when(F.col("c_nationkey") >= 20, F.concat(nation, F.lit("th group"))).otherwise(nation).alias("name"))
+    return rel.blocked_lookup(left, right, "s_suppkey", F.col("left_name"), F.col("name"), ["c_custkey"]).select("s_suppkey", "c_custkey", "method")
 
 
 @probe(f"""
@@ -127,11 +131,12 @@ def op_j21_suppress(t):
     return rel.blocked(t("customer"), [("key", supplier.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey"), ("nation", supplier.where("s_acctbal < 500").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey")]).select("c_custkey", "blocked_by")
 
 
-@probe("""
-WITH k AS (SELECT doc_id, md5(text) AS t, md5(text[1:60]) AS h FROM documents), d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS a, min(doc_id) OVER (PARTITION BY h) AS b FROM k)
-SELECT doc_id, CASE WHEN a < doc_id THEN a ELSE b END AS duplicate_of, CASE WHEN a < doc_id THEN 'text' ELSE 'beginning' END AS why FROM d WHERE a < doc_id OR b < doc_id""")
+@probe(r"""
+WITH k AS (SELECT doc_id, md5(text) AS t, md5(lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS h FROM documents), d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS a, min(doc_id) OVER (PARTITION BY h) AS b FROM k)
+SELECT doc_id, CASE WHEN a < doc_id THEN a ELSE b END AS duplicate_of, CASE WHEN a < doc_id THEN 'text' ELSE 'letters' END AS why FROM d WHERE a < doc_id OR b < doc_id""")
 def op_j22_duplicates(t):
-    return rel.duplicates(t("documents"), "doc_id", {"text": F.md5(F.col("text").cast("binary")), "beginning": F.md5(F.substring("text", 1, 60).cast("binary"))})
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    return rel.duplicates(t("documents"), "doc_id", {"text": F.md5(F.col("text").cast("binary")), "letters": F.md5(letters.cast("binary"))})
 
 
 @probe(r"""
@@ -175,12 +180,11 @@ def op_a14_consolidate(t):
 
 
 @probe("""
-WITH d AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS r FROM events), u AS (SELECT user_id FROM events GROUP BY 1 HAVING count(*) FILTER (event_type = 'error') > 20)
-SELECT event_id, user_id FROM d WHERE r = 1 AND user_id NOT IN (SELECT user_id FROM u)""")
+WITH d AS (SELECT event_id, user_id, props, row_number() OVER (PARTITION BY user_id, props ORDER BY event_id) AS r FROM events WHERE event_type <> 'error'), s AS (SELECT DISTINCT user_id, props FROM events WHERE event_type = 'error')
+SELECT event_id, user_id FROM d ANTI JOIN s USING (user_id, props) WHERE r = 1""")
 def op_t02_dedupe(t):
     events = t("events")
-    out = events.groupBy("user_id").agg(F.count_if(F.col("event_type") == "error").alias("n")).where("n > 20").select("user_id")
-    return rel.insert_missing(events, out.withColumn("props", F.lit(None).cast("string")).limit(0), ["user_id", "props"], "event_id").join(out, "user_id", "left_anti").select("event_id", "user_id")
+    return rel.insert_missing(events.where("event_type <> 'error'"), events.where("event_type = 'error'"), ["user_id", "props"], "event_id").select("event_id", "user_id")
 
 
 @probe("""

@@ -89,10 +89,10 @@ MARKS = ("eau", "and", "ich", "que", "the")
 
 @probe("""
 SELECT conv_id, turn, CASE WHEN contains(lower(text), 'eau') THEN 'eau' WHEN contains(lower(text), 'and') THEN 'and' WHEN contains(lower(text), 'ich') THEN 'ich' WHEN contains(lower(text), 'que') THEN 'que' WHEN contains(lower(text), 'the') THEN 'the' END AS marker,
-  lower(concat_ws(' ', nullif(role, ''), nullif(text[1:20], ''))) AS searchable
+  lower(concat_ws(' ', nullif(role, ''), nullif(text, ''))) AS searchable
 FROM conversations""")
 def op_x22_first_marker(t):
-    return t("conversations").select("conv_id", "turn", X.first_of(MARKS, F.lower("text")).alias("marker"), X.searchable(F.col("role"), F.substring("text", 1, 20)).alias("searchable"))
+    return t("conversations").select("conv_id", "turn", X.first_of(MARKS, F.lower("text")).alias("marker"), X.searchable(F.col("role"), F.col("text")).alias("searchable"))
 
 
 @probe("""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import insert_missing, upserted
+from ..session import cut
 
 #: Columns of a delivered extract in order, and labels of codes (fixed values).
 CSV_COLUMNS = (
@@ -64,18 +65,23 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A stored table, or no rows where nothing has been stored."""
+    """A stored table, or no rows where nothing has been stored; anything else that is wrong with it is an error."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 
 def insert_once(new: DataFrame, path: str, keys: list[str], *order: Column | str) -> int:
-    """Append the rows whose keys are not stored, each key once; gives how many. Running it again appends none."""
-    rows = insert_missing(new, read_or_empty(new.sparkSession, path, new.schema), keys, *order).persist()
+    """Append the rows whose keys are not stored, each key once; gives how many. Running it again appends none.
+
+    Of several new rows of a key the first in the order is taken; without one, the first by the hash of all its columns.
+    """
+    rows = insert_missing(new, read_or_empty(new.sparkSession, path, new.schema), keys, *(order or [F.xxhash64(*new.columns)])).persist()
     n = rows.count()
     if n:
         rows.write.mode("append").parquet(path)
@@ -84,14 +90,15 @@ def insert_once(new: DataFrame, path: str, keys: list[str], *order: Column | str
 
 
 def upsert_partition(new: DataFrame, path: str, partition: str, keys: list[str]) -> None:
-    """Replace the stored rows of the same keys within the partitions that `new` touches; other partitions are not rewritten."""
+    """Replace the stored rows of the same keys within the partitions that `new` touches, null being one; others are not rewritten."""
     spark = new.sparkSession
     touched = [r[0] for r in new.select(partition).distinct().collect()]  # batches of one run
-    stored = read_or_empty(spark, path, new.schema).where(F.col(partition).isin(touched))
+    stored = read_or_empty(spark, path, new.schema)
+    within = F.col(partition).isin([x for x in touched if x is not None])
+    stored = stored.where(within | F.col(partition).isNull() if None in touched else within)
     merged = upserted(new, stored, keys).select(*[c for c in new.columns if c != partition], partition)
-    staged = f"{path.rstrip('/')}.staged"
-    merged.write.mode("overwrite").parquet(staged)  # a partition can't be read and overwritten at once
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    staged = cut(merged, "upsert")  # a partition can't be read and overwritten at once
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
 def append_history(df: DataFrame, path: str) -> None:
