@@ -84,6 +84,21 @@ def blocked_lookup(left: DataFrame, right: DataFrame, left_id: str, left_key: Co
     return exact.unionByName(found.drop("_token", "_begin")).drop("_key", "_rkey")
 
 
+def contained(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, grams: int = 6) -> DataFrame:
+    """Pairs whose right key holds the left key. An equi-join: a right key is exploded to its runs of characters as long as a left
+    key's beginning (of `grams` characters, or the whole key if it is shorter), of which only wanted ones are kept. Empty and null keys hold nothing."""
+    a = left.withColumn("_key", left_key).where("_key <> ''").withColumn("_gram", F.substring("_key", 1, grams))
+    b = right.withColumn("_rkey", right_key)
+
+    def runs(n: int) -> Column:
+        there = F.transform(F.sequence(F.lit(1), F.length("_rkey") - n + 1), lambda i: F.substring(F.col("_rkey"), i, F.lit(n)))
+        return F.when(F.length("_rkey") >= n, there).otherwise(F.array().cast("array<string>"))
+
+    wanted = a.select("_gram").distinct()
+    near = b.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, range(1, grams + 1))))))).join(wanted, "_gram", "left_semi")
+    return a.join(near, "_gram").where(F.contains("_rkey", "_key")).drop("_gram", "_key", "_rkey")
+
+
 def first_of_rules(df: DataFrame, rules: DataFrame, condition: Column, keys: list[str], *order: Column | str) -> DataFrame:
     """For each key the first rule that a row meets. The condition can be any, so the rules must be few: at most FEW_RULES."""
     if rules.limit(FEW_RULES + 1).count() > FEW_RULES:

@@ -11,9 +11,6 @@ from pyspark.sql import types as T
 
 from ..functions.values import ceil_div, rank_of
 
-#: Status of a prospect in funnel order, and what may follow each (fixed values).
-STATUSES = ("NEW", "RESEARCHED", "CONTACTED", "REPLIED", "SAMPLE_SENT", "NEGOTIATING", "WON", "LOST", "SUPPRESSED")
-FOLLOWS = {"NEW": ("RESEARCHED", "SUPPRESSED"), "RESEARCHED": ("CONTACTED", "SUPPRESSED"), "CONTACTED": ("REPLIED", "LOST", "SUPPRESSED"), "REPLIED": ("SAMPLE_SENT", "LOST", "SUPPRESSED"), "SAMPLE_SENT": ("NEGOTIATING", "LOST", "SUPPRESSED"), "NEGOTIATING": ("WON", "LOST", "SUPPRESSED")}
 #: Subscription states by the provider's event (fixed values).
 STATES = {"active": "ACTIVE", "trialing": "ACTIVE", "past_due": "PAST_DUE", "unpaid": "PAST_DUE", "canceled": "CANCELLED", "incomplete_expired": "CANCELLED"}
 
@@ -23,10 +20,6 @@ def rate(a: Column, b: Column, least: int = 5) -> tuple[Column, Column]:
     return F.bround(F.try_divide(a, b), 3), b >= least
 
 
-def transition_ok(old: Column, new: Column) -> Column:
-    return F.coalesce(*[F.when(old == k, new.isin(*v)) for k, v in FOLLOWS.items()], F.lit(False))
-
-
 def stamped(first: Column, status: Column, wanted: str, today: Column) -> Column:
     """The date a status was first reached stays."""
     return F.coalesce(first, F.when(status == wanted, today))
@@ -154,28 +147,6 @@ def preview_rules(newest: Column, filed: Column, relevance: Column, least: Colum
     ]
 
 
-def due_action(status: Column, last_contact: Column, follow_ups: Column, today: Column, days: int = 7) -> Column:
-    """What is to be done with a prospect now; null if nothing."""
-    waited = F.datediff(today, last_contact) >= days
-    return (
-        F.when(status == "REPLIED", "answer")
-        .when((status == "CONTACTED") & waited & (follow_ups < 2), "follow_up")
-        .when((status == "CONTACTED") & waited, "close")
-        .when((status == "SAMPLE_SENT") & waited, "ask_for_feedback")
-        .when(status == "RESEARCHED", "contact")
-        .when(status == "NEW", "research")
-    )
-
-
-#: The order in which due actions are shown (fixed values).
-ACTIONS = ("answer", "ask_for_feedback", "follow_up", "contact", "research", "close")
-
-
-def due_list(df: DataFrame, action: str, priority: str, name: str) -> DataFrame:
-    """Rows with an action, by action, priority and name."""
-    return df.where(F.col(action).isNotNull()).orderBy(F.array_position(F.array(*map(F.lit, ACTIONS)), F.col(action)), priority, name)
-
-
 def rescored(before: DataFrame, after: DataFrame, key: str, band: str) -> DataFrame:
     """How many rows went from each band to each other; rows on one side only have a null."""
     a, b = before.select(key, F.col(band).alias("was")), after.select(key, F.col(band).alias("is"))
@@ -238,3 +209,33 @@ def supplier_line(supplier: Column, band: Column, category: Column) -> Column:
 def margin(revenue: Column, cost: Column) -> Column:
     """Per cent of the revenue, one place; null without revenue."""
     return F.bround(F.try_divide((revenue - cost) * 100.0, revenue), 1)
+
+
+def overlaid(seed: DataFrame, state: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """Seed rows with the live state of their key, and defaults where there is none. State without a seed row is left out."""
+    rows = seed.join(state, key, "left")
+    return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
+
+
+def patterns(df: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
+    """Combinations that occur `least` times or more, and their share of all that do."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    total = counts.agg(F.sum("n").alias("_all"))
+    return counts.crossJoin(F.broadcast(total)).withColumn("share", F.bround(F.col("n") / F.col("_all"), 3)).drop("_all")  # one row
+
+
+def supplier_fit(leads: DataFrame, wants: DataFrame, key: str, bonus: Column, stage: Column, score: Column) -> DataFrame:
+    """(key, supplier, fit): points by relevance times the weight of each intent that a supplier wants, a tenth of them, with the
+    lead's bonus, its stage's points and a small share of its score, two places half to even.
+
+    leads: key and intents (a map from intent to band); wants: (supplier, intent, weight). An equi-join on the intent.
+    """
+    rows = leads.select(key, bonus.alias("_bonus"), stage.alias("_stage"), score.alias("_score"), F.explode("intents").alias("intent", "_band"))
+    points = F.coalesce(rank_of(F.col("_band")), F.lit(0)) * F.col("weight") / 10
+    each = rows.join(wants, "intent").groupBy(key, "supplier").agg(F.sum(points).alias("_p"), F.first("_bonus").alias("_bonus"), F.first("_stage").alias("_stage"), F.first("_score").alias("_score"))
+    return each.select(key, "supplier", F.bround(F.col("_p") + F.col("_bonus") + F.col("_stage") + F.col("_score") * 0.035, 2).alias("fit"))
+
+
+def best_fits(fits: DataFrame, key: str) -> DataFrame:
+    """By fit and then score from the top."""
+    return fits.orderBy(F.desc("fit"), F.desc("score"), key)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.values import share
 from ..operators import relational as rel
-from ..operators import reports, sales
+from ..operators import goods, prospects, reports, sales
+from ..streaming import stateful
 from .registry import probe
 
 
@@ -50,12 +51,9 @@ WITH c AS (SELECT l_orderkey, l_returnflag AS grp, count(*) AS n FROM lineitem G
 r AS (SELECT *, row_number() OVER w AS r, lead(n) OVER w AS nx, sum(n) OVER (PARTITION BY l_orderkey) AS a FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY n DESC, grp))
 SELECT l_orderkey, grp AS dominant, n AS dominant_items, (coalesce(nx = n, false) OR n::double / a < 0.4) AS several, n::double / a AS part FROM r WHERE r = 1""")
 def op_a10_dominant(t):
-    from pyspark.sql import Window as W
-
-    c = t("lineitem").groupBy("l_orderkey", F.col("l_returnflag").alias("grp")).agg(F.count("*").alias("n"))
-    order = W.partitionBy("l_orderkey").orderBy(F.desc("n"), "grp")
-    rows = c.withColumns({"r": F.row_number().over(order), "nx": F.lead("n").over(order), "a": F.sum("n").over(W.partitionBy("l_orderkey"))}).where("r = 1")
-    return rows.select("l_orderkey", F.col("grp").alias("dominant"), F.col("n").alias("dominant_items"), (F.coalesce(F.col("nx") == F.col("n"), F.lit(False)) | (F.col("n") / F.col("a") < 0.4)).alias("several"), share(F.col("n"), F.col("a")).alias("part"))
+    rows = goods.dominant(t("lineitem"), "l_orderkey", "l_returnflag")
+    all_ = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("a"))
+    return rows.join(all_, "l_orderkey").select("l_orderkey", "dominant", "dominant_items", "several", share(F.col("dominant_items"), F.col("a")).alias("part"))
 
 
 EDGES = [("80+", 480000), ("70s", 420000), ("60s", 300000), ("50s", 150000), ("40s", 900), ("<40", -1)]
@@ -99,10 +97,9 @@ WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2 HAVING
 SELECT quality, toxic, n, round_even(n::double / sum(n) OVER (), 3)::double AS part, (SELECT round_even(sum(quality)::double / count(*), 3)::double FROM labels) AS useful FROM c""")
 def op_a27_patterns(t):
     labels = t("labels")
-    c = labels.groupBy("quality", "toxic").agg(F.count("*").alias("n")).where("n >= 2")
-    total = c.agg(F.sum("n").alias("all"))
-    useful = labels.agg(F.bround(F.avg("quality"), 3).alias("useful"))
-    return c.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(useful)).select("quality", "toxic", "n", F.bround(F.col("n") / F.col("all"), 3).alias("part"), "useful")  # one-row sides
+    useful, _ = sales.rate(F.sum("quality"), F.count("*"))
+    found = sales.patterns(labels, ["quality", "toxic"]).withColumnRenamed("share", "part")
+    return found.crossJoin(F.broadcast(labels.agg(useful.alias("useful"))))  # one row
 
 
 @probe("""
@@ -118,20 +115,21 @@ def op_a29_costs(t):
 @probe("""
 WITH f AS (SELECT p_partkey, ((p_size % 4) * 21.0::double) + CASE p_type WHEN 'PROMO' THEN 10 WHEN 'SMALL' THEN -5 ELSE 0 END AS x FROM part)
 SELECT p_partkey, x::double AS fit, CASE WHEN x >= 55 THEN 'A' WHEN x >= 38 THEN 'B' WHEN x >= 15 THEN 'C' ELSE 'D' END AS band,
-  CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 IN (1, 2) ELSE p_partkey % 5 = 3 END AS moves FROM f""")
+  CASE WHEN p_partkey % 2 = 0 THEN p_partkey % 5 IN (0, 1, 2) ELSE p_partkey % 5 IN (0, 3) END AS moves FROM f""")
 def op_r21_fit(t):
     fit = (F.col("p_size") % 4) * 21.0 + F.when(F.col("p_type") == "PROMO", 10).when(F.col("p_type") == "SMALL", -5).otherwise(0)
     k = F.col("p_partkey")
-    old = F.when(k % 2 == 0, "CONTACTED").otherwise("NEW")
-    new = F.when(k % 5 == 1, "REPLIED").when(k % 5 == 2, "LOST").when(k % 5 == 3, "RESEARCHED").when(k % 5 == 4, "WON").otherwise("NEW")
-    return t("part").select("p_partkey", fit.alias("fit"), sales.fit_band(fit).alias("band"), sales.transition_ok(old, new).alias("moves"))
+    even = k % 2 == 0
+    old = F.when(even, "EMAIL_1_SENT").otherwise("RESEARCHED")
+    new = F.when(k % 5 == 1, "SAMPLE_REQUESTED").when(k % 5 == 2, "NOT_NOW").when(k % 5 == 3, "READY").when(k % 5 == 4, "SUBSCRIBED").otherwise(old)
+    return t("part").select("p_partkey", fit.alias("fit"), sales.fit_band(fit).alias("band"), prospects.transition_ok(old, new).alias("moves"))
 
 
 @probe("""
 SELECT strftime(date_trunc('week', ts - INTERVAL 4 DAY) + INTERVAL 4 DAY, '%Y-%m-%d') AS batch, event_type, count(*) AS n, round(sum(value::decimal(18,2)), 2)::double AS total FROM events GROUP BY 1, 2""")
 def op_t01_weekly_window(t):
-    rows = t("events").groupBy(F.window("ts", "7 days", startTime="1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("total"))
-    return rows.select(F.date_format("w.start", "yyyy-MM-dd").alias("batch"), "event_type", "n", "total")
+    rows = stateful.weekly(t("events"), "ts", "event_type", total=F.sum(F.col("value").cast("decimal(18,2)")).cast("double"))
+    return rows.select(F.date_format("week.start", "yyyy-MM-dd").alias("batch"), "event_type", "n", "total")
 
 
 @probe("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -16,9 +16,10 @@ from ..sources.writers import insert_once
 GRACE_DAYS = 14
 
 
-def weekly(events: DataFrame, ts: str, *keys: str, late: str = "2 days") -> DataFrame:
-    """Counts of each week that begins on a Friday; rows later than the watermark don't count any more."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, "7 days", startTime="1 day").alias("week"), *keys).agg(F.count("*").alias("n"))
+def weekly(events: DataFrame, ts: str, *keys: str, late: str = "2 days", **more: Column) -> DataFrame:
+    """Counts, and more aggregates by name, of each week that begins on a Friday; rows later than the watermark don't count any
+    more. A table gives the same as a stream without late rows."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, "7 days", startTime="1 day").alias("week"), *keys).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in more.items()])
 
 
 def once(events: DataFrame, keys: list[str], ts: str, late: str = "30 days") -> DataFrame:
@@ -48,7 +49,7 @@ def step(state: tuple, event: tuple) -> tuple:
 def subscriptions(events: DataFrame, late: str = "7 days") -> DataFrame:
     """(customer, status, since, at, n) as it stands after each micro-batch, from events (customer, id, ts, status).
 
-    An overdue customer is cancelled when event time passes the grace period.
+    The state of one customer is kept by one task, which reads that customer's new events one after the other. An overdue customer is cancelled when event time passes the grace period.
     """
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
