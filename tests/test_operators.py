@@ -181,3 +181,47 @@ def test_preferences_are_an_equi_join(spark):
     out = sales.preferred(items, wants, "band", "cat", "region")
     assert sorted((r["id"], r["who"]) for r in out.collect()) == [(1, "y"), (2, "x"), (2, "z")]
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lookup_makes_no_pairs_of_a_group(spark):
+    left = spark.range(300).select("id", F.lit("oats").alias("name"))
+    right = spark.range(3000).select(F.col("id").alias("number"), F.lit("oats").alias("key"))
+    out = rel.blocked_lookup(left, right, "id", F.col("name"), F.col("key"), ["number"])
+    rows = out.collect()
+    assert len(rows) == 300 * 25
+    assert {r["number"] for r in rows} == set(range(25))
+    metrics = out._jdf.queryExecution().executedPlan().toString()
+    assert metrics.index("Join") < metrics.index("Window")  # the plan's top is the join: nothing is cut after it
+
+
+def test_group_size_of_null_keys(spark):
+    df = spark.createDataFrame([(1, None, "a"), (2, None, "a"), (3, "x", None)], "id int, k string, l string")
+    assert {r["id"]: r["n"] for r in rel.group_size(df, ["k", "l"], "n").collect()} == {1: 2, 2: 2, 3: 1}
+
+
+def test_pairs_that_share_a_token_or_hold_a_key(spark):
+    a = spark.createDataFrame([(1, "g", ["x", "y"]), (2, "g", ["z"]), (3, "h", ["x", "y"])], "id int, k string, w array<string>")
+    b = a.select(F.col("id").alias("other"), "k", F.col("w").alias("v"))
+    got = rel.sharing(a, b, ["k"], F.col("w"), F.col("v")).collect()
+    assert sorted((r["id"], r["other"]) for r in got) == [(1, 1), (2, 2), (3, 3)]
+    names = spark.createDataFrame([("oat",), ("oatmealfactory",), ("",), (None,)], "a string")
+    whole = spark.createDataFrame([("bigoatmealfactory",), ("groats",), ("rye",), (None,)], "b string")
+    assert sorted(tuple(r) for r in rel.contained(names, whole, F.col("a"), F.col("b")).collect()) == [("oat", "bigoatmealfactory"), ("oat", "groats"), ("oatmealfactory", "bigoatmealfactory")]
+
+
+def test_report_rules(spark):
+    counts = spark.createDataFrame([(10, 20, 4), (5, 5, 0), (9, 9, 9)], "food_class int, packaged int, matched int")
+    assert [r["concern"] for r in reports.match_concerns(counts).collect()] == ["few applicants were matched", "no applicant was matched", None]
+    rows = [("a", "HIGH", None, 90, None, "x"), ("b", "HIGH", "1", 60, None, " "), ("c", "LOW", "1", 60, 200, "x")]
+    df = spark.createDataFrame(rows, "id string, band string, number string, confidence int, late int, brand string").withColumn("filed", F.lit(date(2025, 1, 1)))
+    checks = reports.output_checks(band=F.col("band"), number=F.col("number"), confidence=F.col("confidence"), incorporated=F.date_add("filed", F.col("late")), filed=F.col("filed"), brand=F.col("brand"))
+    assert [tuple(r) for r in reports.suspicious(df, "id", checks).collect()] == [("a", "high_without_company"), ("b", "high_on_weak_match"), ("b", "no_brand"), ("c", "incorporated_after_filing")]
+    assert tuple(reports.band_counts(df, F.col("band")).first()) == (2, 0, 1, 0)
+    levels = rel.thresholds(spark.createDataFrame([(80, "w1"), (60, "w2"), (10, "w2")], "s int, w string"), F.col("s"), [75, 50], "w")
+    assert [tuple(r) for r in levels.collect()] == [(75, 1, 0.5), (50, 2, 1.0)]
+    bad = rel.with_detail(rel.decide(spark.createDataFrame([(1, "FR"), (2, "GB")], "id int, c string"), "s", [("abroad", F.col("c") == "FR")]), {"abroad": F.col("c")})
+    assert [tuple(r) for r in rel.rejections(bad, "id").collect()] == [(1, "s", "abroad", "FR")]
+    from tidemark.functions import text as X
+
+    text = spark.createDataFrame([("notes\n---\nDear {{NAME}}, {{REST}}\n---\nmore",)], "t string").select(X.substituted(X.template_body(F.col("t")), NAME=F.lit("Jo")).alias("b"))
+    assert text.select("b", X.leftover_tokens(F.col("b"))).first()[:] == ("Dear Jo, {{REST}}", ["{{REST}}"])

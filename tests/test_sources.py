@@ -156,3 +156,56 @@ def test_insert_once_upsert_and_deliveries(spark, tmp_path):
     E.backup({"x": df}, str(tmp_path / "bk"))
     assert spark.read.parquet(str(tmp_path / "bk/x")).count() == 3
     assert rel.upserted(df.where("v = 3"), df, ["id"]).count() == 3
+
+
+def test_xml_is_read_once_for_the_end_tag_that_it_has(spark, tmp_path):
+    record = lambda n, p="": f"<{p}TradeMark><{p}ApplicationNumber>{n}</{p}ApplicationNumber></{p}TradeMark>"
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "a.xml").write_text("<?xml version='1.0'?><all>" + "".join(record(f"UK{i}") for i in range(50)) + "</all>")
+    df = S.read_filings_xml(spark, str(tmp_path / "x"), "b")
+    assert df.count() == 50
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan text") == 1
+    (tmp_path / "x" / "b.xml").write_text("<all>" + "".join(record(f"US{i}", "ns:") for i in range(3)) + "</all>")
+    assert S.read_filings_xml(spark, str(tmp_path / "x"), "b").count() == 53
+    (tmp_path / "none.xml").write_text("<all><other/></all>")
+    assert S.read_filings_xml(spark, str(tmp_path / "none.xml"), "b").count() == 0
+
+
+def test_null_partitions_are_upserted(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "id int, v string, p string"
+    E.upsert_partition(spark.createDataFrame([(1, "a", None), (2, "b", None), (3, "c", "x")], schema), path, "p", ["id"])
+    E.upsert_partition(spark.createDataFrame([(2, "B", None)], schema), path, "p", ["id"])
+    assert sorted((r["id"], r["v"], r["p"]) for r in spark.read.schema(schema).parquet(path).collect()) == [(1, "a", None), (2, "B", None), (3, "c", "x")]
+
+
+def test_insert_without_an_order_and_a_broken_store(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    assert [E.insert_once(rows, path, ["id"]) for _ in range(2)] == [2, 0]
+    broken = str(tmp_path / "broken")
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):  # noqa: B017, PT011  what is stored can't be read: nothing is appended
+        E.insert_once(rows, broken, ["id"])
+
+
+def test_deliveries_runs_and_json(spark, tmp_path):
+    rows = spark.createDataFrame([("r1", "a@b.c", "weekly")], "run_id string, recipient string, kind string")
+    path = str(tmp_path / "d")
+    assert [E.recorded_deliveries(rows, path).first()["created"] for _ in range(2)] == [True, False]
+    assert spark.read.parquet(path).count() == 1
+    run = lambda s: spark.createDataFrame([("r1", s)], "run_id string, status string").select("status", "run_id")
+    messages = spark.createDataFrame([("r1", "match", "m1"), ("r1", "match", "m2")], "run_id string, stage string, message string")
+    assert E.record_run(run("STARTED"), messages, str(tmp_path / "runs"), str(tmp_path / "errors")) == 2
+    assert E.record_run(run("FAILED"), messages, str(tmp_path / "runs"), str(tmp_path / "errors")) == 0
+    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "runs")).collect()] == ["FAILED"]
+    assert spark.createDataFrame([(1, None, "é")], "b int, c string, a string").select(E.sorted_json("b", "c", "a")).first()[0] == '{"a":"é","b":1,"c":null}'
+    stored = spark.createDataFrame([("b1", '[{"key":"k","text":"t","weight":3}]', '{"design":"HIGH"}'), ("b2", None, None)], "batch_id string, reasons string, intent string")
+    row = S.rehydrated(stored, "b1").first()
+    assert (row["reasons"][0]["weight"], row["intent"]) == (3, {"design": "HIGH"})
+    assert len(E.SAMPLE_COLUMNS) == 26
+    batches = spark.createDataFrame([("p1", "2025-049"), ("p2", "2025-050")], "path string, batch_id string")
+    assert S.resolve_batch(batches).first()["path"] == "p2"
+    with pytest.raises(ValueError, match="2024-001"):
+        S.resolve_batch(batches, "2024-001")

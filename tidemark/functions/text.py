@@ -174,6 +174,19 @@ def leftover_tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"\{\{[A-Z_]+\}\}"), F.lit(0))
 
 
+def template_body(c: Column) -> Column:
+    """What stands between the first two rules of a template; all of it where there are fewer."""
+    parts = F.split(c, "\n---\n")
+    return F.trim(F.when(F.size(parts) >= 3, F.get(parts, F.lit(1))).otherwise(c))
+
+
+def substituted(c: Column, **values: Column) -> Column:
+    """The template with each {{NAME}} that has a value replaced; null is empty."""
+    for name, value in values.items():
+        c = F.replace(c, F.lit("{{" + name + "}}"), text(value.cast("string")))
+    return c
+
+
 def is_email(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+$"), F.lit(False))
 

@@ -97,3 +97,15 @@ def valid_judgement(c: Column, categories: tuple[str, ...]) -> Column:
     parsed = F.from_json(json_block(c), "category string, probability double, is_product boolean, note string", {"mode": "PERMISSIVE"})
     ok = parsed["probability"].between(0, 1) & parsed["category"].isin(*categories) & parsed["is_product"].isNotNull() & (F.length(F.coalesce(parsed["note"], F.lit(""))) <= 600)
     return F.when(ok, parsed)
+
+
+def json_field(c: Column, path: str, default: str) -> Column:
+    """The text at a path of a JSON text, the default where it is absent."""
+    return F.coalesce(F.get_json_object(c, path), F.lit(default))
+
+
+def merged(rule: Column, judged: Column, low: float = 0.0, high: float = 1.0) -> tuple[Column, Column]:
+    """A rule's probability averaged with a model's, three places half to even, and whether the rule's stands alone: where the
+    model gave none or one outside low to high."""
+    usable = F.when(judged.between(low, high), judged)
+    return F.when(usable.isNull(), rule).otherwise(F.bround((usable + rule) / 2, 3)), usable.isNull()

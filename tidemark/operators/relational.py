@@ -27,8 +27,15 @@ def decide(df: DataFrame, stage: str, rules: list[Rule]) -> DataFrame:
     return df.withColumns({"stage": F.when(fresh & found.isNotNull(), stage).otherwise(F.col("stage")), "reason": F.when(fresh, found).otherwise(F.col("reason"))})
 
 
+def with_detail(df: DataFrame, details: dict[str, Column]) -> DataFrame:
+    """Add detail: what a reason was about, where its name has one; a row keeps the detail that it has."""
+    found = F.coalesce(*[F.when(F.col("reason") == name, c.cast("string")) for name, c in details.items()], F.lit(None).cast("string"))
+    return df.withColumn("detail", F.coalesce("detail", found) if "detail" in df.columns else found)
+
+
 def rejections(df: DataFrame, *columns: str) -> DataFrame:
-    return df.where(F.col("reason").isNotNull()).select(*columns, "stage", "reason")
+    """The rejected rows with stage, reason and, where there is one, detail."""
+    return df.where(F.col("reason").isNotNull()).select(*columns, "stage", "reason", *["detail"] * ("detail" in df.columns))
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -84,6 +91,14 @@ def blocked_lookup(left: DataFrame, right: DataFrame, left_id: str, left_key: Co
     return exact.unionByName(found.drop("_token", "_begin")).drop("_key", "_rkey")
 
 
+def sharing(left: DataFrame, right: DataFrame, keys: list[str], left_tokens: Column, right_tokens: Column) -> DataFrame:
+    """Pairs of equal keys that share a token, each once: joined on the token, so that rows without a common one never meet. Both
+    sides keep their columns; the keys are named alike."""
+    a = left.withColumn("_x", left_tokens).withColumn("_t", F.explode("_x"))
+    b = right.withColumn("_y", right_tokens).withColumn("_t", F.explode("_y"))
+    return a.join(b, [*keys, "_t"]).where(F.col("_t") == F.get(F.array_intersect("_x", "_y"), F.lit(0))).drop("_t", "_x", "_y")
+
+
 def contained(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, grams: int = 6) -> DataFrame:
     """Pairs whose right key holds the left key. An equi-join: a right key is exploded to its runs of characters as long as a left
     key's beginning (of `grams` characters, or the whole key if it is shorter), of which only wanted ones are kept. Empty and null keys hold nothing."""
@@ -130,10 +145,11 @@ def bucketed(df: DataFrame, score: Column, edges: list[tuple[str, float]]) -> Da
     return F.broadcast(names).join(counts, "bucket", "left").select("bucket", "position", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def thresholds(df: DataFrame, score: Column, levels: list[int]) -> DataFrame:
-    """How many rows reach each level, in one pass."""
-    once = df.agg(*[F.count_if(score >= t).alias(str(t)) for t in levels])
-    return once.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(str(t)).alias("n")) for t in levels])).alias("x")).select("x.*")
+def thresholds(df: DataFrame, score: Column, levels: list[int], period: str | None = None) -> DataFrame:
+    """How many rows reach each level, in one pass; with a period also how many a period, two places."""
+    once = df.agg(*[F.count_if(score >= t).alias(str(t)) for t in levels], *([F.count_distinct(period).alias("_p")] if period else []))
+    each = [[F.lit(t).alias("threshold"), F.col(str(t)).alias("n"), *([F.bround(F.col(str(t)) / F.greatest("_p", F.lit(1)), 2).alias("per_period")] if period else [])] for t in levels]
+    return once.select(F.explode(F.array(*[F.struct(*x) for x in each])).alias("x")).select("x.*")
 
 
 def band_of(value: Column, bands: list[tuple[str, float, float]]) -> Column:

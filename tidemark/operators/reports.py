@@ -56,3 +56,21 @@ def stage_failures(df: DataFrame, stage: Column, failed: Column, most: float = 0
     """(stage, n, failed, fatal): a stage in which more than `most` of the rows failed stops a run."""
     counts = df.groupBy(stage.alias("stage")).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
     return counts.withColumn("fatal", F.col("failed") / F.col("n") > most)
+
+
+def band_counts(df: DataFrame, band: Column) -> DataFrame:
+    """One row: rows of each band, as after consolidation."""
+    return df.agg(*[F.count_if(band == b).alias(b.lower()) for b in ("HIGH", "MEDIUM", "LOW", "NONE")])
+
+
+def match_concerns(counts: DataFrame, least: float = 0.25) -> DataFrame:
+    """The funnel's counts (food_class, packaged, matched) with the match rate and what is odd about it; null if nothing."""
+    rate = F.try_divide("matched", "packaged")
+    concern = F.when((F.col("food_class") > 0) & (F.col("matched") == 0), "no applicant was matched").when(rate < least, "few applicants were matched")
+    return counts.withColumns({"match_rate": F.bround(rate, 3), "concern": concern})
+
+
+def output_checks(*, band: Column, number: Column, confidence: Column, incorporated: Column, filed: Column, brand: Column, days: int = 180) -> list[tuple[str, Column]]:
+    """What a scored row must not be, for `suspicious`."""
+    high = band == "HIGH"
+    return [("high_without_company", high & number.isNull()), ("high_on_weak_match", high & (confidence < 70)), ("incorporated_after_filing", F.datediff(incorporated, filed) > days), ("no_brand", F.trim(F.coalesce(brand, F.lit(""))) == "")]

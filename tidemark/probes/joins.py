@@ -37,7 +37,7 @@ def op_j01_blocked_lookup(t):
 
 @probe(f"""
 WITH n AS (SELECT p_brand, p_name, min(p_partkey) AS k FROM part GROUP BY 1, 2),
-p AS (SELECT l.k AS p_partkey, r.k AS other, l.p_name AS a, r.p_name AS b, list_distinct(string_split(l.p_name, ' ')) AS x, list_distinct(string_split(r.p_name, ' ')) AS y FROM n l JOIN n r ON l.p_brand = r.p_brand AND l.k <> r.k),
+p AS (SELECT l.k AS p_partkey, r.k AS other, l.p_name AS a, r.p_name AS b, list_distinct(string_split(l.p_name, ' ')) AS x, list_distinct(string_split(r.p_name, ' ')) AS y FROM n l JOIN n r ON l.p_brand = r.p_brand AND l.k <> r.k WHERE list_has_any(string_split(l.p_name, ' '), string_split(r.p_name, ' '))),
 s AS (SELECT *, len(list_intersect(x, y)) AS xy, len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) AS j FROM p),
 t AS (SELECT p_partkey, other, {LADDER} AS score FROM s),
 u AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS runner_up FROM t WINDOW w AS (PARTITION BY p_partkey ORDER BY score DESC, other)),
@@ -45,7 +45,8 @@ v AS (SELECT p_partkey, other, score::int AS score, runner_up::int AS runner_up,
 SELECT p_partkey, other, score, runner_up, ambiguous, (score - CASE WHEN ambiguous THEN 15 ELSE 0 END)::int AS confidence FROM v WHERE score - CASE WHEN ambiguous THEN 15 ELSE 0 END >= 5""")
 def op_j04_best_match(t):
     names = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey")).withColumn("a", M.name_parts("p_name"))
-    pairs = names.join(names.select("p_brand", F.col("a").alias("b"), F.col("p_partkey").alias("other")), "p_brand").where("p_partkey <> other")  # at most 64 names a brand
+    others = names.select("p_brand", F.col("a").alias("b"), F.col("p_partkey").alias("other"))
+    pairs = rel.sharing(names, others, ["p_brand"], F.col("a.tokens"), F.col("b.tokens")).where("p_partkey <> other")
     scored = pairs.withColumn("score", M.ladder(F.col("a"), F.col("b")))
     return rel.best_match(scored, "p_partkey", "score", "other", least=5).select("p_partkey", "other", "score", "runner_up", "ambiguous", "confidence")
 
@@ -117,11 +118,11 @@ def op_f22_preference(t):
 SELECT c_custkey, coalesce(max(o_orderdate)::date::varchar, 'never') AS latest, coalesce(CASE c_mktsegment WHEN 'BUILDING' THEN 4900 WHEN 'MACHINERY' THEN 9900 END, 0)::int AS price
 FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') o ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment""")
 def op_j20_overlay(t):
-    state = t("orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.max("o_orderdate").cast("date").cast("string").alias("latest"))
-    customers = t("customer")
+    state = t("orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").cast("date").cast("string").alias("latest"))
+    customers = t("customer").select("c_custkey", "c_mktsegment")
     prices = customers.sparkSession.createDataFrame([("BUILDING", 4900), ("MACHINERY", 9900)], "c_mktsegment string, price int")
-    rows = customers.join(state, F.col("o_custkey") == F.col("c_custkey"), "left").join(F.broadcast(prices), "c_mktsegment", "left")
-    return rows.select("c_custkey", F.coalesce("latest", F.lit("never")).alias("latest"), F.coalesce("price", F.lit(0)).alias("price"))
+    rows = sales.overlaid(sales.overlaid(customers, state, "c_custkey", {"latest": "never"}), prices, "c_mktsegment", {"price": 0})
+    return rows.select("c_custkey", "latest", "price")
 
 
 @probe("""

@@ -8,6 +8,7 @@ from ..functions import dates as D
 from ..functions import text as X
 from ..functions import values as V
 from ..operators import goods
+from ..operators import relational as rel
 from .registry import probe
 
 FORMS = "|".join(X.LEGAL_FORMS)
@@ -51,16 +52,16 @@ def op_x01_strip_accents(t):
 
 @probe("""
 WITH a AS (SELECT p_brand, p_name, min(p_partkey) AS k, list_distinct(string_split(p_name, ' ')) AS w FROM part GROUP BY p_brand, p_name),
-p AS (SELECT a.p_brand, a.k AS a, b.k AS b, a.w AS x, b.w AS y FROM a JOIN a b ON a.p_brand = b.p_brand AND a.k < b.k)
+p AS (SELECT a.p_brand, a.k AS a, b.k AS b, a.w AS x, b.w AS y FROM a JOIN a b ON a.p_brand = b.p_brand AND a.k < b.k WHERE list_has_any(a.w, b.w))
 SELECT p_brand, a, b, len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) AS jaccard,
   len(list_filter(x, lambda v: NOT list_contains(y, v))) = 0 AS within,
   (len(list_distinct(list_concat(x, y))) - len(list_intersect(x, y)))::int AS n_missing,
   len(list_filter(x, lambda v: length(v) > 3))::int AS n_long
 FROM p""")
 def op_x07_jaccard(t):
-    a = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("k")).withColumn("w", X.tokens(F.col("p_name")))
+    a = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("k")).withColumn("w", X.tokens(F.col("p_name"))).select("p_brand", "k", "w")
     b = a.select("p_brand", F.col("k").alias("b"), F.col("w").alias("y"))
-    pairs = a.join(b, "p_brand").where("k < b")  # within a brand: at most 64 names
+    pairs = rel.sharing(a, b, ["p_brand"], F.col("w"), F.col("y")).where("k < b")
     return pairs.select("p_brand", F.col("k").alias("a"), "b", X.jaccard(F.col("w"), F.col("y")).alias("jaccard"), X.subset(F.col("w"), F.col("y"), False).alias("within"), F.size(X.missing(F.col("w"), F.col("y"))).alias("n_missing"), F.size(F.filter("w", lambda v: F.length(v) > 3)).alias("n_long"))
 
 
@@ -141,7 +142,7 @@ SELECT event_id, (props->>'$.k')::int AS k, coalesce(props->>'$.missing', 'none'
   CASE WHEN (props->>'$.k')::int >= 75 THEN 'HIGH' WHEN (props->>'$.k')::int >= 50 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM events""")
 def op_k04_json_props(t):
     k = F.get_json_object("props", "$.k").try_cast("int")
-    return t("events").select("event_id", k.alias("k"), F.coalesce(F.get_json_object("props", "$.missing"), F.lit("none")).alias("missing"), F.coalesce(k.between(10, 90), F.lit(False)).alias("in_range"), F.when(k >= 75, "HIGH").when(k >= 50, "MEDIUM").otherwise("LOW").alias("band"))
+    return t("events").select("event_id", k.alias("k"), V.json_field(F.col("props"), "$.missing", "none").alias("missing"), F.coalesce(k.between(10, 90), F.lit(False)).alias("in_range"), F.when(k >= 75, "HIGH").when(k >= 50, "MEDIUM").otherwise("LOW").alias("band"))
 
 
 @probe("""
@@ -152,8 +153,8 @@ def op_r26_merge(t):
     answer = F.concat(F.lit('ok {"category": "x", "is_product": true, "probability": '), (F.get_json_object("props", "$.k").cast("int") / 100).cast("string"), F.lit("}"))
     judged = V.valid_judgement(answer, ("x",))["probability"]
     rule = F.when(F.col("value") < 10, 0.25).otherwise(0.75)
-    judged = F.when(judged.between(0.05, 0.95), judged)
-    return t("events").select("event_id", F.when(judged.isNull(), rule).otherwise(F.bround((judged + rule) / 2, 3)).alias("probability"), judged.isNull().alias("rule_only"))
+    probability, alone = V.merged(rule, judged, 0.05, 0.95)
+    return t("events").select("event_id", probability.alias("probability"), alone.alias("rule_only"))
 
 
 ITEM = "list_filter(list_transform(regexp_split_to_array(text, '[;.]'), lambda p: " + sql_norm(r"regexp_replace(p, '[\[(][^\])]*[\])]', ' ', 'g')") + "), lambda p: p <> '')"

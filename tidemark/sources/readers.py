@@ -56,19 +56,26 @@ def first_text(record: Column, tags: tuple[str, ...]) -> Column:
     return _unescaped(F.coalesce(*[F.get(_texts(record, t), F.lit(0)) for t in tags]))
 
 
+def _record_ends(spark: SparkSession, path: str, tags: tuple[str, ...]) -> dict[str, list[str]]:
+    """The names that records end with, with their prefix, and the files in which each occurs."""
+    pieces = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", rf"</((?:\w+:)?(?:{'|'.join(tags)}))\s*$", 1).alias("end"))
+    found = pieces.where("end <> ''").groupBy("end", "file").count().orderBy("end", "file").collect()  # a row a file
+    return {end: [r["file"] for r in found if r["end"] == end] for end in dict.fromkeys(r["end"] for r in found)}
+
+
 def read_filings_xml(spark: SparkSession, path: str, batch_id: str, source_name: str = "xml", source_url: str | None = None, tags: tuple[str, ...] = RECORD_TAGS) -> DataFrame:
     """Filings of register XML, plain or gzip, any namespace.
 
-    The text is split at the records' end tags and fields are found in each record's own text, so that a record that is
-    not well formed costs no other record, and files are split between tasks. A date that no format reads is null; classes
-    outside 1 to 45 go; records without a number go.
+    The text is split at the records' end tags, which are looked for first, and fields are found in each record's own text, so
+    that a record that is not well formed costs no other record, and files are split between tasks. A file is read once for
+    each end tag that it has, which is one. A date that no format reads is null; classes outside 1 to 45 go; records without
+    a number go.
     """
-    out = None
-    for tag in tags:
-        raw = spark.read.option("lineSep", f"</{tag}>").text(path)
-        record = F.regexp_extract("value", rf"(?s)(<(?:\w+:)?{tag}(?:\s[^>]*)?>.*)$", 1)
-        rows = raw.select(record.alias("r"), F.monotonically_increasing_id().alias("ordinal")).where("r <> ''")
-        out = rows if out is None else out.unionByName(rows)
+    out = spark.createDataFrame([], "r string, ordinal long")
+    for end, files in _record_ends(spark, path, tags).items():
+        raw = spark.read.option("lineSep", f"</{end}>").text(files)
+        record = F.regexp_extract("value", rf"(?s)(<{end}(?:\s[^>]*)?>.*)$", 1)
+        out = out.unionByName(raw.select(record.alias("r"), F.monotonically_increasing_id().alias("ordinal")).where("r <> ''"))
     r = F.col("r")
     scope = F.coalesce(*[F.nullif(F.regexp_extract(r, rf"(?s)(<(?:\w+:)?{t}[\s>].*)$", 1), F.lit("")) for t in APPLICANT_TAGS])
     goods = F.array_join(F.flatten(F.array(*[_texts(r, t) for t in GOODS_TAGS])), " ")
@@ -92,9 +99,9 @@ def read_filings_xml(spark: SparkSession, path: str, batch_id: str, source_name:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-16 where the first file begins with its mark, else UTF-8."""
-    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2)).alias("h")).first()
-    return "UTF-16" if head and head["h"] in ("FFFE", "FEFF") else "UTF-8"
+    """UTF-16 where the first file begins with its mark, else UTF-8. Only the beginning of a file is read."""
+    begin = spark.read.text(path).where("_metadata.file_block_start = 0").select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("h")).first()
+    return "UTF-16" if begin and begin["h"] in ("FFFE", "FEFF") else "UTF-8"
 
 
 def read_filings_text(spark: SparkSession, path: str, batch_id: str, source_name: str = "open_data", encoding: str | None = None, case_url: str = "") -> DataFrame:
@@ -160,6 +167,19 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return files.withColumn("batch_id", F.coalesce(number, D.batch_number(day))).where("batch_id is not null")
 
 
+def latest_batch(batches: DataFrame) -> str | None:
+    """The newest of `read_batches`."""
+    row = batches.agg(F.max("batch_id")).first()
+    return row[0]
+
+
+def resolve_batch(batches: DataFrame, wanted: str | None = None) -> DataFrame:
+    """The files of a batch, the newest where none is asked for; a batch that isn't there is an error."""
+    batch = wanted or latest_batch(batches)
+    found = batches.where(F.col("batch_id") == batch)
+    return at_least_one(found, f"batch {batch}")
+
+
 def complete_batches(snapshot: DataFrame, weeks: int, least: int = 100) -> DataFrame:
     """The latest publication dates with at least `least` rows."""
     return snapshot.groupBy("publication_date").agg(F.count("*").alias("n")).where(F.col("n") >= least).orderBy(F.desc("publication_date")).limit(weeks)
@@ -199,12 +219,13 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
 
 
 def evidence_containing(queries: DataFrame, evidence: DataFrame) -> DataFrame:
-    """For each query the results of the first recorded one that holds it or that it holds: a fixture's loose lookup, over tables of fixed size."""
-    from ..operators.relational import top_k
+    """For each query the results of the first recorded one that holds it or that it holds: a fixture's loose lookup."""
+    from ..operators.relational import contained, top_k
 
     a, b = queries.withColumn("q", X.normalise("query")), evidence.select(F.col("query").alias("recorded")).distinct().withColumn("r", X.normalise("recorded"))
-    hit = a.join(F.broadcast(b), F.contains("q", "r") | F.contains("r", "q")).where("q <> '' and r <> ''")
-    return top_k(hit, ["query"], 1, "recorded").select("query", "recorded").join(evidence.withColumnRenamed("query", "recorded"), "recorded")
+    within = contained(a, b, F.col("q"), F.col("r")).select("query", "recorded")
+    around = contained(b, a, F.col("r"), F.col("q")).select("query", "recorded")
+    return top_k(within.unionByName(around).distinct(), ["query"], 1, "recorded").join(evidence.withColumnRenamed("query", "recorded"), "recorded")
 
 
 def read_leads(spark: SparkSession, path: str, intents: tuple[str, ...]) -> DataFrame:
@@ -220,6 +241,16 @@ def stored_opportunities(stored: DataFrame, batch_id: str | None = None, limit:
     return (rows.where(F.col("batch_id") == batch_id) if batch_id else rows).orderBy(F.desc("score"), F.desc("batch_id"), "opportunity_key").limit(limit)
 
 
+#: Columns of a stored opportunity that hold JSON, and their types.
+STORED_JSON = {"reasons": "array<struct<key:string,text:string,weight:int>>", "related": "array<string>", "evidence_urls": "array<string>", "intent": "map<string,string>"}
+
+
+def rehydrated(stored: DataFrame, batch_id: str) -> DataFrame:
+    """A stored run's opportunities as they were scored, JSON columns decoded. What was not stored (goods, candidates) stays lost."""
+    rows = stored.where(F.col("batch_id") == batch_id)
+    return rows.withColumns({c: F.from_json(c, t) for c, t in STORED_JSON.items() if c in stored.columns and stored.schema[c].dataType.typeName() == "string"})
+
+
 def first_available(*sources: Callable[[], DataFrame | None]) -> DataFrame:
     """The first source that has rows: an explicit file, the store, the newest file, a study's."""
     for source in sources:
@@ -238,8 +269,11 @@ def read_prospects(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_feedback(spark: SparkSession, path: str, states: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
-    """Valid rows, and the others with what is wrong and their place in the file; rows without a state are skipped."""
-    raw = spark.read.option("header", True).option("escape", '"').csv(path).withColumn("row", F.monotonically_increasing_id() + 2)
+    """Valid rows of one sheet, and the others with what is wrong and their line; rows without a state are skipped.
+
+    Lines are counted by one task, as a sheet is small; a header is the first.
+    """
+    raw = spark.read.option("header", True).option("escape", '"').csv(path).coalesce(1).withColumn("row", F.monotonically_increasing_id() + 2)
     rows = raw.withColumn("state", F.upper(F.trim("state"))).where("state <> ''")
     known = F.col("state").isin(*states)
     return rows.where(known), rows.where(~known).withColumn("problem", F.concat(F.lit("unknown state "), "state"))

@@ -20,6 +20,12 @@ LABELS = {
     "brand_maturity": {"emerging": "Emerging", "established": "Established", "unknown": "Unknown"},
     "retail_presence": {"none_found": "None found", "direct_only": "Direct / own site only", "marketplace": "Marketplace listing found", "independent_retail": "Independent retail", "multiple_retail": "Multiple retailers", "unknown": "Unknown"},
 }
+#: Columns of the sample pack in order (fixed values).
+SAMPLE_COLUMNS = (
+    "brand_name", "product_category", "goods_summary", "company_name", "company_number", "company_incorporation_date", "company_region", "website", "launch_stage", "retail_presence", "score", "score_band", "why_selected",
+    "packaging_relevance", "label_relevance", "carton_relevance", "contract_manufacturing_relevance", "copacking_relevance", "distribution_relevance", "brokerage_relevance", "fulfilment_relevance", "marketing_relevance",
+    "trademark_number", "filing_date", "publication_date", "source_url",
+)
 BOM = "\ufeff"
 
 
@@ -112,6 +118,28 @@ def record_deliveries(deliveries: DataFrame, path: str) -> int:
     return insert_once(keyed, path, ["delivery_key"], "run_id")
 
 
+def recorded_deliveries(deliveries: DataFrame, path: str) -> DataFrame:
+    """The stored row of each delivery and whether this call created it; one that was recorded before comes back as it was."""
+    spark = deliveries.sparkSession
+    key = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("run_id", "recipient", "kind")]), 256)
+    keyed = deliveries.withColumn("delivery_key", key)
+    before = cut(read_or_empty(spark, path, keyed.schema).select("delivery_key"), "deliveries")
+    insert_once(keyed, path, ["delivery_key"], "run_id")
+    wanted = keyed.select("delivery_key").distinct().join(before.withColumn("_old", F.lit(True)), "delivery_key", "left")
+    return spark.read.schema(keyed.schema).parquet(path).join(wanted, "delivery_key").withColumn("created", F.col("_old").isNull()).drop("_old")
+
+
+def record_run(run: DataFrame, messages: DataFrame, runs: str, errors: str, key: str = "run_id") -> int:
+    """Store a run's row, in place of an earlier one of its id, and an error row for each message, each once; gives how many are new."""
+    upsert_partition(run, runs, key, [key])
+    return insert_once(messages, errors, [key, "stage", "message"])
+
+
+def sorted_json(*columns: str) -> Column:
+    """The columns as JSON with sorted names, nulls kept, so that equal rows have equal texts."""
+    return F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+
+
 def backup(tables: dict[str, DataFrame], path: str) -> None:
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{path}/{name}")
