@@ -2,11 +2,11 @@
 
 Texts link when the sets of their shingles have a Jaccard similarity of 0.8 at least. The vantage-point trees find the pairs whose
 fingerprints lie within the radius, and each is confirmed on its whole sets. But at 0.8 fingerprints of 64 bits lie 10 bits
-apart on average and up to 18, where no triangle bound prunes; so pairs that are then still apart are looked for by prefixes:
-in any order common to all shingles, linked sets share one of their first n - ceil(0.8 n) + 1. The order puts shingles that are
-frequent in a sample last, so that few sets meet in one; what the sample misses costs time, never links. How many of the prefix
-two sets share bounds their overlap, and what passes the bound is compared as whole sets. A large group of near copies is first
-linked to one member of each block; only pairs that are then still apart are looked at. Equal sets are one node throughout.
+apart on average and up to 18, where no triangle bound prunes; so pairs that are then still apart are looked for by minimal
+hashes: sets of a similarity of 0.8 have the least hash in common with a chance of 0.8, four of them with 0.41, and of 24 bands of
+four they miss all with a chance of 3 in a million. What meets in a band is compared as whole sets. A large group of near
+copies is first linked to one member of each band; only pairs that are then still apart are looked at, and a band whose texts
+are all linked is looked at no more. Equal sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from .components import components
 
 #: Words of a shingle, and the least similarity as a fraction.
 SHINGLE, LEAST = 5, (4, 5)
-#: Texts that frequent shingles are looked for in, about; how many must have one; how many are kept.
-SAMPLE, FREQUENT, MOST = 20_000, 3, 200_000
-#: Rounds that link to one member of a block while the pairs left are more than so many a posting.
+#: Bands of minimal hashes, and hashes of a band.
+BANDS, WIDTH = 24, 4
+#: Rounds that link to one member of a band while the pairs left are more than so many a posting.
 STARS, PAIRS = 4, 4
+#: Odd factors that give each minimal hash its order.
+_FACTORS = common.mix(np.arange(1, 1 + BANDS * WIDTH, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -46,37 +48,33 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(hashed[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-def frequent(docs: DataFrame, text: str, shingle: int) -> np.ndarray:
-    """Shingles that several texts of a sample have, sorted."""
-    share = common.hash_share(F.xxhash64(text), docs.count(), SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.steps(batches, text):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(batch[text], shingle)).view(np.int64))], names=["h"])
-
-    counts = common.map_texts(docs.where(share).select(text), run, "h long").groupBy("h").count().where(F.col("count") >= FREQUENT)
-    return np.sort(counts.orderBy(F.desc("count"), "h").limit(MOST).select("h").toArrow()["h"].to_numpy().view(np.uint64))
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each set that is not empty: hashes of its minimal hashes, WIDTH a band."""
+    data, starts = np.concatenate(sets), np.cumsum([0, *[len(x) for x in sets[:-1]]])
+    keys = np.empty((len(sets), BANDS), np.uint64)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, np.uint64)
+        for i in range(WIDTH):
+            key = common.mix(key ^ np.minimum.reduceat(data * _FACTORS[band * WIDTH + i], starts))
+        keys[:, band] = key
+    return keys
 
 
 def nodes(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, fp, node, n, prefix) of every row: its fingerprint, the hash of its set (0 without words), the set's size, and the prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text, shingle))
+    """(doc_id, fp, node, n, bands) of every row: its fingerprint, the hash of its set (0 without words), the set's size, its band keys."""
     longs = [T.StructField(c, T.LongType()) for c in ("fp", "node", "n")]
-    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), *longs, T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), *longs, T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
         for batch in common.steps(batches, text):
             sets = shingle_sets(batch[text], shingle)
             fp = np.array([simhash.fingerprint(t, shingle) for t in batch[text].to_pylist()], np.uint64).view(np.int64)
-            found = []
-            for x in sets:
-                late = hot[np.minimum(np.searchsorted(hot, x), len(hot) - 1)] == x if len(hot) else np.zeros(len(x), bool)
-                found.append(np.concatenate([x[~late], x[late]])[: len(x) - -(-LEAST[0] * len(x) // LEAST[1]) + 1])
             node = np.array([xxhash.xxh64_intdigest(x.tobytes()) if len(x) else 0 for x in sets], np.uint64).view(np.int64)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-            prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch[doc_id], pa.array(fp), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), prefix], names=schema.names)
+            some = [x for x in sets if len(x)]
+            keys = band_keys(some).ravel() if some else np.zeros(0, np.uint64)
+            offsets = np.concatenate([[0], np.cumsum([BANDS * (len(x) > 0) for x in sets])]).astype(np.int32)
+            bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch[doc_id], pa.array(fp), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), bands], names=schema.names)
 
     return common.map_texts(docs.select(doc_id, text), run, schema)
 
@@ -121,12 +119,12 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     links = good(common.materialise(by_fingerprints(found, radius, tree), "near-pairs"))
     roots = components(links)
-    one = found.join(least.withColumnRenamed("first", doc_id), ["node", doc_id], "left_semi").select("node", "n", F.explode("prefix").alias("h"))
-    blocks = one.groupBy("h").agg(F.min("node").alias("_a"), F.max("node").alias("_b")).where("_a <> _b").select("h")
-    posts = common.materialise(one.join(blocks, "h").distinct(), "near-posts")
+    one = found.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("h"))
+    met = one.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
+    posts = common.materialise(one.join(met, "h"), "near-posts")
     total, before = posts.count(), 0
     for step in range(STARS + 1):
-        label = common.materialise(posts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c")), "near-labels")
+        label = posts.select("node").distinct().join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("c"))
         rows = posts.join(label, "node")
         heads = rows.groupBy("h").agg(F.min(F.struct(F.xxhash64("c", F.lit(step)).alias("_"), "node", "n", "c")).alias("head"), F.min("c").alias("_a"), F.max("c").alias("_b"), F.count("*").alias("m")).where("_a <> _b")
         heads = common.materialise(heads.select("h", "m", "head.node", "head.n", "head.c"), "near-heads")
@@ -135,15 +133,15 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             break
         last = step == STARS or todo <= PAIRS * total or (step > 1 and links.count() == before)
         before = links.count()
-        other = rows.join(heads.select("h"), "h") if last else heads
+        rows = common.materialise(rows.join(heads.select("h"), "h"), "near-apart")  # bands with texts that are still apart
+        other = rows if last else heads
         near = f"r.c <> o.c and {LEAST[1]} * least(r.n, o.n) >= {LEAST[0]} * greatest(r.n, o.n)"
         both = rows.alias("r").join(other.alias("o"), "h").where(near + (" and r.node < o.node" if last else ""))
-        pair = both.select(F.least("r.node", "o.node").alias("a"), F.greatest("r.node", "o.node").alias("b"), F.expr("greatest(r.n, o.n)").alias("most"), F.expr("r.n + o.n").alias("sum"))
-        # shared shingles lie in both prefixes or behind the shorter one's end
-        bound = f"{sum(LEAST)} * (count(1) + ({LEAST[0]} * most + {LEAST[1] - 1}) div {LEAST[1]} - 1) >= {LEAST[0]} * sum"
-        links = links.unionByName(good(common.materialise(pair.groupBy("a", "b", "most", "sum").agg(F.expr(bound).alias("may")).where("may").select("a", "b"), "near-pairs")))
+        pair = both.select(F.least("r.node", "o.node").alias("a"), F.greatest("r.node", "o.node").alias("b")).distinct()
+        links = links.unionByName(good(common.materialise(pair, "near-pairs")))
         roots = components(links)
         if last:
             break
+        posts = rows.select("h", "node", "n")
     label = simhash.smallest(least, "node", roots)
     return found.select(doc_id, "fp", "node").join(label, "node").select(doc_id, simhash.hex_digits("fp").alias("fingerprint"), "component_id")
