@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .relational import keep_first
+
 
 def company_key(number, applicant, row):
     """ch:<number> where matched, name:<key> where named; filings with neither keep keys of their own."""
@@ -16,14 +17,19 @@ def consolidate(df: DataFrame, key: str, order: list, members: dict[str, str], u
     """The first row of each company in the order, with the number of its rows and what the others are.
 
     members: column to name of the list of the other rows' values, sorted; union: an array column that is united over all rows.
-    The lists come from a grouped collect, so only what is listed is gathered for a company, not its rows.
+    The first rows are cut in each task before the shuffle and counts are summed up before it, so a company with very many rows
+    burdens no task; only what is listed is gathered for it.
     """
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    primary = df.withColumn("_rank", rank)
-    lists = [F.array_sort(F.collect_list(F.when(F.col("_rank") > 1, F.col(c)))).alias(name) for c, name in members.items()]
-    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.col(union))))).alias(f"all_{union}")] if union else []
-    gathered = primary.groupBy(key).agg(F.count("*").alias("n_rows"), *lists, *unions)
-    return primary.where("_rank = 1").drop("_rank").join(gathered, key)
+    lists = [F.array_sort(F.collect_list(c)).alias(name) for c, name in members.items()]
+    unions = [F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.col(union))))).alias(f"all_{union}")] if union else []
+    gathered = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n_rows"), *lists, *unions)
+    found = keep_first(df, [key], *order).join(gathered, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
+
+    def without(name: str, value: str) -> Column:  # the first row's own value goes, once
+        at = F.coalesce(F.array_position(name, F.col(value)), F.lit(0))
+        return F.when(at == 0, F.col(name)).otherwise(F.concat(F.slice(name, F.lit(1), F.greatest(at - 1, F.lit(0))), F.slice(name, at + 1, F.size(name))))
+
+    return found.withColumns({name: without(name, c) for c, name in members.items()}) if members else found
 
 
 def counters(df: DataFrame) -> DataFrame:
