@@ -132,6 +132,18 @@ def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = S
             yield batch.slice(a, b - a)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of `rows` or more, for narrow columns."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text column and where each text begins; null is the empty text."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

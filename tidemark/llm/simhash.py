@@ -36,8 +36,8 @@ FEW, MANY, SPARSE = (3, 1), (6, 2), 1 << 19
 SAMPLE = 50_000
 #: Fingerprints that a shard is meant to hold; trees grow deeper with the input. A shard far above is dealt over several tasks.
 SHARD_ROWS = 10_000
-#: Comparisons made at once.
-BRUTE = 1 << 20
+#: Comparisons made at once; fingerprints dealt at once.
+BRUTE, DEALT_ROWS = 1 << 20, 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -211,7 +211,7 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: tuple[int, int] | N
     shared = spark.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch], ball: int) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.gathered(batches, DEALT_ROWS):  # a tree is walked once for a batch
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
             for b, tree in enumerate(shared.value):
                 rows, leaves = tree.overlapping(fp, ball)
