@@ -132,7 +132,16 @@ def op_w05_budget(t):
     return rel.budgeted(rows, 100, "event_id", F.desc("value")).select("event_id", "user_id", "in_budget")
 
 
-@probe()
+@probe("""
+WITH RECURSIVE u AS (SELECT p_partkey, p_brand, p_name, p_type, p_size * 2 AS fit, row_number() OVER (PARTITION BY p_brand, p_name, p_type ORDER BY p_size DESC, p_partkey) AS k FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY fit DESC, p_partkey) AS n FROM u WHERE k = 1),
+a AS (SELECT DISTINCT p_brand, 0::bigint AS n, []::varchar[] AS cs, []::varchar[] AS gs, []::bigint[] AS taken FROM r
+  UNION ALL SELECT a.p_brand, r.n, CASE WHEN len(taken) < 5 AND NOT list_contains(cs, p_name) AND NOT list_contains(gs, p_type) THEN list_append(cs, p_name) ELSE cs END, CASE WHEN len(taken) < 5 AND NOT list_contains(cs, p_name) AND NOT list_contains(gs, p_type) THEN list_append(gs, p_type) ELSE gs END,
+    CASE WHEN len(taken) < 5 AND NOT list_contains(cs, p_name) AND NOT list_contains(gs, p_type) THEN list_append(taken, p_partkey) ELSE taken END FROM a JOIN r ON r.p_brand = a.p_brand AND r.n = a.n + 1),
+b AS (SELECT p_brand, 0::bigint AS n, arg_max(cs, n) AS cs, arg_max(taken, n) AS taken FROM a GROUP BY 1
+  UNION ALL SELECT b.p_brand, r.n, CASE WHEN len(taken) < 5 AND NOT list_contains(cs, p_name) THEN list_append(cs, p_name) ELSE cs END, CASE WHEN len(taken) < 5 AND NOT list_contains(cs, p_name) THEN list_append(taken, p_partkey) ELSE taken END FROM b JOIN r ON r.p_brand = b.p_brand AND r.n = b.n + 1),
+c AS (SELECT p_brand, arg_max(taken, n) AS taken FROM b GROUP BY 1), d AS (SELECT unnest(taken) AS p_partkey, generate_subscripts(taken, 1) AS choice FROM c)
+SELECT p_partkey, p_brand, p_name, p_type, fit, choice FROM d JOIN r USING (p_partkey)""")
 def op_w06_diversify(t):
     rows = t("part").select("p_partkey", "p_brand", "p_name", "p_type", (F.col("p_size") * 2).alias("fit"))
     return sales.diversified(rows, "p_brand", "p_name", "p_type", ["-fit", "p_partkey"], 5)
@@ -185,6 +194,10 @@ def op_r08_mode(t):
     return t("part").select("p_partkey", scoring.mode(product, service).alias("mode"), fit.alias("fit"))
 
 
-@probe()
+@probe("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, event_id, n, true AS allowed, [ts] AS log FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, len(kept) < 3, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END FROM (SELECT e.user_id, e.event_id, e.n, e.ts, list_filter(r.log, lambda x: e.ts - x < INTERVAL 86400 SECOND) AS kept FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT user_id, event_id, allowed FROM r""")
 def op_t06_limiter(t):
     return sales.limiter(t("events"), "user_id", "ts", 3, 86400, "event_id")
