@@ -79,7 +79,7 @@ def op_r12_verdicts(t):
 
 @probe(f"""
 WITH {EVIDENCE_SQL},
-x AS (SELECT r.*, contains(words, brand) AS present FROM r JOIN v USING (filing) WHERE (CASE WHEN qualifying = 1 THEN domain = one ELSE false END) OR (legal <> '' AND (contains(legal, ' ') OR (length(legal) >= 8 AND legal NOT IN ({COMMON}))) AND contains(words, legal))
+x AS (SELECT r.* FROM r LEFT JOIN v USING (filing) WHERE (CASE WHEN qualifying = 1 THEN domain = one ELSE false END) OR (legal <> '' AND (contains(legal, ' ') OR (length(legal) >= 8 AND legal NOT IN ({COMMON}))) AND contains(words, legal))
   OR (brand <> '' AND (contains(words, brand)) AND (company OR (length(brand) >= 8 AND brand NOT IN ({COMMON}) AND {sql_any(R.SECTOR_WORDS, 'words')}))))
 SELECT filing, count(*) AS n, min(rank) AS first, count(DISTINCT CASE WHEN ends_with(domain, 'example.org') THEN url END) AS n_press FROM x GROUP BY 1""")
 def op_r13_attribution(t):
