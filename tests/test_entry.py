@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or pd.api.types.is_scalar(v) and pd.isna(v):
         return None
     if isinstance(v, bool):
         return v
