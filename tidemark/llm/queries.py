@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, pii, quality, sharding, simhash, substrings, toxicity, training_order
+from . import bpe, decontaminate, media, merkle, pii, quality, sharding, simhash, substrings, toxicity, training_order
 from .common import numbered, remainder, run_dir, table
 
 
@@ -73,6 +73,12 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.write_order(sequences, run_dir(spark, "shards"), placed=n, ids_type="<u2")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), altered=(tampered, {"text": merkle.lowered(F.col("text"))}))
+    return merkle.digest(found.proofs())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_pii": op2_pii,
@@ -84,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_training_order": op10_training_order,
+    "op13_merkle": op13_merkle,
 }
 
 ORACLES: dict[str, str] = {}
