@@ -74,35 +74,29 @@ class Cuckoo:
         """Put hashes in that are not members. False: too full, and then the filter is of no more use and must be made anew."""
         mark, bucket = self._place(hashes)
         rng = np.random.default_rng(len(hashes))
-        for step in range(ROUNDS):
-            left = ~self._settle(mark, bucket)
-            mark, bucket = mark[left], bucket[left]
-            if not len(mark):
-                return True
-            bucket = self._other(mark, bucket)
-            if step:
+        for _ in range(ROUNDS):
+            for _ in range(2):  # the one bucket, then the other
                 left = ~self._settle(mark, bucket)
-                mark, bucket = mark[left], bucket[left]
-                _, one = np.unique(bucket, return_index=True)  # one of each bucket pushes out a mark
-                slot = rng.integers(SLOTS, size=len(one))
-                out = self.slots[bucket[one], slot]
-                self.slots[bucket[one], slot] = mark[one]
-                mark[one] = out
-                bucket[one] = self._other(out, bucket[one])
+                mark, bucket = mark[left], self._other(mark[left], bucket[left])
+                if not len(mark):
+                    return True
+            _, one = np.unique(bucket, return_index=True)  # one for each bucket pushes out a mark
+            slot = rng.integers(SLOTS, size=len(one))
+            out = self.slots[bucket[one], slot]
+            self.slots[bucket[one], slot] = mark[one]
+            mark[one], bucket[one] = out, self._other(out, bucket[one])
         return False
 
     def remove(self, hashes: np.ndarray) -> int:
         """Take members out; gives how many were found. What is not a member must not be given: it could take out another."""
-        mark, a = self._place(hashes)
+        mark, bucket = self._place(hashes)
         found = 0
-        for bucket in (a, self._other(mark, a)):
+        for _ in range(2):
             here = self.slots[bucket] == mark[:, None]
             rank = ranked(bucket << 16 | mark)
             fits = rank < here.sum(1)
             slot = (np.cumsum(here, axis=1) == (rank + 1)[:, None]).argmax(1)
             self.slots[bucket[fits], slot[fits]] = 0
             found += int(fits.sum())
-            mark, a = mark[~fits], a[~fits]
-            if bucket is not a and not len(mark):
-                break
+            mark, bucket = mark[~fits], self._other(mark[~fits], bucket[~fits])
         return found

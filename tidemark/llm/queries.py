@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, media, merkle, pii, quality, sharding, simhash, substrings, toxicity, training_order
+from . import bpe, decontaminate, lexical, line_dedup, media, merkle, oracles, pii, quality, sharding, simhash, substrings, toxicity, training_order
 from .common import numbered, remainder, run_dir, table
 
 
@@ -73,6 +73,17 @@ def op10_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training_order.write_order(sequences, run_dir(spark, "shards"), placed=n, ids_type="<u2")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    index = line_dedup.LineIndex(spark, run_dir(spark, "lines"))
+    index.insert(docs)
+    return line_dedup.digest(index.clean(docs))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = merkle.manifest(table(spark, sf_dir, "documents"), altered=(tampered, {"text": merkle.lowered(F.col("text"))}))
@@ -90,7 +101,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_toxicity": op9_toxicity,
     "op10_training_order": op10_training_order,
+    "op11_lexical": op11_lexical,
+    "op12_line_dedup": op12_line_dedup,
     "op13_merkle": op13_merkle,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.SQL
