@@ -171,6 +171,22 @@ def test_without_reach_a_fingerprint_asks_in_one_shard_of_a_tree():
     assert sorted(rows.tolist()) == list(range(4000))
 
 
+def test_beyond_the_switch_each_fingerprint_asks_once_in_a_tree(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPARSE", 1000)
+    assert [simhash.reach_of(4, *x) for x in (simhash.FEW, simhash.MANY, (1, 1), (2, 1), (6, 3))] == [1, 0, 4, 2, 1]
+    rng = np.random.default_rng(5)
+    values = np.unique(rng.integers(0, 2**63, 3000))
+    values = np.unique(np.concatenate([values, values[:200] ^ 1 ^ (1 << rng.integers(1, 60, 200)) ^ (1 << rng.integers(1, 60, 200)) ^ (1 << 62)]))
+    nodes = spark.createDataFrame([(int(v),) for v in values], "fp long").repartition(3)
+    made = simhash.dealt(nodes, sample=500, shard_rows=100)
+    assert made.reach == 0
+    assert made.homes.count() == made.guests.count() == 15 * len(values)
+    got = {r["node"]: r["root"] for r in components(simhash.links(nodes, sample=500, shard_rows=100)).collect()}
+    near = np.bitwise_count((values[:, None] ^ values[None, :]).view(np.uint64)) <= 4
+    assert all(got.get(int(values[i]), i) == got.get(int(values[j]), j) for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True))
+    assert len(got) >= 400
+
+
 def test_simhash_null_ids_ties_and_empty(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (9, "a b c d e"), (3, "A B  C d e"), (9, "a b c d e"), (4, None), (2, "")], "doc_id long, text string")
     got = sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_duplicates(df).collect())
@@ -250,6 +266,21 @@ def test_wu_manber_skips_positions():
     assert set(range(20_000, 20_021)) <= set(where.tolist())
 
 
+def test_skipping_holds_with_many_items():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    spell = lambda x: " ".join(f"w{i}" for i in x.tolist())
+    items = [spell(rng.integers(0, 5000, 100)) for _ in range(20_000)]
+    block, search = decontaminate.build(pa.array(items)), decontaminate.Search(bits=decontaminate.table_bits(2_000_000))
+    search.add(block)
+    assert (search.shifts[10] == 0).mean() < 0.2
+    data = np.frombuffer(spell(rng.integers(0, 5000, 20_000)).encode(), np.uint8)
+    start, end, bounds = common.find_words(data, np.array([0, len(data)]), common.ALNUM_WORD)
+    search.starts(10, common.word_hashes(data, start, end), bounds)
+    assert search.looked < 0.35 * len(start)
+
+
 def test_decontaminate_repeated_items_and_large_ones(spark):
     long = " ".join(f"v{i}" for i in range(400))
     items = [(1, "one two three four five six seven eight nine ten")] * 200 + [(2, "one two three four five six seven eight nine ten")] * 200 + [(i, f"tiny{i}") for i in range(50)] + [(99, long)]

@@ -1,7 +1,7 @@
 """SimHash near-duplicates with vantage-point trees.
 
 Fingerprints of 64 bits link when they differ in at most `radius` of them. Their bits are cut into blocks; a linked
-pair differs in at most radius * together // blocks bits of some choice of `together` blocks (pigeonhole): its reach. The
+pair differs in few bits of some choice of `together` blocks, at most as many as if its bits were dealt evenly (pigeonhole): its reach. The
 Hamming distance on these bits is a distance too, never above that on all bits, so triangle bounds on it are safe, and at its
 small radius they prune well. For each choice a vantage-point tree of a bounded sample deals fingerprints into shards by their
 distance to vantage points. Every fingerprint lives in one shard and asks in each shard whose border its ball overlaps. In a
@@ -16,6 +16,7 @@ SPARSE fingerprints the choices are longer, two blocks of six, whose reach is 0:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -77,6 +78,12 @@ def block_masks(blocks: int, together: int = 1) -> list[int]:
     return [sum(x) for x in combinations([(1 << b) - (1 << a) for a, b in zip(edges, edges[1:], strict=False)], together)]
 
 
+def reach_of(radius: int, blocks: int, together: int) -> int:
+    """Bits in which a pair within the radius differs at most on the best choice of `together` of the blocks: on those with the fewest, dealt evenly."""
+    each, more = divmod(radius, blocks)
+    return together * each + max(0, together - (blocks - more))
+
+
 def distance(a: np.ndarray, b, mask: int) -> np.ndarray:
     return np.bitwise_count((a ^ b) & np.uint64(mask))
 
@@ -196,19 +203,29 @@ def link_shard(homes: np.ndarray, guests: np.ndarray, mask: int, reach: int, rad
     return every[child], every[root[child]]
 
 
-def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: tuple[int, int] | None = None, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints `fp` that connect whatever links within the radius connect."""
-    spark = nodes.sparkSession
-    edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+@dataclass(frozen=True)
+class Dealt:
+    """Fingerprints (shard, fp) as they live in shards and as they ask in them, and how shards are numbered."""
+
+    homes: DataFrame
+    guests: DataFrame
+    masks: list[int]
+    reach: int
+    cells: int
+    shards: int
+
+
+def dealt(nodes: DataFrame, *, radius: int = RADIUS, blocks: tuple[int, int] | None = None, sample: int = SAMPLE, shard_rows: int = SHARD_ROWS) -> Dealt:
+    """Deal distinct fingerprints `fp` into the shards of the trees."""
     n = nodes.count()
     of, together = blocks or (FEW if n <= SPARSE else MANY)
-    masks, reach = block_masks(of, together), radius * together // of
+    masks, reach = block_masks(of, together), reach_of(radius, of, together)
     picked = nodes.where(common.hash_share(F.xxhash64("fp"), n, sample)).select("fp").toArrow()["fp"].to_numpy()
     leaf = max(4, len(picked) * shard_rows // max(1, n))
     trees = [Tree(np.sort(picked).view(np.uint64), m, leaf) for m in masks]
     least = min(t.leaves for t in trees)
     cells = 1 if reach else max(1, n // (least * shard_rows))  # without reach, what links has one hash of the mask's bits
-    shared = spark.sparkContext.broadcast(trees)
+    shared = nodes.sparkSession.sparkContext.broadcast(trees)
 
     def deal(batches: Iterator[pa.RecordBatch], ball: int) -> Iterator[pa.RecordBatch]:
         for batch in common.gathered(batches, DEALT_ROWS):  # a tree is walked once for a batch
@@ -219,10 +236,16 @@ def links(nodes: DataFrame, *, radius: int = RADIUS, blocks: tuple[int, int] | N
                 shard = (leaves * len(masks) + b) * cells + cell.astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[rows].view(np.int64))], names=["shard", "fp"])
 
-    dealt = "shard long, fp long"
-    homes = nodes.select("fp").mapInArrow(lambda x: deal(x, 0), dealt)
-    guests = nodes.select("fp").mapInArrow(lambda x: deal(x, reach), dealt)
-    bound = 4 * max(shard_rows, n // (least * cells))  # four times what a shard holds on average: few are above
+    homes, guests = (nodes.select("fp").mapInArrow(lambda x, ball=ball: deal(x, ball), "shard long, fp long") for ball in (0, reach))
+    return Dealt(homes, guests, masks, reach, cells, least * cells)
+
+
+def links(nodes: DataFrame, *, radius: int = RADIUS, shard_rows: int = SHARD_ROWS, **more) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints `fp` that connect whatever links within the radius connect; `more` as for `dealt`."""
+    edge = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    made = dealt(nodes, radius=radius, shard_rows=shard_rows, **more)
+    homes, guests, masks, reach, cells = made.homes, made.guests, made.masks, made.reach, made.cells
+    bound = 4 * max(shard_rows, nodes.count() // made.shards)  # four times what a shard holds on average: few are above
     counts = homes.groupBy("shard").count().where(F.col("count") > bound)
     large = common.materialise(counts.select("shard", F.ceil(F.col("count") / bound).cast("int").alias("parts")), "large-shards")
     # the rows of a shard above the bound are dealt over parts, and its askers ask in each
