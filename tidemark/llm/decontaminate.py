@@ -31,6 +31,8 @@ from . import common
 WINDOW, BLOCK = 10, 3
 #: Bytes of benchmark text that one file of patterns is made of at most; the driver holds about 28 times as much while it makes one.
 BLOCK_BYTES = 8 << 20
+#: Cells of a shift table for each word of the benchmark, and their number (as a power of two) at least and at most.
+CELLS, FEWEST, MOST = 8, 16, 30
 #: Window starts that one lane of the lock-step search takes.
 LANE = 256
 #: Odd factors of a block's words.
@@ -144,17 +146,18 @@ def mapped(path: str, places: dict) -> Block:
 
 @dataclass
 class Search:
-    """The shift table of each pattern length over all blocks, and how many positions were looked at."""
+    """The shift table of each pattern length over all blocks, of 2 ** bits cells, and how many positions were looked at."""
 
     shifts: dict[int, np.ndarray] = field(default_factory=dict)
+    bits: int = FEWEST
     looked: int = 0
 
     def add(self, block: Block) -> None:
         for p in block.patterns:
             width = min(BLOCK, p.length)
-            shift = self.shifts.setdefault(p.length, np.full(1 << 16, p.length - width + 1, np.uint8))
+            shift = self.shifts.setdefault(p.length, np.full(1 << self.bits, p.length - width + 1, np.uint8))
             for j in range(p.length - width + 1):
-                np.minimum.at(shift, block_hash(block.words, p.first + j, width) >> np.uint64(48), np.uint8(p.length - width - j))
+                np.minimum.at(shift, block_hash(block.words, p.first + j, width) >> np.uint64(64 - self.bits), np.uint8(p.length - width - j))
 
     def starts(self, length: int, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts where the shift is zero, and their bucket. bounds: the first word of each text. Only blocks where a lane stands are hashed."""
@@ -168,7 +171,7 @@ class Search:
         while len(at):
             self.looked += len(at)
             suffix = block_hash(words, at + tail, width)
-            move = shift[suffix >> np.uint64(48)].astype(np.int64)
+            move = shift[suffix >> np.uint64(64 - self.bits)].astype(np.int64)
             hit = move == 0
             zero.append(at[hit])
             suffixes.append(suffix[hit])
@@ -179,6 +182,11 @@ class Search:
         return start, bucket(np.concatenate(suffixes), block_hash(words, start, width))
 
 
+def table_bits(words: int) -> int:
+    """The size of a shift table for so many words of benchmark: most cells stay without a block, so most positions are skipped."""
+    return min(MOST, max(FEWEST, (CELLS * words - 1).bit_length()))
+
+
 def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[Block, list]]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
     """Per text: its words, the stretches of hit words, the items found. blocks: each with the ids of its items."""
     data, at = common.text_bytes(batch[text])
@@ -215,12 +223,11 @@ def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[B
     return np.diff(bounds), hits, items
 
 
-def _parts(rows: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
+def _parts(rows: DataFrame, total: int, block_bytes: int) -> Iterator[list[tuple]]:
     """The benchmark's distinct rows (item, text) in parts of at most about block_bytes each, or of one row; one part where all fit.
 
     The rows come to the driver a partition at a time, and partitions by hash hold a part at most, about.
     """
-    total = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     if total > block_bytes:
         rows = rows.repartition(2 * -(-total // block_bytes), F.xxhash64("item", "text"))
     part, held = [], 0
@@ -247,10 +254,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("item_ids", T.ArrayType(benchmark.schema[item_id].dataType))]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in added}] + added)
     rows = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
-    search, files = Search(), []
+    total, words = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.coalesce(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0))).first()
+    search, files = Search(bits=table_bits(words)), []
     folder = tempfile.mkdtemp()  # the driver's own: Spark serves the files from there while the application runs
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    for part in _parts(rows, block_bytes):
+    for part in _parts(rows, total, block_bytes):
         block, path = build(pa.array([t for _, t in part], pa.string()), window), os.path.join(folder, f"patterns-{uuid.uuid4().hex}")
         if not block.patterns:
             continue
@@ -258,15 +266,21 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
         files.append((os.path.basename(path), save(block, path), [i for i, _ in part]))
         spark.sparkContext.addFile(path)
         del block
-    shared = spark.sparkContext.broadcast((search.shifts, files))
+    tables = {}
+    for length, shift in search.shifts.items():
+        tables[length] = f"shifts-{uuid.uuid4().hex}.npy"
+        np.save(os.path.join(folder, tables[length]), shift)
+        spark.sparkContext.addFile(os.path.join(folder, tables[length]))
+    shared, bits = spark.sparkContext.broadcast((tables, files)), search.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        shifts, files = shared.value
+        tables, files = shared.value
+        shifts = {n: np.load(SparkFiles.get(name), mmap_mode="r") for n, name in tables.items()}
         arrow, blocks = to_arrow_schema(schema), [(mapped(SparkFiles.get(name), places), ids) for name, places, ids in files]
         for batch in common.steps(batches, text):
-            n, hits, items = _scan(batch, text, Search(shifts), blocks)
+            n, hits, items = _scan(batch, text, Search(shifts, bits), blocks)
             kept = [batch[f.name].cast(arrow.field(f.name).type) for f in schema.fields[:-3]]
             more = [
                 pa.array(n, arrow.field("n_words").type),
