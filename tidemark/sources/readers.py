@@ -14,6 +14,7 @@ from .. import schemas
 from ..functions import dates as D
 from ..functions import text as X
 from ..functions import values as V
+from . import markup as M
 
 # Names of elements and columns of the published formats (fixed values).
 RECORD_TAGS = ("TradeMark", "TradeMarkRecord", "Trademark", "MarkRecord")
@@ -39,23 +40,6 @@ REGISTER_DATES = (("dd/MM/yyyy", None), ("yyyy-MM-dd", None))
 GOODS_LIMIT = 2000
 
 
-def _texts(record: Column, tag: str) -> Column:
-    """Non-empty texts of an element, whatever its namespace prefix."""
-    found = F.regexp_extract_all(record, F.lit(rf"<(?:\w+:)?{tag}(?:\s[^>]*)?>\s*([^<]*?)\s*<"), F.lit(1))
-    return F.filter(found, lambda x: x != "")
-
-
-def _unescaped(c: Column) -> Column:
-    for code, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(code), F.lit(char))
-    return c
-
-
-def first_text(record: Column, tags: tuple[str, ...]) -> Column:
-    """The first non-empty text by the order of the names, then of the document; null if none."""
-    return _unescaped(F.coalesce(*[F.get(_texts(record, t), F.lit(0)) for t in tags]))
-
-
 def _record_ends(spark: SparkSession, path: str, tags: tuple[str, ...]) -> dict[str, list[str]]:
     """The names that records end with, with their prefix, and the files in which each occurs."""
     pieces = spark.read.option("lineSep", ">").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_extract("value", rf"</((?:\w+:)?(?:{'|'.join(tags)}))\s*$", 1).alias("end"))
@@ -66,34 +50,42 @@ def _record_ends(spark: SparkSession, path: str, tags: tuple[str, ...]) -> dict[
 def read_filings_xml(spark: SparkSession, path: str, batch_id: str, source_name: str = "xml", source_url: str | None = None, tags: tuple[str, ...] = RECORD_TAGS) -> DataFrame:
     """Filings of register XML, plain or gzip, any namespace.
 
-    The text is split at the records' end tags, which are looked for first, and fields are found in each record's own text, so
+    The text is split at the records' end tags, which are looked for first, and each record's elements are found in its own text, so
     that a record that is not well formed costs no other record, and files are split between tasks. A file is read once for
-    each end tag that it has, which is one. A date that no format reads is null; classes outside 1 to 45 go; records without
-    a number go.
+    each end tag that it has, which is one.
     """
     out = spark.createDataFrame([], "r string, ordinal long")
     for end, files in _record_ends(spark, path, tags).items():
         raw = spark.read.option("lineSep", f"</{end}>").text(files)
         record = F.regexp_extract("value", rf"(?s)(<{end}(?:\s[^>]*)?>.*)$", 1)
         out = out.unionByName(raw.select(record.alias("r"), F.monotonically_increasing_id().alias("ordinal")).where("r <> ''"))
-    r = F.col("r")
-    scope = F.coalesce(*[F.nullif(F.regexp_extract(r, rf"(?s)(<(?:\w+:)?{t}[\s>].*)$", 1), F.lit("")) for t in APPLICANT_TAGS])
-    goods = F.array_join(F.flatten(F.array(*[_texts(r, t) for t in GOODS_TAGS])), " ")
-    goods = F.nullif(X.summarise(_unescaped(goods), GOODS_LIMIT), F.lit(""))
-    classes = V.class_list(F.array_join(F.flatten(F.array(*[_texts(r, t) for t in CLASS_TAGS])), ","))
-    rows = out.select(
-        *[first_text(r, ALIASES[c]).alias(c) for c in ("filing_id", "mark_text", "mark_type", "mark_category")],
-        *[D.parse(first_text(r, ALIASES[c]), *XML_DATES).alias(c) for c in ("filing_date", "publication_date")],
-        first_text(scope, NAME_TAGS).alias("applicant_name"),
-        first_text(scope, COUNTRY_TAGS).alias("applicant_country"),
+    return filings_of(out, "r", F.lit(batch_id), source_name, source_url)
+
+
+def filings_of(records: DataFrame, record: str, batch_id: Column, source_name: str = "xml", source_url: str | None = None) -> DataFrame:
+    """Filings of records (record, ordinal): XML texts, each of one filing, which need not be well formed.
+
+    Fields are looked up by their names' order, then the document's. The applicant's are those within its first element; where there is none,
+    of the whole record. A date that no format reads is null; classes outside 1 to 45 go; records without a number go.
+    """
+    rows = M.with_elements(records.select(F.col(record).alias("_r"), batch_id.alias("batch_id"), "ordinal"), "_r", "_e")
+    e = F.col("_e")
+    first = lambda c: M.first_text(e, ALIASES[c])
+    scope = F.when(F.size(M.named(e, *APPLICANT_TAGS)) > 0, M.inside(e, *APPLICANT_TAGS)).otherwise(e)
+    goods = F.nullif(X.summarise(F.array_join(M.texts(e, *GOODS_TAGS), " "), GOODS_LIMIT), F.lit(""))
+    rows = rows.select(
+        *[first(c).alias(c) for c in ("filing_id", "mark_text", "mark_type", "mark_category")],
+        *[D.parse(first(c), *XML_DATES).alias(c) for c in ("filing_date", "publication_date")],
+        M.first_text(scope, NAME_TAGS).alias("applicant_name"),
+        M.first_text(scope, COUNTRY_TAGS).alias("applicant_country"),
         F.lit(None).cast("string").alias("applicant_region"),
-        X.postcode_area(first_text(scope, POSTCODE_TAGS)).alias("applicant_postcode_area"),
-        classes.alias("nice_classes"),
+        X.postcode_area(M.first_text(scope, POSTCODE_TAGS)).alias("applicant_postcode_area"),
+        V.class_list(F.array_join(M.texts(e, *CLASS_TAGS), ",")).alias("nice_classes"),
         goods.alias("goods_text"),
         goods.isNotNull().alias("goods_text_available"),
-        F.coalesce(first_text(r, ALIASES["series_count"]).try_cast("int"), F.lit(0)).alias("series_count"),
-        first_text(r, ALIASES["status"]).alias("status"),
-        F.lit(batch_id).alias("batch_id"), F.lit(source_url).cast("string").alias("source_url"), F.lit(source_name).alias("source_name"), "ordinal",
+        F.coalesce(first("series_count").try_cast("int"), F.lit(0)).alias("series_count"),
+        first("status").alias("status"),
+        "batch_id", F.lit(source_url).cast("string").alias("source_url"), F.lit(source_name).alias("source_name"), "ordinal",
     )
     return rows.where("filing_id is not null")
 
