@@ -1,17 +1,20 @@
 """SimHash near-duplicates whose links are those of an exact Jaccard similarity: simhash.near_duplicates with `similar`.
 
 Texts link when the sets of their shingles have a Jaccard similarity of 0.8 at least. The vantage-point trees find the pairs whose
-fingerprints lie within the radius, and each is confirmed on its whole sets. But at 0.8 fingerprints of 64 bits lie 10 bits
-apart on average and up to 18, where no triangle bound prunes; so pairs that are then still apart are looked for by minimal
-hashes: sets of a similarity of 0.8 have the least hash in common with a chance of 0.8, four of them with 0.41, and of 24 bands of
-four they miss all with a chance of 3 in a million. What meets in a band is compared as whole sets. A large group of near
-copies is first linked to one member of each band; only pairs that are then still apart are looked at, and a band whose texts
-are all linked is looked at no more. Equal sets are one node throughout.
+fingerprints lie within the radius. But at 0.8 fingerprints of 64 bits lie 10 bits apart on average and up to 18, where no
+triangle bound prunes; so there are candidates by minimal hashes too: sets of a similarity of 0.8 have the least hash in common
+with a chance of 0.8, four of them with 0.41, and of 24 bands of four they miss all with a chance of 3 in a million. Candidates, those of
+the trees and those that share a band, are ids only, and connect texts into clusters. The sets of a cluster's texts go once to the
+task that has the cluster, and there the exact links are found by prefixes: of two sets that link one of the rarest fifth of
+their shingles is shared. A passage that very many texts have is never among a set's rarest shingles unless it makes up most of it, so
+such texts don't meet. A cluster whose sets are larger than a task should hold goes another way, in rounds over its bands.
+Equal sets are one node throughout.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +30,9 @@ from .components import components
 SHINGLE, LEAST = 5, (4, 5)
 #: Bands of minimal hashes, and hashes of a band.
 BANDS, WIDTH = 24, 4
-#: Rounds that link to one member of a band while the pairs left are more than so many a posting.
+#: Bytes of the sets of a cluster that one task takes.
+CLUSTER_BYTES = 128 << 20
+#: Of larger clusters: rounds that link to one member of a band while the pairs left are more than so many a posting.
 STARS, PAIRS = 4, 4
 #: Odd factors that give each minimal hash its order.
 _FACTORS = common.mix(np.arange(1, 1 + BANDS * WIDTH, dtype=np.uint64)) | np.uint64(1)
@@ -106,18 +111,112 @@ def by_fingerprints(found: DataFrame, radius: int, tree: dict) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def linked(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest, as pairs of places, of the links between sets: of all pairs with a Jaccard similarity of 0.8 at least.
+
+    A set is compared with earlier ones that share a shingle of its prefix, with one component after the other, and with a component only
+    until they link: so a large group of near copies costs a few comparisons each.
+    """
+    size = np.array([len(x) for x in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    order = np.lexsort((token, count[token], of))
+    prefix = size + LEAST[0] * size // -LEAST[1] + 1  # size - ceil(0.8 size) + 1
+    keep = (np.arange(len(of)) - first[of] < prefix[of]) & (count[token[order]] > 1)
+    asks = np.split(token[order][keep], np.searchsorted(of[keep], np.arange(1, len(sets))))
+    own = np.split(token, first[1:])
+    parent = list(range(len(sets)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    mine, seen, a, b = np.zeros(len(count), bool), {}, [], []
+    for i, asked in enumerate(asks):
+        mine[own[i]] = True
+        tried: set[int] = set()
+        for t in asked.tolist():
+            groups = seen.setdefault(t, {})  # the sets before that have t in their prefix, by component
+            for r in [r for r in groups if find(r) != r]:
+                groups.setdefault(find(r), []).extend(groups.pop(r))
+            for r, members in list(groups.items()):
+                if find(r) == find(i):
+                    continue
+                fresh = (j for j in members if j not in tried and LEAST[1] * min(size[i], size[j]) >= LEAST[0] * max(size[i], size[j]))
+                step = 1
+                while some := list(islice(fresh, step)):
+                    tried.update(some)
+                    step = min(4 * step, 1024)
+                    shared = np.add.reduceat(mine[np.concatenate([own[j] for j in some])], np.concatenate([[0], np.cumsum(size[some])[:-1]]), dtype=np.int64)
+                    good = np.flatnonzero(LEAST[1] * shared >= LEAST[0] * (size[i] + size[some] - shared))
+                    if len(good):
+                        a.append(i)
+                        b.append(some[good[0]])
+                        parent[find(r)] = find(i)
+                        break
+            groups.setdefault(find(i), []).append(i)
+        mine[own[i]] = False
+    return a, b
+
+
+def within_clusters(clusters: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) of the clusters' nodes (node, root), each cluster in one task; texts: (node, text), one for each node."""
+    rows = clusters.join(texts, "node").select("root", "node", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(batches, "text"):
+            found = shingle_sets(batch["text"], shingle)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["root"], batch["node"], lists], names=["root", "node", "shingles"])
+
+    def join(rows: pa.Table) -> pa.Table:
+        node, column = rows["node"].to_numpy(), rows["shingles"].combine_chunks()
+        flat, cuts = column.flatten().to_numpy().view(np.uint64), np.cumsum(column.value_lengths().to_numpy())[:-1]
+        a, b = linked(np.split(flat, cuts))
+        return pa.table({"a": node[np.array(a, np.int64)], "b": node[np.array(b, np.int64)]})
+
+    return common.map_texts(rows, sets, "root long, node long, shingles array<long>").groupBy("root").applyInArrow(join, "a long, b long")
+
+
+def band_pairs(found: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the nodes of each band: all with the smallest."""
+    posts = found.select("node", F.explode("bands").alias("h")).distinct()
+    heads = posts.groupBy("h").agg(F.min("node").alias("b"), F.max("node").alias("_last")).where("b <> _last").select("h", "b")
+    return posts.join(heads, "h").where("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
 def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = simhash.RADIUS, **tree) -> DataFrame:
     """What simhash.near_duplicates gives with `similar`; ids are not null."""
     found = common.materialise(nodes(docs, doc_id, text, shingle), "near-nodes")
-    least = common.materialise(found.groupBy("node").agg(F.min(doc_id).alias("first")), "near-first")
+    least = common.materialise(found.groupBy("node").agg(F.min(doc_id).alias("first"), F.first("n").alias("n")), "near-first")
+    pairs = common.materialise(by_fingerprints(found, radius, tree).unionByName(band_pairs(found)), "near-pairs")
+    clusters = components(pairs).join(least.where("n > 0"), "node")
+    sized = clusters.groupBy("root").agg((F.sum("n") * 8 > CLUSTER_BYTES).alias("large"))
+    clusters = common.materialise(clusters.join(sized, "root").select("node", "root", "first", "large"), "near-clusters")
     source = docs.select(F.col(doc_id).alias("first"), F.col(text).alias("text"))
+    asked = clusters.where("not large").select("node", "first").hint("merge")  # the same plan at every size
+    texts = source.join(asked, "first").groupBy("node").agg(F.min("text").alias("text"))
+    links = common.materialise(within_clusters(clusters.where("not large").select("node", "root"), texts, shingle), "near-links")
+    large = clusters.where("large")
+    if not large.isEmpty():
+        links = links.unionByName(in_rounds(found.join(large.select("node"), "node", "left_semi"), pairs.join(large.select(F.col("node").alias("a")), "a", "left_semi"), least, source, shingle))
+    label = simhash.smallest(least.select("node", "first"), "node", components(links))
+    return found.select(doc_id, "fp", "node").join(label, "node").select(doc_id, simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def in_rounds(found: DataFrame, pairs: DataFrame, least: DataFrame, source: DataFrame, shingle: int) -> DataFrame:
+    """Links (a, b) between nodes by their bands: each round links what is apart to one member of each band, the last compares what then
+    still is. pairs: candidates besides the bands; every pair's texts are joined to it to be compared."""
 
     def good(pair: DataFrame) -> DataFrame:
         asked = pair.select(F.col("a").alias("node")).unionByName(pair.select(F.col("b").alias("node"))).distinct()
-        texts = source.join(asked.join(least, "node"), "first").groupBy("node").agg(F.min("text").alias("text"))
+        texts = source.join(asked.join(least.select("node", "first"), "node"), "first").groupBy("node").agg(F.min("text").alias("text"))
         return common.materialise(confirmed(pair, texts, shingle), "near-links")
 
-    links = good(common.materialise(by_fingerprints(found, radius, tree), "near-pairs"))
+    links = good(pairs)
     roots = components(links)
     one = found.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands")).select("node", "n", F.explode("bands").alias("h"))
     met = one.groupBy("h").agg(F.count("*").alias("m")).where("m > 1").select("h")
@@ -143,5 +242,4 @@ def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         if last:
             break
         posts = rows.select("h", "node", "n")
-    label = simhash.smallest(least, "node", roots)
-    return found.select(doc_id, "fp", "node").join(label, "node").select(doc_id, simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+    return links
