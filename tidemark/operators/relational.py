@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 Rule = tuple[str, Column]
 #: Rules of a table that may be compared with every row.
 FEW_RULES = 10_000
@@ -167,14 +169,14 @@ def budgeted(df: DataFrame, n: int, key: str, *order: Column | str) -> DataFrame
 def duplicates(df: DataFrame, order: str, keys: dict[str, Column]) -> DataFrame:
     """Rows that share a key with an earlier row: (order, duplicate_of, why), the first key in order that does.
 
-    Each row is linked to the first of its group, never to all others. Null and empty keys link nothing.
+    Each row is linked to the first of its group, never to all others. Null and empty keys link nothing. The rows are read once: their
+    keys are written, one row for each, and what follows is one grouped minimum and one join.
     """
-    found = []
-    for i, (name, key) in enumerate(keys.items()):
-        keyed = df.select(F.col(order), key.alias("_k")).where(F.col("_k").isNotNull() & (F.col("_k").cast("string") != ""))
-        least = keyed.groupBy("_k").agg(F.min(order).alias("duplicate_of"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-        found.append(keyed.join(least, "_k").where(F.col(order) > F.col("duplicate_of")).select(order, "duplicate_of", F.lit(name).alias("why"), F.lit(i).alias("_i")))
-    return keep_first(reduce(DataFrame.unionByName, found), [order], "_i", "duplicate_of").drop("_i")
+    each = F.array(*[F.struct(F.lit(i).alias("_i"), key.cast("string").alias("_k")) for i, key in enumerate(keys.values())])
+    keyed = cut(df.select(F.col(order), F.explode(each).alias("x")).select(order, "x.*").where("_k <> ''"), "keys")
+    least = keyed.groupBy("_i", "_k").agg(F.min(order).alias("duplicate_of"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    found = keyed.join(least, ["_i", "_k"]).where(F.col(order) > F.col("duplicate_of")).groupBy(order).agg(F.min(F.struct("_i", "duplicate_of")).alias("x"))
+    return found.select(order, "x.duplicate_of", F.get(F.array(*map(F.lit, keys)), F.col("x._i")).alias("why"))
 
 
 def insert_missing(new: DataFrame, stored: DataFrame, keys: list[str], *order: Column | str) -> DataFrame:

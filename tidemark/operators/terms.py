@@ -165,6 +165,15 @@ def with_terms(df: DataFrame, column: str, terms: list[str], name: str = "terms"
     return df.mapInArrow(run, schema)
 
 
+def term_list(df: DataFrame, column: str, most_bytes: int = 16 << 20) -> list[str]:
+    """A column's distinct values, sorted, for a list of terms; more than most_bytes of them is an error, as the list goes to all tasks."""
+    values = df.select(F.col(column).alias("t")).where("t <> ''").distinct()
+    size = values.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"{size} bytes of terms; {most_bytes} are allowed")
+    return [r["t"] for r in values.orderBy("t").toLocalIterator()]
+
+
 def matched_rules(df: DataFrame, column: str, rules: list[tuple[str, str]], name: str = "rule", *, cells: int = CELLS) -> DataFrame:
     """Add the group of the first term, in the order of the rules (term, group), that a text contains; null if none."""
     groups: dict[str, str] = {}

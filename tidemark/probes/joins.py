@@ -9,6 +9,7 @@ from ..operators import consolidate as C
 from ..operators import evidence as E
 from ..operators import matching as M
 from ..operators import relational as rel
+from ..operators import similar
 from ..operators import sales
 from .registry import probe
 
@@ -132,6 +133,18 @@ def op_j21_suppress(t):
     return rel.blocked(t("customer"), [("key", supplier.select(F.col("s_suppkey").alias("c_custkey")), "c_custkey"), ("nation", supplier.where("s_acctbal < 500").select(F.col("s_nationkey").alias("c_nationkey")), "c_nationkey")]).select("c_custkey", "blocked_by")
 
 
+@probe(r"""
+WITH s AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda w: w <> ''))) AS x FROM documents),
+c AS (SELECT min(doc_id) AS class, x, len(x) AS n FROM s WHERE len(x) > 0 GROUP BY x),
+p AS (SELECT a.class AS a, b.class AS b, len(list_intersect(a.x, b.x)) AS shared, a.n + b.n AS n FROM c a JOIN c b ON a.class < b.class AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)),
+l AS (SELECT unnest([a, b]) AS class FROM p WHERE 10 * shared >= 7 * (n - shared)), m AS (SELECT class, count(*) AS links FROM l GROUP BY class)
+SELECT s.doc_id, c.class, coalesce(m.links, 0) AS links FROM s LEFT JOIN c ON s.x = c.x LEFT JOIN m ON c.class = m.class""")
+def op_x07_similar(t):
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: w != "")
+    found = similar.similar_sets(t("documents"), "doc_id", words)
+    return similar.linked(found).withColumnRenamed("id", "doc_id")
+
+
 @probe(r"""
 WITH k AS (SELECT doc_id, md5(text) AS t, md5(lower(regexp_replace(text, '[^A-Za-z]', '', 'g'))) AS h FROM documents), d AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS a, min(doc_id) OVER (PARTITION BY h) AS b FROM k)
 SELECT doc_id, CASE WHEN a < doc_id THEN a ELSE b END AS duplicate_of, CASE WHEN a < doc_id THEN 'text' ELSE 'letters' END AS why FROM d WHERE a < doc_id OR b < doc_id""")

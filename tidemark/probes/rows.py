@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import values as V
 from ..operators import goods as G
 from ..operators import relational as rel
-from ..operators import sales, scoring
+from ..operators import sales, scoring, terms
 from .registry import probe
 from .scalars import sql_hits
 
@@ -31,6 +31,16 @@ def op_f07_first_keyword(t):
     return t("documents").select("doc_id", X.first_of(WORDS["first"], low).alias("keyword"), X.hits(WORDS["first"], low).alias("n_first"), X.hits(WORDS["second"], low).alias("n_second"))
 
 
+@probe(r"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark),
+h AS (SELECT doc_id, list(w ORDER BY w) AS ws FROM documents, w WHERE contains(lower(text), w) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ws), 0)::int AS n_terms, ws[1] AS first_term, md5(coalesce(array_to_string(ws, ','), '')) AS terms_md5 FROM documents d LEFT JOIN h ON d.doc_id = h.doc_id""")
+def op_x09_terms(t):
+    words = terms.term_list(t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))).alias("w")), "w")
+    rows = terms.with_terms(t("documents").select("doc_id", F.lower("text").alias("low")), "low", words)
+    return rows.select("doc_id", F.size("terms").alias("n_terms"), F.get("terms", F.lit(0))["term"].alias("first_term"), F.md5(F.array_join("terms.term", ",").cast("binary")).alias("terms_md5"))
+
+
 @probe("""
 WITH c AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS c FROM lineitem GROUP BY 1),
 r AS (SELECT l_orderkey, len(c)::int AS n, CASE WHEN len(list_filter(c, lambda x: x <> 7)) = 0 THEN 'only_7' WHEN len(list_filter(c, lambda x: x NOT IN (5, 6))) = 0 THEN 'only_5_6' WHEN NOT list_has_any(c, [1, 2, 3]) THEN 'no_main' WHEN NOT list_has_any(c, [1, 2]) THEN 'supporting_only' END AS reason, list_has_any(c, [1, 2, 3]) AS has_main FROM c)

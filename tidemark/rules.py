@@ -119,7 +119,7 @@ COMPANY_TIES = ("company_number_match", "company_name_match", "location_match",
 BRAND_LINKS = ("exact_domain_brand_match", "partial_domain_brand_match", "brand_in_title")
 VERIFIED_LEAST, PROBABLE_LEAST, DISTINCTIVE_LENGTH = 4, 3, 8
 #: Phrases of pages (fixed values).
-LAUNCH_PHRASES = ("coming soon", "launching soon", "pre-order", "preorder", "new brand", "we launched", "founded in", "our story", "crowdfunding", "crowdfunder", "kickstarter", "seedrs", "stockists", "wholesale enquiries")
+LAUNCH_PHRASES = ("coming soon", "launching soon", "pre-order", "preorder", "new brand", "we launched", "founded in", "our story", "crowdfunding", "crowdfunder", "kickstarter", "seedrs", "stockists", "wholesale enquiries", "trade enquiries", "sample pack")
 SHOP_PHRASES = ("add to basket", "add to cart", "shop now", "buy now", "our shop", "£")
 ESTABLISHED_PHRASES = (
     "since 18", "since 19", "since 20", "nationwide", "available in over", "stocked in over", "our factories", "our factory", "global brand", "worldwide", "annual revenue",
