@@ -10,6 +10,7 @@ from tidemark.operators import matching as M
 from tidemark.operators import relational as rel
 from tidemark.operators import reports, sales
 from tidemark.operators import scoring as S
+from tidemark.operators import verification as VE
 
 
 def test_first_reason_wins_and_null_does_not_fire(spark):
@@ -82,17 +83,17 @@ def test_group_with_head_noun_bonus_and_first_of_ties(spark):
     assert got("plain") is None
 
 
-@pytest.mark.parametrize(("n", "band"), [(79, "MEDIUM"), (80, "HIGH"), (60, "MEDIUM"), (59, "LOW"), (0, "NONE")])
+@pytest.mark.parametrize(("n", "band"), [(79, "MEDIUM"), (80, "HIGH"), (60, "MEDIUM"), (59, "SUPPRESS"), (0, "SUPPRESS")])
 def test_band_edges(spark, n, band):
     assert spark.range(1).select(S.band(F.lit(n))).first()[0] == band
 
 
 def test_score_clamps_caps_in_turn_and_orders_reasons(spark):
     age = F.lit(1.0)
-    reasons = S.fired({**S.age_conditions(age), "first_filing": F.lit(True), "single_mark": F.lit(None).cast("boolean"), "services": F.lit(True)}, {"age_phrase": F.lit("12 months")}, 76 / 56)
+    reasons = S.fired({"company_incorporated_within_12m": age <= 1, "company_incorporated_within_24m": (age > 1) & (age <= 2), "first_trademark_for_applicant": F.lit(True), "single_mark_this_journal": F.lit(None).cast("boolean"), "many_classes": F.lit(True)}, {"age_phrase": F.lit("12 months before its"), "n_classes": F.lit(9)}, 76 / 56)
     row = spark.range(1).select(reasons.alias("r")).select(S.total(F.col("r")).alias("n"), S.top_reasons(F.col("r")).alias("t")).first()
     assert row["n"] == 25 + 16 + 11 - 8  # halves to even, negatives as they are
-    assert row["t"] == ["incorporated 12 months ago", "first filing by this applicant", "goods include services"]
+    assert row["t"] == ["incorporated 12 months before its filing", "first filing by this applicant", "covers 9 classes"]
     score, why = S.capped(F.lit(90), [("a", F.lit(True), 79), ("b", F.lit(True), 74), ("c", F.lit(False), 10)])
     assert tuple(spark.range(1).select(score, why).first()) == (74, "b")
 
@@ -103,9 +104,11 @@ def test_scale_is_computed_from_the_rules():
 
 
 def test_verdicts(spark):
-    rows = [("a", "x.com", 5), ("a", "y.com", 6), ("b", "x.com", 5), ("c", "x.com", 3), ("d", "x.com", 1)]
-    w = spark.createDataFrame(rows, "k string, domain string, weight int").withColumn("pages", F.lit(1))
-    assert {r["k"]: (r["verdict"], r["website"]) for r in E.verdicts(w, "k").collect()} == {"a": ("CONFLICTING", None), "b": ("VERIFIED", "x.com"), "c": ("PROBABLE", None), "d": ("UNVERIFIED", None)}
+    one, two = ["exact_domain_brand_match", "company_name_match"], ["brand_in_title"]
+    rows = [("a", "x.com", 5, one), ("a", "y.com", 6, one), ("b", "x.com", 6, one), ("c", "x.com", 3, two), ("d", "x.com", 1, two)]
+    w = spark.createDataFrame(rows, "k string, domain string, weight int, keys array<string>").selectExpr("*", "1 pages", "1 first", "'oat' _brand", "'https://' || domain || '/a' url")
+    got = {r["k"]: (r["verdict"], r["website"], r["site"]) for r in VE.verdicts(w, "k").collect()}
+    assert got == {"a": ("CONFLICTING", None, None), "b": ("VERIFIED", "x.com", "https://x.com"), "c": ("PROBABLE", None, None), "d": ("UNVERIFIED", None, None)}
 
 
 def test_domain_classes_by_suffix(spark):
@@ -212,11 +215,11 @@ def test_pairs_that_share_a_token_or_hold_a_key(spark):
 def test_report_rules(spark):
     counts = spark.createDataFrame([(10, 20, 4), (5, 5, 0), (9, 9, 9)], "food_class int, packaged int, matched int")
     assert [r["concern"] for r in reports.match_concerns(counts).collect()] == ["few applicants were matched", "no applicant was matched", None]
-    rows = [("a", "HIGH", None, 90, None, "x"), ("b", "HIGH", "1", 60, None, " "), ("c", "LOW", "1", 60, 200, "x")]
+    rows = [("a", "HIGH", None, 90, None, "x"), ("b", "HIGH", "1", 60, None, " "), ("c", "SUPPRESS", "1", 60, 200, "x")]
     df = spark.createDataFrame(rows, "id string, band string, number string, confidence int, late int, brand string").withColumn("filed", F.lit(date(2025, 1, 1)))
     checks = reports.output_checks(band=F.col("band"), number=F.col("number"), confidence=F.col("confidence"), incorporated=F.date_add("filed", F.col("late")), filed=F.col("filed"), brand=F.col("brand"))
     assert [tuple(r) for r in reports.suspicious(df, "id", checks).collect()] == [("a", "high_without_company"), ("b", "high_on_weak_match"), ("b", "no_brand"), ("c", "incorporated_after_filing")]
-    assert tuple(reports.band_counts(df, F.col("band")).first()) == (2, 0, 1, 0)
+    assert tuple(reports.band_counts(df, F.col("band")).first()) == (2, 0, 1)
     levels = rel.thresholds(spark.createDataFrame([(80, "w1"), (60, "w2"), (10, "w2")], "s int, w string"), F.col("s"), [75, 50], "w")
     assert [tuple(r) for r in levels.collect()] == [(75, 1, 0.5), (50, 2, 1.0)]
     bad = rel.with_detail(rel.decide(spark.createDataFrame([(1, "FR"), (2, "GB")], "id int, c string"), "s", [("abroad", F.col("c") == "FR")]), {"abroad": F.col("c")})

@@ -1,8 +1,8 @@
-"""Web evidence: search results to weighted domains, a verdict for each filing, and maturity."""
+"""Web evidence: the search results of each filing, and the classes of their domains."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -30,57 +30,3 @@ def classified(df: DataFrame, domain: str = "domain", classes: tuple = R.DOMAIN_
     hit = hosts.select(domain, F.explode(X.domain_suffixes(F.col(domain))).alias("suffix")).join(F.broadcast(rules), "suffix")
     first = hit.groupBy(domain).agg(F.min_by("domain_class", "class_ord").alias("domain_class"))
     return df.join(first, domain, "left").withColumn("domain_class", F.coalesce("domain_class", F.lit("own")))
-
-
-def signals(brand: Column, company: Column, domain: Column, title: Column, snippet: Column) -> Column:
-    """The weighted signals of one result, as an array of (key, weight)."""
-    b, c, words = X.normalise(brand), X.company_name(company), X.normalise(F.concat_ws(" ", title, snippet))
-    fired = {
-        "brand_in_domain": (F.length(b) > 2) & F.contains(domain, F.replace(b, F.lit(" "), F.lit(""))),
-        "company_on_page": (c != "") & (c != b) & F.contains(words, c),
-        "brand_in_title": (b != "") & F.contains(X.normalise(title), b),
-        "sector_words": F.coalesce(*[F.when(F.contains(words, F.lit(w)), True) for g in R.GROUPS.values() for w in g], F.lit(False)),
-    }
-    return F.array_compact(F.array(*[F.when(v, F.struct(F.lit(k).alias("key"), F.lit(R.SIGNAL_WEIGHTS[k]).alias("weight"))) for k, v in fired.items()]))
-
-
-def is_distinctive(brand: Column) -> Column:
-    """Two tokens, or one uncommon of eight characters or more."""
-    words = X.tokens(X.normalise(brand))
-    return (F.size(words) >= 2) | ((F.size(words) == 1) & (F.length(words[0]) >= 8) & ~words[0].isin(*X.COMMON_WORDS))
-
-
-def domain_weights(results: DataFrame, key: str) -> DataFrame:
-    """(key, domain, weight, keys, pages) over the results' `signals`, each signal once for a domain."""
-    each = results.select(key, "domain", "url", F.explode_outer("signals").alias("s")).groupBy(key, "domain").agg(F.collect_set("s").alias("set"), F.count_distinct("url").alias("pages"))
-    return each.select(key, "domain", F.aggregate("set", F.lit(0), lambda n, s: n + s["weight"]).alias("weight"), F.array_sort(F.transform("set", lambda s: s["key"])).alias("keys"), "pages")
-
-
-def verdicts(weights: DataFrame, key: str, qualifies: int = 5, probable: int = 3) -> DataFrame:
-    """CONFLICTING for several qualifying domains, VERIFIED for one, PROBABLE for a best weight of `probable`, else UNVERIFIED."""
-    best = weights.groupBy(key).agg(F.count_if(F.col("weight") >= qualifies).alias("qualifying"), F.max("weight").alias("best"), F.max_by("domain", F.struct("weight", "pages", "domain")).alias("best_domain"))
-    verdict = F.when(F.col("qualifying") > 1, "CONFLICTING").when(F.col("qualifying") == 1, "VERIFIED").when(F.col("best") >= probable, "PROBABLE").otherwise("UNVERIFIED")
-    return best.withColumn("verdict", verdict).withColumn("website", F.when(verdict == "VERIFIED", F.col("best_domain")))
-
-
-def attributed(domain: Column, website: Column, words: Column, brand: Column, company: Column) -> Column:
-    """Whether a page is about the filing: its accepted domain, its legal name, its brand and company, or a distinctive brand with sector words."""
-    b, c = X.normalise(brand), X.company_name(company)
-    sector = F.coalesce(*[F.when(F.contains(words, F.lit(w)), True) for g in R.GROUPS.values() for w in g], F.lit(False))
-    return F.coalesce(domain == website, F.lit(False)) | ((c != "") & (c != b) & F.contains(words, c)) | (is_distinctive(brand) & F.contains(words, b) & sector)
-
-
-def maturity(retailers: Column, press: Column, phrases: Column, encyclopaedia: Column) -> Column:
-    """Why a brand is established, the first that holds; null if it is not."""
-    return F.when(retailers >= 2, "several retailers").when(encyclopaedia, "encyclopaedia entry").when(press >= 3, "press").when(phrases >= 2, "heritage phrases").when((retailers >= 1) & (phrases >= 1), "retailer and phrase")
-
-
-def launch_stage(has_site: Column, sells: Column, launch_words: Column, retailers: Column) -> Column:
-    return F.when(retailers > 0, "LAUNCHED").when(sells, "LAUNCHED").when(launch_words, "PRE_LAUNCH").when(has_site, "EARLY").otherwise("UNKNOWN")
-
-
-def summary(results: DataFrame, key: str) -> DataFrame:
-    """Distinct retailers, marketplaces, social sites and press of each filing, sorted, and their counts."""
-    names = {"retailer": "retailers", "marketplace": "marketplaces", "social": "socials", "press": "press"}
-    sets = [F.array_sort(F.collect_set(F.when(F.col("domain_class") == c, F.col("domain")))).alias(n) for c, n in names.items()]
-    return results.groupBy(key).agg(*sets).withColumns({f"n_{n}": F.size(n) for n in names.values()})

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 Rule = tuple[str, Column]
-#: Rules of a table that may be compared with every row.
-FEW_RULES = 10_000
 
 
 def first_reason(rules: list[Rule]) -> Column:
@@ -116,13 +114,6 @@ def contained(left: DataFrame, right: DataFrame, left_key: Column, right_key: Co
     return a.join(near, "_gram").where(F.contains("_rkey", "_key")).drop("_gram", "_key", "_rkey")
 
 
-def first_of_rules(df: DataFrame, rules: DataFrame, condition: Column, keys: list[str], *order: Column | str) -> DataFrame:
-    """For each key the first rule that a row meets. The condition can be any, so the rules must be few: at most FEW_RULES."""
-    if rules.limit(FEW_RULES + 1).count() > FEW_RULES:
-        raise ValueError(f"more than {FEW_RULES} rules; join them on a key")
-    return keep_first(df.join(F.broadcast(rules), condition), keys, *order)
-
-
 def first_seen(df: DataFrame, key: str, period: str) -> DataFrame:
     """Add whether a row lies in the first period of its key."""
     least = df.groupBy(key).agg(F.min(period).alias("_first"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rules as R
+
 
 def funnel(df: DataFrame, stages: dict[str, Column]) -> DataFrame:
     """One row: how many rows each condition holds for, in one pass."""
@@ -60,7 +62,7 @@ def stage_failures(df: DataFrame, stage: Column, failed: Column, most: float = 0
 
 def band_counts(df: DataFrame, band: Column) -> DataFrame:
     """One row: rows of each band, as after consolidation."""
-    return df.agg(*[F.count_if(band == b).alias(b.lower()) for b in ("HIGH", "MEDIUM", "LOW", "NONE")])
+    return df.agg(*[F.count_if(band == b).alias(b.lower()) for _, b in R.BANDS])
 
 
 def match_concerns(counts: DataFrame, least: float = 0.25) -> DataFrame:

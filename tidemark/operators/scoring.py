@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions.values import shifted
 
 
-def fired(conditions: dict[str, Column], facts: dict[str, Column], scale: Column | float, indicators: tuple[R.Indicator, ...] = R.INDICATORS) -> Column:
+def fired(conditions: dict[str, Column], facts: dict[str, Column], scale: Column | float, indicators: tuple[R.Indicator, ...] = R.LAUNCH_INDICATORS) -> Column:
     """The indicators whose condition holds, as an array of (key, text, weight, position).
 
     Positive weights are scaled and rounded half to even one by one; negative ones are taken as they are.
@@ -23,11 +23,6 @@ def fired(conditions: dict[str, Column], facts: dict[str, Column], scale: Column
     return F.array_compact(F.array(*found))
 
 
-def age_conditions(age: Column) -> dict[str, Column]:
-    """Only one age indicator fires."""
-    return {"new_company": age <= 1, "young_company": (age > 1) & (age <= 2), "recent_company": (age > 2) & (age <= 4)}
-
-
 def launch_conditions(
     *, age: Column, first: Column, marks: Column, classes: Column, category: Column, sic: Column, confidence: Column, matched: Column, accounts: Column, known: Column, site_maturity: Column, retailers: Column,
     launches: Column, presence: Column, marketplaces: Column, mark: Column, kind: Column, has_goods: Column, major: Column, person: Column, uk: Column,
@@ -132,11 +127,6 @@ def top_intents(intents: Column, most: int = 3) -> Column:
     return F.transform(F.slice(F.array_sort(ranked), 1, most), lambda x: x["k"])
 
 
-def mode(product: Column, service: Column, floor: int = 4, margin: int = 1) -> Column:
-    """PRODUCT or SERVICE where one side reaches the floor and leads by the margin, MIXED where both reach it, else UNCLEAR."""
-    return F.when((product >= floor) & (product - service >= margin), "PRODUCT").when((service >= floor) & (service - product >= margin), "SERVICE").when((product >= floor) & (service >= floor), "MIXED").otherwise("UNCLEAR")
-
-
 def final_reason(band_: Column, mode_: Column, established: Column) -> Column:
     """Why a scored filing is not delivered, the first that holds."""
     return F.when(~band_.isin("HIGH", "MEDIUM"), "score_below_band").when(mode_.isin("SERVICE", "FOOD_SERVICE", "NON_PRODUCT"), "service_business").when(established.isNotNull(), "established_brand")

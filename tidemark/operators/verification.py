@@ -120,14 +120,15 @@ def attributed(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def footprint(about: DataFrame, key: str) -> DataFrame:
-    """(key, retailers, n_retailers, n_marketplaces, n_socials, n_press, encyclopaedia, launches, boasts, sells, words) of `attributed` pages."""
+    """(key, retailers, n_retailers, n_marketplaces, n_socials, n_press, encyclopaedia, urls, launches, boasts, sells, words) of `attributed` pages."""
     of = lambda c: F.array_sort(F.collect_set(F.when(F.col("domain_class") == c, F.col("domain"))))
     raw = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url", F.concat_ws(" ", "title", "snippet").alias("t")))), lambda x: x["t"]), " ")
-    rows = about.groupBy(key).agg(of("retailer").alias("retailers"), of("marketplace").alias("_m"), of("social").alias("_s"), F.count_distinct(F.when(F.col("domain_class") == "press", F.col("url"))).alias("n_press"), F.min_by("url", F.when(F.col("domain_class") == "encyclopaedia", F.struct("rank", "url"))).alias("encyclopaedia"), raw.alias("_raw"))
+    urls = F.slice(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"])), 1, 8)
+    rows = about.groupBy(key).agg(of("retailer").alias("retailers"), of("marketplace").alias("_m"), of("social").alias("_s"), F.count_distinct(F.when(F.col("domain_class") == "press", F.col("url"))).alias("n_press"), F.min_by("url", F.when(F.col("domain_class") == "encyclopaedia", F.struct("rank", "url"))).alias("encyclopaedia"), raw.alias("_raw"), urls.alias("urls"))
     rows = rows.withColumns({"words": X.normalise("_raw"), "_low": F.lower("_raw")})
     hits = lambda c, marks: F.filter(F.array(*map(F.lit, marks)), lambda m: F.contains(F.col(c), m))
     rows = rows.withColumns({"launches": F.slice(F.array_sort(hits("words", R.LAUNCH_PHRASES)), 1, 6), "boasts": F.slice(hits("words", R.ESTABLISHED_PHRASES), 1, 6), "sells": F.size(hits("_low", R.SHOP_PHRASES)) > 0})
-    return rows.select(key, "retailers", F.size("retailers").alias("n_retailers"), F.size("_m").alias("n_marketplaces"), F.size("_s").alias("n_socials"), "n_press", "encyclopaedia", "launches", "boasts", "sells", "words")
+    return rows.select(key, "retailers", F.size("retailers").alias("n_retailers"), F.size("_m").alias("n_marketplaces"), F.size("_s").alias("n_socials"), "n_press", "encyclopaedia", "urls", "launches", "boasts", "sells", "words")
 
 
 def website_maturity(known: Column, site: Column) -> Column:

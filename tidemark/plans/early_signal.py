@@ -69,7 +69,7 @@ def with_evidence(rows: DataFrame, evidence: DataFrame | None) -> DataFrame:
     empty = F.array().cast("array<string>")
     texts = {"encyclopaedia": F.lit(None).cast("string"), "words": F.lit(None).cast("string"), "website": F.lit(None).cast("string"), "site": F.lit(None).cast("string")}
     if evidence is None:
-        return rows.withColumns(none | texts | {"launches": empty, "boasts": empty, "verdict": F.lit("NOT_ATTEMPTED")})
+        return rows.withColumns(none | texts | {"launches": empty, "boasts": empty, "urls": empty, "verdict": F.lit("NOT_ATTEMPTED")})
     live = rows.where("reason is null")
     found = E.classified(E.evidence_for(live, evidence, "row", "mark_text", "company_name"))
     context = P.contexts(live, "row", F.col("mark_text"), F.coalesce("company_name", "applicant_name"), F.col("company_number"), [F.col("region"), F.col("applicant_region")], G.product_terms(F.col("category"), F.col("category_label")))
@@ -79,7 +79,7 @@ def with_evidence(rows: DataFrame, evidence: DataFrame | None) -> DataFrame:
     searched = pages.select("row").distinct().withColumn("searched", F.lit(True))
     out = rows.join(about, "row", "left").join(verdicts.select("row", "verdict", "website", "site"), "row", "left").join(searched, "row", "left")
     out = out.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
-    return out.withColumns({"launches": F.coalesce("launches", empty), "boasts": F.coalesce("boasts", empty), "verdict": F.coalesce("verdict", F.lit("UNVERIFIED"))})
+    return out.withColumns({"launches": F.coalesce("launches", empty), "boasts": F.coalesce("boasts", empty), "urls": F.coalesce("urls", empty), "verdict": F.coalesce("verdict", F.lit("UNVERIFIED"))})
 
 
 def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None) -> Result:
@@ -144,7 +144,8 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
     scored = kept.withColumn("suppressed_for", S.final_reason(F.col("band"), F.col("mode"), F.col("established")))
     deliverable = scored.where("suppressed_for is null")
     order = [F.desc("score"), F.desc(F.col("category").isNotNull()), F.desc(F.col("goods") != ""), F.asc_nulls_first("filing_date"), F.desc("filing_id"), "batch_id", "ordinal"]
-    opportunities = C.consolidate(deliverable, "company_key", order, {"mark_text": "other_marks"}, "nice_classes")
+    deliverable = deliverable.withColumn("related", F.struct((-F.col("score")).alias("place"), "filing_id", "mark_text"))
+    opportunities = C.consolidate(deliverable, "company_key", order, {"mark_text": "other_marks", "related": "others"}, "nice_classes").drop("related")
     counts = rows.agg(
         F.count("*").alias("raw"), F.count_if(food).alias("food_class"), F.count_if(F.coalesce(F.col("stage") != "product", F.lit(True))).alias("product"),
         F.count_if(F.coalesce(F.col("stage") != "product", F.lit(True)) & (F.col("applicant_type") == "CORPORATE")).alias("corporate"), F.count_if("was_matched").alias("matched"), F.count_if(F.col("reason").isNull()).alias("emerging"),

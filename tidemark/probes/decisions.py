@@ -37,25 +37,34 @@ def sql_company(words: str) -> str:
 
 
 def evidence_of(t):
-    """Pages read as search results of forty filings, each named after its first page's domain and title."""
+    """Pages read as search results of filings, eight for each, which are named after their first page's domain and title. The
+    snippet is the page's text; some pages say a phrase more. Two of three stand for their site's first page or a page below it."""
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    pages = t("pages").select((F.col("page_id") % 40).alias("filing"), F.col("page_id").alias("rank"), F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1).alias("url"), title.alias("title"), F.lit("").alias("snippet"))
+    k = F.col("page_id") % 7
+    short = F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.when(F.col("page_id") % 3 == 1, F.regexp_extract("url", "^[a-z]+://[^/?#]*(/[a-z]*)", 1)).otherwise("/"))
+    url = F.when(F.col("page_id") % 3 == 2, F.col("url")).otherwise(short)
+    says = F.when(k == 2, " Coming soon. Add to basket.").when(k == 3, " A household name, sold worldwide.").when(k == 5, " Our story.").otherwise("")
+    pages = t("pages").select(F.floor(F.col("page_id") / 8).alias("filing"), F.col("page_id").alias("rank"), url.alias("url"), title.alias("title"), F.concat(F.regexp_replace("html", "<[^>]*>", " "), says).alias("snippet"))
     pages = pages.withColumn("domain", X.domain(F.col("url")))
     first = F.min_by(F.struct(F.split("domain", r"\.")[0].alias("brand"), F.array_join(F.slice(F.split(X.normalise("title"), " "), 1, 2), " ").alias("company")), "rank")
     filings = pages.groupBy("filing").agg(first.alias("x")).select("filing", "x.*")
     known = VE.contexts(filings, "filing", F.col("brand"), F.col("company"), F.lit(None).cast("string"), [F.lit("England")], F.array().cast("array<string>"))
-    return VE.pages(E.classified(pages, classes=(("press", ("example.org",)),)), known, "filing")
+    return VE.pages(E.classified(pages, classes=(("press", ("example.org",)), ("retailer", ("example.net",)))), known, "filing")
 
 
 EVIDENCE_SQL = rf"""
-p AS (SELECT page_id % 40 AS filing, page_id AS rank, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS domain, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages),
-w AS (SELECT *, {sql_norm('title')} AS words, string_split(domain, '.')[1] AS stem FROM p),
-c AS (SELECT filing, {sql_norm('arg_min(stem, rank)')} AS brand, regexp_replace(regexp_replace(arg_min(array_to_string(string_split(words, ' ')[1:2], ' '), rank), '( ?\b({FORMS}))+$', ''), '^(the )+', '') AS legal FROM w GROUP BY 1),
+u AS (SELECT page_id, html, CASE page_id % 3 WHEN 2 THEN url WHEN 1 THEN regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || regexp_extract(url, '^[a-z]+://[^/?#]*(/[a-z]*)', 1) ELSE regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/' END AS url FROM pages),
+p AS (SELECT page_id // 8 AS filing, page_id AS rank, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS domain, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+    regexp_replace(html, '<[^>]*>', ' ', 'g') || CASE page_id % 7 WHEN 2 THEN ' Coming soon. Add to basket.' WHEN 3 THEN ' A household name, sold worldwide.' WHEN 5 THEN ' Our story.' ELSE '' END AS snippet,
+    list_filter(string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS path FROM u),
+w AS (SELECT *, {sql_norm("title || ' ' || snippet")} AS words, {sql_norm('title')} AS head, string_split(domain, '.')[1] AS stem FROM p),
+c AS (SELECT filing, {sql_norm('arg_min(stem, rank)')} AS brand, regexp_replace(regexp_replace(arg_min(array_to_string(string_split(head, ' ')[1:2], ' '), rank), '( ?\b({FORMS}))+$', ''), '^(the )+', '') AS legal FROM w GROUP BY 1),
 r AS (SELECT w.*, brand, legal, brand <> '' AND contains(words, brand) AS named, {sql_company('words')} AS company FROM w JOIN c USING (filing)),
-d AS (SELECT filing, domain, any_value(url) AS url, any_value(brand) AS brand, any_value(legal) AS legal, any_value(stem) AS stem, count(*) AS pages, min(rank) AS first, {sql_norm("string_agg(title, ' ' ORDER BY rank)")} AS a FROM r WHERE NOT ends_with(domain, 'example.org') GROUP BY 1, 2),
+d AS (SELECT filing, domain, any_value(url) AS url, any_value(brand) AS brand, any_value(legal) AS legal, any_value(stem) AS stem, count(*) AS pages, min(rank) AS first, {sql_norm("string_agg(title || ' ' || snippet, ' ' ORDER BY rank)")} AS a, {sql_norm("string_agg(title, ' ' ORDER BY rank)")} AS heads
+    FROM r WHERE NOT ends_with(domain, 'example.org') AND NOT ends_with(domain, 'example.net') AND len(path) < 2 AND NOT list_has_any(path, {sql_list(X.ARTICLE_MARKS)}) GROUP BY 1, 2),
 o AS (SELECT d.*, stem = replace(brand, ' ', '') AS exact, EXISTS (SELECT 1 FROM r WHERE r.filing = d.filing AND r.domain <> d.domain AND r.named AND r.company) AS third FROM d),
 s AS (SELECT *, list_filter([CASE WHEN exact THEN 'exact_domain_brand_match' END, CASE WHEN NOT exact AND (contains(stem, replace(brand, ' ', '')) OR (length(stem) > 3 AND contains(replace(brand, ' ', ''), stem))) THEN 'partial_domain_brand_match' END,
-    CASE WHEN contains(a, brand) THEN 'brand_in_title' END, CASE WHEN {sql_company('a')} THEN 'company_name_match' END, CASE WHEN {sql_any(R.SECTOR_WORDS, 'a')} THEN 'sector_match' END,
+    CASE WHEN contains(heads, brand) THEN 'brand_in_title' END, CASE WHEN {sql_company('a')} THEN 'company_name_match' END, CASE WHEN {sql_any(R.SECTOR_WORDS, 'a')} THEN 'sector_match' END,
     CASE WHEN pages > 1 THEN 'multiple_pages_same_domain' END, CASE WHEN third THEN 'third_party_corroboration' END], lambda x: x IS NOT NULL) AS keys FROM o),
 k AS (SELECT *, coalesce(list_sum(list_transform(keys, lambda x: CASE WHEN x IN ('company_name_match', 'exact_domain_brand_match') THEN 3 WHEN x = 'third_party_corroboration' THEN 2 ELSE 1 END)), 0)::int AS weight FROM s),
 q AS (SELECT *, weight >= 4 AND list_has_any(keys, {sql_list(R.BRAND_LINKS)}) AND (list_has_any(keys, {sql_list(R.COMPANY_TIES)}) OR (length(brand) >= 8 AND brand NOT IN ({COMMON}) AND exact AND list_contains(keys, 'sector_match'))) AS ok FROM k),
@@ -77,10 +86,14 @@ def op_r12_verdicts(t):
     return VE.verdicts(VE.candidates(evidence_of(t), "filing"), "filing").select("filing", "qualifying", "best", "best_domain", "verdict", "website")
 
 
+ABOUT_SQL = f"""
+x AS (SELECT r.*, qualifying FROM r LEFT JOIN v USING (filing) WHERE (CASE WHEN qualifying = 1 THEN domain = one ELSE false END) OR (legal <> '' AND (contains(legal, ' ') OR (length(legal) >= 8 AND legal NOT IN ({COMMON}))) AND contains(words, legal))
+  OR (brand <> '' AND (contains(words, brand)) AND (company OR (length(brand) >= 8 AND brand NOT IN ({COMMON}) AND {sql_any(R.SECTOR_WORDS, 'words')}))))"""
+
+
 @probe(f"""
 WITH {EVIDENCE_SQL},
-x AS (SELECT r.* FROM r LEFT JOIN v USING (filing) WHERE (CASE WHEN qualifying = 1 THEN domain = one ELSE false END) OR (legal <> '' AND (contains(legal, ' ') OR (length(legal) >= 8 AND legal NOT IN ({COMMON}))) AND contains(words, legal))
-  OR (brand <> '' AND (contains(words, brand)) AND (company OR (length(brand) >= 8 AND brand NOT IN ({COMMON}) AND {sql_any(R.SECTOR_WORDS, 'words')}))))
+{ABOUT_SQL}
 SELECT filing, count(*) AS n, min(rank) AS first, count(DISTINCT CASE WHEN ends_with(domain, 'example.org') THEN url END) AS n_press FROM x GROUP BY 1""")
 def op_r13_attribution(t):
     rows = evidence_of(t)
@@ -89,6 +102,36 @@ def op_r13_attribution(t):
     return about.groupBy("filing").agg(F.count("*").alias("n"), F.min("rank").alias("first")).join(seen, "filing").select("filing", "n", "first", "n_press")
 
 
+@probe(f"""
+WITH {EVIDENCE_SQL}
+SELECT q.filing, count(*) AS domains, sum(weight)::bigint AS weight, count(*) FILTER (third) AS corroborated, array_to_string(list_sort(list_distinct(flatten(list(keys)))), ',') AS ties FROM q GROUP BY 1""")
+def op_a13_evidence(t):
+    found = VE.candidates(evidence_of(t), "filing").groupBy("filing")
+    ties = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))), ",")
+    return found.agg(F.count("*").alias("domains"), F.sum("weight").alias("weight"), F.count("corroborated_by").alias("corroborated"), ties.alias("ties"))
+
+
+@probe(f"""
+WITH {EVIDENCE_SQL},
+{ABOUT_SQL},
+f AS (SELECT filing, coalesce(any_value(qualifying), 0) = 1 AS site, count(DISTINCT CASE WHEN ends_with(domain, 'example.net') THEN domain END)::int AS retailers, count(DISTINCT CASE WHEN ends_with(domain, 'example.org') THEN url END) AS press,
+    {sql_norm("string_agg(title || ' ' || snippet, ' ' ORDER BY rank)")} AS ws, lower(string_agg(title || ' ' || snippet, ' ' ORDER BY rank)) AS low FROM x GROUP BY 1),
+g AS (SELECT *, least(6, len(list_filter({sql_list(R.LAUNCH_PHRASES)}, lambda m: contains(ws, m))))::int AS launches, least(6, len(list_filter({sql_list(R.ESTABLISHED_PHRASES)}, lambda m: contains(ws, m))))::int AS phrases, {sql_any(R.SHOP_PHRASES, 'low')} AS sells FROM f),
+h AS (SELECT *, list_filter([CASE WHEN retailers >= 2 THEN 'several retailers' END, CASE WHEN press >= 3 THEN 'press' END, CASE WHEN phrases >= 2 THEN 'heritage phrases' END, CASE WHEN retailers >= 1 AND phrases >= 1 THEN 'retailer and phrase' END], lambda x: x IS NOT NULL) AS why,
+    CASE WHEN retailers > 0 OR phrases >= 2 THEN 'established' WHEN site AND (launches > 0 OR phrases = 0) THEN 'early_stage' ELSE 'unknown' END AS website, CASE WHEN retailers > 0 THEN 'multiple_retail' WHEN site AND sells THEN 'direct_only' WHEN site THEN 'none_found' ELSE 'unknown' END AS presence FROM g)
+SELECT filing, retailers, press, phrases, launches, website, presence, CASE WHEN len(why) > 0 THEN 'established' WHEN launches > 0 OR site THEN 'emerging' ELSE 'unknown' END AS maturity, array_to_string(why, ',') AS why,
+  CASE WHEN retailers > 0 OR website = 'established' THEN 'established' WHEN site THEN CASE WHEN sells THEN 'early_launch' WHEN launches > 0 THEN 'pre_launch' ELSE 'early_launch' END WHEN filing % 5 <= 2 THEN 'pre_launch' ELSE 'unknown' END AS stage FROM h""")
+def op_r16_maturity(t):
+    rows = evidence_of(t)
+    verdicts = VE.verdicts(VE.candidates(rows, "filing"), "filing")
+    found = VE.footprint(VE.attributed(rows, verdicts, "filing"), "filing").join(verdicts.select("filing", "site"), "filing", "left")
+    known, site, age = F.lit(True), F.col("site"), (F.col("filing") % 5).cast("double")
+    found = found.withColumns({"website": VE.website_maturity(known, site), "presence": VE.retail_presence(known, known, site)})
+    maturity, why = VE.brand_maturity(known, site)
+    stage = VE.launch_stage(known, known, site, F.col("website"), F.col("presence"), age)
+    return found.select("filing", F.col("n_retailers").alias("retailers"), F.col("n_press").alias("press"), F.size("boasts").alias("phrases"), F.size("launches").alias("launches"), "website", "presence", maturity.alias("maturity"), F.coalesce(F.array_join(why, ","), F.lit("")).alias("why"), stage.alias("stage"))
+
+
 def sql_prefixed(codes: str, kind: str) -> str:
     return f"list_filter({codes}, lambda c: list_has_any(list_transform({sql_list(R.SIC[kind])}, lambda p: starts_with(c, p)), [true]))"
 
@@ -249,7 +292,8 @@ def op_j06_evidence(t):
     from pyspark.sql import Window as W
 
     customers = t("customer").select("c_custkey", F.col("c_mktsegment").alias("brand"), F.concat(F.lit("src"), F.col("c_nationkey") % 5).alias("company"))
-    of = t("documents").select(F.col("source").alias("query"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("rank"), F.concat(F.lit("https://d"), "doc_id", F.lit(".example.com/")).alias("url"))
+    first = rel.top_k(t("documents").select("source", "doc_id"), ["source"], 8, "doc_id")  # a query takes 8 results at most
+    of = first.select(F.col("source").alias("query"), F.row_number().over(W.partitionBy("source").orderBy("doc_id")).alias("rank"), F.concat(F.lit("https://d"), "doc_id", F.lit(".example.com/")).alias("url"))
     pages = t("pages").select(F.lit("building").alias("query"), (F.col("page_id") + 1).cast("int").alias("rank"), "url")
     results = of.unionByName(pages).withColumns({"title": F.lit("t"), "snippet": F.lit("")})
     return E.evidence_for(customers, results, "c_custkey", "brand", "company").groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("rank").cast("long").alias("first"))

@@ -153,37 +153,6 @@ def op_j22_duplicates(t):
     return rel.duplicates(t("documents"), "doc_id", {"text": F.md5(F.col("text").cast("binary")), "letters": F.md5(letters.cast("binary"))})
 
 
-@probe(r"""
-WITH p AS (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS domain, lower(html) AS h FROM pages),
-s AS (SELECT page_id % 40 AS filing, domain, page_id, contains(domain, 'th') AS a, contains(h, '<h1>') AS b, contains(h, 'tion') AS c FROM p),
-w AS (SELECT filing, domain, (max(a::int) * 3 + max(b::int) * 2 + max(c::int))::int AS weight, count(DISTINCT page_id) AS pages FROM s GROUP BY 1, 2),
-v AS (SELECT filing, count(*) FILTER (weight >= 5) AS qualifying, max(weight) AS best, max_by(domain, (weight, pages, domain)) AS best_domain FROM w GROUP BY 1)
-SELECT filing, qualifying, best, best_domain, CASE WHEN qualifying > 1 THEN 'CONFLICTING' WHEN qualifying = 1 THEN 'VERIFIED' WHEN best >= 3 THEN 'PROBABLE' ELSE 'UNVERIFIED' END AS verdict FROM v""")
-def op_a13_evidence(t):
-    low = F.lower("html")
-    pages = t("pages").withColumns({"filing": F.col("page_id") % 40, "domain": X.domain(F.col("url"))})
-    fired = {"brand_in_domain": (F.contains("domain", F.lit("th")), 3), "brand_in_title": (F.contains(low, F.lit("<h1>")), 2), "sector_words": (F.contains(low, F.lit("tion")), 1)}
-    signals = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(k).alias("key"), F.lit(w).alias("weight"))) for k, (c, w) in fired.items()]))
-    weights = E.domain_weights(pages.withColumns({"signals": signals, "url": F.col("page_id").cast("string")}), "filing")
-    return E.verdicts(weights, "filing").select("filing", "qualifying", "best", "best_domain", "verdict")
-
-
-@probe(r"""
-WITH p AS (SELECT page_id % 40 AS filing, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\.', '') AS d, html FROM pages),
-c AS (SELECT filing, CASE WHEN ends_with(d, 'example.net') THEN 'retailer' WHEN ends_with(d, 'example.org') THEN 'press' ELSE 'own' END AS k, d, contains(html, 'tion') AS phrase FROM p),
-s AS (SELECT filing, count(DISTINCT CASE WHEN k = 'retailer' THEN d END)::int AS retailers, count(DISTINCT CASE WHEN k = 'press' THEN d END)::int AS press, count(*) FILTER (phrase)::int AS phrases FROM c GROUP BY 1)
-SELECT filing, retailers, press, phrases, CASE WHEN retailers >= 2 THEN 'several retailers' WHEN press >= 3 THEN 'press' WHEN phrases >= 2 THEN 'heritage phrases' WHEN retailers >= 1 AND phrases >= 1 THEN 'retailer and phrase' END AS established,
-  CASE WHEN retailers > 0 THEN 'LAUNCHED' WHEN phrases > 3 THEN 'PRE_LAUNCH' ELSE 'EARLY' END AS stage FROM s""")
-def op_r16_maturity(t):
-    d = X.domain(F.col("url"))
-    kind = F.when(d.endswith("example.net"), "retailer").when(d.endswith("example.org"), "press").otherwise("own")
-    rows = t("pages").select((F.col("page_id") % 40).alias("filing"), d.alias("domain"), kind.alias("domain_class"), F.contains("html", F.lit("tion")).alias("phrase"))
-    phrases = rows.groupBy("filing").agg(F.count_if("phrase").cast("int").alias("phrases"))
-    found = E.summary(rows, "filing").join(phrases, "filing")
-    r, p, n = F.col("n_retailers"), F.col("n_press"), F.col("phrases")
-    return found.select("filing", r.alias("retailers"), p.alias("press"), n.alias("phrases"), E.maturity(r, p, n, F.lit(False)).alias("established"), E.launch_stage(F.lit(True), F.lit(False), n > 3, r).alias("stage"))
-
-
 @probe("""
 WITH m AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderdate DESC, o_orderkey DESC) AS r FROM orders)
 SELECT o_custkey, max(CASE WHEN r = 1 THEN o_orderkey END) AS o_orderkey, count(*) AS n_rows, coalesce(array_to_string(list_sort(list(o_orderkey) FILTER (r > 1)), ','), '') AS related, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS priorities FROM m GROUP BY 1""")

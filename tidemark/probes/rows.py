@@ -136,9 +136,9 @@ def op_w01_keep_first(t):
 
 
 @probe("""
-SELECT event_id, user_id, r <= 100 AS in_budget FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events WHERE event_type = 'purchase')""")
+SELECT event_id, user_id, r <= 100 AS in_budget FROM (SELECT event_id, user_id, row_number() OVER (ORDER BY value DESC, event_id) AS r FROM events)""")
 def op_w05_budget(t):
-    rows = t("events").where("event_type = 'purchase'").select("event_id", "user_id", "value")
+    rows = t("events").select("event_id", "user_id", "value")
     return rel.budgeted(rows, 100, "event_id", F.desc("value")).select("event_id", "user_id", "in_budget")
 
 
@@ -165,9 +165,11 @@ def op_o01_rank(t):
     orders = t("orders")
     top = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(50)  # the report's top 50
     top = top.withColumn("place", F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).cast("long"))
-    ranked = F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey"))), 1, 3), lambda x: x["o_orderkey"].cast("string"))
-    best = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"), F.array_join(ranked, ",").alias("top3"))
-    return top.join(best, "o_custkey").select("o_orderkey", "place", "latest", "top3")
+    three = rel.top_k(orders, ["o_custkey"], 3, F.desc("o_totalprice"), "o_orderkey")
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey"))), lambda x: x["o_orderkey"].cast("string"))
+    best = three.groupBy("o_custkey").agg(F.array_join(ranked, ",").alias("top3"))
+    latest = orders.groupBy("o_custkey").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
+    return top.join(best, "o_custkey").join(latest, "o_custkey").select("o_orderkey", "place", "latest", "top3")
 
 
 @probe(f"""
@@ -181,27 +183,39 @@ def op_r06_item_group(t):
     return rows.select("p_partkey", "s.grp", "s.matched", F.coalesce("s.points", F.lit(0)).alias("points"))
 
 
-@probe("""
-WITH p AS (SELECT p_partkey, p_type, CASE p_type WHEN 'PROMO' THEN 'bakery' WHEN 'LARGE' THEN 'drink' END AS g, CASE WHEN p_size > 35 THEN 'LAUNCHED' WHEN p_size < 15 THEN 'PRE_LAUNCH' ELSE 'EARLY' END AS s FROM part),
-b AS (SELECT p_partkey, s, 2 AS packaging0, CASE g WHEN 'bakery' THEN 3 ELSE 2 END AS ingredients0, CASE g WHEN 'drink' THEN 2 ELSE 1 END AS logistics0, 2 AS design0, g FROM p),
-c AS (SELECT p_partkey, CASE g WHEN 'drink' THEN 3 ELSE packaging0 END AS packaging, ingredients0 AS ingredients, least(3, greatest(0, logistics0 + CASE s WHEN 'LAUNCHED' THEN 1 WHEN 'PRE_LAUNCH' THEN -1 ELSE 0 END)) AS logistics, least(3, greatest(0, design0 + CASE s WHEN 'LAUNCHED' THEN -1 WHEN 'PRE_LAUNCH' THEN 1 ELSE 0 END)) AS design FROM b)
-SELECT p_partkey, ['NONE', 'LOW', 'MEDIUM', 'HIGH'][packaging + 1] AS packaging, ['NONE', 'LOW', 'MEDIUM', 'HIGH'][ingredients + 1] AS ingredients, ['NONE', 'LOW', 'MEDIUM', 'HIGH'][logistics + 1] AS logistics, ['NONE', 'LOW', 'MEDIUM', 'HIGH'][design + 1] AS design,
-  array_to_string(list_transform(list_sort(list_filter([{'r': -packaging, 'i': 0, 'k': 'packaging'}, {'r': -ingredients, 'i': 1, 'k': 'ingredients'}, {'r': -logistics, 'i': 2, 'k': 'logistics'}, {'r': -design, 'i': 3, 'k': 'design'}], lambda x: x.r <= -2))[1:3], lambda x: x.k), ',') AS top FROM c""")
+def sql_intent(supplier: str) -> str:
+    """A supplier's rank by the tables of rules.py."""
+    rank = ("NONE", "LOW", "MEDIUM", "HIGH").index
+    own = " ".join(f"WHEN '{g}' THEN {rank(bands[supplier])}" for g, bands in R.INTENT_GROUP.items() if supplier in bands)
+    by = " ".join(f"WHEN '{s}' THEN {moves[supplier]}" for s, moves in R.INTENT_SHIFT.items() if supplier in moves)
+    return f"least(3, greatest(0, CASE g {own} ELSE {rank(R.INTENT_DEFAULT[supplier])} END + CASE s {by} ELSE 0 END)) AS {supplier}"
+
+
+@probe(f"""
+WITH p AS (SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'bakery' WHEN 'LARGE' THEN 'drink' WHEN 'SMALL' THEN 'sauce' END AS g, CASE p_size % 5 WHEN 0 THEN 'pre_launch' WHEN 1 THEN 'early_launch' WHEN 2 THEN 'scaling' WHEN 3 THEN 'established' ELSE 'unknown' END AS s FROM part),
+c AS (SELECT p_partkey, {', '.join(map(sql_intent, R.SUPPLIERS))} FROM p)
+SELECT p_partkey, {', '.join(f"['NONE', 'LOW', 'MEDIUM', 'HIGH'][{s} + 1] AS {s}" for s in R.SUPPLIERS)},
+  array_to_string(list_transform(list_sort(list_filter([{', '.join(f"{{'r': -{s}, 'i': {i}, 'k': '{s}'}}" for i, s in enumerate(R.SUPPLIERS))}], lambda x: x.r <= -2))[1:3], lambda x: x.k), ',') AS top FROM c""")
 def op_r20_intent(t):
-    group = F.when(F.col("p_type") == "PROMO", "bakery").when(F.col("p_type") == "LARGE", "drink")
-    stage = F.when(F.col("p_size") > 35, "LAUNCHED").when(F.col("p_size") < 15, "PRE_LAUNCH").otherwise("EARLY")
+    kind, size = F.col("p_type"), F.col("p_size") % 5
+    group = F.when(kind == "PROMO", "bakery").when(kind == "LARGE", "drink").when(kind == "SMALL", "sauce")
+    stage = F.when(size == 0, "pre_launch").when(size == 1, "early_launch").when(size == 2, "scaling").when(size == 3, "established").otherwise("unknown")
     rows = t("part").select("p_partkey", scoring.intent(group, stage).alias("m"))
     return rows.select("p_partkey", *[F.col("m")[s].alias(s) for s in R.SUPPLIERS], F.array_join(scoring.top_intents(F.col("m")), ",").alias("top"))
 
 
 @probe("""
-WITH s AS (SELECT p_partkey, p_size % 9 AS product, p_partkey % 8 AS service, p_size FROM part)
-SELECT p_partkey, CASE WHEN product >= 4 AND product - service >= 1 THEN 'PRODUCT' WHEN service >= 4 AND service - product >= 1 THEN 'SERVICE' WHEN product >= 4 AND service >= 4 THEN 'MIXED' ELSE 'UNCLEAR' END AS mode,
+WITH s AS (SELECT p_partkey, p_size % 9 AS product, p_partkey % 8 AS service, p_size, p_size % 4 AS food, p_partkey % 3 AS hospitality, p_partkey % 5 AS other, p_type = 'PROMO' AS makes, p_type = 'SMALL' AS idle FROM part)
+SELECT p_partkey, CASE WHEN other > 0 AND food > 0 AND other / (food + other) >= 0.5 AND NOT makes THEN 'NON_PRODUCT' WHEN product >= 4 AND service = 0 THEN 'PACKAGED_PRODUCT' WHEN product >= 4 AND product - service >= 1 THEN 'MIXED_BUT_PRODUCT_RELEVANT'
+    WHEN service > product AND idle AND hospitality = 0 THEN 'NON_PRODUCT' WHEN service > product AND (hospitality > 0 OR idle) THEN 'FOOD_SERVICE' ELSE 'UNCERTAIN' END AS mode,
   round_even(least(product, 3) * (30 * 7 / 10.0::double) + service + (p_size * 2) * 0.035::double, 2)::double AS fit FROM s""")
 def op_r08_mode(t):
-    product, service = F.col("p_size") % 9, F.col("p_partkey") % 8
-    fit = sales.fit_score(F.least(product, F.lit(3)), 30, 7, service, F.col("p_size") * 2)
-    return t("part").select("p_partkey", scoring.mode(product, service).alias("mode"), fit.alias("fit"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    product, service, food, other = size % 9, k % 8, size % 4, k % 5
+    sic = F.when(F.col("p_type") == "PROMO", F.array(F.lit("10710"))).when(F.col("p_type") == "SMALL", F.array(F.lit("64209"))).otherwise(F.array().cast("array<string>"))
+    mode = scoring.commercial_mode(product, service, sic=sic, food=food, hospitality=k % 3, non_food=other, non_food_share=V.share(other, food + other))
+    fit = sales.fit_score(F.least(product, F.lit(3)), 30, 7, service, size * 2)
+    return t("part").select("p_partkey", mode.alias("mode"), fit.alias("fit"))
 
 
 @probe("""

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 #: Trade classes (fixed values): food, main food, and sets of which a filing must have more than members of one.
 FOOD, MAIN_FOOD = [29, 30, 31, 32, 33], [29, 30]
 CLASS_ONLY = {"services_only": [43], "retail_only": [35], "produce_only": [31], "supplements_only": [5]}
@@ -42,37 +40,31 @@ class Indicator:
 
 
 #: The base score, bands from the top, caps and the most by which weights are scaled up (fixed values).
-BASE, BANDS = 25, ((80, "HIGH"), (60, "MEDIUM"), (40, "LOW"), (0, "NONE"))
+BASE, BANDS = 25, ((80, "HIGH"), (60, "MEDIUM"), (0, "SUPPRESS"))
 CAPS = {"no_company": 74, "no_goods": 74, "no_web": 79}
 MOST_SCALE = 2.0
-INDICATORS = (
-    Indicator("new_company", 12, "incorporated {age_phrase} ago", "age"),
-    Indicator("young_company", 8, "company is {age_phrase} old", "age"),
-    Indicator("recent_company", 4, "company is under four years old", "age"),
-    Indicator("first_filing", 8, "first filing by this applicant"),
-    Indicator("single_mark", 6, "one mark in this batch"),
-    Indicator("clear_category", 7, "goods are mostly {category}"),
-    Indicator("main_food", 10, "files in a main food class"),
-    Indicator("company_match", 5, "matched to a register company"),
-    Indicator("small_accounts", 4, "files small accounts"),
-    Indicator("own_website", 7, "has a website of its own", "web"),
-    Indicator("launch_words", 7, "announces a launch", "web"),
-    Indicator("shop", 6, "sells on its website", "web"),
-    Indicator("many_marks", -10, "files {marks} marks at once"),
-    Indicator("broad_classes", -6, "covers {n_classes} classes"),
-    Indicator("services", -8, "goods include services"),
-    Indicator("retailers", -12, "already sold by {retailers} retailers", "web"),
-)
-#: What a stage means for each kind of supplier, and how a launch stage moves it.
-SUPPLIERS = ("packaging", "ingredients", "logistics", "design")
-INTENT_DEFAULT = {"packaging": "MEDIUM", "ingredients": "MEDIUM", "logistics": "LOW", "design": "MEDIUM"}
-INTENT_GROUP = {"bakery": {"ingredients": "HIGH"}, "drink": {"packaging": "HIGH", "logistics": "MEDIUM"}}
-INTENT_SHIFT = {"PRE_LAUNCH": {"design": 1, "logistics": -1}, "LAUNCHED": {"design": -1, "logistics": 1}}
+#: Kinds of suppliers in delivered order, their default relevance, and how a launch stage moves it by a band (fixed values).
+SUPPLIERS = ("flexible_packaging", "labels", "cartons", "contract_manufacturing", "copacking", "distribution", "brokerage", "fulfilment", "marketing")
+INTENT_DEFAULT = {
+    "flexible_packaging": "MEDIUM", "labels": "MEDIUM", "cartons": "LOW", "contract_manufacturing": "MEDIUM", "copacking": "MEDIUM",
+    "distribution": "MEDIUM", "brokerage": "LOW", "fulfilment": "LOW", "marketing": "LOW",
+}
+INTENT_SHIFT = {
+    "pre_launch": {"flexible_packaging": 1, "labels": 1, "contract_manufacturing": 1, "copacking": 1, "distribution": -1, "brokerage": -1, "fulfilment": -1},
+    "early_launch": {"distribution": 1, "fulfilment": 1, "marketing": 1},
+    "scaling": {"flexible_packaging": -1, "contract_manufacturing": -1, "distribution": 1, "brokerage": 1, "fulfilment": 1},
+    "established": {s: -1 for s in SUPPLIERS},
+}
+#: What the groups of GROUPS mean for suppliers where it isn't the default: the published values of the trade each stands for (fixed values).
+INTENT_GROUP = {
+    "bakery": {"flexible_packaging": "HIGH", "cartons": "HIGH", "contract_manufacturing": "HIGH", "copacking": "HIGH", "distribution": "HIGH", "brokerage": "MEDIUM", "fulfilment": "MEDIUM", "marketing": "MEDIUM"},
+    "dairy": {"flexible_packaging": "HIGH", "labels": "HIGH", "cartons": "MEDIUM", "contract_manufacturing": "HIGH", "copacking": "HIGH", "distribution": "HIGH", "brokerage": "MEDIUM", "marketing": "MEDIUM"},
+    "snack": {"flexible_packaging": "HIGH", "cartons": "MEDIUM", "contract_manufacturing": "HIGH", "copacking": "HIGH", "distribution": "HIGH", "brokerage": "MEDIUM", "fulfilment": "MEDIUM", "marketing": "MEDIUM"},
+    "drink": {"flexible_packaging": "HIGH", "labels": "HIGH", "cartons": "MEDIUM", "contract_manufacturing": "HIGH", "copacking": "HIGH", "fulfilment": "HIGH", "marketing": "MEDIUM"},
+    "sauce": {"flexible_packaging": "LOW", "labels": "HIGH", "cartons": "MEDIUM", "contract_manufacturing": "HIGH", "copacking": "HIGH", "distribution": "HIGH", "brokerage": "MEDIUM", "fulfilment": "MEDIUM", "marketing": "MEDIUM"},
+}
 #: Domain suffixes by class, in order; the first class wins.
 DOMAIN_CLASS = (("marketplace", ("amazon.co.uk", "etsy.com", "ebay.co.uk")), ("social", ("instagram.com", "facebook.com")), ("retailer", ("tesco.com", "waitrose.com")), ("press", ("bbc.co.uk", "theguardian.com")), ("encyclopaedia", ("wikipedia.org", "britannica.com")), ("directory", ("companieshouse.gov.uk", "yell.com", "trustpilot.com")))
-SIGNAL_WEIGHTS = {"brand_in_domain": 3, "company_on_page": 3, "brand_in_title": 2, "sector_words": 1, "location": 1}
-
-
 #: All indicators of a filing, positive and negative, with their weights (fixed values); texts are this library's own.
 LAUNCH_INDICATORS = (
     Indicator("company_incorporated_within_12m", 12, "incorporated {age_phrase} filing", "age"),
@@ -108,6 +100,7 @@ LAUNCH_INDICATORS = (
     Indicator("service_business_sic_only", -25, "registered for services only ({sic})"),
     Indicator("already_on_marketplace", -6, "sold on a marketplace"),
 )
+#: Kinds of accounts that small companies file, and words that make no product's name (fixed values).
 SMALL_ACCOUNTS = ("MICRO ENTITY", "TOTAL EXEMPTION SMALL", "SMALL", "ACCOUNTS TYPE NOT AVAILABLE", "TOTAL EXEMPTION FULL")
 GENERIC_NAME_WORDS = ("the", "company", "limited", "ltd", "group", "services", "solutions", "uk")
 #: Weights of what ties a domain to a filing, which of them tie it to the company and which to the brand, and least weights (fixed values).
@@ -148,7 +141,7 @@ GROUP_LABELS = {"bakery": "Bakery", "dairy": "Dairy", "snack": "Snacks", "drink"
 BRAND_HINTS = {"bakery": ("bake", "bakery", "bread", "dough", "cake"), "dairy": ("dairy", "cheese", "creamery", "milk"), "snack": ("snack", "crisps", "nuts", "popcorn"), "drink": ("brew", "tea", "coffee", "juice"), "sauce": ("sauce", "spice", "chilli", "pickle")}
 
 
-def positive_scale(looked_for_web: bool, indicators: tuple[Indicator, ...] = INDICATORS) -> float:
+def positive_scale(looked_for_web: bool, indicators: tuple[Indicator, ...] = LAUNCH_INDICATORS) -> float:
     """By how much positive weights are scaled so that evidence that was not looked for does not count against a filing.
 
     Only the best age indicator can fire, so it counts once.
@@ -157,9 +150,3 @@ def positive_scale(looked_for_web: bool, indicators: tuple[Indicator, ...] = IND
     full = age + sum(x.weight for x in indicators if x.weight > 0 and x.kind != "age")
     had = full if looked_for_web else full - sum(x.weight for x in indicators if x.weight > 0 and x.kind == "web")
     return min(MOST_SCALE, full / had)
-
-
-def keyword_table(spark: SparkSession, rules: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(grp, grp_ord, kw, kw_ord) of a rule set; keys that begin with _ are remarks. Its size is fixed, so it may be broadcast."""
-    rows = [(g, i, k, j) for i, (g, words) in enumerate(rules.items()) if not g.startswith("_") for j, k in enumerate(words)]
-    return spark.createDataFrame(rows, "grp string, grp_ord int, kw string, kw_ord int")

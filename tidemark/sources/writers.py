@@ -23,7 +23,7 @@ LABELS = {
 #: Columns of the sample pack in order (fixed values).
 SAMPLE_COLUMNS = (
     "brand_name", "product_category", "goods_summary", "company_name", "company_number", "company_incorporation_date", "company_region", "website", "launch_stage", "retail_presence", "score", "score_band", "why_selected",
-    "packaging_relevance", "label_relevance", "carton_relevance", "contract_manufacturing_relevance", "copacking_relevance", "distribution_relevance", "brokerage_relevance", "fulfilment_relevance", "marketing_relevance",
+    "flexible_packaging_relevance", "label_relevance", "carton_relevance", "contract_manufacturing_relevance", "copacking_relevance", "distribution_relevance", "brokerage_relevance", "fulfilment_relevance", "marketing_relevance",
     "trademark_number", "filing_date", "publication_date", "source_url",
 )
 BOM = "\ufeff"
