@@ -1,9 +1,12 @@
 from datetime import date
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.plans import early_signal
+from tidemark.operators import counters
+from tidemark.plans import delivery, early_signal
 from tidemark.schemas import FILING
+from tidemark.sources import ledger
 
 CRUMB = "Crumb Foods Ltd"
 F1, PUB = date(2025, 9, 1), date(2025, 12, 12)
@@ -75,6 +78,32 @@ def test_empty_batch(spark, companies):
     assert result.counts.first()["raw"] == 0
 
 
+def test_a_stopped_run_publishes_nothing_and_a_run_is_published_once(spark, companies, result, tmp_path):
+    root = str(tmp_path / "out")
+    with pytest.raises(counters.Stopped, match="enriched: far from the usual 900 rows .raw=1,"):
+        delivery.publish(early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB)], FILING), companies, guards=[counters.unusual("enriched", "raw", 900)]), root, "2025-050")
+    assert ledger.entries(spark, root) == []
+    assert [delivery.publish(result, root, "2025-050") for _ in range(2)] == [True, False]
+    got = ledger.read(spark, root, "delivered", delivery.rows(result.opportunities).schema)
+    assert sorted(r["trademark_number"] for r in got.collect()) == sorted(r["filing_id"] for r in result.opportunities.collect())
+    assert ledger.read(spark, root, "counts", result.counts.schema).first()["scored"] == result.scored.count()
+
+
+def test_guards():
+    stop = lambda guard, **n: guard.odd(n)
+    assert [stop(counters.unusual("s", "n", 9), n=n) for n in (3, 27, 2, 28, 0)] == [False, False, True, True, True]
+    assert stop(counters.unusual("s", "n", 0), n=5) is False
+    assert [stop(counters.failing("s", "bad", "n"), bad=b, n=n) for b, n in ((0, 0), (1, 2), (2, 3))] == [False, False, True]
+    assert stop(counters.too_few("s", "n", 1), n=0)
+
+
+def test_counts_of_one_pass_equal_a_scan(spark):
+    df = spark.range(0, 1000, 1, 7).repartition(5).withColumn("x", F.col("id") % 3)
+    rows, n = counters.counted(df, "counted", {"all": F.count("*"), "zeros": F.count_if(F.col("x") == 0), "most": F.max("id")})
+    assert n == {"all": rows.count(), "zeros": rows.where("x = 0").count(), "most": 999}
+    assert counters.counted(df.where("id < 0"), "none", {"all": F.count("*"), "most": F.max("id")})[1] == {"all": 0, "most": 0}
+
+
 def test_web_evidence_gives_a_website(spark, companies):
     rows = [("Crumb", 1, "Crumb bakery", "https://www.crumb.com/", "Crumb Foods bread, launching soon, add to basket"), ("Crumb", 2, "Crumb news", "https://www.elsewhere.com/", "a crumb of comfort"), ("Crumb", 3, "Bread", "https://www.tesco.com/", "other bread")]
     evidence = spark.createDataFrame(rows, "query string, rank int, title string, url string, snippet string")

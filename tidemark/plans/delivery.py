@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..operators import relational as rel
 from ..operators import scoring as S
+from ..sources import ledger
 from ..sources import writers as E
+from .early_signal import Result
 
 #: Relevance columns of the extract by supplier, and the stages' labels in a sample (fixed values).
 RELEVANCE = {
@@ -52,6 +54,13 @@ def write(opportunities: DataFrame, path: str) -> None:
     E.write_extract(rows(opportunities), path, *order())
 
 
+def publish(result: Result, root: str, batch: str, query: str = "early_signal") -> bool:
+    """Commit a run's tables (delivered, rejections, duplicates, counts) together, once for a batch; gives whether this call did. A run that a
+    guard stopped has no result, so nothing of it is published."""
+    tables = {"delivered": rows(result.opportunities), "rejections": result.rejections, "duplicates": result.duplicates, "counts": result.counts}
+    return ledger.commit(root, query, batch, tables)
+
+
 def sample_reason(least: int = 60) -> Column:
     """Why a delivered row may not be in a sample, the first that holds; null if it may."""
     number = F.trim(F.coalesce("company_number", F.lit("")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -19,6 +20,7 @@ from ..operators import matching as M
 from ..operators import relational as rel
 from ..operators import scoring as S
 from ..operators import verification as P
+from ..operators.counters import Guard, check, counted, failing
 from ..session import cut
 
 KEY = ["batch_id", "filing_id"]
@@ -82,10 +84,16 @@ def with_evidence(rows: DataFrame, evidence: DataFrame | None) -> DataFrame:
     return out.withColumns({"launches": F.coalesce("launches", empty), "boasts": F.coalesce("boasts", empty), "urls": F.coalesce("urls", empty), "verdict": F.coalesce("verdict", F.lit("UNVERIFIED"))})
 
 
-def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None) -> Result:
+#: A run in which most rows got no score publishes nothing.
+GUARDS = (failing("scored", "unscored", "scored"),)
+
+
+def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None, guards: Sequence[Guard] = GUARDS) -> Result:
     """All stages. `evidence` are search results (query, rank, title, url, snippet); without them web evidence is not looked for.
 
     Every filing ends as a rejection with its first reason, as a duplicate, or scored; nothing is dropped without a trace.
+    Counts are taken as the stages "enriched" and "scored" are written; a guard that does not hold on them raises `Stopped`. A filing of
+    a major brand's owner or from abroad was rejected by the product rules before it is scored, so their indicators never fire here.
     """
     food = V.any_in(F.col("nice_classes"), R.FOOD)
     batch = filings.withColumn("applicant", X.normalise("applicant_name"))
@@ -114,7 +122,12 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
 
     number = F.col("filing_id")
     rows = rows.withColumn("dedupe_key", X.dedupe_key(number, F.col("mark_text"), F.col("applicant_name")))
-    rows = cut(rel.first_seen(rows, "applicant", "batch_id"), "enriched")
+    past = F.coalesce(F.col("stage") != "product", F.lit(True))
+    measures = {
+        "raw": F.count("*"), "food_class": F.count_if(food), "product": F.count_if(past), "corporate": F.count_if(past & (F.col("applicant_type") == "CORPORATE")), "matched": F.count_if("was_matched"), "emerging": F.count_if(F.col("reason").isNull()),
+    }
+    rows, n = counted(rel.first_seen(rows, "applicant", "batch_id"), "enriched", measures)
+    check("enriched", n, guards)
     place = F.row_number().over(W.partitionBy("batch_id", "dedupe_key").orderBy("ordinal", "filing_id"))
     tagged = rows.where("reason is null").withColumn("place", place)
     duplicates = tagged.where("place > 1").select(*KEY, "dedupe_key")
@@ -134,20 +147,18 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
     }
     kept = kept.withColumn("reasons", S.fired(conditions, facts, R.positive_scale(looked, R.LAUNCH_INDICATORS), R.LAUNCH_INDICATORS))
     score, cap = S.capped(S.total(F.col("reasons")), [("no_company", F.col("company_number").isNull() | (F.col("confidence") < 70), R.CAPS["no_company"]), ("no_category", F.col("category").isNull(), R.CAPS["no_goods"]), ("no_web", ~known, R.CAPS["no_web"])])
-    n = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
-    product, service = S.mode_points(sic=sic, goods=F.col("goods"), classes=classes, food=n("food"), trade=n("trade"), hospitality=n("hospitality"), items=n("items"), food_share=F.coalesce("food_share", F.lit(0.0)), web=F.when(known, F.col("words")))
+    goods = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
+    product, service = S.mode_points(sic=sic, goods=F.col("goods"), classes=classes, food=goods("food"), trade=goods("trade"), hospitality=goods("hospitality"), items=goods("items"), food_share=F.coalesce("food_share", F.lit(0.0)), web=F.when(known, F.col("words")))
     kept = kept.withColumns({"score": score, "cap": cap, "product_points": product, "service_points": service})
-    mode = S.commercial_mode(F.col("product_points"), F.col("service_points"), sic=sic, food=n("food"), hospitality=n("hospitality"), non_food=n("non_food"), non_food_share=F.coalesce("non_food_share", F.lit(0.0)))
+    mode = S.commercial_mode(F.col("product_points"), F.col("service_points"), sic=sic, food=goods("food"), hospitality=goods("hospitality"), non_food=goods("non_food"), non_food_share=F.coalesce("non_food_share", F.lit(0.0)))
     kept = kept.withColumn("mode", mode)
     kept = kept.withColumns({"band": S.band(F.col("score")), "intent": S.intent(F.col("category"), F.col("stage_of_launch")), "company_key": C.company_key(F.col("company_number"), F.replace("applicant", F.lit(" "), F.lit("")), F.col("row"))})
-    kept = cut(kept, "scored")
+    kept, late = counted(kept, "scored", {"scored": F.count("*"), "unscored": F.count_if(F.col("score").isNull()), "websites": F.count("site"), "high": F.count_if(F.col("band") == "HIGH"), "medium": F.count_if(F.col("band") == "MEDIUM")})
+    check("scored", late, guards)
     scored = kept.withColumn("suppressed_for", S.final_reason(F.col("band"), F.col("mode"), F.col("established")))
     deliverable = scored.where("suppressed_for is null")
     order = [F.desc("score"), F.desc(F.col("category").isNotNull()), F.desc(F.col("goods") != ""), F.asc_nulls_first("filing_date"), F.desc("filing_id"), "batch_id", "ordinal"]
     deliverable = deliverable.withColumn("related", F.struct((-F.col("score")).alias("place"), "filing_id", "mark_text"))
     opportunities = C.consolidate(deliverable, "company_key", order, {"mark_text": "other_marks", "related": "others"}, "nice_classes").drop("related")
-    counts = rows.agg(
-        F.count("*").alias("raw"), F.count_if(food).alias("food_class"), F.count_if(F.coalesce(F.col("stage") != "product", F.lit(True))).alias("product"),
-        F.count_if(F.coalesce(F.col("stage") != "product", F.lit(True)) & (F.col("applicant_type") == "CORPORATE")).alias("corporate"), F.count_if("was_matched").alias("matched"), F.count_if(F.col("reason").isNull()).alias("emerging"),
-    )
+    counts = filings.sparkSession.createDataFrame([{**n, **late}], ", ".join(f"{name} bigint" for name in (*n, *late)))
     return Result(scored, opportunities, rel.rejections(rows, *KEY, "mark_text", "applicant_name"), duplicates, counts)

@@ -9,8 +9,9 @@ from ..operators import consolidate as C
 from ..operators import evidence as E
 from ..operators import matching as M
 from ..operators import relational as rel
-from ..operators import similar
+from ..operators import history, similar
 from ..operators import sales
+from ..session import run_dir
 from .registry import probe
 
 #: The rungs of a name's score in SQL, over token lists x and y and names a and b without legal forms.
@@ -174,3 +175,14 @@ def op_t02_dedupe(t):
 SELECT user_id, max_by(event_type, (ts, event_id)) AS last_type, count(*) AS n, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS at FROM events GROUP BY 1""")
 def op_t04_state_fold(t):
     return t("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"), F.count("*").alias("n"), F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss").alias("at"))
+
+
+@probe("SELECT event_id, user_id, first_seen FROM (SELECT event_id, user_id, event_type, ts::date = min(ts::date) OVER (PARTITION BY user_id) AS first_seen FROM events) WHERE event_type <> 'purchase'")
+def op_j09_history(t):
+    """Purchases are the history; the other events are the batch that meets it."""
+    events = t("events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
+    spark, past = events.sparkSession, F.col("event_type") == "purchase"
+    path = run_dir(spark, "history")
+    name = history.opened(spark, path.rsplit("/", 1)[-1].replace("-", "_"), path, dict(events.dtypes)["user_id"], "date", 64)
+    history.append(events.where(past), name, "user_id", "day")
+    return history.first_seen(events.where(~past), name, "user_id", "day").select("event_id", "user_id", "first_seen")
