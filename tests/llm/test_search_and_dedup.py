@@ -1,10 +1,14 @@
 """Operators 3, 4 and 6 against brute force."""
 
 import hashlib
+import json
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -251,8 +255,6 @@ def test_decontaminate_empty_tables_and_repeats(spark):
 
 
 def test_wu_manber_skips_positions():
-    import pyarrow as pa
-
     rng = random.Random(3)
     words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
     item = " ".join(f"w{rng.randrange(5000)}" for _ in range(30))
@@ -267,8 +269,6 @@ def test_wu_manber_skips_positions():
 
 
 def test_skipping_holds_with_many_items():
-    import pyarrow as pa
-
     rng = np.random.default_rng(4)
     spell = lambda x: " ".join(f"w{i}" for i in x.tolist())
     items = [spell(rng.integers(0, 5000, 100)) for _ in range(20_000)]
@@ -291,8 +291,6 @@ def test_decontaminate_repeated_items_and_large_ones(spark):
 
 
 def test_patterns_are_mapped_from_their_file(tmp_path):
-    import pyarrow as pa
-
     block = decontaminate.build(pa.array(["a b c", "one two three four five six seven eight nine ten eleven", None]))
     again = decontaminate.mapped(str(tmp_path / "x"), decontaminate.save(block, str(tmp_path / "x")))
     assert isinstance(again.words, np.memmap)
@@ -300,9 +298,53 @@ def test_patterns_are_mapped_from_their_file(tmp_path):
     assert again.spell(3, 5) == b"one two"
 
 
-def test_word_finding_equals_regular_expressions():
-    import pyarrow as pa
+def test_tables_in_slices_equal_one_table():
+    rng = np.random.default_rng(8)
+    items = [" ".join(f"w{i}" for i in rng.integers(0, 900, n).tolist()) for n in (2, 3, 30, 80, 200)]
+    search = decontaminate.Search()
+    search.add(decontaminate.build(pa.array(items)))
+    cells = rng.integers(0, 1 << search.bits, 5000).astype(np.uint64)
+    for length, shift in search.shifts.items():
+        parts = {i: x for i, x in enumerate(shift.reshape(64, -1)) if (x != decontaminate.full_move(length)).any()}
+        assert len(parts) < 64 or length == 10
+        assert np.array_equal(decontaminate.Sliced(parts, search.bits - 6, decontaminate.full_move(length))[cells], shift[cells])
+
 
+def test_decontaminate_in_many_blocks_and_slices(spark):
+    rows = texts(7, 25)[:-1]
+    items = [(f"q{i}", t) for i, t in items_for(rows, 2)]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    found = decontaminate.find_contamination(table(spark, rows).repartition(3), bench, block_bytes=300, slice_bits=11)
+    assert {r["doc_id"]: tuple(r)[1:] for r in decontaminate.digest(found).collect()} == contamination_by_hand(rows, items)
+
+
+def test_patterns_are_made_in_tasks_under_the_shared_folder(spark):
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(400)]
+    rows = spark.createDataFrame(items, "item long, text string")
+    bits, blocks, slices = decontaminate.write_patterns(rows, 10, 20_000, 12)
+    top = spark.conf.get("spark.checkpoint.dir")
+    assert len(blocks) > 5 and len(slices) == 1 << bits - 12
+    assert all(p.startswith(f"{top}/tidemark-patterns-") for p in [*(b[0] for b in blocks), *(s[2] for s in slices)])
+    got = [decontaminate.mapped(decontaminate.on_machine(p), json.loads(places)) for p, places in blocks]
+    assert sorted(i for b in got for i in b.ids.to_pylist()) == list(range(400))
+    assert sum(len(p.keys) for b in got for p in b.patterns) == 400 * 41
+    whole = decontaminate.Search(bits=bits)
+    for b in got:
+        whole.add(b)
+    for length, i, path in slices:
+        assert np.array_equal(np.fromfile(path, np.uint8), whole.shifts[length][i << 12 : i + 1 << 12])
+
+
+def test_a_file_that_no_machine_mounts_is_fetched_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "patterns").write_bytes(b"abc")
+    far = pyarrow.fs.SubTreeFileSystem(str(tmp_path), pyarrow.fs.LocalFileSystem())
+    monkeypatch.setattr(decontaminate.pyarrow.fs, "FileSystem", SimpleNamespace(from_uri=lambda path: (far, "patterns")))
+    here = decontaminate.on_machine("far://patterns")
+    (tmp_path / "patterns").unlink()
+    assert decontaminate.on_machine("far://patterns") == here and open(here, "rb").read() == b"abc"
+
+
+def test_word_finding_equals_regular_expressions():
     rows = texts(6, 20)
     for mask, pattern in ((common.SPACED_WORD, SPACED), (common.ALNUM_WORD, ALNUM)):
         data, at = common.text_bytes(pa.array(rows))

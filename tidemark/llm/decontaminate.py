@@ -4,40 +4,47 @@ The benchmark's windows are the patterns. For each pattern length a shift table
 position can be moved on without missing an occurrence; where it says zero, the bucket of the block's hash and of the
 pattern's first words gives the few patterns that may stand there, and direct comparison of the words confirms one.
 Documents are never shuffled and are passed over once: each task searches its own rows, many stretches of text in lock-step.
-The patterns lie in files of arrays that Spark hands to the executors and that tasks map into memory; the driver makes one
-from `block_bytes` of benchmark text at a time, so neither it nor a task holds more than that, however large the benchmark is.
+The benchmark is dealt by hash into blocks of about `block_bytes`; a task each makes the patterns of one and writes them as a file of
+arrays under the shared folder, with the block's cells of the shift table, which other tasks merge slice by slice. The tasks
+that search map those files into memory. The driver sees the files' names only, however large the benchmark is.
 """
 
 from __future__ import annotations
 
-import atexit
+import json
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 
 from . import common
 
 #: Words of a window, and of a block of the shift table.
 WINDOW, BLOCK = 10, 3
-#: Bytes of benchmark text that one file of patterns is made of at most; the driver holds about 28 times as much while it makes one.
+#: Bytes of benchmark text that one file of patterns is made of, about; its task holds about 50 times as much while it makes one.
 BLOCK_BYTES = 8 << 20
 #: Cells of a shift table for each word of the benchmark, and their number (as a power of two) at least and at most.
 CELLS, FEWEST, MOST = 8, 16, 30
+#: Cells of one file of a shift table at most, as a power of two.
+SLICE = 24
 #: Window starts that one lane of the lock-step search takes.
 LANE = 256
 #: Odd factors of a block's words.
 _ODD = common.mix(np.arange(1, 1 + BLOCK, dtype=np.uint64)) | np.uint64(1)
 _HITS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+#: What the tasks that make patterns tell: of a block its file and where its arrays are; of a slice of the shift table the cells that it sets.
+_MADE = pa.schema([("path", pa.string()), ("places", pa.string()), ("length", pa.int32()), ("slice", pa.int32()), ("cells", pa.binary()), ("moves", pa.binary())])
+_SLICES = pa.schema([("length", pa.int32()), ("slice", pa.int32()), ("path", pa.string())])
 
 
 def block_hash(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -66,13 +73,14 @@ class Patterns:
 
 @dataclass
 class Block:
-    """The patterns of a part of the benchmark, with the words that they are made of."""
+    """The patterns of a part of the benchmark, with the words that they are made of and its items' ids."""
 
     words: np.ndarray
     start: np.ndarray
     end: np.ndarray
     text: np.ndarray
     patterns: list[Patterns]
+    ids: pa.ChunkedArray | None = None
 
     def spell(self, a: int, b: int) -> bytes:
         return b" ".join([self.text[s:e].tobytes() for s, e in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)])
@@ -128,11 +136,17 @@ def save(block: Block, path: str) -> dict:
     places, at = {}, 0
     arrays = {k: getattr(block, k) for k in ("words", "start", "end", "text")}
     arrays |= {f"{p.length}.{k}": getattr(p, k) for p in block.patterns for k in ("keys", "first", "items", "owner")}
-    with open(path, "wb") as f:
+    if block.ids is not None:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, pa.schema([("item", block.ids.type)])) as out:
+            out.write_table(pa.table({"item": block.ids}))
+        arrays["ids"] = np.frombuffer(sink.getvalue(), np.uint8)
+    fs, file = pyarrow.fs.FileSystem.from_uri(path)
+    with fs.open_output_stream(file) as f:
         for name, x in sorted(arrays.items()):
             places[name] = (x.dtype.str, at, len(x))
-            at += f.write(x.tobytes())
-            at += f.write(bytes(-at % 8))
+            f.write(x.tobytes() + bytes(-x.nbytes % 8))
+            at += x.nbytes + -x.nbytes % 8
     return places
 
 
@@ -141,23 +155,74 @@ def mapped(path: str, places: dict) -> Block:
     raw = np.memmap(path, np.uint8, "r")
     got = {k: raw[at : at + n * np.dtype(d).itemsize].view(d) for k, (d, at, n) in places.items()}
     lengths = sorted({int(k.split(".")[0]) for k in got if "." in k})
-    return Block(got["words"], got["start"], got["end"], got["text"], [Patterns(n, *(got[f"{n}.{k}"] for k in ("keys", "first", "items", "owner"))) for n in lengths])
+    ids = pa.ipc.open_stream(pa.py_buffer(got["ids"])).read_all()["item"] if "ids" in got else None
+    return Block(got["words"], got["start"], got["end"], got["text"], [Patterns(n, *(got[f"{n}.{k}"] for k in ("keys", "first", "items", "owner"))) for n in lengths], ids)
+
+
+def on_machine(path: str) -> str:
+    """A shared file's path for mapping: its own where the machine mounts it, else that of a copy among the files that Spark
+    keeps for the executor, fetched once; a new executor fetches it again."""
+    fs, file = pyarrow.fs.FileSystem.from_uri(path)
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        return file
+    own = os.path.join(SparkFiles.getRootDirectory(), os.path.basename(file))
+    if not os.path.exists(own):
+        draft = f"{own}-{uuid.uuid4().hex}"
+        with fs.open_input_stream(file) as f, open(draft, "wb") as out:
+            shutil.copyfileobj(f, out, 1 << 20)
+        os.replace(draft, own)
+    return own
+
+
+def full_move(length: int) -> int:
+    """How far a position moves on whose block no pattern of the length holds."""
+    return min(255, length - min(BLOCK, length) + 1)
+
+
+def cells_of(block: Block, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Of each pattern length the cells of a table of 2 ** bits that the block sets, in order, and the least move of each."""
+    found = {}
+    for p in block.patterns:
+        width = min(BLOCK, p.length)
+        last = p.length - width
+        keys = [block_hash(block.words, p.first + j, width) >> np.uint64(64 - bits) << np.uint64(8) | np.uint64(min(255, last - j)) for j in range(last + 1)]
+        key = np.unique(np.concatenate(keys))
+        cell = (key >> np.uint64(8)).astype(np.int64)
+        new = np.ones(len(cell), bool)
+        new[1:] = cell[1:] != cell[:-1]
+        found[p.length] = cell[new], (key[new] & np.uint64(255)).astype(np.uint8)
+    return found
+
+
+@dataclass
+class Sliced:
+    """A shift table in slices of 2 ** width cells; a slice that is missing holds full moves only."""
+
+    parts: dict[int, np.ndarray]
+    width: int
+    full: int
+
+    def __getitem__(self, cells: np.ndarray) -> np.ndarray:
+        moves, of = np.full(len(cells), self.full, np.uint8), cells >> np.uint64(self.width)
+        for i in np.unique(of).tolist():
+            if i in self.parts:
+                mine = of == i
+                moves[mine] = self.parts[i][cells[mine] & np.uint64((1 << self.width) - 1)]
+        return moves
 
 
 @dataclass
 class Search:
     """The shift table of each pattern length over all blocks, of 2 ** bits cells, and how many positions were looked at."""
 
-    shifts: dict[int, np.ndarray] = field(default_factory=dict)
+    shifts: dict[int, np.ndarray | Sliced] = field(default_factory=dict)
     bits: int = FEWEST
     looked: int = 0
 
     def add(self, block: Block) -> None:
-        for p in block.patterns:
-            width = min(BLOCK, p.length)
-            shift = self.shifts.setdefault(p.length, np.full(1 << self.bits, p.length - width + 1, np.uint8))
-            for j in range(p.length - width + 1):
-                np.minimum.at(shift, block_hash(block.words, p.first + j, width) >> np.uint64(64 - self.bits), np.uint8(p.length - width - j))
+        for length, (cell, move) in cells_of(block, self.bits).items():
+            shift = self.shifts.setdefault(length, np.full(1 << self.bits, full_move(length), np.uint8))
+            shift[cell] = np.minimum(shift[cell], move)
 
     def starts(self, length: int, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts where the shift is zero, and their bucket. bounds: the first word of each text. Only blocks where a lane stands are hashed."""
@@ -187,8 +252,8 @@ def table_bits(words: int) -> int:
     return min(MOST, max(FEWEST, (CELLS * words - 1).bit_length()))
 
 
-def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[Block, list]]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
-    """Per text: its words, the stretches of hit words, the items found. blocks: each with the ids of its items."""
+def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[Block]) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[set]]:
+    """Per text: its words, the stretches of hit words, the items found."""
     data, at = common.text_bytes(batch[text])
     data = common.LOWER[data]
     start, end, bounds = common.find_words(data, at, common.ALNUM_WORD)
@@ -202,7 +267,7 @@ def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[B
     items: list[set] = [set() for _ in range(batch.num_rows)]
     for length in search.shifts:
         where, key = search.starts(length, words, bounds)
-        for block, ids in blocks:
+        for block in blocks:
             p = next((p for p in block.patterns if p.length == length), None)
             if p is None or not len(where):
                 continue
@@ -210,7 +275,7 @@ def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[B
             np.add.at(delta, hit, 1)
             np.add.at(delta, hit + length, -1)
             for d, i in set(zip((np.searchsorted(bounds, hit, "right") - 1).tolist(), which.tolist(), strict=True)):
-                items[d].update(ids[j] for j in p.owner[p.items[i] : p.items[i + 1]].tolist())
+                items[d].update(block.ids.take(pa.array(p.owner[p.items[i] : p.items[i + 1]])).to_pylist())
     hit = np.cumsum(delta[:-1]) > 0
     hits: list[list[tuple[int, int]]] = [[] for _ in range(batch.num_rows)]
     if hit.any():
@@ -223,25 +288,55 @@ def _scan(batch: pa.RecordBatch, text: str, search: Search, blocks: list[tuple[B
     return np.diff(bounds), hits, items
 
 
-def _parts(rows: DataFrame, total: int, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark's distinct rows (item, text) in parts of at most about block_bytes each, or of one row; one part where all fit.
+def write_patterns(rows: DataFrame, window: int, block_bytes: int, slice_bits: int) -> tuple[int, list[tuple[str, str]], list[tuple[int, int, str]]]:
+    """Make the patterns of distinct rows (item, text) in tasks, under the shared folder.
 
-    The rows come to the driver a partition at a time, and partitions by hash hold a part at most, about.
+    Gives the bits of the shift tables, (file, places) of each block, and (length, slice, file) of each slice of a table. A
+    block holds what one hash of the rows takes, about block_bytes, or one larger text. A file is named by the try that wrote
+    it and counts once that try's row is there, so a task that runs twice leaves a file that nobody opens.
     """
-    if total > block_bytes:
-        rows = rows.repartition(2 * -(-total // block_bytes), F.xxhash64("item", "text"))
-    part, held = [], 0
-    for item, text in rows.toLocalIterator():
-        own = len(text.encode()) + 64
-        if part and held + own > block_bytes:
-            yield part
-            part, held = [], 0
-        part.append((item, text))
-        held += own
-    yield part
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    spark = rows.sparkSession
+    total, words = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.coalesce(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0))).first()
+    bits, parts, top = table_bits(words), 1 if total <= block_bytes else 2 * -(-total // block_bytes), common.run_dir(spark, "patterns")
+    width = min(bits, slice_bits)
+
+    def place() -> str:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(top)
+        fs.create_dir(folder)
+        return f"{top}/{uuid.uuid4().hex}"
+
+    def make(rows: pa.Table) -> pa.Table:
+        block = build(rows["text"], window)
+        if not block.patterns:
+            return _MADE.empty_table()
+        block.ids, path = rows["item"], place()
+        out = [{"path": path, "places": json.dumps(save(block, path))}]
+        for length, (cell, move) in cells_of(block, bits).items():
+            cuts = np.searchsorted(cell, np.arange((1 << bits - width) + 1) << width).tolist()
+            for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if a < b:
+                    out.append({"length": length, "slice": i, "cells": (cell[a:b] - (i << width)).astype("<u4").tobytes(), "moves": move[a:b].tobytes()})
+        return pa.Table.from_pylist(out, _MADE)
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        length, path = key[0].as_py(), place()
+        shift = np.full(1 << width, full_move(length), np.uint8)
+        for cells, moves in zip(rows["cells"], rows["moves"], strict=True):
+            cell = np.frombuffer(cells.as_buffer(), "<u4")
+            shift[cell] = np.minimum(shift[cell], np.frombuffer(moves.as_buffer(), np.uint8))
+        fs, file = pyarrow.fs.FileSystem.from_uri(path)
+        with fs.open_output_stream(file) as f:
+            f.write(shift.tobytes())
+        return pa.Table.from_pylist([{"length": length, "slice": key[1].as_py(), "path": path}], _SLICES)
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)))
+    made = common.materialise(dealt.groupBy("part").applyInArrow(make, from_arrow_schema(_MADE)), "shifts")
+    blocks = [tuple(r) for r in made.where("path is not null").select("path", "places").collect()]
+    merged = made.where("path is null").select("length", "slice", "cells", "moves").groupBy("length", "slice").applyInArrow(merge, from_arrow_schema(_SLICES))
+    return bits, blocks, [tuple(r) for r in merged.collect()]
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, slice_bits: int = SLICE) -> DataFrame:
     """Mark the benchmark passages of every text.
 
     Adds to `docs` n_words (long), hits (stretches of hit words, end exclusive) and item_ids (of the items whose windows
@@ -254,31 +349,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, text: str = "te
     added = [T.StructField("n_words", T.LongType()), T.StructField("hits", _HITS), T.StructField("item_ids", T.ArrayType(benchmark.schema[item_id].dataType))]
     schema = T.StructType([f for f in docs.schema.fields if f.name not in {x.name for x in added}] + added)
     rows = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).alias("text")).where(F.length("text") > 0).distinct()
-    total, words = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.coalesce(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+"))), F.lit(0))).first()
-    search, files = Search(bits=table_bits(words)), []
-    folder = tempfile.mkdtemp()  # the driver's own: Spark serves the files from there while the application runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    for part in _parts(rows, total, block_bytes):
-        block, path = build(pa.array([t for _, t in part], pa.string()), window), os.path.join(folder, f"patterns-{uuid.uuid4().hex}")
-        if not block.patterns:
-            continue
-        search.add(block)
-        files.append((os.path.basename(path), save(block, path), [i for i, _ in part]))
-        spark.sparkContext.addFile(path)
-        del block
-    tables = {}
-    for length, shift in search.shifts.items():
-        tables[length] = f"shifts-{uuid.uuid4().hex}.npy"
-        np.save(os.path.join(folder, tables[length]), shift)
-        spark.sparkContext.addFile(os.path.join(folder, tables[length]))
-    shared, bits = spark.sparkContext.broadcast((tables, files)), search.bits
+    bits, files, slices = write_patterns(rows, window, block_bytes, slice_bits)
+    shared, width = spark.sparkContext.broadcast((files, slices)), min(bits, slice_bits)  # names of files, two for each block_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        tables, files = shared.value
-        shifts = {n: np.load(SparkFiles.get(name), mmap_mode="r") for n, name in tables.items()}
-        arrow, blocks = to_arrow_schema(schema), [(mapped(SparkFiles.get(name), places), ids) for name, places, ids in files]
+        files, slices = shared.value
+        shifts: dict[int, Sliced] = {}
+        for length, i, path in slices:
+            shifts.setdefault(length, Sliced({}, width, full_move(length))).parts[i] = np.memmap(on_machine(path), np.uint8, "r")
+        arrow, blocks = to_arrow_schema(schema), [mapped(on_machine(path), json.loads(places)) for path, places in files]
         for batch in common.steps(batches, text):
             n, hits, items = _scan(batch, text, Search(shifts, bits), blocks)
             kept = [batch[f.name].cast(arrow.field(f.name).type) for f in schema.fields[:-3]]
