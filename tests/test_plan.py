@@ -125,3 +125,22 @@ def test_evidence_about_others_counts_for_nothing(spark, companies):
 def test_category_where_goods_tell_none(spark, companies):
     rows = early_signal.run(spark.createDataFrame([filing("f1", applicant=CRUMB, goods=None), filing("f2", mark="Moor Creamery", applicant="Nobody Knows Ltd", goods=None), filing("f3", mark="Plain", applicant="Nobody Else Ltd", goods=None)], FILING), companies).scored.collect()
     assert {r["filing_id"]: (r["category"], r["category_label"]) for r in rows} == {"f1": ("bakery", "Bakery"), "f2": ("dairy", "Dairy"), "f3": (None, None)}
+
+
+def test_rules_of_another_version(spark, companies):
+    import json
+
+    from tidemark import rulebook
+
+    found = json.loads(rulebook.shipped().sections)
+    found["scoring"]["base"] = 0
+    found["intent"]["default"] = {k: "NONE" for k in found["intent"]["suppliers"]}
+    found["intent"]["groups"], found["intent"]["stages"] = {}, {}
+    book = rulebook.checked(found)
+    filings = spark.createDataFrame([filing("f1", applicant=CRUMB), filing("f2", goods="tea"), filing("f3", goods=None)], FILING)
+    first, second = early_signal.run(filings, companies), early_signal.run(filings, companies, book=book)
+    a, b = ({r["filing_id"]: r for r in x.scored.collect()} for x in (first, second))
+    assert a and a.keys() == b.keys()
+    assert {r["rules_version"] for r in a.values()} == {rulebook.shipped().version} and {r["rules_version"] for r in b.values()} == {book.version}
+    assert all(b[k]["score"] <= a[k]["score"] for k in a) and any(b[k]["score"] < a[k]["score"] for k in a)
+    assert all(set(r["intent"].values()) == {"NONE"} for r in b.values())

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rulebook
 from .. import rules as R
 from ..functions import dates as D
 from ..functions import text as X
@@ -88,10 +89,11 @@ def with_evidence(rows: DataFrame, evidence: DataFrame | None) -> DataFrame:
 GUARDS = (failing("scored", "unscored", "scored"),)
 
 
-def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None, guards: Sequence[Guard] = GUARDS) -> Result:
+def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = None, guards: Sequence[Guard] = GUARDS, book: rulebook.Rulebook | None = None) -> Result:
     """All stages. `evidence` are search results (query, rank, title, url, snippet); without them web evidence is not looked for.
 
     Every filing ends as a rejection with its first reason, as a duplicate, or scored; nothing is dropped without a trace.
+    Indicators, caps, bands and supplier intents are those of `book`, by default the shipped rules; rows carry its version.
     Counts are taken as the stages "enriched" and "scored" are written; a guard that does not hold on them raises `Stopped`. A filing of
     a major brand's owner or from abroad was rejected by the product rules before it is scored, so their indicators never fire here.
     """
@@ -145,14 +147,15 @@ def run(filings: DataFrame, companies: DataFrame, evidence: DataFrame | None = N
         "age_phrase": D.filing_phrase(a), "age": F.bround(a, 1), "category": F.col("category_label"), "marks": F.col("marks"), "n_classes": F.size(classes), "confidence": F.col("confidence"), "website": site,
         "launch": F.array_join(F.slice("launches", 1, 3), ", "), "sic": V.with_prefix(sic, [p for k in ("manufacturing", "trade", "non_product") for p in R.SIC[k]]),
     }
-    kept = kept.withColumn("reasons", S.fired(conditions, facts, R.positive_scale(looked, R.LAUNCH_INDICATORS), R.LAUNCH_INDICATORS))
-    score, cap = S.capped(S.total(F.col("reasons")), [("no_company", F.col("company_number").isNull() | (F.col("confidence") < 70), R.CAPS["no_company"]), ("no_category", F.col("category").isNull(), R.CAPS["no_goods"]), ("no_web", ~known, R.CAPS["no_web"])])
+    book = book or rulebook.shipped()
+    kept = book.scored(kept, conditions, facts, looked, {"no_company": F.col("company_number").isNull() | (F.col("confidence") < 70), "no_category": F.col("category").isNull(), "no_web": ~known})
     goods = lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0))
     product, service = S.mode_points(sic=sic, goods=F.col("goods"), classes=classes, food=goods("food"), trade=goods("trade"), hospitality=goods("hospitality"), items=goods("items"), food_share=F.coalesce("food_share", F.lit(0.0)), web=F.when(known, F.col("words")))
-    kept = kept.withColumns({"score": score, "cap": cap, "product_points": product, "service_points": service})
+    kept = kept.withColumns({"product_points": product, "service_points": service})
     mode = S.commercial_mode(F.col("product_points"), F.col("service_points"), sic=sic, food=goods("food"), hospitality=goods("hospitality"), non_food=goods("non_food"), non_food_share=F.coalesce("non_food_share", F.lit(0.0)))
     kept = kept.withColumn("mode", mode)
-    kept = kept.withColumns({"band": S.band(F.col("score")), "intent": S.intent(F.col("category"), F.col("stage_of_launch")), "company_key": C.company_key(F.col("company_number"), F.replace("applicant", F.lit(" "), F.lit("")), F.col("row"))})
+    kept = book.with_intents(kept, "category", "stage_of_launch", "intent")
+    kept = kept.withColumns({"company_key": C.company_key(F.col("company_number"), F.replace("applicant", F.lit(" "), F.lit("")), F.col("row"))})
     kept, late = counted(kept, "scored", {"scored": F.count("*"), "unscored": F.count_if(F.col("score").isNull()), "websites": F.count("site"), "high": F.count_if(F.col("band") == "HIGH"), "medium": F.count_if(F.col("band") == "MEDIUM")})
     check("scored", late, guards)
     scored = kept.withColumn("suppressed_for", S.final_reason(F.col("band"), F.col("mode"), F.col("established")))

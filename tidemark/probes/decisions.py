@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from .. import rulebook
 from .. import rules as R
 from ..functions import dates as D
 from ..functions import text as X
@@ -342,6 +345,26 @@ def op_a32_rescored(t):
     return sales.rescored(before, after, "k", "band")
 
 
+def rules_with(base: int, many: int, cap: int) -> rulebook.Rulebook:
+    """The shipped rules with another base, weight of many classes and cap of filings without a company."""
+    found = json.loads(rulebook.shipped().sections)
+    found["scoring"] |= {"base": base, "caps": {"no_company": cap}}
+    next(x for x in found["scoring"]["indicators"] if x["key"] == "many_classes")["weight"] = many
+    return rulebook.checked(found)
+
+
+@probe("""
+WITH r AS (SELECT o_orderpriority < '3' AS word, day(o_orderdate) >= 20 AS many, o_orderstatus = 'F' AS gone, o_totalprice > 100000 AS first FROM orders),
+s AS (SELECT gone, CASE WHEN word THEN 2 ELSE 0 END + CASE WHEN first THEN 8 ELSE 0 END + CASE WHEN gone THEN -15 ELSE 0 END AS n, CASE WHEN many THEN 1 ELSE 0 END AS m FROM r),
+v AS (SELECT CASE WHEN gone THEN least(74, 50 + n - 8 * m) ELSE 50 + n - 8 * m END AS a, CASE WHEN gone THEN least(62, 75 + n - 20 * m) ELSE 75 + n - 20 * m END AS b FROM s)
+SELECT CASE WHEN a >= 80 THEN 'HIGH' WHEN a >= 60 THEN 'MEDIUM' ELSE 'SUPPRESS' END AS was, CASE WHEN b >= 80 THEN 'HIGH' WHEN b >= 60 THEN 'MEDIUM' ELSE 'SUPPRESS' END AS "is", count(*) AS n FROM v GROUP BY 1, 2""")
+def op_a32_versions(t):
+    gone = F.col("o_orderstatus") == "F"
+    conditions = {"word_mark": F.col("o_orderpriority") < "3", "many_classes": F.day("o_orderdate") >= 20, "no_company_match": gone, "first_trademark_for_applicant": F.col("o_totalprice") > 100000}
+    rows = t("orders").select("o_orderpriority", "o_orderdate", "o_orderstatus", "o_totalprice")
+    return rulebook.rescore(rows, rules_with(50, -8, 74), rules_with(75, -20, 62), lambda df, book: book.scored(df, conditions, {"n_classes": F.day("o_orderdate")}, True, {"no_company": gone}))[1]
+
+
 @probe("""
 SELECT count(*) AS paying, sum(CASE c_mktsegment WHEN 'BUILDING' THEN 4900 WHEN 'MACHINERY' THEN 9900 ELSE 0 END)::bigint AS monthly_pence FROM customer WHERE c_acctbal >= 0""")
 def op_a25_revenue(t):

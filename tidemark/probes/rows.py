@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import rulebook
 from .. import rules as R
 from ..functions import text as X
 from ..functions import values as V
@@ -191,16 +192,31 @@ def sql_intent(supplier: str) -> str:
     return f"least(3, greatest(0, CASE g {own} ELSE {rank(R.INTENT_DEFAULT[supplier])} END + CASE s {by} ELSE 0 END)) AS {supplier}"
 
 
-@probe(f"""
+INTENT_SQL = f"""
 WITH p AS (SELECT p_partkey, CASE p_type WHEN 'PROMO' THEN 'bakery' WHEN 'LARGE' THEN 'drink' WHEN 'SMALL' THEN 'sauce' END AS g, CASE p_size % 5 WHEN 0 THEN 'pre_launch' WHEN 1 THEN 'early_launch' WHEN 2 THEN 'scaling' WHEN 3 THEN 'established' ELSE 'unknown' END AS s FROM part),
 c AS (SELECT p_partkey, {', '.join(map(sql_intent, R.SUPPLIERS))} FROM p)
 SELECT p_partkey, {', '.join(f"['NONE', 'LOW', 'MEDIUM', 'HIGH'][{s} + 1] AS {s}" for s in R.SUPPLIERS)},
-  array_to_string(list_transform(list_sort(list_filter([{', '.join(f"{{'r': -{s}, 'i': {i}, 'k': '{s}'}}" for i, s in enumerate(R.SUPPLIERS))}], lambda x: x.r <= -2))[1:3], lambda x: x.k), ',') AS top FROM c""")
+  array_to_string(list_transform(list_sort(list_filter([{', '.join(f"{{'r': -{s}, 'i': {i}, 'k': '{s}'}}" for i, s in enumerate(R.SUPPLIERS))}], lambda x: x.r <= -2))[1:3], lambda x: x.k), ',') AS top FROM c"""
+
+
+@probe(INTENT_SQL)
 def op_r20_intent(t):
+    return suppliers(launches_of(t).withColumn("m", scoring.intent(F.col("g"), F.col("s"))))
+
+
+@probe(INTENT_SQL)
+def op_r20_rule_tables(t):
+    return suppliers(rulebook.shipped().with_intents(launches_of(t), "g", "s", "m"))
+
+
+def launches_of(t):
     kind, size = F.col("p_type"), F.col("p_size") % 5
     group = F.when(kind == "PROMO", "bakery").when(kind == "LARGE", "drink").when(kind == "SMALL", "sauce")
     stage = F.when(size == 0, "pre_launch").when(size == 1, "early_launch").when(size == 2, "scaling").when(size == 3, "established").otherwise("unknown")
-    rows = t("part").select("p_partkey", scoring.intent(group, stage).alias("m"))
+    return t("part").select("p_partkey", group.alias("g"), stage.alias("s"))
+
+
+def suppliers(rows):
     return rows.select("p_partkey", *[F.col("m")[s].alias(s) for s in R.SUPPLIERS], F.array_join(scoring.top_intents(F.col("m")), ",").alias("top"))
 
 

@@ -41,7 +41,7 @@ class Indicator:
 
 #: The base score, bands from the top, caps and the most by which weights are scaled up (fixed values).
 BASE, BANDS = 25, ((80, "HIGH"), (60, "MEDIUM"), (0, "SUPPRESS"))
-CAPS = {"no_company": 74, "no_goods": 74, "no_web": 79}
+CAPS = {"no_company": 74, "no_category": 74, "no_web": 79}
 MOST_SCALE = 2.0
 #: Kinds of suppliers in delivered order, their default relevance, and how a launch stage moves it by a band (fixed values).
 SUPPLIERS = ("flexible_packaging", "labels", "cartons", "contract_manufacturing", "copacking", "distribution", "brokerage", "fulfilment", "marketing")
