@@ -31,7 +31,7 @@ from . import common
 
 #: Words of a window, and of a block of the shift table.
 WINDOW, BLOCK = 10, 3
-#: Bytes of benchmark text that one file of patterns is made of, about; its task holds about 50 times as much while it makes one.
+#: Bytes of benchmark text that one file of patterns is made of, about; its task holds about 40 times as much while it makes one.
 BLOCK_BYTES = 8 << 20
 #: Cells of a shift table for each word of the benchmark, and their number (as a power of two) at least and at most.
 CELLS, FEWEST, MOST = 8, 16, 30
@@ -185,12 +185,15 @@ def cells_of(block: Block, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]
     for p in block.patterns:
         width = min(BLOCK, p.length)
         last = p.length - width
-        keys = [block_hash(block.words, p.first + j, width) >> np.uint64(64 - bits) << np.uint64(8) | np.uint64(min(255, last - j)) for j in range(last + 1)]
-        key = np.unique(np.concatenate(keys))
-        cell = (key >> np.uint64(8)).astype(np.int64)
-        new = np.ones(len(cell), bool)
-        new[1:] = cell[1:] != cell[:-1]
-        found[p.length] = cell[new], (key[new] & np.uint64(255)).astype(np.uint8)
+        key = np.zeros(0, np.uint64)
+        for j in range(last, -1, -1):  # one place of the block in its pattern after the other, so that few keys are held at once
+            own = np.unique(block_hash(block.words, p.first + j, width) >> np.uint64(64 - bits) << np.uint64(8) | np.uint64(min(255, last - j)))
+            key = np.unique(np.concatenate([key, own]))
+            cell = (key >> np.uint64(8)).astype(np.int64)
+            new = np.ones(len(cell), bool)
+            new[1:] = cell[1:] != cell[:-1]
+            key, cell = key[new], cell[new]
+        found[p.length] = cell, (key & np.uint64(255)).astype(np.uint8)
     return found
 
 
