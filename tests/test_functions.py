@@ -123,3 +123,13 @@ def test_values(spark):
 )
 def test_judgement(spark, answer, ok):
     assert (one(spark, V.valid_judgement(F.lit(answer).cast("string"), ("x",))) is not None) is ok
+
+
+def test_a_judgement_is_parsed_once_for_a_merged_value(spark):
+    rows = [(1, '{"category": "x", "probability": 0.5, "is_product": true}'), (2, '{"category": "x", "probability": 0.01, "is_product": true}'), (3, "no json"), (4, None)]
+    df = spark.createDataFrame(rows, "id int, answer string")
+    probability, alone = V.merged(F.lit(0.25), V.valid_judgement(F.col("answer"), ("x",))["probability"], 0.05, 0.95)
+    got = df.select("id", probability.alias("p"), alone.alias("alone"))
+    assert [tuple(r) for r in got.orderBy("id").collect()] == [(1, 0.375, False), (2, 0.25, True), (3, 0.25, True), (4, 0.25, True)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 2  # one for each column, not one for each use of a field
