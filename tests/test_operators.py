@@ -1,3 +1,4 @@
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -123,6 +124,16 @@ def test_evidence_takes_the_company_query_only_if_named_otherwise(spark):
     assert {r["id"]: r["count"] for r in got} == {"1": 8, "2": 13}
 
 
+def test_results_that_no_query_takes_do_not_reach_the_join(spark):
+    filings = spark.createDataFrame([(i, "Oat", "OAT") for i in range(50)], "id int, brand string, company string")
+    results = spark.createDataFrame([("oat", i, "t", f"https://a{i}.com/", "") for i in range(1, 401)], "query string, rank int, title string, url string, snippet string")
+    got = E.evidence_for(filings, results, "id", "brand", "company")
+    assert got.groupBy("id").count().where("count = 8").count() == 50
+    lines = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(lines) if "Join Inner" in line)
+    assert any(re.search(r"Filter.*rank#\d+ <= 8\)", line) for line in lines[join + 1 :])
+
+
 def test_post_dated_match_is_cleared_at_181_days(spark):
     filed = date(2025, 1, 1)
     rows = [(1, filed, filed + timedelta(180), "a", 90, "exact"), (2, filed, filed + timedelta(181), "a", 90, "exact"), (3, filed, None, "a", 90, "exact")]
