@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import date, timedelta
 
@@ -239,3 +240,15 @@ def test_report_rules(spark):
 
     text = spark.createDataFrame([("notes\n---\nDear {{NAME}}, {{REST}}\n---\nmore",)], "t string").select(X.substituted(X.template_body(F.col("t")), NAME=F.lit("Jo")).alias("b"))
     assert text.select("b", X.leftover_tokens(F.col("b"))).first()[:] == ("Dear Jo, {{REST}}", ["{{REST}}"])
+
+
+def test_keys_that_begin_alike_meet_only_where_one_holds_the_other(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abü") for _ in range(rng.randint(1, n)))
+    left = [(i, f"{rng.choice(['', 'customer'])}{word(9)}") for i in range(300)] + [(300, "aa"), (301, "customer")]
+    right = [(i, f"{rng.choice(['', 'customer'])}{word(30)}") for i in range(300)] + [(300, "aaaa"), (301, "customercustomer"), (302, "aaaa")]
+    a, b = spark.createDataFrame(left, "id int, a string"), spark.createDataFrame(right, "other int, b string")
+    found = rel.contained(a, b, F.col("a"), F.col("b"))
+    got = sorted((r["id"], r["other"]) for r in found.collect())
+    assert got == sorted((i, j) for i, x in left for j, y in right if x in y)
+    assert "Contains(" not in found._jdf.queryExecution().optimizedPlan().toString()  # joined on whole keys: no pair is made to be dropped

@@ -99,19 +99,25 @@ def sharing(left: DataFrame, right: DataFrame, keys: list[str], left_tokens: Col
     return a.join(b, [*keys, "_t"]).where(F.col("_t") == F.get(F.array_intersect("_x", "_y"), F.lit(0))).drop("_t", "_x", "_y")
 
 
-def contained(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, grams: int = 6) -> DataFrame:
-    """Pairs whose right key holds the left key. An equi-join: a right key is exploded to its runs of characters as long as a left
-    key's beginning (of `grams` characters, or the whole key if it is shorter), of which only wanted ones are kept. Empty and null keys hold nothing."""
-    a = left.withColumn("_key", left_key).where("_key <> ''").withColumn("_gram", F.substring("_key", 1, grams))
-    b = right.withColumn("_rkey", right_key)
-
-    def runs(n: int) -> Column:
-        there = F.transform(F.sequence(F.lit(1), F.length("_rkey") - n + 1), lambda i: F.substring(F.col("_rkey"), i, F.lit(n)))
-        return F.when(F.length("_rkey") >= n, there).otherwise(F.array().cast("array<string>"))
-
-    wanted = a.select("_gram").distinct()
-    near = b.withColumn("_gram", F.explode(F.array_distinct(F.flatten(F.array(*map(runs, range(1, grams + 1))))))).join(wanted, "_gram", "left_semi")
-    return a.join(near, "_gram").where(F.contains("_rkey", "_key")).drop("_gram", "_key", "_rkey")
+def contained(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column) -> DataFrame:
+    """Pairs whose right key holds the left key, each once. Empty and null keys hold nothing.
+
+    Left keys meet right keys by equi-joins on whole keys: a right key is read at the places where a left key's beginning stands, which
+    is of the largest power of two characters that the left key has, so half of it at least. What is cut out there at the left keys'
+    lengths is joined on itself. A right key makes at most as many rows as it has characters, for each power of two and then for
+    each length of a left key that begins so; a beginning that all keys share makes no pairs.
+    """
+    a = left.withColumn("_key", left_key).where("_key <> ''")
+    size = F.expr("cast(shiftleft(1L, cast(floor(log2(length(_key))) as int)) as int)")
+    keys = a.select("_key").distinct().withColumn("_size", size)
+    begins = keys.groupBy("_size", F.substring("_key", F.lit(1), F.col("_size")).alias("_begin")).agg(F.collect_set(F.length("_key")).alias("_lengths"))  # as many as a key has characters
+    sizes = keys.agg(F.collect_set("_size").alias("_sizes"))  # one row of a few powers of two
+    b = right.withColumn("_rkey", right_key).where("_rkey <> ''")
+    each = b.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).drop("_sizes").where("length(_rkey) >= _size")
+    each = each.withColumn("_at", F.explode(F.expr("sequence(1, length(_rkey) - _size + 1)"))).withColumn("_begin", F.expr("substring(_rkey, _at, _size)"))
+    cuts = each.join(begins, ["_size", "_begin"]).withColumn("_length", F.explode("_lengths")).where("_at + _length - 1 <= length(_rkey)")
+    cuts = cuts.withColumn("_key", F.expr("substring(_rkey, _at, _length)")).where("instr(_rkey, _key) = _at")  # the first place where it stands: a pair once
+    return a.join(cuts.select(*right.columns, "_key"), "_key").drop("_key")
 
 
 def first_seen(df: DataFrame, key: str, period: str) -> DataFrame:
