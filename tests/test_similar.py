@@ -63,3 +63,13 @@ def test_nothing_and_wrong_thresholds(spark):
     assert (found.pairs.count(), found.members.count()) == (0, 0)
     with pytest.raises(ValueError, match="threshold"):
         J.similar_sets(df, "k", F.col("x"), Fraction(0))
+
+
+def test_sets_that_share_a_rare_token_by_chance_are_dropped_in_the_join(spark):
+    rng = random.Random(7)
+    data = [(i, rng.sample([f"w{k}" for k in range(400)], 40)) for i in range(200)]
+    data += [(1000 + i, [*x[:38], f"own{i}", f"mine{i}"]) for i, x in data[:20]]
+    _, sets = J.classes(spark.createDataFrame(data, "k int, x array<string>"), "k", F.col("x"))
+    made = {frozenset(r) for r in J.candidates(sets, Fraction(7, 10)).collect()}
+    assert made >= {frozenset((i, 1000 + i)) for i in range(20)}
+    assert len(made) < 100  # thousands of pairs share a token of their prefixes

@@ -3,17 +3,24 @@
 Equal sets are one class first. Tokens are ordered by how many classes have them, rarest first; of two sets of a similarity of t at least, the
 first n - ceil(t n) + 1 tokens of each hold a common one, so only these are joined on. At a token's place a set can still share so
 many tokens, which bounds the size of a partner from above as the threshold does from below: rows are joined on the token and the
-partner's size class, so that a token that everyone has brings together only sets that are short enough to be alike by it. What
-meets is compared on whole sets.
+partner's size class, so that a token that everyone has brings together only sets that are short enough to be alike by it.
+
+Rows of the join carry a sketch of their whole set: one bit for each value of its tokens' hashes, told by whether an even or an odd number of them has
+it. Each token that only one of two sets has flips one bit at most, so two sketches differ in no more bits than the sets in tokens: what differs in more
+is no pair, and is dropped in the join itself, before anything is written. What is left is compared on whole sets.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -38,27 +45,58 @@ def classes(rows: DataFrame, id: str, tokens: Column) -> tuple[DataFrame, DataFr
 
 
 def ranked(sets: DataFrame) -> DataFrame:
-    """(class, n, y): each set's tokens as (df, t), rarest first; df is the number of sets that have the token."""
-    rows = sets.select("class", "n", F.explode("x").alias("t"))
+    """(class, n, alone, y): hashes of each set's tokens, rarest first, of which the first `alone` are in no other set."""
+    rows = sets.select("class", "n", F.explode(F.transform("x", lambda t: F.xxhash64(t))).alias("t"))
     df = rows.groupBy("t").agg(F.count("*").alias("df"))
-    return rows.join(df, "t").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("y"))  # a set's own tokens
+    own = rows.join(df, "t").groupBy("class").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "t"))).alias("y"))  # a set's own tokens
+    return own.select("class", "n", F.size(F.filter("y", lambda z: z["df"] == 1)).alias("alone"), F.col("y.t").alias("y"))
+
+
+def sketches(hashes: pa.ListArray, bits: np.ndarray) -> pa.ListArray:
+    """A sketch of each list of hashes in 64-bit words: bit h modulo `bits`, a power of two from 64 on, is the parity of the number of such h."""
+    n = np.diff(hashes.offsets.to_numpy())
+    at = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64) & np.repeat(bits - 1, n).astype(np.uint64)
+    ends = np.concatenate([[0], np.cumsum(bits >> 6)])
+    words = np.zeros(ends[-1], np.uint64)
+    np.bitwise_xor.at(words, np.repeat(ends[:-1], n) + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))
+
+
+def with_sketch(df: DataFrame, hashes: str, bits: str) -> DataFrame:
+    """Add `sketch`, of the hashes, `bits` wide; the hashes and the width go."""
+    kept = [f for f in df.schema.fields if f.name not in (hashes, bits)]
+    schema = T.StructType([*kept, T.StructField("sketch", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = sketches(batch[hashes], batch[bits].to_numpy().astype(np.int64))
+            yield pa.RecordBatch.from_arrays([*[batch[f.name] for f in kept], made], names=schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def candidates(sets: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs (a, b) of classes that may reach the threshold: of a common token in both prefixes, with sizes that allow it. a is the larger set, of equal sizes
-    that with the larger id."""
+    """Pairs (a, b) of classes that may reach the threshold: of a common token in both prefixes, with sizes and sketches that allow it. a is the larger set, of equal
+    sizes that with the larger id."""
     p, q = least.numerator, least.denominator
     up = lambda x, y: F.expr(f"({x} + {y} - 1) div {y}")  # noqa: E731  x / y rounded up
     prefix = F.col("n") - up(f"{p} * n", q) + 1
     size_class = lambda x: F.floor(F.log(x.cast("double")) / F.log(F.lit(float(1 / least)))).cast("int") if least < 1 else x
-    posts = ranked(sets).select("class", "n", F.posexplode(F.slice("y", F.lit(1), prefix.cast("int"))).alias("at", "z")).where("z.df > 1").select("class", "n", "at", F.col("z.t").alias("t"))
-    posts = cut(posts, "prefixes")
+    # a set stands once for each size class of its partners, with a sketch as wide as the sets of that class are large
+    each = ranked(sets).withColumn("own", size_class(F.col("n"))).withColumn("sizes", F.explode(F.sequence(size_class(up(f"{p} * n", q)), F.col("own"))))
+    widest = F.pow(F.lit(float(1 / least)), F.col("sizes") + 1) if least < 1 else F.col("sizes").cast("double")
+    each = each.withColumn("bits", F.pow(F.lit(2.0), F.greatest(F.lit(6.0), F.ceil(F.log2(widest)).cast("double"))).cast("long"))
+    wanted = F.slice("y", F.col("alone") + 1, F.greatest(prefix.cast("int") - F.col("alone"), F.lit(0)))
+    each = with_sketch(each.withColumn("prefix", wanted).where(F.size("prefix") > 0), "y", "bits")
+    posts = cut(each, "prefixes").select("class", "n", "own", "sizes", "sketch", F.posexplode("prefix").alias("at", "t"), "alone").withColumn("at", F.col("at") + F.col("alone")).drop("alone")
     # common tokens from here on are n - at at most, and must be p (n + m) / (p + q) at least, m the partner's size
-    most = F.least(F.col("n"), F.expr(f"((n - at) * {p + q}) div {p} - n"))
-    asks = posts.withColumns({"low": up(f"{p} * n", q), "high": most}).where("low <= high")
-    asks = asks.select("class", "n", "low", "high", "t", F.explode(F.sequence(size_class(F.col("low")), size_class(F.col("high")))).alias("sizes"))
-    there = posts.select(F.col("class").alias("b"), F.col("n").alias("m"), F.expr(f"((n - at) * {p + q}) div {p} - n").alias("reach"), "t", size_class(F.col("n")).alias("sizes"))
+    reach = F.expr(f"((n - at) * {p + q}) div {p} - n")
+    asks = posts.withColumns({"low": up(f"{p} * n", q), "high": F.least(F.col("n"), reach)}).where("low <= high")
+    asks = asks.where(F.col("sizes").between(size_class(F.col("low")), size_class(F.col("high")))).select("class", "n", "low", "high", "t", "sizes", F.col("sketch").alias("x"))
+    there = posts.where("sizes = own").select(F.col("class").alias("b"), F.col("n").alias("m"), reach.alias("reach"), "t", "sizes", F.col("sketch").alias("y"))
     met = asks.join(there, ["t", "sizes"]).where("m between low and high and n <= reach and (m < n or b < class)")
+    differ = "aggregate(zip_with(x, y, (i, j) -> bit_count(i ^ j)), 0, (i, j) -> i + j)"
+    met = met.where(f"{differ} <= n + m - 2 * (({p} * (n + m) + {p + q - 1}) div {p + q})")
     return met.select(F.col("class").alias("a"), "b").distinct()
 
 
