@@ -102,6 +102,18 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, do
     return got["t"].to_pylist(), got["_y"].to_numpy()
 
 
+def all_labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Text `t` and label `_y` of every labelled id for which `keep` holds, and the hash `h` of the id.
+
+    Ids and labels that are null are not used; an id with several labels has the smallest, one with several texts that with
+    the smallest hash.
+    """
+    known = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & keep).groupBy(F.col(doc_id).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(known, "_id")
+    found = rows.groupBy("_id").agg(F.min(F.struct(F.xxhash64("t").alias("_t"), "t", "_y")).alias("x"))
+    return found.select(F.xxhash64("_id").alias("h"), "x.t", "x._y")
+
+
 def score_texts(docs: DataFrame, model, *, text: str = "text", name: str = "score") -> DataFrame:
     """Add model.scores of every whole text, a batch at a time; a column of the name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

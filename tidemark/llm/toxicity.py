@@ -1,13 +1,15 @@
 """Toxicity by a small convolutional network over hashed word embeddings, trained in numpy.
 
 Words are hashed into buckets of an embedding table; filters of several widths run over each text, each filter's
-largest value is kept (max pooling), and a logistic layer scores the text. It is trained on a bounded sample of labelled
-rows on the driver; scoring runs over whole texts in Spark tasks. The threshold is calibrated for each language, which
-is told from the text's own function words, and folded into the score, so that 0.5 decides for every language.
+largest value is kept (max pooling), and a logistic layer scores the text. It is trained on all labelled rows in Spark
+tasks: a task passes over its part of the rows from the weights of the round before, and the parts' weights are
+averaged. Scoring runs over whole texts in tasks too. The threshold is calibrated for each language, which is told from
+the text's own function words, by counts of all labelled rows, and folded into the score, so that 0.5 decides for every language.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,10 +25,18 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 12, (1, 2, 3), 8
 PREFIXES = (4, 5)
 #: A feature in fewer training texts than this, or than this share of them, has the zero embedding.
 LEAST_TEXTS, LEAST_SHARE = 3, 0.002
-#: Passes over the sample, texts of a step, first step size, decay of the weights, share of words left out at random.
-EPOCHS, BATCH, RATE, DECAY, DROP = 8, 32, 0.02, 2e-3, 0.3
-#: Texts that are read at once on the driver.
-STEP = 128
+#: Texts of a step, first step size, decay of the weights, share of words left out at random.
+BATCH, RATE, DECAY, DROP = 32, 0.02, 2e-3, 0.3
+#: Rounds, each a pass over all labelled rows, at least and at most; between them as many as give a part so many steps.
+LEAST_ROUNDS, MOST_ROUNDS, STEPS = 3, 8, 1500
+#: About so many rows and bytes of text are a part, which one task holds at once.
+PART_ROWS, PART_BYTES = 16_384, 64 << 20
+#: Words that the filters run over at once; a longer text is a step of its own.
+STEP_WORDS = 1 << 16
+#: Numbers of the weights that are averaged in one group, and features counted in a task before it hands on their counts.
+BLOCK, HELD = 1 << 13, 1 << 20
+#: Logits are counted in cells of this width for the thresholds, within the bounds that scores know.
+CELL, MOST_LOGIT = 1 / 256, 30
 #: Function words by which a text's language is told (fixed values: common words of each language).
 FUNCTION_WORDS = {
     "en": "the of and to in is that it was for with as on be at by this from or an".split(),
@@ -99,25 +109,32 @@ class Network:
         of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         for w, bias in zip(self.filters, self.bias, strict=True):
             width = len(w)
-            spaced = np.zeros((len(rows) + (len(bounds) - 1) * width, rows.shape[1]), np.int32)
-            spaced[np.arange(len(rows)) + of * width] = rows
+            spaced = np.zeros((rows.shape[1], len(rows) + (len(bounds) - 1) * width), np.int64)
+            spaced[:, np.arange(len(rows)) + of * width] = rows.T
             starts = bounds[:-1] + np.arange(len(bounds) - 1) * width
-            got = np.zeros((len(spaced), FILTERS), np.float32)
-            for j in range(width):
-                part = self.table @ w[j]  # what each feature adds at this place of the filter
-                for c in range(rows.shape[1]):
-                    got[: len(got) - j] += part[spaced[j:, c]]
-            ends = np.append(starts[1:], len(spaced))
+            part = self.table @ np.concatenate(list(w), 1)  # what each feature adds at each place of the filters
+            parts = part.take(spaced[0], 0)
+            for more in spaced[1:]:
+                parts += part.take(more, 0)
+            got = parts[:, :FILTERS].copy()
+            for j in range(1, width):
+                got[: len(got) - j] += parts[j:, j * FILTERS : (j + 1) * FILTERS]
+            ends = np.append(starts[1:], len(got))
             for j in range(1, width):  # these begin behind the first zero word and would see the next text
                 got[ends - j] = 0
             values.append(np.maximum.reduceat(got, starts, axis=0) + bias)
             where.append((got, spaced, starts))
         return np.maximum(np.concatenate(values, 1), 0), where
 
+    def of_rows(self, rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The logits of texts whose embedding rows are known, about STEP_WORDS words at a time."""
+        group = bounds[:-1] // STEP_WORDS
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
+        found = [self.pooled(rows[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])[0] @ self.out + self.out_bias for i, j in zip(cuts, cuts[1:], strict=False)]
+        return np.concatenate(found) if found else np.zeros(0)
+
     def logits(self, words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        if len(bounds) < 2:
-            return np.zeros(0)
-        return self.pooled(self.buckets(words), bounds)[0] @ self.out + self.out_bias
+        return self.of_rows(self.buckets(words), bounds)
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Between 0 and 1; the language's threshold is at 0.5."""
@@ -126,16 +143,34 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _best_threshold(z: np.ndarray, y: np.ndarray, prior: float, weight: float) -> float:
-    """The cut of the logits with the least errors, the middle of the widest such gap; few rows keep near the prior's."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
+def _best_threshold(z: np.ndarray, clean: np.ndarray, toxic: np.ndarray, prior: float, weight: float) -> float:
+    """The cut of ascending logits with the least errors, the middle of the widest such gap; few rows keep near the prior's."""
     cuts = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
-    wrong = np.concatenate([[0], np.cumsum(y == 1)]) + ((y == 0).sum() - np.concatenate([[0], np.cumsum(y == 0)]))
+    wrong = np.concatenate([[0], np.cumsum(toxic)]) + clean.sum() - np.concatenate([[0], np.cumsum(clean)])
     best = np.flatnonzero(wrong == wrong.min())
     gaps = np.concatenate([[2.0], np.diff(z), [2.0]])[best]
     cut = cuts[best[np.argmax(gaps)]]
-    return float((cut * len(z) + prior * weight) / (len(z) + weight))
+    n = clean.sum() + toxic.sum()
+    return float((cut * n + prior * weight) / (n + weight))
+
+
+def _cells(z: np.ndarray, y: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of (language, cell of the logit, label), and how many texts each has."""
+    at = np.floor((np.clip(z, -MOST_LOGIT, MOST_LOGIT) + MOST_LOGIT) / CELL).astype(np.int64)
+    return np.unique((lang * (1 << 20) + at) * 2 + (y == 1), return_counts=True)
+
+
+def _thresholds(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The threshold of each language by the texts in each cell."""
+
+    def best(mine: np.ndarray, prior: float, weight: float) -> float:
+        cell, at = np.unique(keys[mine] // 2 % (1 << 20), return_inverse=True)
+        clean, toxic = (np.bincount(at, np.where(keys[mine] % 2 == label, n[mine], 0), len(cell)) for label in (0, 1))
+        return _best_threshold((cell + 0.5) * CELL - MOST_LOGIT, clean, toxic, prior, weight)
+
+    lang = keys // 2 >> 20
+    whole = best(np.ones(len(keys), bool), 0.0, 0)
+    return np.array([best(lang == k, whole, 100) if (lang == k).any() else whole for k in range(len(LANGUAGES))])
 
 
 def gradients(net: Network, rows: np.ndarray, bounds: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[np.ndarray], float]:
@@ -145,93 +180,216 @@ def gradients(net: Network, rows: np.ndarray, bounds: np.ndarray, y: np.ndarray,
     error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight / len(y)
     grads = [np.zeros_like(p) for p in (net.table, *net.filters, *net.bias, net.out)]
     grads[-1] = values.T @ error
+    at, by = [], []
     back = error[:, None] * net.out * (values > 0)
     for f, (got, spaced, starts) in enumerate(where):
         part = back[:, f * FILTERS : (f + 1) * FILTERS]
         grads[1 + len(WIDTHS) + f] = part.sum(0)
-        ends = np.concatenate([starts[1:], [len(spaced)]])
+        ends = np.concatenate([starts[1:], [len(got)]])
         best = np.stack([x + got[x:y].argmax(0) for x, y in zip(starts, ends, strict=True)])
         for j in range(WIDTHS[f]):
-            seen = spaced[np.minimum(best + j, len(spaced) - 1)]  # text, filter, feature
-            grads[1 + f][j] += np.einsum("dc,dck->kc", part, net.table[seen].sum(2))
+            seen = spaced[:, np.minimum(best + j, len(got) - 1)]  # feature, text, filter
+            grads[1 + f][j] += np.einsum("dc,dck->kc", part, net.table[seen].sum(0))
             change = part[:, :, None] * net.filters[f][j].T[None]
-            for c in range(seen.shape[2]):
-                np.add.at(grads[0], seen[:, :, c], change)
+            at.append(seen.ravel())
+            by.append(np.tile(change.reshape(-1, change.shape[2]), (len(seen), 1)))
+    at, by = np.concatenate(at), np.concatenate(by)
+    order = np.argsort(at, kind="stable")
+    first = np.flatnonzero(np.diff(at[order], prepend=-1))
+    grads[0][at[order][first]] = np.add.reduceat(by[order], first, axis=0)
     return grads, float(error.sum())
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network:
-    """Fit the network on whole texts with labels 0 and 1, then calibrate a threshold for each language."""
-    y = np.asarray(labels, np.float32)
+#: The weights in training as one vector: table, filters, their biases, the output's weights and its bias.
+_SHAPES = [(BUCKETS + 1, DIM), *[(w, DIM, FILTERS) for w in WIDTHS], *[(FILTERS,)] * len(WIDTHS), (FILTERS * len(WIDTHS),), (1,)]
+_SIZE = sum(int(np.prod(s)) for s in _SHAPES)
+
+
+def _start(seed: int) -> np.ndarray:
+    """What a round begins with: the weights, Adam's two moments of each, and the steps so far."""
     rng = np.random.default_rng(seed)
-    part = lambda i: read_words(pa.array(texts[i : i + STEP], pa.string()))  # noqa: E731  read twice rather than held
-    known, texts_with = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    for i in range(0, len(texts), STEP):
-        words, bounds = part(i)
-        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
-        keys = common.mix(words + of[:, None] * np.uint64(0x9E3779B97F4A7C15))
-        once, n = np.unique(words.ravel()[np.unique(keys, return_index=True)[1]], return_counts=True)  # each feature once for each text
-        merged, where = np.unique(np.concatenate([known, once]), return_inverse=True)
-        known, texts_with = merged, np.bincount(where, np.concatenate([texts_with, n]), len(merged)).astype(np.int64)
-    table = rng.normal(0, 0.02, (BUCKETS + 1, DIM)).astype(np.float32)
+    table = rng.normal(0, 0.02, (BUCKETS + 1, DIM))
     table[0] = 0
-    net = Network(
-        known[texts_with >= max(LEAST_TEXTS, LEAST_SHARE * len(texts))], table,
-        [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS],
-        np.abs(rng.normal(0.3, 0.1, FILTERS * len(WIDTHS))).astype(np.float32), -1.0,
-    )
-    if not len(y) or y.min() == y.max():
-        net.out[:] = 0
-        net.out_bias = float(4 * (y[0] * 2 - 1)) if len(y) else -4.0
-        return net
-    rows, lengths, lang = [], [], []  # the sample's features are held once, as 16-bit numbers
-    for i in range(0, len(texts), STEP):
-        words, bounds = part(i)
-        rows.append(net.buckets(words).astype(np.uint16))
-        lengths.append(np.diff(bounds))
-        lang.append(languages(words, bounds))
-    lengths, lang = np.concatenate(lengths), np.concatenate(lang)
+    filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)) for w in WIDTHS]
+    out = np.abs(rng.normal(0.3, 0.1, FILTERS * len(WIDTHS)))
+    state = np.zeros(3 * _SIZE + 1, np.float32)
+    state[:_SIZE] = np.concatenate([np.ravel(x) for x in (table, *filters, np.zeros(FILTERS * len(WIDTHS)), out, -1.0)])
+    return state
+
+
+def _network(known: np.ndarray, state: np.ndarray) -> Network:
+    """The network of a state, whose arrays are views of it."""
+    ends = np.cumsum([int(np.prod(s)) for s in _SHAPES])
+    table, *rest, out, out_bias = (x.reshape(s) for x, s in zip(np.split(state[:_SIZE], ends[:-1]), _SHAPES, strict=True))
+    return Network(known, table, rest[: len(WIDTHS)], rest[len(WIDTHS) :], out, float(out_bias[0]))
+
+
+def descend(state: np.ndarray, rows: np.ndarray, lengths: np.ndarray, y: np.ndarray, share: float, rate: float, rng: np.random.Generator) -> None:
+    """One pass of Adam over a part's texts in random order; changes the state. share: of label 1 in all parts."""
+    weight = np.where(y == 1, 0.5 / max(share, 0.05), 0.5 / max(1 - share, 0.05)).astype(np.float32) ** 0.5
     bounds = np.concatenate([[0], np.cumsum(lengths)])
-    used = np.flatnonzero(sum((np.bincount(x.ravel(), minlength=BUCKETS + 1) for x in rows), np.eye(1, BUCKETS + 1, dtype=np.int64)[0]))  # only these rows of the table are trained; the first is the zero row
-    place = np.zeros(BUCKETS + 1, np.uint16)
-    place[used] = np.arange(len(used))
-    small = table[used].copy()
-    rows = np.concatenate([place[rows.pop(0)] for _ in range(len(rows))])
-    work = Network(net.known, small, net.filters, net.bias, net.out, net.out_bias)
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 0.05), 0.5 / max(1 - y.mean(), 0.05)).astype(np.float32) ** 0.5
-    params = [small, *work.filters, *work.bias, work.out]
-    moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    bias_m = np.zeros(2)
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        for i in range(0, len(order), BATCH):
-            mine = order[i : i + BATCH]
-            b = np.concatenate([[0], np.cumsum(lengths[mine])])
-            r = rows[np.repeat(bounds[mine] - b[:-1], lengths[mine]) + np.arange(b[-1])]
-            r = np.where(rng.random((len(r), 1)) < DROP, 0, r)
-            grads, by_bias = gradients(work, r, b, y[mine], weight[mine])
-            grads[0][0] = 0
-            step += 1
-            rate = RATE * (1 - epoch / EPOCHS)
-            for p, g, (m, v) in zip(params, grads, moments, strict=True):
-                m += 0.1 * (g - m)
-                v += 0.001 * (g * g - v)
-                p -= rate * DECAY * p + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            bias_m += (0.1 * (by_bias - bias_m[0]), 0.001 * (by_bias**2 - bias_m[1]))
-            work.out_bias -= rate * (bias_m[0] / (1 - 0.9**step)) / (np.sqrt(bias_m[1] / (1 - 0.999**step)) + 1e-8)
-    table[used] = small
-    table[0] = 0
-    net.out_bias = float(work.out_bias)
-    z = np.zeros(len(y))
-    for i in range(0, len(y), STEP):
-        b = bounds[i : i + STEP + 1]
-        z[i : i + STEP] = work.pooled(rows[b[0] : b[-1]], b - b[0])[0] @ work.out + work.out_bias
-    whole = _best_threshold(z, y, 0.0, 0)
-    net.thresholds = np.array([_best_threshold(z[lang == k], y[lang == k], whole, 100) if (lang == k).any() else whole for k in range(len(LANGUAGES))])
+    p, m, v = np.split(state[:-1], 3)
+    net = _network(np.zeros(0, np.uint64), state)
+    order = rng.permutation(len(y))
+    for i in range(0, len(order), BATCH):
+        mine = order[i : i + BATCH]
+        b = np.concatenate([[0], np.cumsum(lengths[mine])])
+        r = rows[np.repeat(bounds[mine] - b[:-1], lengths[mine]) + np.arange(b[-1])]
+        r = np.where(rng.random((len(r), 1)) < DROP, 0, r)
+        net.out_bias = float(p[-1])
+        grads, by_bias = gradients(net, r, b, y[mine], weight[mine])
+        grads[0][0] = 0
+        g = np.concatenate([*(x.ravel() for x in grads), [by_bias]]).astype(np.float32)
+        state[-1] += 1
+        m += 0.1 * (g - m)
+        v += 0.001 * (g * g - v)
+        p[:-1] *= 1 - rate * DECAY
+        p -= rate / (1 - 0.9 ** float(state[-1])) * m / (np.sqrt(v / (1 - 0.999 ** float(state[-1]))) + 1e-8)
+
+
+def _rounds(part_rows: float) -> int:
+    return int(np.clip(np.ceil(STEPS * BATCH / part_rows), LEAST_ROUNDS, MOST_ROUNDS))
+
+
+def _once(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features of the texts, and in how many texts each is."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.uint64)
+    keys = common.mix(words + of[:, None] * np.uint64(0x9E3779B97F4A7C15))
+    return np.unique(words.ravel()[np.unique(keys, return_index=True)[1]], return_counts=True)
+
+
+def _added(counts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(np.concatenate([k for k, _ in counts]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in counts]), len(keys)).astype(np.int64)
+
+
+def _least(rows: int) -> float:
+    return max(LEAST_TEXTS, LEAST_SHARE * rows)
+
+
+def _one_sided(toxic: bool) -> Network:
+    """What rows of one label only, or none, give: the same score for all texts."""
+    net = _network(np.zeros(0, np.uint64), _start(0))
+    net.out[:] = 0
+    net.out_bias = 4.0 if toxic else -4.0
     return net
 
 
+def train(texts: list[str | None], labels: np.ndarray, seed: int = 5) -> Network:
+    """What `fit` does, for whole texts at hand with labels 0 and 1: they are one part, of which nothing is left out."""
+    y = np.asarray(labels, np.float32)
+    if not len(y) or y.min() == y.max():
+        return _one_sided(len(y) > 0 and y[0] == 1)
+    words, bounds = read_words(pa.array(texts, pa.string()))
+    features, n = _once(words, bounds)
+    state = _start(seed)
+    net = _network(features[n >= _least(len(y))], state)
+    rows, lengths, rounds = net.buckets(words), np.diff(bounds), _rounds(len(y))
+    for i in range(rounds):
+        descend(state, rows, lengths, y, float(y.mean()), RATE * (1 - i / rounds), np.random.default_rng([seed, i, 0]))
+    net = _network(net.known, state)
+    net.thresholds = _thresholds(*_cells(net.of_rows(rows, bounds), y, languages(words, bounds)))
+    return net
+
+
+def _known(rows: DataFrame, n: int) -> np.ndarray:
+    """The features in enough of the n texts, sorted; what a task has counted is added up in a shuffle."""
+
+    def batch(held: list) -> pa.RecordBatch:
+        features, texts = _added(held)
+        return pa.RecordBatch.from_arrays([pa.array(features.view(np.int64)), pa.array(texts)], names=["feature", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for texts in common.steps(batches, "t"):
+            held.append(_once(*read_words(texts["t"])))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [_added(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield batch(held)
+                    held = []
+        if held:
+            yield batch(held)
+
+    found = common.map_texts(rows.select("t"), run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= _least(n))
+    return np.sort(found.select("feature").toArrow()["feature"].to_numpy().view(np.uint64))
+
+
+def _encoded(rows: DataFrame, known: np.ndarray, parts: int) -> DataFrame:
+    """Each text's embedding rows, language and label, in files of a part each, in the order of hashes of ids."""
+    shared = rows.sparkSession.sparkContext.broadcast(_network(known, _start(0)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(batches, "t"):
+            words, bounds = read_words(batch["t"])
+            found = shared.value.buckets(words).astype(np.uint16)
+            data = pa.array([found[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["_y"], pa.array(languages(words, bounds).astype(np.int32)), data], names=["h", "_y", "lang", "rows"])
+
+    found = common.map_texts(rows.select("h", "t", "_y"), run, "h long, _y int, lang int, rows binary").withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+    return common.materialise(found.repartitionById(parts, "part").sortWithinPartitions("part", "h", "rows", "_y"), "toxicity-rows")
+
+
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Part by part: its number, the embedding rows of its words, the texts' lengths, labels and languages."""
+    held: list[pa.RecordBatch] = []
+
+    def arrays() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        part, columns = held[0]["part"][0].as_py(), 1 + len(PREFIXES)
+        rows = [np.frombuffer(x, np.uint16).reshape(-1, columns) for b in held for x in b["rows"].to_pylist()]
+        y, lang = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("_y", "lang"))
+        return part, np.concatenate(rows), np.array([len(r) for r in rows]), y.astype(np.float32), lang
+
+    for batch in batches:
+        numbers = batch["part"].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a < b and held[0]["part"][0].as_py() != numbers[a]:
+                yield arrays()
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield arrays()
+
+
+def _round(encoded: DataFrame, state: np.ndarray, share: float, rate: float, seed: list[int]) -> np.ndarray:
+    """The state after every part has been passed over from this one: the mean of the parts' by their rows."""
+    shared = encoded.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows, lengths, y, _ in _parts(batches):
+            mine = shared.value.copy()
+            descend(mine, rows, lengths, y, share, rate, np.random.default_rng([*seed, part]))
+            blocks = [mine[i : i + BLOCK].tobytes() for i in range(0, len(mine), BLOCK)]
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, len(y))), pa.array(blocks, pa.binary())], names=["block", "part", "n", "x"])
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("part", "ascending"), ("n", "ascending")])
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(rows["x"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        return pa.table({"block": rows["block"].slice(0, 1), "x": pa.array([(total / sum(rows["n"].to_pylist())).astype(np.float32).tobytes()], pa.binary())})
+
+    found = common.map_texts(encoded, run, "block int, part int, n long, x binary").groupBy("block").applyInArrow(mean, "block int, x binary").toArrow().sort_by("block")
+    shared.destroy()
+    return np.concatenate([np.frombuffer(x, np.float32) for x in found["x"].to_pylist()])
+
+
+def _calibrated(encoded: DataFrame, net: Network) -> np.ndarray:
+    """The thresholds by the logits of all labelled rows: the driver gets how many texts are in each cell."""
+    shared = encoded.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [_cells(shared.value.of_rows(rows, np.concatenate([[0], np.cumsum(lengths)])), y, lang) for _, rows, lengths, y, lang in _parts(batches)]
+        if held:
+            keys, n = _added(held)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["cell", "n"])
+
+    found = common.map_texts(encoded, run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    shared.destroy()
+    return _thresholds(found["cell"].to_numpy(), found["n"].to_numpy())
+
+
 def score(docs: DataFrame, net, *, text: str = "text", name: str = "score") -> DataFrame:
     """Add the score of every whole text.
 
@@ -241,11 +399,24 @@ def score(docs: DataFrame, net, *, text: str = "text", name: str = "score") -> D
     return common.score_texts(docs, net, text=text, name=name)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", fold: int = 5, held_out: int = 0, most: int = common.SAMPLE, most_bytes: int = common.SAMPLE_BYTES) -> Network:
-    """Train on at most `most` labelled rows outside the held-out fold and `most_bytes` of their texts: the bound of the sample.
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", fold: int = 5, held_out: int = 0, part_rows: int = PART_ROWS, seed: int = 5) -> Network:
+    """Train on all labelled rows outside the held-out fold, about part_rows of them in a task; known features, weights
+    and thresholds come from all of them. The driver holds the network, no rows.
 
     No labelled rows or an empty table give a network that finds no text toxic, rows of one label only one that scores all
     to that side. Null ids and labels are not used; an id with several labels has the smallest, one with several texts one
     of them; other columns are not read.
     """
-    return train(*common.labelled(docs, labels, label, common.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text, most=most, most_bytes=most_bytes))
+    rows = common.materialise(common.all_labelled(docs, labels, label, common.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text), "toxicity-texts")
+    n, low, high, toxic, size = rows.agg(F.count("*"), F.min("_y"), F.max("_y"), F.sum((F.col("_y") == 1).cast("long")), F.sum(F.octet_length("t"))).first()
+    if not n or low == high:
+        return _one_sided(n > 0 and low == 1)
+    parts = int(np.ceil(max(n / part_rows, (size or 0) / PART_BYTES)))
+    known = _known(rows, n)
+    encoded = _encoded(rows, known, parts)
+    state, rounds = _start(seed), _rounds(n / parts)
+    for i in range(rounds):
+        state = _round(encoded, state, toxic / n, RATE * (1 - i / rounds), [seed, i])
+    net = _network(known, state)
+    net.thresholds = _calibrated(encoded, net)
+    return net
