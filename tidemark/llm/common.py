@@ -114,6 +114,45 @@ def all_labelled(docs: DataFrame, labels: DataFrame, label: str, keep: Column, *
     return found.select(F.xxhash64("_id").alias("h"), "x.t", "x._y")
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """The batches of each run of rows with one value of a column."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        values = batch[column].to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if held and a < b and held[0][column][0].as_py() != values[a]:
+                yield held
+                held = []
+            if a < b:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield held
+
+
+#: Numbers of the weights that are averaged in one group, and the columns of a block.
+BLOCK, BLOCKS = 1 << 13, "block int, part int, n long, x binary"
+
+
+def weights_in_blocks(weights: np.ndarray, part: int, n: int) -> pa.RecordBatch:
+    """What a task hands on of a part of n rows for `mean_of_parts`."""
+    blocks = [weights[i : i + BLOCK].astype(np.float32).tobytes() for i in range(0, len(weights), BLOCK)]
+    k = len(blocks)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, part, np.int32)), pa.array(np.full(k, n, np.int64)), pa.array(blocks, pa.binary())], names=["block", "part", "n", "x"])
+
+
+def mean_of_parts(blocks: DataFrame) -> np.ndarray:
+    """The mean of the parts' weights by their rows, added in the order of parts; the driver gets the mean only."""
+
+    def mean(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("part", "ascending"), ("n", "ascending")])
+        total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(rows["x"].to_pylist(), rows["n"].to_pylist(), strict=True))
+        return pa.table({"block": rows["block"].slice(0, 1), "x": pa.array([(total / sum(rows["n"].to_pylist())).astype(np.float32).tobytes()], pa.binary())})
+
+    found = blocks.groupBy("block").applyInArrow(mean, "block int, x binary").toArrow().sort_by("block")
+    return np.concatenate([np.frombuffer(x, np.float32) for x in found["x"].to_pylist()])
+
+
 def score_texts(docs: DataFrame, model, *, text: str = "text", name: str = "score") -> DataFrame:
     """Add model.scores of every whole text, a batch at a time; a column of the name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -157,8 +196,9 @@ def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Record
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a text column and where each text begins; null is the empty text."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """All bytes of a text or binary column and where each value begins; null is the empty text."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     _, offsets, data = column.buffers()

@@ -4,11 +4,13 @@ Every text becomes a row of counts and ratios: letters' case, symbols, digits, w
 Each is cut at quantiles into bins, so that a weight for each bin can follow any shape. From labelled rows come
 preference pairs, a good text over a bad one; the weights minimise the logistic loss on the pairs' feature differences,
 which makes a text's score its Bradley-Terry strength. The quantile of the scores with the fewest labels on the wrong side is the
-threshold, and strengths are squashed so that it lies at CUT.
+threshold, and strengths are squashed so that it lies at CUT. Cuts and threshold come from counts of all labelled rows; the weights
+are learned in Spark tasks, each on its part of the rows, and averaged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +20,13 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Pairs drawn for each labelled row; bins of a feature; steps, step size and penalty.
-PAIRS, BINS = 20, 12
-STEPS, RATE, PENALTY = 400, 0.5, 1e-4
+#: Bins of a feature; steps of a part, pairs of a step, step size and penalty; rounds after which the parts' weights are averaged.
+BINS = 12
+STEPS, PAIRS, RATE, PENALTY, ROUNDS = 400, 4096, 0.5, 1e-4, 4
+#: Labelled rows of a part, and rows of the rarer label that it has on average at least.
+PART_ROWS, PART_RARE = 16_384, 64
+#: Values of a feature are counted in cells by so many of their highest bits: sign, exponent and 10 bits; strengths in cells of this width.
+CELL_BITS, CELL = 22, 1 / 256
 #: The score of a text at the threshold.
 CUT = 0.7
 
@@ -100,54 +106,154 @@ class Ranking:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def train(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Ranking:
-    """Learn strengths from pairs of a text with label 1 and one with label 0."""
-    y = np.asarray(labels)
-    if not len(y):
-        return Ranking(np.zeros((len(NAMES), BINS - 1)), np.zeros((len(NAMES), BINS)))
-    rows = np.concatenate([features(pa.array(texts[i : i + 256], pa.string())) for i in range(0, len(texts), 256)])
-    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    # a third of the cuts by all texts, the rest by the rarer label, so that its own range is resolved too
-    rare = rows[bad if len(bad) <= len(good) else good] if len(good) and len(bad) else rows
+def _cuts(values: np.ndarray, n: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """The bin edges of a feature from ascending values and how many rows have each: a third of the cuts by all texts, the
+    rest by the rarer label, so that its own range is resolved too."""
     few = BINS // 3
-    cuts = [np.sort(np.concatenate([np.quantile(rows[:, f], np.linspace(0, 1, few + 2)[1:-1]), np.quantile(rare[:, f], np.linspace(0, 1, BINS - few + 1)[1:-1])])) for f in range(rows.shape[1])]
-    model = Ranking(np.stack(cuts), np.zeros((rows.shape[1], BINS)))
-    if not len(good) or not len(bad):
-        model.threshold = -4.0 if len(good) else 4.0
-        return model
-    rng = np.random.default_rng(seed)
-    bins = np.stack([np.searchsorted(model.edges[f], rows[:, f]) + f * BINS for f in range(rows.shape[1])], 1)
-    n = PAIRS * len(y)
-    win, lose = bins[rng.choice(good, n)], bins[rng.choice(bad, n)]
-    w, m, v = (np.zeros(rows.shape[1] * BINS) for _ in range(3))
-    for step in range(1, STEPS + 1):
-        some = rng.integers(n, size=4096)
-        a, b = win[some], lose[some]
-        pull = 1 / (1 + np.exp(np.clip(w[a].sum(1) - w[b].sum(1), -30, 30))) / len(some)  # of the loss -log P(win beats lose)
+    at = lambda n, count: values[np.searchsorted(np.cumsum(n), np.linspace(0, 1, count + 2)[1:-1] * n.sum())]
+    return np.sort(np.concatenate([at(n, few), at(rare, BINS - 1 - few)]))
+
+
+def _bins(rows: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The place of each feature's weight, for each row."""
+    return np.stack([np.searchsorted(edges[f], rows[:, f]) + f * BINS for f in range(rows.shape[1])], 1)
+
+
+def descend(state: np.ndarray, bins: np.ndarray, y: np.ndarray, steps: range, rng: np.random.Generator) -> None:
+    """Steps of Adam on pairs of a part's good and bad rows, each row in turn; changes the state: weights and two moments."""
+    w, m, v = np.split(state, 3)
+    turns = lambda label: np.resize(rng.permutation(np.flatnonzero(y == label)), len(steps) * PAIRS)
+    win, lose = turns(1), rng.permutation(turns(0))
+    for i, step in enumerate(steps):
+        a, b = bins[win[i * PAIRS : (i + 1) * PAIRS]], bins[lose[i * PAIRS : (i + 1) * PAIRS]]
+        pull = 1 / (1 + np.exp(np.clip(w[a].sum(1) - w[b].sum(1), -30, 30))) / PAIRS  # of the loss -log P(win beats lose)
         pull = np.broadcast_to(pull[:, None], a.shape).ravel()
         g = np.bincount(b.ravel(), pull, len(w)) - np.bincount(a.ravel(), pull, len(w)) + PENALTY * w
         m += 0.1 * (g - m)
         v += 0.01 * (g * g - v)
-        w -= RATE * (1 - step / STEPS) * 0.2 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    model.weights = w.reshape(model.weights.shape)
-    z = model.strengths(rows)
-    order = np.argsort(z, kind="stable")
-    wrong = np.concatenate([[0], np.cumsum(y[order] == 1)]) + (y == 0).sum() - np.concatenate([[0], np.cumsum(y[order] == 0)])
+        w -= RATE * (1 - (step + 1) / STEPS) * 0.2 * (m / (1 - 0.9 ** (step + 1))) / (np.sqrt(v / (1 - 0.99 ** (step + 1))) + 1e-8)
+
+
+def _threshold(z: np.ndarray, good: np.ndarray, bad: np.ndarray) -> float:
+    """The middle of the widest gap of ascending strengths among those with the fewest labels on the wrong side."""
+    wrong = np.concatenate([[0], np.cumsum(good)]) + bad.sum() - np.concatenate([[0], np.cumsum(bad)])
     best = np.flatnonzero(wrong == wrong.min())
-    s = z[order]
-    gaps = np.diff(np.concatenate([[s[0] - 2], s, [s[-1] + 2]]))[best]
-    q = best[np.argmax(gaps)]  # so many of the texts lie below: the quantile
-    model.threshold = float((s[max(q - 1, 0)] + s[min(q, len(s) - 1)]) / 2)
+    gaps = np.concatenate([[2.0], np.diff(z), [2.0]])[best]
+    q = best[np.argmax(gaps)]  # so many of the values lie below: the quantile
+    return float((z[max(q - 1, 0)] + z[min(q, len(z) - 1)]) / 2)
+
+
+def _one_sided(edges: np.ndarray, side: int) -> Ranking:
+    """What no labelled rows (0) or rows of one label only give: all texts score CUT, or lie on that side."""
+    return Ranking(edges, np.zeros((len(NAMES), BINS)), -4.0 * side)
+
+
+def train(texts: list[str | None], labels: np.ndarray, seed: int = 3) -> Ranking:
+    """What `fit` does, for whole texts at hand with labels 0 and 1: they are one part, of which nothing is left out."""
+    y = np.asarray(labels)
+    if not len(y) or not (y == 1).any() or not (y == 0).any():
+        return _one_sided(np.zeros((len(NAMES), BINS - 1)), 0 if not len(y) else 1 if (y == 1).any() else -1)
+    rows = np.concatenate([features(pa.array(texts[i : i + 256], pa.string())) for i in range(0, len(texts), 256)])
+    rare = y == int(2 * (y == 1).sum() < len(y))
+    columns = [np.unique(x, return_inverse=True) for x in rows.T]
+    model = Ranking(np.stack([_cuts(values, np.bincount(at), np.bincount(at, rare)) for values, at in columns]), np.zeros((len(NAMES), BINS)))
+    state, bins = np.zeros(3 * len(NAMES) * BINS), _bins(rows, model.edges)
+    for i in range(ROUNDS):
+        descend(state, bins, y, range(i * STEPS // ROUNDS, (i + 1) * STEPS // ROUNDS), np.random.default_rng([seed, i, 0]))
+    model.weights = state[: len(NAMES) * BINS].reshape(model.weights.shape)
+    z, at = np.unique(model.strengths(rows), return_inverse=True)
+    model.threshold = _threshold(z, *(np.bincount(at, y == label, len(z)) for label in (1, 0)))
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2, most: int = common.SAMPLE, most_bytes: int = common.SAMPLE_BYTES) -> Ranking:
-    """Learn from at most `most` labelled rows outside the held-out fold and `most_bytes` of their texts: the bound of the sample.
+def _featured(rows: DataFrame) -> DataFrame:
+    """The features of each labelled text, 8 bytes each, instead of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.steps(batches, "t"):
+            data = [x.tobytes() for x in features(batch["t"]).astype(np.float64)]
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["_y"], pa.array(data, pa.binary())], names=["h", "_y", "x"])
+
+    return common.materialise(common.map_texts(rows, run, "h long, _y int, x binary"), "quality-features")
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, len(NAMES))
+
+
+def _edges(rows: DataFrame, rare: int) -> np.ndarray:
+    """The bin edges by counts of all rows: the driver gets the cells of each feature's values, with the largest value of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.gathered(batches, PART_ROWS):
+            x, mine = _numbers(batch["x"]), batch["_y"].to_numpy() == rare
+            for f in range(len(NAMES)):
+                order = np.argsort(x[:, f], kind="stable")
+                values = x[order, f]
+                cell = values.view(np.int64) >> (64 - CELL_BITS)
+                first = np.flatnonzero(np.diff(cell, prepend=-1))
+                last = np.append(first[1:], len(values)) - 1
+                n, of_rare = np.diff(np.append(first, len(values))), np.add.reduceat(mine[order].astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), f, np.int32)), pa.array(cell[first]), pa.array(values[last]), pa.array(n), pa.array(of_rare)], names=["f", "cell", "top", "n", "rare"])
+
+    found = common.map_texts(rows, run, "f int, cell long, top double, n long, rare long").groupBy("f", "cell").agg(F.max("top").alias("top"), F.sum("n").alias("n"), F.sum("rare").alias("rare"))
+    table = found.toArrow().sort_by([("f", "ascending"), ("cell", "ascending")])
+    of, top, n, some = (table[c].to_numpy() for c in ("f", "top", "n", "rare"))
+    return np.stack([_cuts(top[of == f], n[of == f], some[of == f]) for f in range(len(NAMES))])
+
+
+def _round(binned: DataFrame, state: np.ndarray, steps: range, seed: list[int]) -> np.ndarray:
+    """The state after every part has taken these steps from this one: the mean of the parts' by their rows. A part without
+    rows of both labels has no pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.runs_of(batches, "part"):
+            y = np.concatenate([b["_y"].to_numpy() for b in part])
+            if not (y == 1).any() or not (y == 0).any():
+                continue
+            bins = np.frombuffer(b"".join(x for b in part for x in b["x"].to_pylist()), np.uint8).reshape(len(y), -1).astype(np.int64)
+            mine, number = state.copy(), part[0]["part"][0].as_py()
+            descend(mine, bins, y, steps, np.random.default_rng([*seed, number]))
+            yield common.weights_in_blocks(mine, number, len(y))
+
+    return common.mean_of_parts(common.map_texts(binned, run, common.BLOCKS))
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: str = "doc_id", text: str = "text", fold: int = 4, held_out: int = 2, part_rows: int = PART_ROWS, seed: int = 3) -> Ranking:
+    """Learn from all labelled rows outside the held-out fold, about part_rows of them in a task; cuts, weights and threshold
+    come from all of them. The driver holds counts, no rows. Of labels so rare that a part would have few, parts are larger.
 
     No labelled rows or an empty table: every text scores CUT; rows of one label only put all texts on that side. Null ids and
     labels are not used; an id with several labels has the smallest, one with several texts one of them; other columns are not read.
     """
-    return train(*common.labelled(docs, labels, label, common.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text, most=most, most_bytes=most_bytes))
+    rows = _featured(common.all_labelled(docs, labels, label, common.remainder(F.col(doc_id), fold) != held_out, doc_id=doc_id, text=text))
+    n, good, bad = (x or 0 for x in rows.agg(F.count("*"), F.sum((F.col("_y") == 1).cast("long")), F.sum((F.col("_y") == 0).cast("long"))).first())
+    if not good or not bad:
+        return _one_sided(np.zeros((len(NAMES), BINS - 1)), 0 if not n else 1 if good else -1)
+    model = Ranking(_edges(rows, int(good < bad)), np.zeros((len(NAMES), BINS)))
+    parts = max(1, min(-(-n // part_rows), min(good, bad) // PART_RARE))
+    edges = model.edges
+
+    def to_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = _bins(_numbers(batch["x"]), edges).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch["h"], batch["_y"], pa.array([r.tobytes() for r in x], pa.binary())], names=["h", "_y", "x"])
+
+    binned = common.map_texts(rows, to_bins, "h long, _y int, x binary").withColumn("part", F.pmod("h", F.lit(parts)).cast("int"))
+    binned = common.materialise(binned.repartitionById(parts, "part").sortWithinPartitions("part", "h", "x", "_y"), "quality-bins")
+    state = np.zeros(3 * len(NAMES) * BINS)
+    for i in range(ROUNDS):
+        state = _round(binned, state, range(i * STEPS // ROUNDS, (i + 1) * STEPS // ROUNDS), [seed, i])
+    model.weights = weights = state[: len(NAMES) * BINS].reshape(model.weights.shape)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.gathered(batches, PART_ROWS):
+            bins = np.frombuffer(b"".join(batch["x"].to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(weights.ravel()[bins].sum(1) / CELL).astype(np.int64)), batch["_y"]], names=["cell", "_y"])
+
+    found = common.map_texts(binned, cells, "cell long, _y int").groupBy("cell").agg(*(F.sum((F.col("_y") == x).cast("long")).alias(f"n{x}") for x in (1, 0))).toArrow().sort_by("cell")
+    model.threshold = _threshold((found["cell"].to_numpy() + 0.5) * CELL, found["n1"].to_numpy(), found["n0"].to_numpy())
+    return model
 
 
 def score(docs: DataFrame, model: Ranking, *, text: str = "text", name: str = "score") -> DataFrame:

@@ -9,7 +9,7 @@ the text's own function words, by counts of all labelled rows, and folded into t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,8 +33,8 @@ LEAST_ROUNDS, MOST_ROUNDS, STEPS = 3, 8, 1500
 PART_ROWS, PART_BYTES = 16_384, 64 << 20
 #: Words that the filters run over at once; a longer text is a step of its own.
 STEP_WORDS = 1 << 16
-#: Numbers of the weights that are averaged in one group, and features counted in a task before it hands on their counts.
-BLOCK, HELD = 1 << 13, 1 << 20
+#: Features counted in a task before it hands on their counts.
+HELD = 1 << 20
 #: Logits are counted in cells of this width for the thresholds, within the bounds that scores know.
 CELL, MOST_LOGIT = 1 / 256, 30
 #: Function words by which a text's language is told (fixed values: common words of each language).
@@ -330,27 +330,17 @@ def _encoded(rows: DataFrame, known: np.ndarray, parts: int) -> DataFrame:
     return common.materialise(found.repartitionById(parts, "part").sortWithinPartitions("part", "h", "rows", "_y"), "toxicity-rows")
 
 
-def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Part by part: its number, the embedding rows of its words, the texts' lengths, labels and languages."""
-    held: list[pa.RecordBatch] = []
-
-    def arrays() -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    for held in common.runs_of(batches, "part"):
         part, columns = held[0]["part"][0].as_py(), 1 + len(PREFIXES)
-        rows = [np.frombuffer(x, np.uint16).reshape(-1, columns) for b in held for x in b["rows"].to_pylist()]
+        data, at = zip(*(common.text_bytes(b["rows"]) for b in held), strict=True)
+        lengths = np.concatenate([np.diff(x) for x in at]) // (2 * columns)
         y, lang = (np.concatenate([b[c].to_numpy() for b in held]) for c in ("_y", "lang"))
-        return part, np.concatenate(rows), np.array([len(r) for r in rows]), y.astype(np.float32), lang
-
-    for batch in batches:
-        numbers = batch["part"].to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if held and a < b and held[0]["part"][0].as_py() != numbers[a]:
-                yield arrays()
-                held = []
-            if a < b:
-                held.append(batch.slice(a, b - a))
-    if held:
-        yield arrays()
+        rows = np.concatenate(data).view(np.uint16).reshape(-1, columns)
+        held.clear()  # a part is held once
+        del data
+        yield part, rows, lengths, y.astype(np.float32), lang
 
 
 def _round(encoded: DataFrame, state: np.ndarray, share: float, rate: float, seed: list[int]) -> np.ndarray:
@@ -361,18 +351,11 @@ def _round(encoded: DataFrame, state: np.ndarray, share: float, rate: float, see
         for part, rows, lengths, y, _ in _parts(batches):
             mine = shared.value.copy()
             descend(mine, rows, lengths, y, share, rate, np.random.default_rng([*seed, part]))
-            blocks = [mine[i : i + BLOCK].tobytes() for i in range(0, len(mine), BLOCK)]
-            n = len(blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n, dtype=np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, len(y))), pa.array(blocks, pa.binary())], names=["block", "part", "n", "x"])
-
-    def mean(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("part", "ascending"), ("n", "ascending")])
-        total = sum(np.frombuffer(x, np.float32).astype(np.float64) * n for x, n in zip(rows["x"].to_pylist(), rows["n"].to_pylist(), strict=True))
-        return pa.table({"block": rows["block"].slice(0, 1), "x": pa.array([(total / sum(rows["n"].to_pylist())).astype(np.float32).tobytes()], pa.binary())})
+            yield common.weights_in_blocks(mine, part, len(y))
 
-    found = common.map_texts(encoded, run, "block int, part int, n long, x binary").groupBy("block").applyInArrow(mean, "block int, x binary").toArrow().sort_by("block")
+    found = common.mean_of_parts(common.map_texts(encoded, run, common.BLOCKS))
     shared.destroy()
-    return np.concatenate([np.frombuffer(x, np.float32) for x in found["x"].to_pylist()])
+    return found
 
 
 def _calibrated(encoded: DataFrame, net: Network) -> np.ndarray:
