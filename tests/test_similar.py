@@ -73,3 +73,67 @@ def test_sets_that_share_a_rare_token_by_chance_are_dropped_in_the_join(spark):
     made = {frozenset(r) for r in J.candidates(sets, Fraction(7, 10)).collect()}
     assert made >= {frozenset((i, 1000 + i)) for i in range(20)}
     assert len(made) < 100  # thousands of pairs share a token of their prefixes
+
+
+def stored(spark, path):
+    """Bytes shuffled so far, and bytes that lie in the folder."""
+    from pathlib import Path
+
+    shuffled = spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+    return shuffled + sum(f.stat().st_size for f in Path(path).rglob("*") if f.is_file())
+
+
+def test_what_is_stored_is_no_multiple_of_the_texts(spark):
+    rng = random.Random(3)
+    names = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 9))) for _ in range(20000)]
+    texts = [" ".join(sorted({names[int(20000 * rng.random() ** 2)] for _ in range(200)})) for _ in range(3000)]
+    texts += [t + " more" for t in texts[:30]]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(3)
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = stored(spark, folder)
+    found = J.similar_sets(df, "k", F.split("text", " "))
+    assert sum(r["links"] for r in J.linked(found).collect()) == 60
+    made = (stored(spark, folder) - before) / sum(map(len, texts))
+    assert made < 5, made
+    assert "Exchange" not in found.pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_odd_tokens_and_ids_with_several_sets(spark):
+    base = [f"w{k}" for k in range(8)]
+    data = [(1, [*base, "", "a\0b"]), (2, [*base, "", "a\\0b"]), (3, [*base, "", "a", "b"]), (4, [""]), (5, ["\0"]), (6, ["", "\\"]), (7, ["é", "ß", ""]), (8, ["ß", "é"])]
+    data += [(9, base), (9, [*base, "x"]), (9, [*base, "y"]), (10, [*base, "x"])]
+    found = J.similar_sets(spark.createDataFrame(data, "k int, x array<string>"), "k", F.col("x"), Fraction(2, 3))
+    sets = {(i, frozenset(x)) for i, x in data if (i, x[-1:]) != (10, ["x"])}
+    pairs = sorted((a, b, len(x & y), len(x | y)) for a, x in sets for b, y in sets if a < b and 3 * len(x & y) >= 2 * len(x | y))
+    assert sorted(tuple(r) for r in found.pairs.collect()) == pairs
+    assert not [r for r in found.pairs.collect() if r["a"] == r["b"]]
+
+
+def test_blocks_and_their_parts_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(J, "LEAST_POSTS", 60)
+    data = rows(seed=5)
+    least = Fraction(1, 2)
+    spelt = J.spelled_sets(spark.createDataFrame(data, "k int, x array<string>").repartition(5), "k", F.col("x"))
+    _, sets = J.grouped(spelt)
+    met, ends = J.linking(sets, J.counted(sets), least)
+    want, _ = by_hand(data, least)
+    assert met.rdd.getNumPartitions() > 10
+    assert sorted(tuple(r) for r in met.collect()) == sorted(want)
+    counts = {r["class"]: r["n"] for r in ends.groupBy("class").agg(F.sum("n").alias("n")).collect()}
+    assert counts == {c: sum(c in w[:2] for w in want) for c in {c for w in want for c in w[:2]}}
+
+    for name, value in (("POSTS", 20), ("ROWS", 7), ("MEETINGS", 30), ("WORDS", 16), ("WAITING", 25), ("TOKENS", 40)):
+        monkeypatch.setattr(J, name, value)
+    files = [f for b in J.blocks(spark.read.parquet(J.laid_out(sets, J.counted(sets), least))) for f in b["files"]]
+    top = files[0].rsplit("/size=", 1)[0]
+    found = []
+    by_size = {}
+    for f in files:
+        by_size.setdefault(f.split("/size=")[1].split("/")[0], []).append(f.removeprefix(top))
+    held = [J.Block(top, some) for some in by_size.values()]
+    for i, one in enumerate(held):
+        for other in held[: i + 1]:
+            for batch in J.joined(one, other, least):
+                found += [(min(r["a"], r["b"]), max(r["a"], r["b"]), r["shared"], r["total"]) for r in batch.to_pylist()]
+    assert sorted(found) == sorted(want)
+    assert max(len(list(b.parts())) for b in held) > 2

@@ -43,11 +43,11 @@ def run_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/tidemark-{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+def cut(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write once to shared storage and read again: what follows uses the rows several times without computing them again, and
-    a lost executor loses none of them."""
+    a lost executor loses none of them. options: of the writer."""
     path = run_dir(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
