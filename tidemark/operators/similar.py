@@ -35,9 +35,9 @@ from ..session import cut, run_dir
 #: Cells in which occurrences of tokens are counted, and tasks that count at most, as each has its own cells.
 CELLS, COUNTERS = 1 << 21, 64
 #: Prefix tokens of a block at least, unless its size class has fewer, and at most; blocks that there are if they may be small.
-LEAST_POSTS, POSTS, BLOCKS = 1 << 17, 1 << 21, 32
+LEAST_POSTS, POSTS, BLOCKS = 1 << 17, 3 << 19, 32
 #: Met pairs looked at together, words of a sketch likewise, pairs that wait for their whole sets, and tokens of those taken together.
-MEETINGS, WORDS, WAITING, TOKENS = 1 << 21, 1 << 21, 1 << 20, 1 << 21
+MEETINGS, WORDS, WAITING, TOKENS = 1 << 20, 1 << 20, 1 << 19, 1 << 20
 #: Rows and bytes of sets that are hashed together; the rows fit the upper 12 bits of a sort key.
 ROWS, BYTES = 1 << 12, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -207,15 +207,16 @@ class Sets:
 
 
 class Block:
-    """Some files of one size class."""
+    """Some files of one size class; high: the most tokens that a set has."""
 
-    def __init__(self, top: str, files: list[str]) -> None:
+    def __init__(self, top: str, files: list[str], high: int = 1) -> None:
         self.fs, folder = pyarrow.fs.FileSystem.from_uri(top)
         self.files = [folder + f for f in files]
+        self.rows = max(min(ROWS, TOKENS // high), 1)
 
     def batches(self, file: int, columns: list[str]) -> Iterator[pa.RecordBatch]:
         with self.fs.open_input_file(self.files[file]) as f:
-            yield from pq.ParquetFile(f).iter_batches(ROWS, columns=columns)
+            yield from pq.ParquetFile(f).iter_batches(self.rows, columns=columns)
 
     def parts(self) -> Iterator[Sets]:
         """All sets, in parts of about POSTS prefix tokens at most."""
@@ -225,7 +226,7 @@ class Block:
             for batch in self.batches(file, ["n", "k", "t", "sketch"]):
                 got.append((batch, np.full(len(batch), file, np.int32), np.arange(at, at + len(batch))))
                 at, posts = at + len(batch), posts + pc.sum(pc.binary_length(batch["t"])).as_py() // 4
-                if posts >= 2 * POSTS:
+                if posts >= POSTS:
                     yield self.part(got)
                     got, posts = [], 0
         if got:
@@ -376,12 +377,12 @@ def linking(sets: DataFrame, cells: np.ndarray, least: Fraction) -> tuple[DataFr
     units = [(i, j) for i in range(len(found)) for j in range(i + 1) if found[j]["high"] * q >= p * found[i]["low"] and found[i]["high"] * q >= p * found[j]["low"]]
     units.sort(key=lambda u: -found[u[0]]["posts"] * found[u[1]]["posts"])  # the longest first
     top = found[0]["file"].rsplit("/size=", 1)[0] if found else ""
-    files = [[f.removeprefix(top) for f in b["files"]] for b in found]
+    files = [([f.removeprefix(top) for f in b["files"]], b["high"]) for b in found]
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for u in batch["id"].to_pylist():
-                one, other = Block(top, files[units[u][0]]), Block(top, files[units[u][1]])
+                one, other = (Block(top, *files[i]) for i in units[u])
                 yield from joined(one, one if units[u][0] == units[u][1] else other, least)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
